@@ -22,7 +22,7 @@ from ..session import ensure_checkpoint_dir
 from .features import fill_weight_from_rows
 from .geo import add_coordinates, with_distance
 from .metrics import with_risk
-from .sellers import enrich_seller_rate, fill_seller_rate
+from .sellers import enrich_seller_rate, fill_seller_rate, mean_seller_rate
 from .split import stratified_split
 
 # Upstream hyper-parameters (100 rounds, rate 0.1, depth 5,
@@ -99,10 +99,20 @@ def feature_importance(spark: SparkSession, model: PipelineModel, k: int = 10) -
 
 # --------------------------------------------------------------------------- artifacts
 
-def save_artifacts(model: PipelineModel, profile: DataFrame, centroid: DataFrame, root: str) -> None:
+def training_stats(features: DataFrame, profile: DataFrame) -> DataFrame:
+    """One row of fill values stored with the model, so scoring does not
+    depend on the composition of the scored batch."""
+    return features.agg(F.avg("product_weight_g").alias("mean_weight_g")).select(
+        "mean_weight_g", mean_seller_rate(profile).alias("mean_seller_rate")
+    )
+
+
+def save_artifacts(model: PipelineModel, profile: DataFrame, centroid: DataFrame, stats: DataFrame, root: str) -> None:
+    """A8 + A9: Spark ML writer for the model, Parquet for the tables."""
     model.write().overwrite().save(f"{root}/model")
     profile.write.mode("overwrite").parquet(f"{root}/seller_profile")
     centroid.write.mode("overwrite").parquet(f"{root}/geo_centroid")
+    stats.write.mode("overwrite").parquet(f"{root}/training_stats")
 
 
 @dataclass
@@ -110,6 +120,12 @@ class Artifacts:
     model: PipelineModel
     seller_profile: DataFrame
     geo_centroid: DataFrame
+    stats: DataFrame
+
+    def fill_values(self) -> tuple[float | None, float | None]:
+        """(mean weight, mean seller rate): one stored row."""
+        row = self.stats.first()
+        return (row["mean_weight_g"], row["mean_seller_rate"]) if row else (None, None)
 
 
 def load_artifacts(spark: SparkSession, root: str) -> Artifacts:
@@ -117,12 +133,13 @@ def load_artifacts(spark: SparkSession, root: str) -> Artifacts:
         PipelineModel.load(f"{root}/model"),
         spark.read.parquet(f"{root}/seller_profile"),
         spark.read.parquet(f"{root}/geo_centroid"),
+        spark.read.parquet(f"{root}/training_stats"),
     )
 
 
 # --------------------------------------------------------------------------- serving
 
-def split_scorable(df: DataFrame, centroid: DataFrame, profile: DataFrame, mean_weight=None):
+def split_scorable(df: DataFrame, centroid: DataFrame, profile: DataFrame, mean_weight=None, rate_fill=None):
     """Feature rows that can be scored, and the rest with a reason.
 
     Upstream silently drops unscorable rows; here they are kept apart with
@@ -136,7 +153,10 @@ def split_scorable(df: DataFrame, centroid: DataFrame, profile: DataFrame, mean_
     df = with_distance(df)
     if "seller_late_rate" not in df.columns:
         df = enrich_seller_rate(df, profile)
-    df = fill_seller_rate(df, profile)
+    if rate_fill is None:
+        df = fill_seller_rate(df, profile)
+    else:
+        df = df.withColumn("seller_late_rate", F.coalesce(F.col("seller_late_rate"), F.lit(float(rate_fill))))
     df = fill_weight_from_rows(df, mean_weight)
     missing = None
     for f in FEATURES:
@@ -153,10 +173,13 @@ def split_scorable(df: DataFrame, centroid: DataFrame, profile: DataFrame, mean_
     return scorable, rejected
 
 
-def score_orders(df: DataFrame, artifacts: Artifacts, threshold: float = 0.5, mean_weight=None):
+def score_orders(df: DataFrame, artifacts: Artifacts, threshold: float = 0.5, use_stored_fills: bool = True):
     """M9 + M10: stored profile and centroid, model probability, strict flag.
 
-    Returns (scored, rejected)."""
-    scorable, rejected = split_scorable(df, artifacts.geo_centroid, artifacts.seller_profile, mean_weight)
+    With ``use_stored_fills`` the weight and unknown-seller fills come from
+    the training statistics (required for streams); otherwise the weight
+    falls back to the batch mean as upstream. Returns (scored, rejected)."""
+    weight, rate = artifacts.fill_values() if use_stored_fills else (None, None)
+    scorable, rejected = split_scorable(df, artifacts.geo_centroid, artifacts.seller_profile, weight, rate)
     scored = with_risk(predict(artifacts.model, scorable), "delay_risk_probability", threshold)
     return scored, rejected

@@ -422,6 +422,15 @@ SELECT CAST(dayofweek(order_purchase_timestamp) = 5 AS INTEGER) AS is_friday,
   CAST(month(order_purchase_timestamp) = 12 AS INTEGER) AS is_december,
   COUNT(*) AS rows, round(AVG(is_late), 6) AS late_rate
 FROM master GROUP BY 1, 2"""),
+    "stream_late_monitor": q("""
+SELECT date_trunc('day', o.order_delivered_customer_date) AS window_start,
+  date_trunc('day', o.order_delivered_customer_date) + INTERVAL 1 DAY AS window_end,
+  s.seller_state, COUNT(*) AS deliveries, CAST(SUM(o.is_late) AS BIGINT) AS late,
+  round(SUM(o.is_late) * 1.0e0 / COUNT(*), 6) AS late_rate
+FROM late_orders o JOIN src_items i ON o.order_id = i.order_id
+LEFT JOIN src_sellers s ON i.seller_id = s.seller_id
+WHERE o.order_status = 'delivered' AND o.order_delivered_customer_date IS NOT NULL
+GROUP BY 1, 2, 3"""),
     "daily_orders": q("""
 SELECT CAST(order_purchase_timestamp AS DATE) AS day, COUNT(*) AS orders FROM src_orders GROUP BY 1"""),
 }

@@ -15,6 +15,8 @@ from ..operators.split import stratified_split_counts
 from ..sources.catalog import register_master, run_sql
 from ..sources.raw import parse_timestamps
 from . import common as c
+from .ml import q_feature_importance, q_score_orders, q_train_gbt
+from .streams import q_stream_late_monitor, q_stream_scored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -305,6 +307,12 @@ QUERIES: dict[str, Query] = {
     "demand_by_state": _demand_by_state,
     "calendar_features": _calendar_features,
     "daily_orders": _daily_orders,
+    "stream_late_monitor": q_stream_late_monitor,
+    # rows-only checks: model output has no SQL equivalent
+    "train_gbt": q_train_gbt,
+    "score_orders": q_score_orders,
+    "feature_importance": q_feature_importance,
+    "stream_scored": q_stream_scored,
 }
 
 
