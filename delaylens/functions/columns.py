@@ -23,13 +23,15 @@ def haversine_km(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon
     """Great-circle distance in km; NULL when any input is NULL.
 
     ``a`` is clamped to [0, 1]: rounding can push it a hair outside, and the
-    square root of a tiny negative number would be NaN.
+    square root of a tiny negative number would be NaN. The clamp is a CASE,
+    not ``least``/``greatest``, because those skip NULLs and would turn a
+    missing coordinate into distance 0.
     """
     phi1, phi2 = F.radians(_c(lat1)), F.radians(_c(lat2))
     dphi = F.radians(_c(lat2) - _c(lat1))
     dlambda = F.radians(_c(lon2) - _c(lon1))
     a = F.pow(F.sin(dphi / 2), 2) + F.cos(phi1) * F.cos(phi2) * F.pow(F.sin(dlambda / 2), 2)
-    a = F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0))
+    a = F.when(a < 0, F.lit(0.0)).when(a > 1, F.lit(1.0)).otherwise(a)
     return F.lit(EARTH_RADIUS_KM) * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 

@@ -81,10 +81,10 @@ geo_master AS (
   LEFT JOIN centroid sc ON m.seller_zip_code_prefix = sc.zip
   LEFT JOIN centroid cc ON m.customer_zip_code_prefix = cc.zip),
 dist_master AS (
-  SELECT *, 6371.0e0 * 2 * atan2(sqrt(least(greatest(a, 0e0), 1e0)), sqrt(1 - least(greatest(a, 0e0), 1e0))) AS distance_km
-  FROM (SELECT *, pow(sin(radians(c_lat - s_lat) / 2), 2)
+  SELECT *, 6371.0e0 * 2 * atan2(sqrt(ac), sqrt(1 - ac)) AS distance_km
+  FROM (SELECT *, CASE WHEN a < 0 THEN 0e0 WHEN a > 1 THEN 1e0 ELSE a END AS ac FROM (SELECT *, pow(sin(radians(c_lat - s_lat) / 2), 2)
                   + cos(radians(s_lat)) * cos(radians(c_lat)) * pow(sin(radians(c_lng - s_lng) / 2), 2) AS a
-        FROM geo_master) g),
+        FROM geo_master) g0) g),
 profile AS (
   SELECT seller_id, AVG(is_late) AS seller_late_rate, COUNT(is_late) AS seller_order_count
   FROM dist_master GROUP BY seller_id),
@@ -212,10 +212,10 @@ FROM feat"""),
   LEFT JOIN centroid sc ON m.seller_zip_code_prefix = sc.zip
   LEFT JOIN centroid cc ON m.customer_zip_code_prefix = cc.zip),
 di AS (
-  SELECT *, 6371.0e0 * 2 * atan2(sqrt(least(greatest(a, 0e0), 1e0)), sqrt(1 - least(greatest(a, 0e0), 1e0))) AS distance_km
-  FROM (SELECT *, pow(sin(radians(c_lat - s_lat) / 2), 2)
+  SELECT *, 6371.0e0 * 2 * atan2(sqrt(ac), sqrt(1 - ac)) AS distance_km
+  FROM (SELECT *, CASE WHEN a < 0 THEN 0e0 WHEN a > 1 THEN 1e0 ELSE a END AS ac FROM (SELECT *, pow(sin(radians(c_lat - s_lat) / 2), 2)
                   + cos(radians(s_lat)) * cos(radians(c_lat)) * pow(sin(radians(c_lng - s_lng) / 2), 2) AS a
-        FROM gi) g),
+        FROM gi) g0) g),
 pi AS (SELECT seller_id, AVG(is_late) AS r, COUNT(is_late) AS n FROM di GROUP BY seller_id)
 SELECT d.order_id, d.seller_id, round(d.distance_km, 6) AS distance_km, round(pi.r, 6) AS seller_late_rate,
   round(COALESCE(d.product_weight_g, (SELECT AVG(product_weight_g) FROM di)), 6) AS product_weight_g,

@@ -17,8 +17,18 @@ from pyspark.sql import functions as F
 from .tables import Tables
 
 
+_relations: dict[tuple[int, str], DataFrame] = {}
+_tables: dict[tuple[int, str], Tables] = {}
+
+
 def _scan(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
+    """Resolve each file once per session (like a catalog lookup), then
+    project; the projection is what reaches the scan as ReadSchema."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _relations:
+        _relations[key] = spark.read.parquet(path)
+    return _relations[key].select(*columns)
 
 
 def _hours_after(ts: str, hours: Column) -> Column:
@@ -114,7 +124,15 @@ def fixture_order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """All seven logical tables over one scale-factor directory (lazy)."""
+    """All seven logical tables over one scale-factor directory (lazy plans,
+    built once per session and directory)."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _tables:
+        _tables[key] = _build_tables(spark, sf_dir)
+    return _tables[key]
+
+
+def _build_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(
         orders=fixture_orders(spark, sf_dir),
         order_items=fixture_order_items(spark, sf_dir),
