@@ -87,7 +87,7 @@ dist_master AS (
         FROM geo_master) g0) g),
 profile AS (
   SELECT seller_id, AVG(is_late) AS seller_late_rate, COUNT(is_late) AS seller_order_count
-  FROM dist_master GROUP BY seller_id),
+  FROM dist_master WHERE seller_id IS NOT NULL GROUP BY seller_id),
 feat AS (
   SELECT d.order_id, d.seller_id, d.distance_km,
     COALESCE(p.seller_late_rate, (SELECT AVG(seller_late_rate) FROM profile)) AS seller_late_rate,
@@ -190,11 +190,11 @@ FROM geo_master"""),
     "order_distance": q("SELECT order_id, seller_id, round(distance_km, 6) AS distance_km FROM dist_master"),
     "seller_profile": q("SELECT seller_id, round(seller_late_rate, 6) AS seller_late_rate, seller_order_count FROM profile"),
     "seller_enriched": q("""
-, with_p AS (SELECT seller_id, AVG(is_late) AS r, COUNT(is_late) AS n FROM master GROUP BY seller_id)
+, with_p AS (SELECT seller_id, AVG(is_late) AS r, COUNT(is_late) AS n FROM master WHERE seller_id IS NOT NULL GROUP BY seller_id)
 SELECT m.order_id, m.seller_id, m.is_late, round(w.r, 6) AS seller_late_rate, w.n AS seller_order_count
 FROM master m LEFT JOIN with_p w ON m.seller_id = w.seller_id"""),
     "seller_rate_filled": q("""
-, mp AS (SELECT seller_id, AVG(is_late) AS seller_late_rate FROM master GROUP BY seller_id)
+, mp AS (SELECT seller_id, AVG(is_late) AS seller_late_rate FROM master WHERE seller_id IS NOT NULL GROUP BY seller_id)
 SELECT i.order_id, i.seller_id, mp.seller_late_rate IS NOT NULL AS known_seller,
   round(COALESCE(mp.seller_late_rate, (SELECT AVG(seller_late_rate) FROM mp)), 6) AS seller_late_rate
 FROM src_orders o JOIN src_items i ON o.order_id = i.order_id
@@ -216,7 +216,7 @@ di AS (
   FROM (SELECT *, CASE WHEN a < 0 THEN 0e0 WHEN a > 1 THEN 1e0 ELSE a END AS ac FROM (SELECT *, pow(sin(radians(c_lat - s_lat) / 2), 2)
                   + cos(radians(s_lat)) * cos(radians(c_lat)) * pow(sin(radians(c_lng - s_lng) / 2), 2) AS a
         FROM gi) g0) g),
-pi AS (SELECT seller_id, AVG(is_late) AS r, COUNT(is_late) AS n FROM di GROUP BY seller_id)
+pi AS (SELECT seller_id, AVG(is_late) AS r, COUNT(is_late) AS n FROM di WHERE seller_id IS NOT NULL GROUP BY seller_id)
 SELECT d.order_id, d.seller_id, round(d.distance_km, 6) AS distance_km, round(pi.r, 6) AS seller_late_rate,
   round(COALESCE(d.product_weight_g, (SELECT AVG(product_weight_g) FROM di)), 6) AS product_weight_g,
   round(d.freight_value, 6) AS freight_value, round(d.price, 6) AS price, d.is_late, pi.n AS seller_order_count
