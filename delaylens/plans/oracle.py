@@ -381,6 +381,10 @@ SELECT late_per_seller, sellers, CAST(cum_sellers AS BIGINT) AS cum_sellers, CAS
   round(cum_sellers * 1.0e0 / ts, 6) AS seller_share,
   round(CASE WHEN tl > 0 THEN cum_late * 1.0e0 / tl ELSE 0 END, 6) AS late_share
 FROM cum, tot"""),
+    "review_by_late": q("""
+SELECT is_late, round(AVG(review_score), 6) AS avg_review_score, COUNT(review_score) AS reviews, COUNT(*) AS rows,
+  round(AVG(CASE WHEN review_score = 5 THEN 1.0e0 WHEN review_score IS NOT NULL THEN 0.0e0 END), 6) AS five_star_share
+FROM master GROUP BY is_late"""),
     "worst_sellers": q("""
 , cut AS (SELECT quantile_cont(seller_late_rate, 0.9) AS c FROM profile WHERE seller_late_rate IS NOT NULL)
 SELECT seller_id, round(seller_late_rate, 6) AS seller_late_rate, seller_order_count, round(c, 6) AS cut_rate

@@ -247,6 +247,10 @@ def _category_translated(spark, sf):
         F.count(F.lit(1)).alias("rows"))
 
 
+def _review_by_late(spark, sf):
+    return reports.review_by_late(c.master(spark, sf))
+
+
 def _demand_by_state(spark, sf):
     return reports.demand_by_state(c.features(spark, sf).features)
 
@@ -300,6 +304,7 @@ QUERIES: dict[str, Query] = {
     "handover_gap": _handover_gap,
     "late_by_distance": _late_by_distance,
     "late_pareto": _late_pareto,
+    "review_by_late": _review_by_late,
     "worst_sellers": _worst_sellers,
     "routing_candidates": _routing_candidates,
     "category_translated": _category_translated,

@@ -87,15 +87,17 @@ CATEGORY_TRANSLATION = _struct(
     ("product_category_name_english", S),
 )
 
-# Raw file name -> (logical table, schema), as the raw zone names them.
+# Default raw-zone layout: <table>.csv per logical table. Pass another
+# {file name: (table, schema)} mapping to ``load_raw_zone`` for exports that
+# use different file names.
 RAW_FILES = {
-    "olist_orders_dataset.csv": ("orders", ORDERS),
-    "olist_order_items_dataset.csv": ("order_items", ORDER_ITEMS),
-    "olist_products_dataset.csv": ("products", PRODUCTS),
-    "olist_sellers_dataset.csv": ("sellers", SELLERS),
-    "olist_customers_dataset.csv": ("customers", CUSTOMERS),
-    "olist_order_reviews_dataset.csv": ("order_reviews", ORDER_REVIEWS),
-    "olist_geolocation_dataset.csv": ("geolocation", GEOLOCATION),
+    "orders.csv": ("orders", ORDERS),
+    "order_items.csv": ("order_items", ORDER_ITEMS),
+    "products.csv": ("products", PRODUCTS),
+    "sellers.csv": ("sellers", SELLERS),
+    "customers.csv": ("customers", CUSTOMERS),
+    "order_reviews.csv": ("order_reviews", ORDER_REVIEWS),
+    "geolocation.csv": ("geolocation", GEOLOCATION),
 }
 
 # Columns each operator chain actually reads (for pruning at the scan).

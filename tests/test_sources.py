@@ -21,7 +21,7 @@ def _tmp():
 
 def test_csv_scan_and_loader_reports_missing(spark):
     raw = _tmp()
-    with open(os.path.join(raw, "olist_orders_dataset.csv"), "w", encoding="utf-8-sig") as f:
+    with open(os.path.join(raw, "orders.csv"), "w", encoding="utf-8-sig") as f:
         f.write(",".join(ORDERS.fieldNames()) + "\n")
         f.write("o1,c1,delivered,2018-01-01 10:00:00,2018-01-01 11:00:00,2018-01-02 09:00:00,"
                 "2018-01-10 15:30:00,2018-01-09 00:00:00\n")

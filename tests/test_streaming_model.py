@@ -22,7 +22,8 @@ from tests.conftest import SF_SMALL
 
 
 def test_monitor_stream_equals_batch(spark):
-    stream = q_stream_late_monitor(spark, SF_SMALL)
+    # one file per micro-batch: windows stay open across batches, then close
+    stream = q_stream_late_monitor(spark, SF_SMALL, max_files=1)
     batch = late_rate_windows(delivery_outcomes(spark, SF_SMALL))
     cols = ["window_start", "window_end", "seller_state", "deliveries", "late", "late_rate"]
     assert sorted(stream.select(cols).collect()) == sorted(batch.select(cols).collect())
