@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .geo import add_coordinates, geo_centroid, with_distance
-from .sellers import enrich_seller_rate, fill_seller_rate, seller_profile, seller_rate_asof
+from .sellers import enrich_seller_rate, fill_seller_rate, seller_profile, seller_rate_asof  # noqa: F401
 
 
 @dataclass
@@ -66,8 +66,20 @@ def preprocess(
             "distance_km cannot be computed: supply geolocation (with zip columns) or s_lat/s_lng/c_lat/c_lng"
         )
 
+    row_mean_weight = None
     if profile is None:
-        profile = seller_profile(df)
+        # one aggregate serves the profile and the row-mean weight (B7):
+        # per-seller partial sums, so the rows are grouped once
+        ext = df.groupBy("seller_id").agg(
+            F.avg("is_late").alias("seller_late_rate"),
+            F.count("is_late").alias("seller_order_count"),
+            *([F.sum("product_weight_g").alias("__sw"), F.count("product_weight_g").alias("__cw")]
+              if "product_weight_g" in df.columns else []),
+        )
+        profile = ext.filter(F.col("seller_id").isNotNull()).select(
+            "seller_id", "seller_late_rate", "seller_order_count")
+        if "product_weight_g" in df.columns:
+            row_mean_weight = ext.agg(F.sum("__sw") / F.sum("__cw")).scalar()
     if "seller_late_rate" not in df.columns:
         if rate_mode == "asof":
             df = seller_rate_asof(df).withColumnRenamed("seller_late_rate_asof", "seller_late_rate").drop(
@@ -79,7 +91,7 @@ def preprocess(
             raise ValueError(f"unknown rate_mode {rate_mode!r}")
     df = fill_seller_rate(df, profile)
     if "product_weight_g" in df.columns:
-        df = fill_weight_from_rows(df, mean_weight)
+        df = fill_weight_from_rows(df, mean_weight if mean_weight is not None else row_mean_weight)
     return Prepared(df.na.drop(subset=["distance_km"]), profile)
 
 

@@ -82,33 +82,49 @@ def stage_averages(lm: DataFrame) -> DataFrame:
     )
 
 
+def _stacked(lm: DataFrame, stages) -> DataFrame:
+    """(stage, x) rows: every stage value of every row, non-NULL only."""
+    body = ", ".join(f"'{st}', `{st}`" for st in stages)
+    return lm.select(F.expr(f"stack({len(stages)}, {body}) as (stage, x)")).filter(F.col("x").isNotNull())
+
+
 def stage_histogram(lm: DataFrame, stages=STAGES, bins: int = 50) -> DataFrame:
     """Equal-width histogram over the full range of each stage.
 
-    Bounds come from scalar subqueries (one pass, merged by the optimizer);
-    the maximum lands in the last bin; empty bins are emitted with count 0
-    by joining the counts to a fixed ``bins``-row range.
+    All stages are stacked into (stage, x) rows, so the data is read twice in
+    total: once for the per-stage bounds (one row per stage, broadcast on the
+    stage name) and once for the bin counts. The maximum lands in the last
+    bin; empty bins come from a right join to the fixed stages x bins grid.
     """
-    out = None
-    for stage in stages:
-        x = F.col(stage)
-        lo = lm.agg(F.min(stage)).scalar()
-        hi = lm.agg(F.max(stage)).scalar()
-        width = hi - lo
-        raw = F.floor(F.lit(bins) * (x - lo) / width) + 1
-        b = F.when(width == 0, F.lit(1)).otherwise(F.least(raw, F.lit(bins))).cast("int")
-        counts = lm.filter(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-        grid = lm.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-        # counts has at most `bins` rows: a proven bound
-        h = grid.join(F.broadcast(counts), "bin", "left").select(
-            F.lit(stage).alias("stage"),
-            "bin",
-            (lo + width * (F.col("bin") - 1) / bins).alias("bin_lo"),
-            (lo + width * F.col("bin") / bins).alias("bin_hi"),
-            F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
-        )
-        out = h if out is None else out.unionByName(h)
-    return out
+    long = _stacked(lm, stages)
+    bounds = long.groupBy("stage").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    lo, hi, x = F.col("lo"), F.col("hi"), F.col("x")
+    width = hi - lo
+    raw = F.floor(F.lit(bins) * (x - lo) / width) + 1
+    b = F.when(width == 0, F.lit(1)).otherwise(F.least(raw, F.lit(bins))).cast("int")
+    # bounds has one row per stage: a proven bound
+    counts = long.join(F.broadcast(bounds), "stage").groupBy("stage", b.alias("bin")).agg(
+        F.count(F.lit(1)).alias("count")
+    )
+    spark = lm.sparkSession
+    grid = _grid(spark, stages, bins)
+    out = grid.join(F.broadcast(bounds), "stage").join(counts, ["stage", "bin"], "left")
+    return out.select(
+        "stage",
+        "bin",
+        (lo + width * (F.col("bin") - 1) / bins).alias("bin_lo"),
+        (lo + width * F.col("bin") / bins).alias("bin_hi"),
+        F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
+    )
+
+
+def _grid(spark, stages, bins: int) -> DataFrame:
+    """Fixed (stage, bin) grid: len(stages) x bins rows from one generator."""
+    names = F.array(*[F.lit(st) for st in stages])
+    return spark.range(0, len(stages) * bins).select(
+        F.element_at(names, (F.col("id") / bins).cast("int") + 1).alias("stage"),
+        ((F.col("id") % bins) + 1).cast("int").alias("bin"),
+    )
 
 
 def stage_density(lm: DataFrame, stages=STAGES, grid_points: int = 200, fine_bins: int = 1000) -> DataFrame:

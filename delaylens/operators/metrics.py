@@ -107,17 +107,17 @@ def roc_auc(df: DataFrame, label: str = "y", score: str = "p", buckets: int = 1
     AUC = sum over distinct scores s of pos(s) * (neg(< s) + neg(s) / 2),
     divided by P * N. Negatives below a score come from a two-level prefix
     sum: counts per distinct score (partial aggregate), then per fine bucket
-    of the score range (at most ``buckets`` rows in one ordered window), then
-    inside each bucket over its distinct scores. No group holds raw rows.
+    of [0, 1] (at most ``buckets`` rows in one ordered window), then inside
+    each bucket over its distinct scores. No group holds raw rows, and the
+    input is read once.
     """
     y, p = F.col(label), F.col(score)
-    lo = df.agg(F.min(score)).scalar()
-    hi = df.agg(F.max(score)).scalar()
-    width = hi - lo
     per_score = df.filter(p.isNotNull() & y.isNotNull()).groupBy(p.alias("s")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
-    b = F.when(width > 0, F.least(F.floor((F.col("s") - lo) / width * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
+    # buckets over the probability range; any monotone bucketing is exact
+    # (scores outside [0, 1] fall into the edge buckets, still ordered by s)
+    b = F.least(F.greatest(F.floor(F.col("s") * buckets), F.lit(0)), F.lit(buckets - 1))
     per_score = per_score.withColumn("b", b.cast("long"))
     per_bucket = per_score.groupBy("b").agg(F.sum("neg").alias("bneg"))
     carry = per_bucket.select(
