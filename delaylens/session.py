@@ -7,7 +7,6 @@ passes in its own session and every operator only reads settings from it.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,6 +22,19 @@ REQUIRED_CONF = {
 }
 
 
+# Defaults of the convenience builder (a caller's own session keeps its own):
+# fact-to-fact joins shuffle instead of relying on file-size estimates for a
+# broadcast (dimension broadcasts are decided by the row-count check in
+# operators.joins); AQE may still turn a sort-merge join into a broadcast or a
+# shuffled hash join at runtime when the measured sides are small enough.
+DEFAULT_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": str(2 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(8 * 1024 * 1024),
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(64 * 1024 * 1024),
+}
+
+
 def build_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
@@ -33,7 +45,7 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(REQUIRED_CONF)
+    conf = {**DEFAULT_CONF, **REQUIRED_CONF}
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
@@ -78,6 +90,3 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     root = checkpoint_root(spark).rstrip("/")
     return "/".join([root, "delaylens", *parts])
 
-
-def default_parallelism(spark: SparkSession) -> int:
-    return int(os.environ.get("DELAYLENS_PARALLELISM", spark.sparkContext.defaultParallelism))
