@@ -59,6 +59,20 @@ def risk_label(prob: Column | str, threshold: float = 0.5) -> Column:
     return F.when(risk_flag(prob, threshold), F.lit("HIGH RISK")).otherwise(F.lit("ON TRACK"))
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def ntz_as_utc_instant(x: Column | str) -> Column:
+    """timestamp_ntz wall clock -> TIMESTAMP instant, read as UTC whatever
+    the session time zone (watermarks and windows need TIMESTAMP)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(x)))
+
+
+def utc_instant_as_ntz(x: Column | str) -> Column:
+    """Inverse of ``ntz_as_utc_instant``."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(x)), F.expr(_EPOCH_NTZ))
+
+
 def null_if_nan(x: Column | str) -> Column:
     """Spark keeps NaN apart from NULL; pandas treats both as missing."""
     return F.nanvl(_c(x), F.lit(None).cast("double"))

@@ -130,45 +130,44 @@ def _grid(spark, stages, bins: int) -> DataFrame:
 def stage_density(lm: DataFrame, stages=STAGES, grid_points: int = 200, fine_bins: int = 1000) -> DataFrame:
     """Gaussian kernel density curve on ``grid_points`` over [min, max].
 
-    Bandwidth is Scott's rule (stddev * n^(-1/5)). Rows are first counted
-    into ``fine_bins`` equal bins (a partial aggregate, skew-safe); the
-    kernel sum then runs over at most ``fine_bins`` (center, count) pairs per
-    grid point inside one bounded array, so no row ever meets the grid.
+    Bandwidth is Scott's rule (stddev * n^(-1/5)). Stages are stacked into
+    (stage, x) rows; per-stage statistics are one small aggregate (broadcast
+    on the stage name); rows are counted into ``fine_bins`` equal bins (a
+    partial aggregate, skew-safe); each stage's <= ``fine_bins`` (bin, count)
+    cells are packed into one bounded array and the kernel sum for every grid
+    point runs over that array, so no row ever meets the grid.
     """
-    out = None
-    for stage in stages:
-        x = F.col(stage)
-        lo = lm.agg(F.min(stage)).scalar()
-        hi = lm.agg(F.max(stage)).scalar()
-        sd = lm.agg(F.stddev_samp(stage)).scalar()
-        n = lm.agg(F.count(stage)).scalar()
-        step = (hi - lo) / fine_bins
-        bin_idx = F.least(F.floor(F.try_divide(x - lo, step)), F.lit(fine_bins - 1))
-        binned = (
-            lm.filter(x.isNotNull())
-            .groupBy(F.coalesce(bin_idx, F.lit(0)).cast("int").alias("b"))
-            .agg(F.count(F.lit(1)).alias("c"))
-        )
-        # a single row holding <= fine_bins (bin, count) cells
-        packed = binned.agg(F.collect_list(F.struct("b", "c")).alias("cells")).select(
-            "cells", lo.alias("lo"), hi.alias("hi"), (sd * F.pow(n.cast("double"), F.lit(-0.2))).alias("h"),
-            n.alias("n"), step.alias("step"),
-        )
-        lo_c, hi_c, h_c, step_c = F.col("lo"), F.col("hi"), F.col("h"), F.col("step")
-        g = lo_c + (hi_c - lo_c) * F.col("i") / F.lit(grid_points - 1)
-        kernel_sum = F.aggregate(
-            "cells",
-            F.lit(0.0),
-            lambda acc, cell: acc + cell["c"] * F.exp(-F.pow((g - (lo_c + step_c * (cell["b"] + 0.5))) / h_c, 2) / 2),
-        )
-        dens = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i")).select(
-            F.lit(stage).alias("stage"),
-            F.col("i").alias("point"),
-            g.alias("x"),
-            (kernel_sum / (F.col("n") * h_c * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
-        )
-        out = dens if out is None else out.unionByName(dens)
-    return out
+    long = _stacked(lm, stages)
+    lo, hi, x = F.col("lo"), F.col("hi"), F.col("x")
+    stats = long.groupBy("stage").agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"),
+        F.stddev_samp("x").alias("sd"), F.count("x").alias("n"),
+    ).select(
+        "stage", "lo", "hi", "n",
+        ((hi - lo) / fine_bins).alias("step"),
+        (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
+    )
+    bin_idx = F.least(F.floor(F.try_divide(x - lo, F.col("step"))), F.lit(fine_bins - 1))
+    binned = (
+        long.join(F.broadcast(stats.select("stage", "lo", "step")), "stage")  # one row per stage
+        .groupBy("stage", F.coalesce(bin_idx, F.lit(0)).cast("int").alias("b"))
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    packed = binned.groupBy("stage").agg(F.collect_list(F.struct("b", "c")).alias("cells"))
+    one = packed.join(F.broadcast(stats), "stage")
+    step, h = F.col("step"), F.col("h")
+    g = lo + (hi - lo) * F.col("i") / F.lit(grid_points - 1)
+    kernel_sum = F.aggregate(
+        "cells",
+        F.lit(0.0),
+        lambda acc, cell: acc + cell["c"] * F.exp(-F.pow((g - (lo + step * (cell["b"] + 0.5))) / h, 2) / 2),
+    )
+    return one.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i")).select(
+        "stage",
+        F.col("i").alias("point"),
+        g.alias("x"),
+        (kernel_sum / (F.col("n") * h * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
+    )
 
 
 def order_funnel(orders: DataFrame) -> DataFrame:

@@ -36,6 +36,12 @@ def worst_categories(master: DataFrame, k: int = 10) -> DataFrame:
     return late_by_category(master).orderBy(F.desc("late_count"), F.asc("category")).limit(k)
 
 
+def preview(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
+    """First ``n`` rows of ``columns`` under an explicit total order on
+    those columns (a top-n, not an arbitrary head)."""
+    return df.select(*columns).orderBy(*columns).limit(n)
+
+
 def review_by_late(master: DataFrame) -> DataFrame:
     """Review score by lateness."""
     return master.groupBy("is_late").agg(

@@ -61,15 +61,22 @@ def routing_candidates(features: DataFrame, quantile: float = 0.75) -> DataFrame
     """Long-distance and heavy shipments (both above their ``quantile``).
 
     The two cut points are exact interpolated quantiles over the whole
-    feature table (value histograms, then scalar subqueries), flagged with a
-    plain ``when`` so the rows stream through one projection.
+    feature table, from one stacked (measure, value) histogram, returned as
+    one struct scalar subquery; rows are flagged with a plain ``when`` in a
+    single projection.
     """
-    key = F.lit(1).alias("k")
-    dist_q = exact_percentiles(features.select(key, "distance_km").filter(F.col("distance_km").isNotNull()),
-                               "k", "distance_km", [quantile], ["q"])
-    weight_q = exact_percentiles(features.select(key, "product_weight_g").filter(F.col("product_weight_g").isNotNull()),
-                                 "k", "product_weight_g", [quantile], ["q"])
-    d_cut, w_cut = dist_q.select("q").scalar(), weight_q.select("q").scalar()
+    stacked = features.select(
+        F.expr("stack(2, 'distance_km', distance_km, 'product_weight_g', product_weight_g) as (measure, value)")
+    ).filter(F.col("value").isNotNull())
+    q = exact_percentiles(stacked, "measure", "value", [quantile], ["q"])
+    # one struct-valued scalar subquery carries both cut points
+    cuts = q.agg(
+        F.struct(
+            F.max(F.when(F.col("measure") == "distance_km", F.col("q"))).alias("d"),
+            F.max(F.when(F.col("measure") == "product_weight_g", F.col("q"))).alias("w"),
+        )
+    ).scalar()
+    d_cut, w_cut = cuts.getField("d"), cuts.getField("w")
     long_heavy = (F.col("distance_km") > d_cut) & (F.col("product_weight_g") > w_cut)
     return features.select(
         "order_id",

@@ -8,6 +8,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..operators.geo import geo_centroid
 from ..operators.joins import dimension_join
 from ..operators.metrics import roc_auc
@@ -22,6 +23,7 @@ from ..operators.model import (
     train_gbt,
     training_stats,
 )
+from ..schemas import FEATURES
 from ..sources.raw import path_exists
 from ..sources.tables import Tables
 from ..session import scratch_path
@@ -29,7 +31,8 @@ from . import common as c
 
 
 def artifact_root(spark: SparkSession, sf_dir: str, params: dict | None = None) -> str:
-    key = hashlib.sha1(f"{sf_dir}|{sorted((params or DEFAULT_PARAMS).items())}".encode()).hexdigest()[:12]
+    sig = f"{__version__}|{FEATURES}|{sf_dir}|{sorted((params or DEFAULT_PARAMS).items())}"
+    key = hashlib.sha1(sig.encode()).hexdigest()[:12]
     return scratch_path(spark, "artifacts", key)
 
 

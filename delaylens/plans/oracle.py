@@ -205,6 +205,9 @@ SELECT order_id, seller_id, round(distance_km, 6) AS distance_km, round(seller_l
   round(product_weight_g, 6) AS product_weight_g, round(freight_value, 6) AS freight_value,
   round(price, 6) AS price, is_late
 FROM feat"""),
+    "features_preview": q("""
+SELECT order_id, round(distance_km, 6) AS distance_km, round(seller_late_rate, 6) AS seller_late_rate, is_late
+FROM feat ORDER BY order_id, distance_km, seller_late_rate, is_late LIMIT 5"""),
     "features_strict": q("""
 , gi AS (
   SELECT m.*, sc.lat AS s_lat, sc.lng AS s_lng, cc.lat AS c_lat, cc.lng AS c_lng

@@ -117,6 +117,10 @@ def _features(spark, sf):
     return c.features(spark, sf).features.select(*FEATURE_COLUMNS)
 
 
+def _features_preview(spark, sf):
+    return reports.preview(c.features(spark, sf).features, ["order_id", "distance_km", "seller_late_rate", "is_late"])
+
+
 def _features_strict(spark, sf):
     t = c.tables(spark, sf)
     return features_strict(m.build_master_inner(t), t.geolocation).select(*FEATURE_COLUMNS, "seller_order_count")
@@ -281,6 +285,7 @@ QUERIES: dict[str, Query] = {
     "seller_enriched": _seller_enriched,
     "seller_rate_filled": _seller_rate_filled,
     "features": _features,
+    "features_preview": _features_preview,
     "stage_durations": _stage_durations,
     "stage_averages": _stage_averages,
     "route_stats": _route_stats,

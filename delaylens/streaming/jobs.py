@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import ntz_as_utc_instant, utc_instant_as_ntz
 from ..operators.model import Artifacts, score_orders
 
 OUTCOME_SCHEMA = T.StructType(
@@ -74,16 +75,16 @@ def score_stream(
 
 def late_rate_windows(outcomes: DataFrame, watermark: str = "2 days", window: str = "1 day") -> DataFrame:
     """S2 transform (batch or stream): deliveries and late rate per window and state."""
-    # watermarks need TIMESTAMP; the session zone is UTC, so the wall clock is kept
-    timed = outcomes.withColumn("event_time", F.col("delivered_at").cast("timestamp"))
+    # watermarks need TIMESTAMP: read the wall clock as UTC (session-zone independent)
+    timed = outcomes.withColumn("event_time", ntz_as_utc_instant("delivered_at"))
     if timed.isStreaming:
         timed = timed.withWatermark("event_time", watermark)
     agg = timed.groupBy(F.window("event_time", window).alias("w"), "seller_state").agg(
         F.count(F.lit(1)).alias("deliveries"), F.sum("is_late").cast("long").alias("late")
     )
     return agg.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        utc_instant_as_ntz("w.start").alias("window_start"),
+        utc_instant_as_ntz("w.end").alias("window_end"),
         "seller_state",
         "deliveries",
         "late",

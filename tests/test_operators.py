@@ -227,3 +227,23 @@ def test_late_pareto_levels(spark):
     rows = sellers.late_pareto(df).orderBy(F.desc("late_per_seller")).collect()
     assert [(r.late_per_seller, r.sellers, r.cum_late) for r in rows] == [(2, 1, 2), (1, 2, 4), (0, 1, 4)]
     assert rows[0].late_share == pytest.approx(0.5) and rows[-1].seller_share == pytest.approx(1.0)
+
+
+def test_schema_adaptive_chain_keeps_supplied_columns(spark):
+    """Coordinates supplied -> no geo lookup; supplied rate kept."""
+    df = spark.createDataFrame(
+        [("s1", 0.0, 0.0, 0.0, 1.0, 0.9, 10.0, 1), ("s2", 0.0, 0.0, 0.0, 2.0, None, None, 0)],
+        "seller_id string, s_lat double, s_lng double, c_lat double, c_lng double, "
+        "seller_late_rate double, product_weight_g double, is_late int",
+    )
+    prep = preprocess(df)  # no geolocation given: the supplied coordinates are used
+    rows = {r.seller_id: r for r in prep.features.collect()}
+    assert rows["s1"].seller_late_rate == 0.9  # supplied value kept
+    assert rows["s2"].seller_late_rate == pytest.approx(0.5)  # mean of per-seller rates (s1: 1.0, s2: 0.0)
+    assert rows["s2"].product_weight_g == pytest.approx(10.0)  # row mean
+    assert rows["s2"].distance_km == pytest.approx(2 * 111.19, rel=1e-3)
+
+
+def test_preview_is_ordered(spark):
+    df = spark.createDataFrame([(3, "c"), (1, "z"), (2, "b"), (1, "a")], "k int, v string")
+    assert [tuple(r) for r in reports.preview(df, ["k", "v"], 3).collect()] == [(1, "a"), (1, "z"), (2, "b")]
