@@ -4,6 +4,7 @@ from .columns import (
     days_between,
     haversine_km,
     late_flag,
+    micros_between,
     ntz_as_utc_instant,
     null_if_nan,
     risk_flag,
@@ -16,6 +17,7 @@ __all__ = [
     "days_between",
     "haversine_km",
     "late_flag",
+    "micros_between",
     "ntz_as_utc_instant",
     "null_if_nan",
     "risk_flag",

@@ -35,9 +35,26 @@ def haversine_km(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon
     return F.lit(EARTH_RADIUS_KM) * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def micros_between(start: Column | str, end: Column | str) -> Column:
+    """(end - start) in whole microseconds, as bigint.
+
+    Computed from the day-time interval ``end - start`` so wall-clock
+    (timestamp_ntz) spans never pass through the session time zone;
+    ``timestamp_diff`` does, and shifts spans that touch a daylight-saving gap.
+    """
+    iv = _c(end) - _c(start)
+    part = lambda unit: F.extract(F.lit(unit), iv)
+    return (
+        part("DAY").cast("long") * F.lit(86_400_000_000)
+        + part("HOUR").cast("long") * F.lit(3_600_000_000)
+        + part("MINUTE").cast("long") * F.lit(60_000_000)
+        + (part("SECOND") * F.lit(1_000_000)).cast("long")
+    )
+
+
 def days_between(start: Column | str, end: Column | str) -> Column:
     """(end - start) in fractional days, exact to the microsecond."""
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / F.lit(MICROS_PER_DAY)
+    return micros_between(start, end) / F.lit(MICROS_PER_DAY)
 
 
 def late_flag(delivered: Column | str, estimated: Column | str) -> Column:
@@ -65,7 +82,7 @@ _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 def ntz_as_utc_instant(x: Column | str) -> Column:
     """timestamp_ntz wall clock -> TIMESTAMP instant, read as UTC whatever
     the session time zone (watermarks and windows need TIMESTAMP)."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(x)))
+    return F.timestamp_micros(micros_between(F.expr(_EPOCH_NTZ), _c(x)))
 
 
 def utc_instant_as_ntz(x: Column | str) -> Column:

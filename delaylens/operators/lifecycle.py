@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import days_between, late_flag
+from ..functions import days_between, late_flag, micros_between
 from ..functions.columns import MICROS_PER_DAY
 from ..sources.tables import Tables
 from .joins import dimension_join
@@ -33,7 +33,7 @@ def with_stage_durations(orders: DataFrame, keep_micros: bool = False) -> DataFr
     }
     cols = [days_between(a, b).alias(name) for name, (a, b) in spans.items()]
     if keep_micros:
-        cols += [F.timestamp_diff("MICROSECOND", F.col(a), F.col(b)).alias(f"{name}_us") for name, (a, b) in spans.items()]
+        cols += [micros_between(a, b).alias(f"{name}_us") for name, (a, b) in spans.items()]
     return orders.select("*", *cols)
 
 

@@ -196,7 +196,8 @@ def _roc_auc(spark, sf):
 def _ts_parse(spark, sf):
     o = c.tables(spark, sf).orders
     cols = ["order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date"]
-    text = o.select("order_id", *[F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x) for x in cols])
+    # timestamp_ntz -> ISO text without the session zone (date_format would use it)
+    text = o.select("order_id", *[F.col(x).cast("string").alias(x) for x in cols])
     return parse_timestamps(text, cols, "yyyy-MM-dd HH:mm:ss")
 
 

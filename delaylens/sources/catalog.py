@@ -15,7 +15,9 @@ MASTER_VIEW = "master_analytics_table"
 def write_master(master: DataFrame, path: str) -> None:
     """A4: replace the master table, partitioned by purchase month so reads
     filtered on purchase time prune whole directories."""
-    out = master.withColumn("purchase_month", F.date_format("order_purchase_timestamp", "yyyy-MM"))
+    ts = F.col("order_purchase_timestamp")
+    # year/month of the wall clock; date_format would pass through the session zone
+    out = master.withColumn("purchase_month", F.format_string("%04d-%02d", F.year(ts), F.month(ts)))
     write_table(out, path, partition_by=["purchase_month"])
 
 

@@ -62,10 +62,20 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def parse_timestamps(df: DataFrame, columns: list[str], fmt: str | None = None) -> DataFrame:
-    """Text -> timestamp_ntz; unparseable text becomes NULL (try_ form)."""
+    """Text -> timestamp_ntz wall clock; unparseable text becomes NULL.
+
+    Never goes through the session time zone (a local time inside a
+    daylight-saving gap keeps its wall clock): ISO text uses ``try_cast``; a
+    custom pattern is parsed by ``to_timestamp_ntz`` only where the pattern
+    matches (the lazy CASE keeps ANSI parse errors away from bad text).
+    """
     out = df
     for c in columns:
         text = F.col(c).cast("string")
-        parsed = F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)
-        out = out.withColumn(c, parsed.cast("timestamp_ntz"))
+        if fmt:
+            valid = F.try_to_timestamp(text, F.lit(fmt)).isNotNull()
+            parsed = F.when(valid, F.to_timestamp_ntz(text, F.lit(fmt)))
+        else:
+            parsed = text.try_cast("timestamp_ntz")
+        out = out.withColumn(c, parsed)
     return out

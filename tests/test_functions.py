@@ -60,3 +60,17 @@ def test_no_python_udf_in_expressions(spark):
     plan = plan_text(df.select(haversine_km("a", "b", "c", "d")))
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "[codegen id" in plan
+
+
+def test_spans_ignore_session_time_zone(spark):
+    """A wall-clock time inside a daylight-saving gap must not shift spans."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        df = spark.createDataFrame(
+            [(datetime(1995, 10, 15, 0, 0, 0), datetime(1995, 11, 14, 12, 0, 0))], "a timestamp_ntz, b timestamp_ntz"
+        )
+        (v,) = df.select(days_between("a", "b")).first()
+        assert v == pytest.approx(30.5, rel=1e-15)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
