@@ -205,6 +205,21 @@ SELECT order_id, seller_id, round(distance_km, 6) AS distance_km, round(seller_l
   round(product_weight_g, 6) AS product_weight_g, round(freight_value, 6) AS freight_value,
   round(price, 6) AS price, is_late
 FROM feat"""),
+    "features_asof": q("""
+, pts AS (SELECT DISTINCT seller_id, order_purchase_timestamp AS t FROM dist_master),
+hist AS (
+  SELECT pts.seller_id, pts.t, COUNT(r.is_late) AS n, COALESCE(SUM(r.is_late), 0) AS l
+  FROM pts LEFT JOIN dist_master r
+    ON r.seller_id = pts.seller_id AND r.order_delivered_customer_date < pts.t
+  GROUP BY 1, 2),
+fa AS (
+  SELECT d.*, CASE WHEN h.n > 0 THEN h.l * 1.0e0 / h.n END AS asof_rate
+  FROM dist_master d JOIN hist h ON d.seller_id = h.seller_id AND d.order_purchase_timestamp = h.t)
+SELECT order_id, seller_id, round(distance_km, 6) AS distance_km,
+  round(COALESCE(asof_rate, (SELECT AVG(seller_late_rate) FROM profile)), 6) AS seller_late_rate,
+  round(COALESCE(product_weight_g, (SELECT AVG(product_weight_g) FROM dist_master)), 6) AS product_weight_g,
+  round(freight_value, 6) AS freight_value, round(price, 6) AS price, is_late
+FROM fa WHERE distance_km IS NOT NULL"""),
     "features_preview": q("""
 SELECT order_id, round(distance_km, 6) AS distance_km, round(seller_late_rate, 6) AS seller_late_rate, is_late
 FROM feat ORDER BY order_id, distance_km, seller_late_rate, is_late LIMIT 5"""),

@@ -117,6 +117,10 @@ def _features(spark, sf):
     return c.features(spark, sf).features.select(*FEATURE_COLUMNS)
 
 
+def _features_asof(spark, sf):
+    return c.features(spark, sf, rate_mode="asof").features.select(*FEATURE_COLUMNS)
+
+
 def _features_preview(spark, sf):
     return reports.preview(c.features(spark, sf).features, ["order_id", "distance_km", "seller_late_rate", "is_late"])
 
@@ -211,7 +215,8 @@ def _unscorable_rows(spark, sf):
 
 
 def _stratified_split(spark, sf):
-    return stratified_split_counts(c.features(spark, sf).features, "is_late", 0.2, 42)
+    # the split of the feature table as the `features` query exposes it
+    return stratified_split_counts(c.features(spark, sf).features.select(*FEATURE_COLUMNS), "is_late", 0.2, 42)
 
 
 def _seller_rate_asof(spark, sf):
@@ -287,6 +292,7 @@ QUERIES: dict[str, Query] = {
     "seller_rate_filled": _seller_rate_filled,
     "features": _features,
     "features_preview": _features_preview,
+    "features_asof": _features_asof,
     "stage_durations": _stage_durations,
     "stage_averages": _stage_averages,
     "route_stats": _route_stats,
