@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import session_key
+
 DEFAULT_MAX_BROADCAST_BYTES = 32 * 1024 * 1024
-_count_cache: dict[tuple[int, int], int] = {}
+_count_cache: dict[tuple[str, int], int] = {}
 
 
 def _width(dtype: T.DataType) -> int:
@@ -44,7 +46,7 @@ def max_broadcast_bytes(df: DataFrame) -> int:
 
 def row_count(df: DataFrame) -> int:
     """Row count of a (small) side, memoised per session and plan."""
-    key = (id(df.sparkSession), df.semanticHash())
+    key = (session_key(df.sparkSession), df.semanticHash())
     if key not in _count_cache:
         _count_cache[key] = df.count()
     return _count_cache[key]

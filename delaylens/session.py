@@ -72,11 +72,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a folder every executor can reach; "
+                "a machine-local folder does not survive executor loss"
+            )
         root = tempfile.mkdtemp(prefix="delaylens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identity of a running session for plan-level caches (a stopped and
+    recreated session gets a new application id)."""
+    return f"{spark.sparkContext.applicationId}:{id(spark)}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make ``DataFrame.checkpoint()`` and ML checkpointing usable."""
     root = checkpoint_root(spark)

@@ -14,18 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import session_key
 from .tables import Tables
 
 
-_relations: dict[tuple[int, str], DataFrame] = {}
-_tables: dict[tuple[int, str], Tables] = {}
+_relations: dict[tuple[str, str], DataFrame] = {}
+_tables: dict[tuple[str, str], Tables] = {}
 
 
 def _scan(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     """Resolve each file once per session (like a catalog lookup), then
     project; the projection is what reaches the scan as ReadSchema."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    key = (session_key(spark), path)
     if key not in _relations:
         _relations[key] = spark.read.parquet(path)
     return _relations[key].select(*columns)
@@ -126,7 +127,7 @@ def fixture_order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All seven logical tables over one scale-factor directory (lazy plans,
     built once per session and directory)."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (session_key(spark), sf_dir.rstrip("/"))
     if key not in _tables:
         _tables[key] = _build_tables(spark, sf_dir)
     return _tables[key]
