@@ -43,12 +43,17 @@ def preprocess(
     centroid: DataFrame | None = None,
     rate_mode: str = "global",
     mean_weight=None,
+    materialize: bool = True,
 ) -> Prepared:
     """Full feature chain. Returns the features and the seller profile used.
 
     ``rate_mode="global"`` is the upstream behaviour (rate over all rows,
     test rows included); ``"asof"`` uses only outcomes known before each
     purchase (L1). A supplied ``profile`` (scoring) is used as-is.
+
+    With ``materialize`` (default) the geo-enriched rows are written once to
+    the shared folder before the profile, the fills and the final rows read
+    them; otherwise each of those branches recomputes the input joins.
     """
     cols = set(df.columns)
     if centroid is None and geolocation is not None:
@@ -65,6 +70,10 @@ def preprocess(
         raise ValueError(
             "distance_km cannot be computed: supply geolocation (with zip columns) or s_lat/s_lng/c_lat/c_lng"
         )
+    if materialize:
+        from ..sources.catalog import materialize as write_once
+
+        df = write_once(df, "feature-base")
 
     row_mean_weight = None
     if profile is None:

@@ -207,10 +207,12 @@ def _ts_parse(spark, sf):
 
 def _unscorable_rows(spark, sf):
     from ..operators.model import split_scorable
+    from ..sources.catalog import materialize
 
     t = c.tables(spark, sf)
-    profile = sellers.seller_profile(m.build_master(t))
-    _, rejected = split_scorable(m.build_master(t), geo.geo_centroid(t.geolocation), profile)
+    base = materialize(m.build_master(t), "master")  # read by the profile and by the split
+    profile = sellers.seller_profile(base)
+    _, rejected = split_scorable(base, geo.geo_centroid(t.geolocation), profile)
     return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
 from ..operators.master import build_master
+from ..session import scratch_path
 from .raw import path_exists, write_table
 from .tables import Tables
 
 MASTER_VIEW = "master_analytics_table"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder
+    and read it back: lineage is cut, a lost executor re-reads files instead
+    of replaying joins, and every later consumer reads only its columns.
+
+    Used where several branches of one plan consume the same expensive
+    input with different column sets (Catalyst then cannot share their
+    exchanges). Each call writes a fresh folder.
+    """
+    path = scratch_path(df.sparkSession, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_master(master: DataFrame, path: str) -> None:
     """A4: replace the master table, partitioned by purchase month so reads
     filtered on purchase time prune whole directories."""
