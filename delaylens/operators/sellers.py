@@ -60,8 +60,9 @@ def seller_rate_asof(
     ``seller_late_rate_asof`` (NULL without history).
 
     Skew-safe two-level prefix sum, no group ever holds raw rows of a seller:
-      1. outcomes -> counts per (seller, outcome instant); as-of points ->
-         distinct (seller, instant). Both are partial aggregates.
+      1. one pass stacks every row into an as-of point and an outcome and
+         aggregates per (seller, instant, kind): outcome counts, distinct
+         points (a partial aggregate).
       2. per (seller, day) totals; a running sum over a seller's days gives
          the carry-in of each day (one row per active day of a seller).
       3. inside each (seller, day): carry row, as-of points and outcomes in
@@ -71,24 +72,23 @@ def seller_rate_asof(
       4. join the per-point history back to the rows on (seller, instant).
     """
     s, t = F.col(seller_col), F.col("__t")
-    outcomes = (
-        rows.filter(F.col(outcome_time_col).isNotNull())
-        .groupBy(s.alias("__s"), F.col(outcome_time_col).alias("__t"))
-        .agg(F.count(F.col(label_col)).alias("__n"), F.sum(label_col).cast("long").alias("__l"))
+    kind = F.col("__kind")
+    # one pass over the rows: each row is an as-of point (kind 1) at its
+    # as-of time and an outcome (kind 2) at its outcome time
+    events = rows.select(
+        s.alias("__s"),
+        F.expr(f"stack(2, `{asof_col}`, 1, `{outcome_time_col}`, 2) as (__t, __kind)"),
+        F.col(label_col).alias("__y"),
+    ).filter(F.col("__t").isNotNull())
+    timed = (
+        events.groupBy("__s", "__t", "__kind")
+        .agg(
+            F.count(F.when(kind == 2, F.col("__y"))).alias("__n"),
+            F.coalesce(F.sum(F.when(kind == 2, F.col("__y"))), F.lit(0)).cast("long").alias("__l"),
+        )
         .withColumn("__day", F.to_date("__t"))
     )
-    points = (
-        rows.filter(F.col(asof_col).isNotNull())
-        .select(s.alias("__s"), F.col(asof_col).alias("__t"))
-        .distinct()
-        .withColumn("__day", F.to_date("__t"))
-    )
-    day_totals = (
-        outcomes.select("__s", "__day", "__n", "__l")
-        .unionByName(points.select("__s", "__day", F.lit(0).cast("long").alias("__n"), F.lit(0).cast("long").alias("__l")))
-        .groupBy("__s", "__day")
-        .agg(F.sum("__n").alias("__n"), F.sum("__l").alias("__l"))
-    )
+    day_totals = timed.groupBy("__s", "__day").agg(F.sum("__n").alias("__n"), F.sum("__l").alias("__l"))
     before = Window.partitionBy("__s").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     carry = day_totals.select(
         "__s",
@@ -98,12 +98,7 @@ def seller_rate_asof(
         F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__n"),
         F.coalesce(F.sum("__l").over(before), F.lit(0)).cast("long").alias("__l"),
     )
-    timeline = carry.unionByName(
-        points.select("__s", "__day", "__t", F.lit(1).alias("__kind"),
-                      F.lit(0).cast("long").alias("__n"), F.lit(0).cast("long").alias("__l"))
-    ).unionByName(
-        outcomes.select("__s", "__day", "__t", F.lit(2).alias("__kind"), "__n", "__l")
-    )
+    timeline = carry.unionByName(timed.select("__s", "__day", "__t", "__kind", "__n", "__l"))
     upto = (
         Window.partitionBy("__s", "__day")
         .orderBy(F.col("__t").asc_nulls_first(), F.col("__kind"))
