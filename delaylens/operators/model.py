@@ -173,13 +173,17 @@ def split_scorable(df: DataFrame, centroid: DataFrame, profile: DataFrame, mean_
     return scorable, rejected
 
 
-def score_orders(df: DataFrame, artifacts: Artifacts, threshold: float = 0.5, use_stored_fills: bool = True):
+def score_orders(df: DataFrame, artifacts: Artifacts, threshold: float = 0.5, use_stored_fills: bool = True,
+                 fills: tuple | None = None):
     """M9 + M10: stored profile and centroid, model probability, strict flag.
 
     With ``use_stored_fills`` the weight and unknown-seller fills come from
     the training statistics (required for streams); otherwise the weight
     falls back to the batch mean as upstream. Returns (scored, rejected)."""
-    weight, rate = artifacts.fill_values() if use_stored_fills else (None, None)
+    if fills is not None:
+        weight, rate = fills
+    else:
+        weight, rate = artifacts.fill_values() if use_stored_fills else (None, None)
     scorable, rejected = split_scorable(df, artifacts.geo_centroid, artifacts.seller_profile, weight, rate)
     scored = with_risk(predict(artifacts.model, scorable), "delay_risk_probability", threshold)
     return scored, rejected

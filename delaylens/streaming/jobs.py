@@ -55,10 +55,11 @@ def score_stream(
 ) -> StreamingQuery:
     """Score arriving orders; rejected rows go to ``sink``/rejected."""
     records = read_stream(spark, source, schema, max_files)
+    fills = artifacts.fill_values()  # two stored scalars, read once per stream
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()  # two sinks read the same micro-batch
-        scored, rejected = score_orders(batch, artifacts)
+        scored, rejected = score_orders(batch, artifacts, fills=fills)
         # overwrite of a per-epoch folder: a retried epoch replaces its own output
         scored.select("order_id", "seller_id", "delay_risk_probability", "is_high_risk", "risk_label").write.mode(
             "overwrite"
