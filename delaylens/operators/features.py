@@ -104,13 +104,19 @@ def preprocess(
     return Prepared(df.na.drop(subset=["distance_km"]), profile)
 
 
-def features_strict(df: DataFrame, geolocation: DataFrame) -> DataFrame:
+def features_strict(df: DataFrame, geolocation: DataFrame, materialize: bool = True) -> DataFrame:
     """Prototype variant: profile from the rows, no fill of the rate,
-    weight filled by the row mean, rows without distance or rate dropped."""
+    weight filled by the row mean, rows without distance or rate dropped.
+    The geo-enriched rows feed three branches, so they are written once
+    (see ``preprocess``)."""
     centroid = geo_centroid(geolocation)
     df = add_coordinates(df, centroid, "seller_zip_code_prefix", "s_lat", "s_lng")
     df = add_coordinates(df, centroid, "customer_zip_code_prefix", "c_lat", "c_lng")
     df = with_distance(df)
+    if materialize:
+        from ..sources.catalog import materialize as write_once
+
+        df = write_once(df, "feature-base-strict")
     df = enrich_seller_rate(df, seller_profile(df), with_count=True)
     df = fill_weight_from_rows(df)
     return df.na.drop(subset=["distance_km", "seller_late_rate"])
