@@ -65,3 +65,17 @@ def test_fixture_anchors_sf001(spark):
     asof = QUERIES["seller_rate_asof"](spark, SF_MED)
     assert asof.count() == 19453
     assert asof.filter("seller_hist_items = 0").count() == 268
+
+
+@pytest.mark.parametrize("name", ["stage_durations", "ts_parse", "route_stats", "seller_rate_asof", "daily_orders"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    """Wall-clock (timestamp_ntz) logic must not pass through the session
+    zone; a zone with daylight-saving gaps on fixture dates would shift it."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        got = QUERIES[name](spark, SF_SMALL).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    want = con.execute(ORACLE[name]).fetchdf()
+    assert len(got) == len(want) and frame_hash(got) == frame_hash(want)
