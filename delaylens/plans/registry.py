@@ -89,7 +89,8 @@ def _order_distance(spark, sf):
 
 
 def _seller_profile(spark, sf):
-    return c.features(spark, sf).seller_profile
+    # D2 over the master rows (the geo lookups of the feature chain keep every row)
+    return sellers.seller_profile(c.master(spark, sf))
 
 
 def _seller_enriched(spark, sf):
@@ -245,7 +246,7 @@ def _late_pareto(spark, sf):
 
 
 def _worst_sellers(spark, sf):
-    return sellers.worst_sellers(c.features(spark, sf).seller_profile, 0.1)
+    return sellers.worst_sellers(sellers.seller_profile(c.master(spark, sf)), 0.1)
 
 
 def _routing_candidates(spark, sf):
