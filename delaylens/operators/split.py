@@ -1,8 +1,9 @@
 """M2: exact stratified train/test split, shuffle-light and skew-safe.
 
 Per label, exactly round(fraction x n_label) rows go to test. Rows get a
-stable row id once (the input is checkpointed to the shared checkpoint
-folder, so ids survive executor loss and recomputation), then a seeded
+stable row id once (the input is written with its ids as a Parquet table in
+the shared checkpoint folder, so ids survive executor loss and
+recomputation), then a seeded
 xxhash64 of (row id, content) spreads even identical copies over 65,536
 buckets. Counting per (label, bucket) is a partial aggregate; a running sum
 over at most 65,536 buckets per label finds each label's cut bucket; only the
@@ -29,8 +30,12 @@ class Split:
 
 
 def _with_row_id(df: DataFrame) -> DataFrame:
+    """Freeze a row id by writing the rows once to the shared folder; later
+    reads (and recomputation after executor loss) see the same ids."""
+    from ..sources.catalog import materialize
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.withColumn("__rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    return materialize(df.withColumn("__rid", F.monotonically_increasing_id()), "split-rows")
 
 
 def assign_split(df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
