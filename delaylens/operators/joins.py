@@ -1,7 +1,8 @@
 """Join helpers: broadcast a side only after its size is checked.
 
-A dimension is broadcast when a cheap row count times an upper bound on the
-row width stays under ``delaylens.broadcast.maxBytes`` (default 32 MiB).
+A dimension is broadcast when its row count times an upper bound on the row
+width stays under ``delaylens.broadcast.maxBytes`` (default 32 MiB). The
+count is bounded (it stops past the limit), so probing a large table is cheap.
 Otherwise the join falls back to a shuffle join, where AQE may still demote
 it to a broadcast at runtime or split skewed partitions. Counts are memoised
 per session on the plan's semantic hash, so repeated queries over the same
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from ..session import session_key
 
 DEFAULT_MAX_BROADCAST_BYTES = 32 * 1024 * 1024
-_count_cache: dict[tuple[str, int], int] = {}
+_count_cache: dict[tuple[str, int, int], int] = {}
 
 
 def _width(dtype: T.DataType) -> int:
@@ -44,20 +45,25 @@ def max_broadcast_bytes(df: DataFrame) -> int:
     return int(conf) if conf else DEFAULT_MAX_BROADCAST_BYTES
 
 
-def row_count(df: DataFrame) -> int:
-    """Row count of a (small) side, memoised per session and plan."""
-    key = (session_key(df.sparkSession), df.semanticHash())
+def bounded_count(df: DataFrame, bound: int) -> int:
+    """min(rows, bound + 1), memoised per session and plan.
+
+    ``limit(bound + 1).count()`` lets every task stop reading once it has
+    seen more than ``bound`` rows, so asking whether a huge table is small
+    costs a bounded read per task instead of a full scan.
+    """
+    key = (session_key(df.sparkSession), df.semanticHash(), bound)
     if key not in _count_cache:
-        _count_cache[key] = df.count()
+        _count_cache[key] = df.limit(bound + 1).count()
     return _count_cache[key]
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
     limit = max_bytes if max_bytes is not None else max_broadcast_bytes(df)
-    # cheap early exit: never count something whose width alone is absurd
     if limit <= 0:
         return False
-    return row_count(df) * row_width(df) <= limit
+    max_rows = limit // row_width(df)
+    return bounded_count(df, max_rows) <= max_rows
 
 
 def sized_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:

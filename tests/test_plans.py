@@ -56,3 +56,16 @@ def test_filters_and_pruning_reach_the_scan(spark):
     assert "ReadSchema: struct<c_custkey:bigint,c_nationkey:int>" in plan
     pushed = re.search(r"PushedFilters: \[(.*)\]", plan).group(1)
     assert "Not(EqualTo(c_nationkey,24))" in pushed and "IsNotNull(c_nationkey)" in pushed
+
+
+def test_size_gate_broadcasts_only_below_the_bound(spark):
+    from delaylens.operators.joins import bounded_count, fits_broadcast, row_width, sized_broadcast
+
+    dim = spark.range(0, 1000).selectExpr("id AS k", "id * 2 AS v")
+    width = row_width(dim)
+    assert fits_broadcast(dim, max_bytes=1000 * width)
+    assert not fits_broadcast(dim, max_bytes=999 * width)
+    assert bounded_count(dim, 10) == 11  # stops past the bound
+    fact = spark.range(0, 50).selectExpr("id % 7 AS k")
+    small = plan_text(fact.join(sized_broadcast(dim, 1000 * width), "k"))
+    assert "BroadcastHashJoin" in small
