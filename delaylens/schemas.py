@@ -1,8 +1,8 @@
 """Explicit schemas of the logical tables (no inference anywhere).
 
 Raw CSV schemas list every column of the public e-commerce order export in
-file order, because CSV columns are positional; the operators only read the
-subset named in ``LOGICAL_COLUMNS``.
+file order, because CSV columns are positional; each operator selects only
+the columns it reads, so scans prune the rest.
 """
 
 from __future__ import annotations
@@ -100,25 +100,6 @@ RAW_FILES = {
     "geolocation.csv": ("geolocation", GEOLOCATION),
 }
 
-# Columns each operator chain actually reads (for pruning at the scan).
-LOGICAL_COLUMNS = {
-    "orders": [f.name for f in ORDERS.fields],
-    "order_items": ["order_id", "product_id", "seller_id", "price", "freight_value"],
-    "products": ["product_id", "product_weight_g", "product_category_name"],
-    "sellers": ["seller_id", "seller_zip_code_prefix", "seller_state"],
-    "customers": ["customer_id", "customer_zip_code_prefix", "customer_state"],
-    "order_reviews": ["order_id", "review_score"],
-    "geolocation": ["geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng"],
-}
-
-TIMESTAMP_COLUMNS = [
-    "order_purchase_timestamp",
-    "order_approved_at",
-    "order_delivered_carrier_date",
-    "order_delivered_customer_date",
-    "order_estimated_delivery_date",
-]
-
 # Model inputs, in the order the classifier sees them.
 FEATURES = ["distance_km", "seller_late_rate", "product_weight_g", "freight_value", "price"]
 LABEL = "is_late"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import null_if_nan
 from ..schemas import RAW_FILES
 
 
@@ -15,15 +16,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A1: header CSV with an explicit schema (no inference pass).
 
     Timestamps parse as timestamp_ntz from ISO text; a UTF-8 byte-order mark
-    in the header is ignored because the header row is skipped.
+    in the header is ignored because the header row is skipped. A literal
+    NaN in a double column becomes NULL: downstream means, fills and
+    row drops treat both as missing, and Spark would otherwise keep NaN
+    apart (``avg`` turns NaN, ``NaN > x`` is true).
     """
-    return (
+    df = (
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)
     )
+    return df.select(
+        *[
+            null_if_nan(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            for f in schema.fields
+        ]
+    )
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
