@@ -69,3 +69,22 @@ def test_size_gate_broadcasts_only_below_the_bound(spark):
     fact = spark.range(0, 50).selectExpr("id % 7 AS k")
     small = plan_text(fact.join(sized_broadcast(dim, 1000 * width), "k"))
     assert "BroadcastHashJoin" in small
+
+
+def test_bucketed_order_tables_remove_order_id_shuffles(spark):
+    from delaylens.session import scratch_path
+    from delaylens.sources.catalog import bucket_order_tables
+
+    t = c.tables(spark, SF_SMALL)
+    bt = bucket_order_tables(t, scratch_path(spark, "bucketed-test"), 8, prefix="dltest")
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # facts are large; dims go through the size check
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = plan_text(build_master(bt), mode="simple")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert "hashpartitioning(order_id" not in plan
+    assert plan.count("SortMergeJoin") == 2  # items and reviews joins, no exchange below them
+    assert build_master(bt).count() == build_master(t).count()
