@@ -247,3 +247,24 @@ def test_schema_adaptive_chain_keeps_supplied_columns(spark):
 def test_preview_is_ordered(spark):
     df = spark.createDataFrame([(3, "c"), (1, "z"), (2, "b"), (1, "a")], "k int, v string")
     assert [tuple(r) for r in reports.preview(df, ["k", "v"], 3).collect()] == [(1, "a"), (1, "z"), (2, "b")]
+
+
+def test_review_mode_mean_removes_fanout(tiny):
+    df = m.build_master(tiny, review_mode="mean")
+    rows = df.collect()
+    assert len(rows) == 4  # o1: 2 items, o2: 1, o3: 1 - one row per item
+    o1 = [r for r in rows if r.order_id == "o1"]
+    assert all(r.review_score == pytest.approx(4.0) for r in o1)
+
+
+def test_fanout_invariant_on_fixture(spark):
+    """master rows = sum over delivered items of max(1, reviews of the order)."""
+    from delaylens.plans import common as c
+    from tests.conftest import SF_SMALL
+
+    t = c.tables(spark, SF_SMALL)
+    reviews = t.order_reviews.groupBy("order_id").agg(F.count(F.lit(1)).alias("r"))
+    items = m.delivered_orders(t.orders).select("order_id").join(t.order_items.select("order_id"), "order_id")
+    expected = items.join(reviews, "order_id", "left").agg(
+        F.sum(F.greatest(F.coalesce(F.col("r"), F.lit(0)), F.lit(1)))).first()[0]
+    assert m.build_master(t).count() == expected == 1973
