@@ -88,3 +88,38 @@ def test_bucketed_order_tables_remove_order_id_shuffles(spark):
     assert "hashpartitioning(order_id" not in plan
     assert plan.count("SortMergeJoin") == 2  # items and reviews joins, no exchange below them
     assert build_master(bt).count() == build_master(t).count()
+
+
+def test_hot_seller_partition_is_split_by_aqe(spark):
+    """One seller holds a third of the rows and the seller side is not
+    broadcast: AQE's skew join splits the hot partition (thresholds lowered
+    to this data size)."""
+    from pyspark.sql import functions as F
+
+    from delaylens.operators.joins import dimension_join
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "delaylens.broadcast.maxBytes": "0",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        ids = F.col("id")
+        fact = spark.range(0, 60000).select(
+            F.when(ids % 3 == 0, F.lit(7)).otherwise(ids % 1000).alias("seller_id"), (ids * 1.0).alias("price"))
+        dim = spark.range(0, 1000).select(F.col("id").alias("seller_id"), (F.col("id") % 27).alias("seller_state"))
+        out = dimension_join(fact, dim, "seller_id", "left")
+        assert len(out.collect()) == 60000  # no row lost or duplicated
+        final = plan_text(out, mode="simple")
+        assert "isFinalPlan=true" in final and "SortMergeJoin(skew=true)" in final
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
