@@ -268,3 +268,31 @@ def test_fanout_invariant_on_fixture(spark):
     expected = items.join(reviews, "order_id", "left").agg(
         F.sum(F.greatest(F.coalesce(F.col("r"), F.lit(0)), F.lit(1)))).first()[0]
     assert m.build_master(t).count() == expected == 1973
+
+
+def test_handover_gap_sketch_close_to_exact(spark):
+    from delaylens.plans import common as c
+    from tests.conftest import SF_SMALL
+
+    lm = c.lifecycle(spark, SF_SMALL)
+    exact = {r.seller_id: r for r in lifecycle.handover_gap(lm).collect()}
+    approx = {r.seller_id: r for r in lifecycle.handover_gap(lm, exact=False).collect()}
+    assert exact.keys() == approx.keys()
+    for k, e in exact.items():
+        a = approx[k]
+        assert a.orders == e.orders and a.mean_gap_days == pytest.approx(e.mean_gap_days)
+        # the sketch returns an observed value within its rank error of the exact one
+        assert abs(a.p50_gap_days - e.p50_gap_days) <= 1.0
+
+
+def test_preprocess_with_stored_profile_and_weight(spark):
+    profile = spark.createDataFrame([("s1", 0.25, 4)], "seller_id string, seller_late_rate double, seller_order_count long")
+    df = spark.createDataFrame(
+        [("s1", 0.0, 0.0, 0.0, 1.0, None, 0), ("s9", 0.0, 0.0, 1.0, 0.0, 5.0, 1)],
+        "seller_id string, s_lat double, s_lng double, c_lat double, c_lng double, product_weight_g double, is_late int",
+    )
+    prep = preprocess(df, profile=profile, mean_weight=123.0, materialize=False)
+    rows = {r.seller_id: r for r in prep.features.collect()}
+    assert rows["s1"].seller_late_rate == 0.25 and rows["s1"].product_weight_g == 123.0
+    assert rows["s9"].seller_late_rate == 0.25  # unknown seller: mean of the stored rates
+    assert prep.seller_profile is profile
