@@ -9,7 +9,6 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from delaylens.operators import lifecycle, metrics, sellers
 

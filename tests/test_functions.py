@@ -4,7 +4,6 @@ import math
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from delaylens.functions import days_between, haversine_km, late_flag, risk_flag, risk_label, safe_ratio
 

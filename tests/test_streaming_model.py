@@ -1,7 +1,5 @@
 """Streaming equals batch; model trains, scores in [0, 1], artifacts round-trip."""
 
-import pytest
-from pyspark.sql import functions as F
 
 from delaylens.operators.model import (
     evaluation_frame,
