@@ -228,27 +228,58 @@ def handover_gap(lm: DataFrame, percentiles=(0.5, 0.9), exact: bool = True, accu
     return summary.join(exact_percentiles(base, "seller_id", "gap", percentiles, names), "seller_id")
 
 
-def exact_percentiles(df: DataFrame, key: str, value: str, percentiles, names) -> DataFrame:
-    """Interpolated percentiles per key from a value histogram.
-
-    Position (n - 1) * p between sorted values, linear interpolation, as
-    ``percentile``. Work per key is proportional to its distinct values.
+def exact_percentiles(
+    df: DataFrame, key: str, value: str, percentiles, names, buckets: int = 4096
+) -> DataFrame:
+    """Interpolated percentiles per key: position (n - 1) * p between the
+    sorted values, linear interpolation (the ``percentile`` /
+    ``quantile_cont`` definition), computed exactly in two levels so no task
+    ever orders all values of a key:
+
+      1. value histogram per (key, value) - a partial aggregate, skew-safe;
+      2. per key, the values fall into ``buckets`` equal-width buckets of the
+         key's [min, max]; a running count over at most ``buckets`` rows per
+         key locates the buckets holding the needed ranks;
+      3. only the distinct values inside those buckets are ordered.
     """
     from pyspark.sql import Window
 
-    hist = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.select(
-        key, value, "c",
-        F.sum("c").over(w).alias("cum"),
-        F.sum("c").over(Window.partitionBy(key)).alias("n"),
+    v = F.col(value)
+    hist = df.filter(v.isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__c"))
+    stats = hist.groupBy(key).agg(
+        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__c").alias("__n")
     )
-    aggs = []
+    width = F.col("__hi") - F.col("__lo")
+    bucket = F.when(
+        width > 0, F.least(F.floor((v - F.col("__lo")) / width * buckets), F.lit(buckets - 1))
+    ).otherwise(F.lit(0)).cast("int")
+    # stats and targets are aggregates whose size is known only at runtime:
+    # plain joins, which AQE turns into broadcasts once it measures them small
+    hb = hist.join(stats, key).withColumn("__b", bucket)
+
+    ranks = []  # (name, k_lo, k_hi, frac) as columns over __n
     for p, name in zip(percentiles, names):
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        k_lo, k_hi = F.floor(pos), F.ceil(pos)
-        v_lo = F.min(F.when(F.col("cum") > k_lo, F.col(value)))
-        v_hi = F.min(F.when(F.col("cum") > k_hi, F.col(value)))
-        frac = F.max(pos - k_lo)
-        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(name))
-    return hist.groupBy(key).agg(*aggs)
+        pos = (F.col("__n") - 1) * F.lit(float(p))
+        ranks.append((name, F.floor(pos), F.ceil(pos), pos - F.floor(pos)))
+
+    per_b = hb.groupBy(key, "__b").agg(F.sum("__c").alias("__bc"), F.max("__n").alias("__n"))
+    upto = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_b = per_b.withColumn("__bcum", F.sum("__bc").over(upto)).withColumn(
+        "__before", F.col("__bcum") - F.col("__bc")
+    )
+    holds = None
+    for _, k_lo, k_hi, _ in ranks:
+        for k in (k_lo, k_hi):
+            c = (F.col("__before") <= k) & (k < F.col("__bcum"))
+            holds = c if holds is None else holds | c
+    targets = per_b.filter(holds).select(key, "__b", "__before")
+
+    inner = hb.join(targets, [key, "__b"])
+    within = Window.partitionBy(key, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = inner.withColumn("__cum", F.col("__before") + F.sum("__c").over(within))
+    aggs = []
+    for name, k_lo, k_hi, frac in ranks:
+        v_lo = F.min(F.when(F.col("__cum") > k_lo, v))
+        v_hi = F.min(F.when(F.col("__cum") > k_hi, v))
+        aggs.append((v_lo + (v_hi - v_lo) * F.max(frac)).alias(name))
+    return inner.groupBy(key).agg(*aggs)

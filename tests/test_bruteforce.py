@@ -90,3 +90,15 @@ def test_profile_under_hot_seller_equals_pandas(spark):
         ys = [r[4] for r in data if r[1] == s]
         assert got[s] == (pytest.approx(sum(ys) / len(ys)), len(ys))
     assert got["hot"][1] > len(data) / 3
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 7])
+def test_exact_percentiles_few_buckets(spark, buckets):
+    rnd = random.Random(buckets)
+    data = [("hot" if rnd.random() < 0.5 else f"k{rnd.randrange(3)}", rnd.uniform(-5, 5)) for _ in range(400)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r.k: (r.a, r.b) for r in
+           lifecycle.exact_percentiles(df, "k", "v", [0.37, 0.9], ["a", "b"], buckets=buckets).collect()}
+    for k in {k for k, _ in data}:
+        vals = np.array([v for kk, v in data if kk == k])
+        assert got[k] == pytest.approx(tuple(np.percentile(vals, q, method="linear") for q in (37, 90)), rel=1e-12)
