@@ -32,8 +32,8 @@ SINGLE_PARTITION_REASONS = {
     "order_funnel": "global aggregate",
     "roc_auc": "prefix sum over <= 2^20 score buckets; global aggregate",
     "late_pareto": "window over distinct per-seller late counts (<= sqrt(2 x late items)); scalar totals",
-    "worst_sellers": "histogram of distinct seller rates (<= sellers); scalar cut point",
-    "routing_candidates": "histograms of distinct distances / weights; scalar cut points",
+    "worst_sellers": "bucket prefix over <= 4,096 rate buckets; scalar cut point",
+    "routing_candidates": "bucket prefix over <= 4,096 buckets per measure; scalar cut points",
     "worst_categories": "top-10: each task keeps 10 rows",
     "features_preview": "top-5: each task keeps 5 rows",
     "stage_histogram": "none beyond per-stage bounds (one row per stage)",
