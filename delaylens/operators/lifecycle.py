@@ -229,12 +229,12 @@ def handover_gap(lm: DataFrame, percentiles=(0.5, 0.9), exact: bool = True, accu
 
 
 def exact_percentiles(
-    df: DataFrame, key: str, value: str, percentiles, names, buckets: int = 4096
+    df: DataFrame, key: str | None, value: str, percentiles, names, buckets: int = 4096
 ) -> DataFrame:
-    """Interpolated percentiles per key: position (n - 1) * p between the
-    sorted values, linear interpolation (the ``percentile`` /
-    ``quantile_cont`` definition), computed exactly in two levels so no task
-    ever orders all values of a key:
+    """Interpolated percentiles per key (``key=None``: over all rows, one
+    output row): position (n - 1) * p between the sorted values, linear
+    interpolation (the ``percentile`` / ``quantile_cont`` definition),
+    computed exactly in two levels so no task ever orders all values of a key:
 
       1. value histogram per (key, value) - a partial aggregate, skew-safe;
       2. per key, the values fall into ``buckets`` equal-width buckets of the
@@ -244,26 +244,36 @@ def exact_percentiles(
     """
     from pyspark.sql import Window
 
+    keys = [key] if key else []
     v = F.col(value)
-    hist = df.filter(v.isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__c"))
-    stats = hist.groupBy(key).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__c").alias("__n")
-    )
+    hist = df.filter(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    if keys:
+        stats = hist.groupBy(*keys).agg(
+            F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__c").alias("__n")
+        )
+        # an aggregate whose size is known only at runtime: a plain join,
+        # which AQE turns into a broadcast once it measures it small
+        hb = hist.join(stats, keys)
+    else:
+        hb = hist.select(
+            "*",
+            hist.agg(F.min(value)).scalar().alias("__lo"),
+            hist.agg(F.max(value)).scalar().alias("__hi"),
+            hist.agg(F.sum("__c")).scalar().alias("__n"),
+        )
     width = F.col("__hi") - F.col("__lo")
     bucket = F.when(
         width > 0, F.least(F.floor((v - F.col("__lo")) / width * buckets), F.lit(buckets - 1))
     ).otherwise(F.lit(0)).cast("int")
-    # stats and targets are aggregates whose size is known only at runtime:
-    # plain joins, which AQE turns into broadcasts once it measures them small
-    hb = hist.join(stats, key).withColumn("__b", bucket)
+    hb = hb.withColumn("__b", bucket)
 
     ranks = []  # (name, k_lo, k_hi, frac) as columns over __n
     for p, name in zip(percentiles, names):
         pos = (F.col("__n") - 1) * F.lit(float(p))
         ranks.append((name, F.floor(pos), F.ceil(pos), pos - F.floor(pos)))
 
-    per_b = hb.groupBy(key, "__b").agg(F.sum("__c").alias("__bc"), F.max("__n").alias("__n"))
-    upto = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_b = hb.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"), F.max("__n").alias("__n"))
+    upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per_b = per_b.withColumn("__bcum", F.sum("__bc").over(upto)).withColumn(
         "__before", F.col("__bcum") - F.col("__bc")
     )
@@ -272,14 +282,14 @@ def exact_percentiles(
         for k in (k_lo, k_hi):
             c = (F.col("__before") <= k) & (k < F.col("__bcum"))
             holds = c if holds is None else holds | c
-    targets = per_b.filter(holds).select(key, "__b", "__before")
+    targets = per_b.filter(holds).select(*keys, "__b", "__before")
 
-    inner = hb.join(targets, [key, "__b"])
-    within = Window.partitionBy(key, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = hb.join(targets, [*keys, "__b"])
+    within = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = inner.withColumn("__cum", F.col("__before") + F.sum("__c").over(within))
     aggs = []
     for name, k_lo, k_hi, frac in ranks:
         v_lo = F.min(F.when(F.col("__cum") > k_lo, v))
         v_hi = F.min(F.when(F.col("__cum") > k_hi, v))
         aggs.append((v_lo + (v_hi - v_lo) * F.max(frac)).alias(name))
-    return inner.groupBy(key).agg(*aggs)
+    return inner.groupBy(*keys).agg(*aggs)

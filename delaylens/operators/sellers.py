@@ -146,11 +146,10 @@ def late_pareto(df: DataFrame) -> DataFrame:
 def worst_sellers(profile: DataFrame, fraction: float = 0.1) -> DataFrame:
     """Sellers at or above the (1 - fraction) percentile of late rate.
 
-    The cut point is an exact interpolated percentile over sellers computed
-    from the histogram of distinct rates (work bounded by distinct rates).
+    The cut point is an exact interpolated percentile over sellers (two-level
+    method of ``exact_percentiles``), inlined as a scalar subquery.
     """
-    rates = profile.select(F.lit(1).alias("k"), "seller_late_rate").filter(F.col("seller_late_rate").isNotNull())
-    cut = exact_percentiles(rates, "k", "seller_late_rate", [1.0 - fraction], ["cut"]).select("cut").scalar()
+    cut = exact_percentiles(profile, None, "seller_late_rate", [1.0 - fraction], ["cut"]).select("cut").scalar()
     return profile.filter(F.col("seller_late_rate") >= cut).select(
         "seller_id", "seller_late_rate", "seller_order_count", cut.alias("cut_rate")
     )

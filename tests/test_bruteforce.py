@@ -102,3 +102,12 @@ def test_exact_percentiles_few_buckets(spark, buckets):
     for k in {k for k, _ in data}:
         vals = np.array([v for kk, v in data if kk == k])
         assert got[k] == pytest.approx(tuple(np.percentile(vals, q, method="linear") for q in (37, 90)), rel=1e-12)
+
+
+def test_exact_percentiles_global_mode(spark):
+    rnd = random.Random(99)
+    vals = [rnd.choice([0.0, 0.25, 0.5, 1.0, rnd.random()]) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    row = lifecycle.exact_percentiles(df, None, "v", [0.1, 0.9], ["a", "b"], buckets=5).first()
+    want = tuple(np.percentile(np.array(vals), q, method="linear") for q in (10, 90))
+    assert (row.a, row.b) == pytest.approx(want, rel=1e-12)
