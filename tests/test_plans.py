@@ -123,3 +123,25 @@ def test_hot_seller_partition_is_split_by_aqe(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_no_cartesian_when_every_side_is_large(spark):
+    """With every broadcast disabled, no plan may fall back to a cartesian
+    product or a nested-loop join (a folded literal join key would)."""
+    from tools.plan_report import SKIP, plan_of
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "delaylens.broadcast.maxBytes": "0",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for name, fn in entry.queries().items():
+            if name in SKIP:
+                continue
+            plan = plan_of(fn(spark, SF_SMALL))
+            for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+                assert bad not in plan, f"{name}: {bad}"
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
