@@ -101,15 +101,23 @@ def late_rate_monitor(
     watermark: str = "2 days",
     available_now: bool = True,
     max_files: int | None = None,
+    output_mode: str = "update",
 ) -> StreamingQuery:
-    """Update-mode windowed late rate; each micro-batch's updated rows
-    land in their own ``batch_id=`` folder (idempotent on retry)."""
+    """Windowed late rate; each micro-batch's rows land in their own
+    ``batch_id=`` folder (idempotent on retry).
+
+    ``update`` emits a window whenever it changes (``read_monitor`` keeps the
+    latest version); ``append`` emits each window once, when the watermark
+    has passed its end, so windows still open at the end of a run stay in
+    state until later data closes them."""
+    if output_mode not in ("update", "append"):
+        raise ValueError(f"unsupported output mode {output_mode!r}")
     windows = late_rate_windows(read_stream(spark, source, OUTCOME_SCHEMA, max_files), watermark)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch_id={epoch_id}")
 
-    writer = windows.writeStream.outputMode("update").foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    writer = windows.writeStream.outputMode(output_mode).foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
