@@ -73,3 +73,32 @@ def test_spans_ignore_session_time_zone(spark):
         assert v == pytest.approx(30.5, rel=1e-15)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_haversine_properties(spark):
+    """Symmetric, within [0, pi * R], zero on the diagonal, triangle inequality."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    lat = st.floats(-90, 90, allow_nan=False)
+    lon = st.floats(-180, 180, allow_nan=False)
+    points = st.lists(st.tuples(lat, lon, lat, lon, lat, lon), min_size=20, max_size=20)
+
+    @settings(max_examples=5, deadline=None)
+    @given(points)
+    def check(rows):
+        df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double")
+        out = df.select(
+            haversine_km("a", "b", "c", "d").alias("ab"),
+            haversine_km("c", "d", "a", "b").alias("ba"),
+            haversine_km("c", "d", "e", "f").alias("bc"),
+            haversine_km("a", "b", "e", "f").alias("ac"),
+            haversine_km("a", "b", "a", "b").alias("aa"),
+        ).collect()
+        for r in out:
+            assert r.ab == pytest.approx(r.ba, abs=1e-6)
+            assert 0.0 <= r.ab <= math.pi * 6371.0 + 1e-6
+            assert r.aa == pytest.approx(0.0, abs=1e-6)
+            assert r.ac <= r.ab + r.bc + 1e-6
+
+    check()
