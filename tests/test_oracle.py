@@ -79,3 +79,16 @@ def test_results_do_not_depend_on_session_time_zone(spark, con, name):
         spark.conf.set("spark.sql.session.timeZone", old)
     want = con.execute(ORACLE[name]).fetchdf()
     assert len(got) == len(want) and frame_hash(got) == frame_hash(want)
+
+
+def test_auc_agrees_with_spark_ml_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.sql import functions as F
+
+    from delaylens.plans import common as c
+
+    scored = c.fixture_score(c.master(spark, SF_SMALL))
+    ours = QUERIES["roc_auc"](spark, SF_SMALL).first().roc_auc
+    ml = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", numBins=0).evaluate(
+        scored.select(F.col("p"), F.col("y").cast("double").alias("y")))
+    assert ours == pytest.approx(ml, abs=1e-6)
