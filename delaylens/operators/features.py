@@ -52,8 +52,9 @@ def preprocess(
     purchase (L1). A supplied ``profile`` (scoring) is used as-is.
 
     With ``materialize`` (default) the geo-enriched rows are written once to
-    the shared folder before the profile, the fills and the final rows read
-    them; otherwise each of those branches recomputes the input joins.
+    the shared folder, with a stable ``row_id``, before the profile, the
+    fills and the final rows read them; otherwise each of those branches
+    recomputes the input joins.
     """
     cols = set(df.columns)
     if centroid is None and geolocation is not None:
@@ -73,6 +74,10 @@ def preprocess(
     if materialize:
         from ..sources.catalog import materialize as write_once
 
+        if "row_id" not in df.columns:
+            # the rows have no natural key; an id frozen in the written table
+            # is stable for later reads (the exact split reuses it)
+            df = df.withColumn("row_id", F.monotonically_increasing_id())
         df = write_once(df, "feature-base")
 
     row_mean_weight = None

@@ -65,7 +65,10 @@ def train_gbt(features: DataFrame, **params) -> TrainResult:
     """M2 + M3: exact stratified split, then fit on the training part."""
     p = {**DEFAULT_PARAMS, **params}
     ensure_checkpoint_dir(features.sparkSession)
-    data = features.select(*FEATURES, F.col(LABEL).cast("double").alias(LABEL), *[c for c in features.columns if c in ("order_id", "seller_id")])
+    keep = [c for c in features.columns if c in ("order_id", "seller_id", "row_id")]
+    data = features.select(*FEATURES, F.col(LABEL).cast("double").alias(LABEL), *keep)
+    # the narrow training rows are written once with their own ids: cheaper
+    # than re-deriving the feature chain in each branch of the split
     split = stratified_split(data, LABEL, p["test_fraction"], p["seed"])
     train = with_class_weight(split.train, p["pos_weight"]).persist()
     model = build_pipeline(p["rounds"], p["step"], p["depth"], p["seed"]).fit(train)

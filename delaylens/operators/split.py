@@ -38,10 +38,17 @@ def _with_row_id(df: DataFrame) -> DataFrame:
     return materialize(df.withColumn("__rid", F.monotonically_increasing_id()), "split-rows")
 
 
-def assign_split(df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``is_test`` to every row (exact per-label test counts)."""
-    cols = df.columns
-    base = _with_row_id(df)
+def assign_split(
+    df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42, row_id: str | None = None
+) -> DataFrame:
+    """Add ``is_test`` to every row (exact per-label test counts).
+
+    ``row_id`` names a column that is already a stable unique row id; use it
+    when ``df`` is itself a read of a written table (each branch below reads
+    ``df`` again). Otherwise the rows are written once with an id.
+    """
+    cols = [c for c in df.columns if c != row_id]
+    base = df.withColumnRenamed(row_id, "__rid") if row_id else _with_row_id(df)
     h = F.xxhash64(F.lit(seed), F.col("__rid"), *[F.col(f"`{x}`") for x in cols])
     base = base.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(BUCKETS)))
     per_bucket = base.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c"))
@@ -66,11 +73,14 @@ def assign_split(df: DataFrame, label: str, test_fraction: float = 0.2, seed: in
     rn = F.row_number().over(Window.partitionBy(label).orderBy("__h", "__rid"))
     cut_rows = cut_rows.withColumn("is_test", rn <= F.col("__take"))
     out = rest.unionByName(cut_rows)
-    return out.select(*[F.col(f"`{x}`") for x in cols], "is_test")
+    keep_id = [F.col("__rid").alias(row_id)] if row_id else []
+    return out.select(*[F.col(f"`{x}`") for x in cols], *keep_id, "is_test")
 
 
-def stratified_split(df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42) -> Split:
-    assigned = assign_split(df, label, test_fraction, seed)
+def stratified_split(
+    df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42, row_id: str | None = None
+) -> Split:
+    assigned = assign_split(df, label, test_fraction, seed, row_id)
     return Split(
         train=assigned.filter(~F.col("is_test")).drop("is_test"),
         test=assigned.filter(F.col("is_test")).drop("is_test"),
@@ -78,9 +88,11 @@ def stratified_split(df: DataFrame, label: str, test_fraction: float = 0.2, seed
     )
 
 
-def stratified_split_counts(df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+def stratified_split_counts(
+    df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42, row_id: str | None = None
+) -> DataFrame:
     """Per label: rows in train and in test (the exactness check)."""
-    assigned = assign_split(df, label, test_fraction, seed)
+    assigned = assign_split(df, label, test_fraction, seed, row_id)
     return assigned.groupBy(F.col(label).alias("label")).agg(
         F.count_if(~F.col("is_test")).alias("train_rows"),
         F.count_if(F.col("is_test")).alias("test_rows"),

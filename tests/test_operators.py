@@ -296,3 +296,9 @@ def test_preprocess_with_stored_profile_and_weight(spark):
     assert rows["s1"].seller_late_rate == 0.25 and rows["s1"].product_weight_g == 123.0
     assert rows["s9"].seller_late_rate == 0.25  # unknown seller: mean of the stored rates
     assert prep.seller_profile is profile
+
+
+def test_split_reuses_a_given_row_id(spark):
+    df = spark.range(0, 500).select((F.col("id") * 7).alias("rid"), (F.col("id") % 4 == 0).cast("int").alias("y"))
+    got = {r.label: (r.train_rows, r.test_rows) for r in stratified_split_counts(df, "y", 0.2, 1, row_id="rid").collect()}
+    assert got == {1: (100, 25), 0: (300, 75)}
