@@ -8,10 +8,11 @@ next stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from delaylens.llm import bpe, quality_rules
+from delaylens.llm import bagminhash, bpe, decontaminate, quality_rules, secrets
 from delaylens.llm.common import read_table, stage
-from delaylens.llm.queries import byte_vocabulary
+from delaylens.llm.queries import byte_vocabulary, owner_and_repository
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +20,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: that of the least id."""
+    return bagminhash.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth stands in benchmark windows."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with owner-specific credentials masked; ``n_chars``
+    follows the text."""
+    return secrets.mask_live(docs, *owner_and_repository()).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents as token ids, with digests of ids and text."""
     return bpe.encode_documents(docs, *byte_vocabulary(), digests=True)
@@ -26,6 +43,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality),
+    ("bagminhash", near_duplicates),
+    ("decontamination", decontaminated),
+    ("secrets", without_secrets),
     ("byte_bpe", tokens),
 ]
 

@@ -51,3 +51,11 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
     return F.transform(F.array(value), body)[0]
+
+
+def join_on_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on (__id, __key); a null id equals a null id. ``right`` has one row
+    for each pair. The key columns of ``left`` stay."""
+    r = right.withColumnsRenamed({"__id": "__rid", "__key": "__rkey"})
+    joined = left.join(r, left["__id"].eqNullSafe(r["__rid"]) & (left["__key"] == r["__rkey"]), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop("__rid", "__rkey")

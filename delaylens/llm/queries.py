@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules
+from . import bagminhash, bpe, decontaminate, quality_rules, secrets
 from .common import read_table
 
 
@@ -18,10 +18,20 @@ def byte_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def owner_and_repository() -> tuple[Column, Column]:
+    """Who holds a text: its source, and the source's part in one language."""
+    return F.col("source"), F.concat_ws("/", "source", "lang")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), *byte_vocabulary(), digests=True)
 
 
+def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = bagminhash.classes(read_table(spark, sf_dir, "documents"))
+    return placed.select(F.col("__id").alias("doc_id"), "class_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -36,7 +46,26 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        F.col("__id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(read_table(spark, sf_dir, "documents"), *owner_and_repository())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op6_bagminhash": op6_bagminhash,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
+    "op9_secrets": op9_secrets,
 }
