@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import map_arrow, text_or_empty
 
 NONE = 1 << 62
 #: Matches up to this many characters are remembered, at most so many of them.
@@ -185,7 +185,7 @@ def encode_documents(
                 names = [*keep, "n_tokens", "ids"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return rows.mapInArrow(run, ddl)
+    return map_arrow(rows, run, ddl)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -200,4 +200,4 @@ def decode_ids(encoded: DataFrame, vocabulary: str, pattern: str, keep: tuple[st
             decoded = [codec.decode(x.as_py()) for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(decoded, pa.binary())], names=[*keep, "decoded"])
 
-    return rows.mapInArrow(run, ddl)
+    return map_arrow(rows, run, ddl)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +60,19 @@ def join_on_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     r = right.withColumnsRenamed({"__id": "__rid", "__key": "__rkey"})
     joined = left.join(r, left["__id"].eqNullSafe(r["__rid"]) & (left["__key"] == r["__rkey"]), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop("__rid", "__rkey")
+
+
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, task, schema: str) -> DataFrame:
+    """``mapInArrow`` whose tasks can import this package.
+
+    A local session started outside the repository hands the package to its
+    Python workers; on a cluster it is installed or passed with --py-files.
+    """
+    context = df.sparkSession.sparkContext
+    if context.master.split("[")[0] == "local" and context.applicationId not in _shipped:
+        context.addFile(str(Path(__file__).resolve().parents[1]), recursive=True)
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(task, schema)

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, decontaminate, quality_rules, secrets
-from .common import read_table
+from . import bagminhash, bpe, decontaminate, html_extract, pu_quality, quality_rules, secrets, shards, surrogates, warc
+from .common import fresh_path, read_table
+
+
+#: Keys of the queries; a deployment passes secrets of its own.
+ORDER_KEY, SURROGATE_KEY = "training-order-1", "surrogates-1"
 
 
 def byte_vocabulary() -> tuple[str, str]:
@@ -23,10 +27,30 @@ def owner_and_repository() -> tuple[Column, Column]:
     return F.col("source"), F.concat_ws("/", "source", "lang")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), *byte_vocabulary(), digests=True)
 
 
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = shards.materialise(read_table(spark, sf_dir, "documents"), fresh_path(spark, "shards"), ORDER_KEY)
+    return shards.read_slots(spark, layout, content=False)
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.replace(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return replaced.select("doc_id", "text", F.col("__entities").alias("n_entities"), F.array_join("__kinds", ",").alias("kinds"))
+
+
 def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = bagminhash.classes(read_table(spark, sf_dir, "documents"))
     return placed.select(F.col("__id").alias("doc_id"), "class_id")
@@ -62,10 +86,19 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read_table(spark, sf_dir, "documents"), *owner_and_repository())
 
 
+def op10_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_pu_quality": op3_pu_quality,
+    "op4_training_order": op4_training_order,
+    "op5_surrogates": op5_surrogates,
     "op6_bagminhash": op6_bagminhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
+    "op10_host_paths": op10_host_paths,
 }

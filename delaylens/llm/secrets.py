@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_on_rows, stage, text_key, text_or_empty
+from .common import join_on_rows, map_arrow, stage, text_key, text_or_empty
 
 # The base kinds in the order in which equal starts are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -99,7 +99,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_
             out.append(pa.array(found, pa.list_(CANDIDATE)))
             yield pa.RecordBatch.from_arrays(out, names=[*kept, "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
-    return rows.mapInArrow(run, ddl)
+    return map_arrow(rows, run, ddl)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
