@@ -14,12 +14,14 @@ weighted Jaccard similarity. Processes stop at the largest value still standing,
 so a bag of n shingles needs about n + m log m points.
 
 Steps: signatures (one pass, no shuffle) -> one representative per bag -> band
-keys -> every member of a bucket meets the bucket's least bag, its best partner
-first -> exact multiset overlap on the texts -> components -> in buckets that
-still hold several components, every bag outside the bucket's main component
-meets all members of other components -> exact overlap -> components. Pairs
-inside one component can't change a class, so they are never formed; no bucket
-is capped. Classes are the components of all verified links of buckets.
+keys -> buckets of two and more. Every bag meets the centre of a bucket that it
+shares most buckets with; the exact multiset overlap of the texts decides, and
+links make components. Where components have formed, bags outside them meet
+further members. Bags whose buckets then still hold several components go
+through an exact prefix join with positional bound, which finds every pair of
+them, in different components, that can reach the similarity; these are verified
+too. Pairs inside one component can't change a class, so they are never formed;
+no bucket is capped. Classes are the components of all verified links.
 
 Defined results: a null text is empty. Texts without words have no shingles;
 they are of one class if their texts are equal, and else alone. Equal bags are
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_on_rows, stage, text_key, text_or_empty
+from .common import join_on_rows, map_arrow, stage, text_key, text_or_empty
 from .components import components
 
 WORDS = 5
@@ -49,6 +51,8 @@ SIMILARITY = 0.8
 #: Texts are signed together until they have so many shingles.
 TOGETHER = 100_000
 KNOWN_WORDS = 400_000
+#: Rounds in which bags outside a bucket's main component meet single members.
+TURNS = 2
 
 _word = re.compile(r"\w+").findall
 _known: dict[str, int] = {}
@@ -169,7 +173,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands:
             out = [*batch.columns[:2], pa.array(names, pa.binary()), pa.array(weights, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(out, names=["__id", "__key", "bag", "weight", "keys"])
 
-    return given.mapInArrow(run, ddl)
+    return map_arrow(given, run, ddl)
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -198,7 +202,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return map_arrow(rows, run, "a binary, b binary")
 
 
 def near_size(x: str, y: str, similarity: float):
@@ -206,6 +210,83 @@ def near_size(x: str, y: str, similarity: float):
     return (F.col(x) >= F.col(y) * similarity) & (F.col(y) >= F.col(x) * similarity)
 
 
+def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``members`` with the component of their bag in ``root``."""
+    if roots is None:
+        return members.withColumn("root", F.col("bag"))
+    named = roots.select(F.col("node").alias("bag"), "root")
+    return members.join(named, "bag", "left").withColumn("root", F.coalesce("root", "bag"))
+
+
+def with_main(members: DataFrame, key: str) -> DataFrame:
+    """Rows of ``members`` (key, bag, root ...) whose key has several roots, with
+    the key's most frequent root in ``main`` and its rows in ``main_n``."""
+    sizes = members.groupBy(key, "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy(key).agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    return members.join(main.select(key, F.col("m.root").alias("main"), F.col("m.n").alias("main_n")), key)
+
+
+def proposals(buckets: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
+    """One pair (a, b) per bag b: the centre of another component with which it
+    shares most buckets."""
+    pairs = buckets.join(centres, "band").filter((F.col("root") != F.col("centre_root")) & near_size("weight", "centre_weight", similarity))
+    pairs = pairs.groupBy(F.col("centre").alias("a"), F.col("bag").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("b").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("a").alias("a"))).alias("best")).select("best.a", "b")
+
+
+def centres_of(buckets: DataFrame, order) -> DataFrame:
+    """The bag of each bucket with the greatest ``order``."""
+    top = buckets.groupBy("band").agg(F.max(F.struct(order.alias("o"), "bag", "weight", "root")).alias("c"))
+    return top.select("band", F.col("c.bag").alias("centre"), F.col("c.weight").alias("centre_weight"), F.col("c.root").alias("centre_root"))
+
+
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(bag, shingle, count) of the staged texts."""
+    given = texts.select("bag", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h, c = bag(value.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(c)], names=["bag", "shingle", "count"])
+
+    return map_arrow(given, run, "bag binary, shingle bigint, count bigint")
+
+
+def rest_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of ``members`` (bag, weight, root) in different
+    components that may reach ``similarity``: an exact prefix join.
+
+    Shingles are ordered by rarity. If two bags are similar enough, the first
+    shingle they share in this order lies so early in both that what follows it
+    can still make up the overlap they need. Shingles of a passage that many
+    texts share come last, behind the texts' own; pairs that have only such a
+    passage in common are never formed. Of the rows of a shingle, only those
+    outside its most frequent component look for partners.
+    """
+    rows = stage(shingle_rows(texts.join(members.select("bag"), "bag", "left_semi")), "bag-shingles")
+    known = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("bags"))
+    ranked = rows.join(known, "shingle").groupBy("bag").agg(F.sort_array(F.collect_list(F.struct("bags", "shingle", "count"))).alias("s"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("before"))
+    weight = F.aggregate("s", F.lit(0).cast("bigint"), lambda x, s: x + s["count"])
+    ranked = ranked.select("bag", weight.alias("w"), "s")
+    # The prefix has at most (1 - similarity) w + 1 shingles of weight one or more.
+    head = F.slice("s", 1, F.least(F.size("s"), F.floor(F.col("w") * (1 - similarity)).cast("int") + 1))
+    before = F.aggregate(head, zero, lambda x, s: F.struct((x["sum"] + s["count"]).alias("sum"), F.concat(x["before"], F.array(x["sum"])).alias("before")), lambda x: x["before"])
+    prefix = ranked.select("bag", F.explode(F.arrays_zip(head.alias("s"), before.alias("before"))).alias("p"), "w").select(
+        "bag", F.col("p.s.shingle").alias("shingle"), F.col("p.s.bags").alias("bags"), F.col("p.before").alias("before"), "w"
+    )
+    prefix = prefix.filter((F.col("bags") > 1) & (F.col("before") <= F.col("w") * (1 - similarity)))
+    placed = with_main(prefix.join(members.select("bag", "root"), "bag"), "shingle")
+    placed = stage(placed, "bag-prefixes")
+    x = placed.filter("root != main").select("shingle", F.col("bag").alias("a"), F.col("w").alias("wa"), F.col("before").alias("pa"), F.col("root").alias("ra"))
+    y = placed.select("shingle", F.col("bag").alias("b"), F.col("w").alias("wb"), F.col("before").alias("pb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
+    possible = F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb"))
+    enough = possible * (1 + similarity) >= (F.col("wa") + F.col("wb")) * similarity - 1e-6
+    once = F.col("in_main") | (F.col("a") < F.col("b"))
+    return x.join(y, "shingle").filter((F.col("ra") != F.col("rb")) & once & enough & near_size("wa", "wb", similarity)).select("a", "b").distinct()
+
+
 def classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -220,42 +301,39 @@ def classes(
     bags = signed.groupBy("bag").agg(F.min(F.struct("__id", "__key")).alias("r"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
     bags = stage(bags.select("bag", "r.__id", "r.__key", "weight", "keys"), "bags")
     members = bags.select("bag", "weight", F.explode("keys").alias("band"))
-    centres = members.groupBy("band").agg(F.min(F.struct("bag", "weight")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    centres = centres.select("band", F.col("c.bag").alias("centre"), F.col("c.weight").alias("centre_weight"))
-    # Buckets of two and more, with the bucket's least bag beside each member.
-    buckets = stage(members.join(centres, "band"), "buckets")
-    stars = buckets.filter(F.col("bag") != F.col("centre")).filter(near_size("weight", "centre_weight", similarity))
-    stars = stars.groupBy(F.col("centre").alias("a"), F.col("bag").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    stars = stage(stars, "bag-stars")
-    best = stars.groupBy("b").agg(F.min(F.struct(-F.col("n"), F.col("a").alias("a"))).alias("best")).select("best.a", "b")
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = stage(members.join(shared, "band"), "buckets")  # of two and more
 
     wanted = buckets.select("bag").distinct().join(bags.select("bag", "__id", "__key"), "bag")
     packed = docs.select(F.col(id_col).alias("__id"), text_key(text_or_empty(text_col)).alias("__key"), text_or_empty(text_col).alias("text"))
     texts = join_on_rows(packed, wanted, "inner").groupBy("bag").agg(F.first("text").alias("text"))
     texts = stage(texts, "bag-texts")
 
-    links = stage(verify(best, texts, similarity), "bag-links")
+    # A bag that has met many others lies in the middle of its group.
+    met = buckets.groupBy("bag").agg(F.sum("n").alias("met"))
+    placed = stage(rooted(buckets.join(met, "bag"), None), "bucket-members")
+    links = stage(verify(proposals(placed, centres_of(placed, F.col("met")), similarity), texts, similarity), "bag-links")
     roots = components(links)
-
-    # What the first round left apart: buckets with several components.
-    named = roots.select(F.col("node").alias("bag"), "root")
-    placed = buckets.select("band", "bag", "weight").join(named, "bag", "left").withColumn("root", F.coalesce("root", "bag"))
-    placed = stage(placed, "bucket-members")
-    sizes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    split = stage(placed.join(main.select("band", F.col("m.root").alias("main")), "band"), "split-buckets")
-    x = split.filter("root != main").select("band", F.col("bag").alias("a"), F.col("weight").alias("wa"), F.col("root").alias("ra"))
-    y = split.select("band", F.col("bag").alias("b"), F.col("weight").alias("wb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
-    left = x.join(y, "band").filter((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & near_size("wa", "wb", similarity))
-    left = stage(left.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), "bag-rest")
-    more = stage(verify(left, texts, similarity), "bag-links")
-    if not more.isEmpty():
-        roots = components(links.unionAll(more))
-
-    rooted = bags.select("bag").join(roots.select(F.col("node").alias("bag"), "root"), "bag", "left").select("bag", F.coalesce("root", "bag").alias("root"))
-    rooted = stage(rooted, "bag-roots")
-    least = bags.select("bag", "__id").join(rooted, "bag").groupBy("root").agg(F.min("__id").alias("class_id"))
-    named = stage(rooted.join(least, "root"), "bag-classes")
+    for turn in range(TURNS):
+        # Where a component has formed in a bucket, those outside it meet one
+        # of the bucket's members that a hash picks.
+        placed = stage(with_main(rooted(buckets, roots), "band"), "bucket-members")
+        open_ = placed.filter("main_n > 1")
+        if turn + 1 == TURNS or open_.isEmpty():
+            break
+        pairs = proposals(open_.filter("root != main"), centres_of(open_, F.xxhash64("bag", F.lit(turn))), similarity)
+        more = stage(verify(pairs, texts, similarity), "bag-links")
+        links = stage(links.unionAll(more), "bag-links")
+        roots = components(links)
+    if not placed.isEmpty():
+        left = stage(rest_pairs(placed.groupBy("bag").agg(F.first("weight").alias("weight"), F.first("root").alias("root")), texts, similarity), "bag-rest")
+        more = stage(verify(left, texts, similarity), "bag-links")
+        if not more.isEmpty():
+            roots = components(links.unionAll(more))
+
+    named = stage(rooted(bags.select("bag", "__id"), roots), "bag-roots")
+    least = named.groupBy("root").agg(F.min("__id").alias("class_id"))
+    named = stage(named.join(least, "root").select("bag", "root", "class_id"), "bag-classes")
     return signed.select("__id", "__key", "bag").join(named, "bag").select("__id", "__key", "root", "class_id")
 
 
