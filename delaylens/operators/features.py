@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .geo import add_coordinates, geo_centroid, with_distance
-from .sellers import enrich_seller_rate, fill_seller_rate, seller_profile, seller_rate_asof  # noqa: F401
+from .joins import stored_side
+from .sellers import enrich_seller_rate, fill_seller_rate, past_rate, seller_profile, seller_rate_asof
 
 
 @dataclass
@@ -49,16 +50,18 @@ def preprocess(
 
     ``rate_mode="global"`` is the upstream behaviour (rate over all rows,
     test rows included); ``"asof"`` uses only outcomes known before each
-    purchase (L1). A supplied ``profile`` (scoring) is used as-is.
-
-    With ``materialize`` (default) the geo-enriched rows are written once to
-    the shared folder, with a stable ``row_id``, before the profile, the
-    fills and the final rows read them; otherwise each of those branches
-    recomputes the input joins.
+    purchase (L1): a seller without history gets the rate of all outcomes
+    known by then, and NULL if there are none. A supplied ``profile``
+    (scoring) is used as-is.
+
+    With ``materialize`` (default) the geo-enriched rows are written once per
+    input version to the shared folder, before the profile, the fills and the
+    final rows read them; otherwise, or where the session names no shared
+    folder, each of those branches recomputes the input joins.
     """
     cols = set(df.columns)
     if centroid is None and geolocation is not None:
-        centroid = geo_centroid(geolocation)
+        centroid = stored_side(geo_centroid(geolocation), "geo-centroid")
     if centroid is not None:
         if "seller_zip_code_prefix" in cols and "s_lat" not in cols:
             df = add_coordinates(df, centroid, "seller_zip_code_prefix", "s_lat", "s_lng")
@@ -72,16 +75,11 @@ def preprocess(
             "distance_km cannot be computed: supply geolocation (with zip columns) or s_lat/s_lng/c_lat/c_lng"
         )
     if materialize:
-        from ..sources.catalog import materialize as write_once
-
-        if "row_id" not in df.columns:
-            # the rows have no natural key; an id frozen in the written table
-            # is stable for later reads (the exact split reuses it)
-            df = df.withColumn("row_id", F.monotonically_increasing_id())
-        df = write_once(df, "feature-base")
+        df = stored_side(df, "feature-base")
 
     row_mean_weight = None
-    if profile is None:
+    supplied = profile is not None
+    if not supplied:
         # one aggregate serves the profile and the row-mean weight (B7):
         # per-seller partial sums, so the rows are grouped once
         ext = df.groupBy("seller_id").agg(
@@ -96,14 +94,16 @@ def preprocess(
             row_mean_weight = ext.agg(F.sum("__sw") / F.sum("__cw")).scalar()
     if "seller_late_rate" not in df.columns:
         if rate_mode == "asof":
-            df = seller_rate_asof(df).withColumnRenamed("seller_late_rate_asof", "seller_late_rate").drop(
-                "seller_hist_items", "seller_hist_late"
-            )
+            known = seller_rate_asof(df).withColumnRenamed("seller_late_rate_asof", "own_rate").drop("seller_hist_items", "seller_hist_late")
+            df = past_rate(known).withColumn("seller_late_rate", F.coalesce("own_rate", "past_rate")).drop("own_rate", "past_rate")
         elif rate_mode == "global":
-            df = enrich_seller_rate(df, profile)
+            if not supplied:
+                profile = stored_side(profile, "seller-profile")
+            df = fill_seller_rate(enrich_seller_rate(df, profile), profile)
         else:
             raise ValueError(f"unknown rate_mode {rate_mode!r}")
-    df = fill_seller_rate(df, profile)
+    else:
+        df = fill_seller_rate(df, profile)
     if "product_weight_g" in df.columns:
         df = fill_weight_from_rows(df, mean_weight if mean_weight is not None else row_mean_weight)
     return Prepared(df.na.drop(subset=["distance_km"]), profile)
@@ -114,14 +114,12 @@ def features_strict(df: DataFrame, geolocation: DataFrame, materialize: bool = T
     weight filled by the row mean, rows without distance or rate dropped.
     The geo-enriched rows feed three branches, so they are written once
     (see ``preprocess``)."""
-    centroid = geo_centroid(geolocation)
+    centroid = stored_side(geo_centroid(geolocation), "geo-centroid")
     df = add_coordinates(df, centroid, "seller_zip_code_prefix", "s_lat", "s_lng")
     df = add_coordinates(df, centroid, "customer_zip_code_prefix", "c_lat", "c_lng")
     df = with_distance(df)
     if materialize:
-        from ..sources.catalog import materialize as write_once
-
-        df = write_once(df, "feature-base-strict")
-    df = enrich_seller_rate(df, seller_profile(df), with_count=True)
+        df = stored_side(df, "feature-base-strict")
+    df = enrich_seller_rate(df, stored_side(seller_profile(df), "seller-profile"), with_count=True)
     df = fill_weight_from_rows(df)
     return df.na.drop(subset=["distance_km", "seller_late_rate"])

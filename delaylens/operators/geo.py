@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import haversine_km
-from .joins import sized_broadcast
+from .joins import stored_side
 
 
 def geo_centroid(geolocation: DataFrame) -> DataFrame:
@@ -25,13 +25,13 @@ def geo_centroid(geolocation: DataFrame) -> DataFrame:
 def add_coordinates(df: DataFrame, centroid: DataFrame, zip_col: str, lat_name: str, lng_name: str) -> DataFrame:
     """Left lookup of one role's coordinates by zip.
 
-    The centroid is broadcast after a size check; both roles reuse the same
-    aggregated centroid, so its exchange is computed once.
+    The centroid is a stored side (``stored_side``): its files' size decides
+    whether it is broadcast.
     """
     c = centroid.select(
         F.col("zip").alias(f"__{zip_col}"), F.col("lat").alias(lat_name), F.col("lng").alias(lng_name)
     )
-    joined = df.join(sized_broadcast(c), df[zip_col] == c[f"__{zip_col}"], "left")
+    joined = df.join(c, df[zip_col] == c[f"__{zip_col}"], "left")
     return joined.drop(f"__{zip_col}")
 
 
@@ -42,7 +42,7 @@ def with_distance(df: DataFrame) -> DataFrame:
 
 def geo_enriched(df: DataFrame, geolocation: DataFrame) -> DataFrame:
     """C5 for both roles followed by H1."""
-    centroid = geo_centroid(geolocation)
+    centroid = stored_side(geo_centroid(geolocation), "geo-centroid")
     df = add_coordinates(df, centroid, "seller_zip_code_prefix", "s_lat", "s_lng")
     df = add_coordinates(df, centroid, "customer_zip_code_prefix", "c_lat", "c_lng")
     return with_distance(df)

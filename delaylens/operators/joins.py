@@ -1,77 +1,31 @@
-"""Join helpers: broadcast a side only after its size is checked.
-
-A dimension is broadcast when its row count times an upper bound on the row
-width stays under ``delaylens.broadcast.maxBytes`` (default 32 MiB). The
-count is bounded (it stops past the limit), so probing a large table is cheap.
-Otherwise the join falls back to a shuffle join, where AQE may still demote
-it to a broadcast at runtime or split skewed partitions. Counts are memoised
-per session on the plan's semantic hash, so repeated queries over the same
-dimension pay for one small job.
+"""Dimension joins whose size check runs no job.
+
+Spark broadcasts a side by the size of its files, read from file statistics
+at planning (``spark.sql.autoBroadcastJoinThreshold``), on every planning
+anew, so a dimension that has grown past the threshold is shuffled instead.
+The size of a *derived* side (a profile, a centroid) is unknown at planning:
+``stored_side`` stores it first, and the stored files' size decides the same
+way. Beyond the threshold AQE splits hot keys of the shuffle join, and still
+turns it into a broadcast if a side proves small at run time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import session_key
-
-DEFAULT_MAX_BROADCAST_BYTES = 32 * 1024 * 1024
-_count_cache: dict[tuple[str, int, int], int] = {}
-
-
-def _width(dtype: T.DataType) -> int:
-    if isinstance(dtype, (T.ByteType, T.BooleanType)):
-        return 1
-    if isinstance(dtype, (T.ShortType,)):
-        return 2
-    if isinstance(dtype, (T.IntegerType, T.FloatType, T.DateType)):
-        return 4
-    if isinstance(dtype, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType)):
-        return 8
-    if isinstance(dtype, T.DecimalType):
-        return 16
-    # strings and anything variable: assume a generous 48 bytes
-    return 48
-
 
-def row_width(df: DataFrame) -> int:
-    return 16 + sum(_width(f.dataType) for f in df.schema.fields)
+from ..session import has_scratch
 
 
-def max_broadcast_bytes(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("delaylens.broadcast.maxBytes", None)
-    return int(conf) if conf else DEFAULT_MAX_BROADCAST_BYTES
+def dimension_join(fact: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join a fact to a dimension read from files."""
+    return fact.join(dim, on, how)
 
 
-def bounded_count(df: DataFrame, bound: int) -> int:
-    """min(rows, bound + 1), memoised per session and plan.
+def stored_side(df: DataFrame, name: str) -> DataFrame:
+    """An aggregated side as a stored table whose size the planner knows.
 
-    ``limit(bound + 1).count()`` lets every task stop reading once it has
-    seen more than ``bound`` rows, so asking whether a huge table is small
-    costs a bounded read per task instead of a full scan.
+    Without a shared folder the side stays a plan and AQE decides alone.
     """
-    key = (session_key(df.sparkSession), df.semanticHash(), bound)
-    if key not in _count_cache:
-        _count_cache[key] = df.limit(bound + 1).count()
-    return _count_cache[key]
-
-
-def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
-    limit = max_bytes if max_bytes is not None else max_broadcast_bytes(df)
-    if limit <= 0:
-        return False
-    max_rows = limit // row_width(df)
-    return bounded_count(df, max_rows) <= max_rows
-
-
-def sized_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """``broadcast(df)`` if it passes the size check, else ``df`` unchanged."""
-    return F.broadcast(df) if fits_broadcast(df, max_bytes) else df
-
+    from ..sources.catalog import materialize
 
-def dimension_join(fact: DataFrame, dim: DataFrame, on, how: str = "left", max_bytes: int | None = None) -> DataFrame:
-    """Join a fact to a dimension: broadcast hash join when the dimension is
-    proven small, shuffle (sort-merge) join otherwise."""
-    return fact.join(sized_broadcast(dim, max_bytes), on, how)
+    return materialize(df, name) if has_scratch(df.sparkSession) else df

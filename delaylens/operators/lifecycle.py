@@ -127,46 +127,31 @@ def _grid(spark, stages, bins: int) -> DataFrame:
     )
 
 
-def stage_density(lm: DataFrame, stages=STAGES, grid_points: int = 200, fine_bins: int = 1000) -> DataFrame:
+def stage_density(lm: DataFrame, stages=STAGES, grid_points: int = 200) -> DataFrame:
     """Gaussian kernel density curve on ``grid_points`` over [min, max].
 
     Bandwidth is Scott's rule (stddev * n^(-1/5)). Stages are stacked into
-    (stage, x) rows; per-stage statistics are one small aggregate (broadcast
-    on the stage name); rows are counted into ``fine_bins`` equal bins (a
-    partial aggregate, skew-safe); each stage's <= ``fine_bins`` (bin, count)
-    cells are packed into one bounded array and the kernel sum for every grid
-    point runs over that array, so no row ever meets the grid.
+    (stage, x) rows and counted by distinct value; each distinct value adds its
+    weighted kernel to the fixed number of grid points, combined on the map
+    side, so the curve is exact. A stage of one value (or one row) has no
+    bandwidth: its density is NULL.
     """
-    long = _stacked(lm, stages)
-    lo, hi, x = F.col("lo"), F.col("hi"), F.col("x")
-    stats = long.groupBy("stage").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"),
-        F.stddev_samp("x").alias("sd"), F.count("x").alias("n"),
-    ).select(
-        "stage", "lo", "hi", "n",
-        ((hi - lo) / fine_bins).alias("step"),
-        (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
-    )
-    bin_idx = F.least(F.floor(F.try_divide(x - lo, F.col("step"))), F.lit(fine_bins - 1))
-    binned = (
-        long.join(F.broadcast(stats.select("stage", "lo", "step")), "stage")  # one row per stage
-        .groupBy("stage", F.coalesce(bin_idx, F.lit(0)).cast("int").alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    packed = binned.groupBy("stage").agg(F.collect_list(F.struct("b", "c")).alias("cells"))
-    one = packed.join(F.broadcast(stats), "stage")
-    step, h = F.col("step"), F.col("h")
+    counted = _stacked(lm, stages).groupBy("stage", "x").agg(F.count(F.lit(1)).alias("c"))
+    lo, hi, x, c = F.col("lo"), F.col("hi"), F.col("x"), F.col("c")
+    # two passes for the spread: no cancellation of large sums
+    stats = _stacked(lm, stages).groupBy("stage").agg(
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"), F.count("x").alias("n")
+    ).select("stage", "lo", "hi", "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"))
     g = lo + (hi - lo) * F.col("i") / F.lit(grid_points - 1)
-    kernel_sum = F.aggregate(
-        "cells",
-        F.lit(0.0),
-        lambda acc, cell: acc + cell["c"] * F.exp(-F.pow((g - (lo + step * (cell["b"] + 0.5))) / h, 2) / 2),
+    met = counted.join(F.broadcast(stats), "stage").select(  # one row per stage
+        "*", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i")
     )
-    return one.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i")).select(
+    kernel = c * F.exp(-F.pow(F.try_divide(g - x, F.col("h")), 2) / 2)
+    return met.groupBy("stage", "i", "lo", "hi", "n", "h").agg(F.sum(kernel).alias("k")).select(
         "stage",
         F.col("i").alias("point"),
         g.alias("x"),
-        (kernel_sum / (F.col("n") * h * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
+        F.try_divide(F.col("k"), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))).alias("density"),
     )
 
 
@@ -200,7 +185,7 @@ def order_funnel(orders: DataFrame) -> DataFrame:
         F.col("stage_order").cast("int").alias("stage_order"),
         "stage",
         F.col("orders").cast("long").alias("orders"),
-        (F.col("orders") / F.col("n0")).alias("share_of_orders"),
+        F.coalesce(F.try_divide(F.col("orders"), F.col("n0")), F.lit(0.0)).alias("share_of_orders"),
     )
 
 
@@ -208,9 +193,8 @@ def handover_gap(lm: DataFrame, percentiles=(0.5, 0.9), exact: bool = True, accu
     """L3: per-seller approval->carrier gap: mean, count and percentiles.
 
     ``exact=True`` computes interpolated percentiles (same definition as
-    ``percentile`` / ``quantile_cont``) from per-(seller, value) counts, so a
-    task holds one row per distinct gap value of a seller, never the raw rows
-    of a hot seller. ``exact=False`` uses the mergeable ``percentile_approx``
+    ``percentile`` / ``quantile_cont``) from per-(seller, value) counts in range
+    partitions, so no task orders a hot seller's values. ``exact=False`` uses the mergeable ``percentile_approx``
     sketch (bounded memory per group).
     """
     gap = F.col("time_to_carrier")
@@ -228,63 +212,47 @@ def handover_gap(lm: DataFrame, percentiles=(0.5, 0.9), exact: bool = True, accu
     return summary.join(exact_percentiles(base, "seller_id", "gap", percentiles, names), "seller_id")
 
 
-def exact_percentiles(
-    df: DataFrame, key: str | None, value: str, percentiles, names, buckets: int = 4096
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, key: str | None, value: str, percentiles, names) -> DataFrame:
     """Interpolated percentiles per key (``key=None``: over all rows, one
     output row): position (n - 1) * p between the sorted values, linear
-    interpolation (the ``percentile`` / ``quantile_cont`` definition),
-    computed exactly in two levels so no task ever orders all values of a key:
-
-      1. value histogram per (key, value) - a partial aggregate, skew-safe;
-      2. per key, the values fall into ``buckets`` equal-width buckets of the
-         key's [min, max]; a running count over at most ``buckets`` rows per
-         key locates the buckets holding the needed ranks;
-      3. only the distinct values inside those buckets are ordered.
+    interpolation (the ``percentile`` / ``quantile_cont`` definition), exact:
+
+      1. value histogram per (key, value), a partial aggregate, dealt to range
+         partitions of (key, value) whose bounds Spark samples from the distinct
+         values (an outlier moves no bound), and stored once;
+      2. counts per (key, partition); a running sum over the partitions of a
+         key finds those holding the needed ranks;
+      3. only the distinct values inside these are ordered. No task orders more
+         than one range partition, whatever a key's values are.
     """
     from pyspark.sql import Window
 
+    from ..sources.catalog import materialize
+
     keys = [key] if key else []
     v = F.col(value)
     hist = df.filter(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    if keys:
-        stats = hist.groupBy(*keys).agg(
-            F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__c").alias("__n")
-        )
-        # an aggregate whose size is known only at runtime: a plain join,
-        # which AQE turns into a broadcast once it measures it small
-        hb = hist.join(stats, keys)
-    else:
-        hb = hist.select(
-            "*",
-            hist.agg(F.min(value)).scalar().alias("__lo"),
-            hist.agg(F.max(value)).scalar().alias("__hi"),
-            hist.agg(F.sum("__c")).scalar().alias("__n"),
-        )
-    width = F.col("__hi") - F.col("__lo")
-    bucket = F.when(
-        width > 0, F.least(F.floor((v - F.col("__lo")) / width * buckets), F.lit(buckets - 1))
-    ).otherwise(F.lit(0)).cast("int")
-    hb = hb.withColumn("__b", bucket)
+    # stored, because the number of a range partition holds for one evaluation
+    placed = materialize(hist.repartitionByRange(*keys, value).withColumn("__b", F.spark_partition_id()), "percentiles")
+
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_b = placed.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc")).select(
+        *keys, "__b", "__bc", F.sum("__bc").over(upto).alias("__bcum"), F.sum("__bc").over(whole).alias("__n")
+    ).withColumn("__before", F.col("__bcum") - F.col("__bc"))
 
     ranks = []  # (name, k_lo, k_hi, frac) as columns over __n
     for p, name in zip(percentiles, names):
         pos = (F.col("__n") - 1) * F.lit(float(p))
         ranks.append((name, F.floor(pos), F.ceil(pos), pos - F.floor(pos)))
-
-    per_b = hb.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"), F.max("__n").alias("__n"))
-    upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_b = per_b.withColumn("__bcum", F.sum("__bc").over(upto)).withColumn(
-        "__before", F.col("__bcum") - F.col("__bc")
-    )
     holds = None
     for _, k_lo, k_hi, _ in ranks:
         for k in (k_lo, k_hi):
             c = (F.col("__before") <= k) & (k < F.col("__bcum"))
             holds = c if holds is None else holds | c
-    targets = per_b.filter(holds).select(*keys, "__b", "__before")
+    targets = per_b.filter(holds).select(*keys, "__b", "__before", "__n")
 
-    inner = hb.join(targets, [*keys, "__b"])
+    inner = placed.join(targets, [*keys, "__b"])
     within = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = inner.withColumn("__cum", F.col("__before") + F.sum("__c").over(within))
     aggs = []

@@ -4,7 +4,10 @@ Plan shape (left variant, delivered cohort):
 
     orders --filter(status, delivered date)--> [x customers, at order grain]
       -- shuffle on order_id --> SMJ order_items -- (same partitioning) --> SMJ order_reviews
-      --> products, sellers: broadcast when the size check passes
+      --> products, sellers: broadcast when their files are small
+
+A caller that names the columns it needs joins only the dimensions that have
+them (dimension keys are unique, so a left join never changes the rows).
 
 The status filter sits in the orders scan; customers joins at order grain
 before the items fan out; the reviews join reuses the order_id partitioning
@@ -13,6 +16,8 @@ of the items join, so C1 + C3 cost one exchange per input.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,20 +116,44 @@ def reviews_per_order(reviews: DataFrame, review_mode: str) -> DataFrame:
     raise ValueError(f"unknown review_mode {review_mode!r}")
 
 
+PRODUCT_COLUMNS = ("product_weight_g", "product_category_name")
+SELLER_COLUMNS = ("seller_zip_code_prefix", "seller_state")
+CUSTOMER_COLUMNS = ("customer_zip_code_prefix", "customer_state")
+
+
+def dimension_keys(tables: Tables) -> DataFrame:
+    """Rows and distinct keys of each dimension; a narrow master is right only
+    if they agree."""
+    counted = [
+        df.agg(F.lit(name).alias("dimension"), F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"))
+        for name, key, df in (
+            ("customers", "customer_id", tables.customers),
+            ("products", "product_id", tables.products),
+            ("sellers", "seller_id", tables.sellers),
+        )
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 def build_master(
     tables: Tables,
     cohort: str = "delivered",
     join: str = "left",
     review_mode: str = "fanout",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """A4 body: the 17-column master table (one row per item x review).
 
     ``join="left"`` is the SQL warehouse build (C2 + C3), ``join="inner"``
     the notebook variant (C4, no reviews). ``review_mode="fanout"`` keeps
     the upstream row multiplication by reviews; ``"mean"`` averages reviews
-    per order first.
+    per order first. ``columns`` are the master columns the caller needs:
+    in the left variant, dimensions with none of them are not joined. Reviews
+    always are, for they change the number of rows.
     """
     how = "left" if join == "left" else "inner"
+    wanted = list(columns or MASTER_COLUMNS)
+    needs = lambda names: join != "left" or any(c in wanted for c in names)
     orders = with_late_flag(select_cohort(tables.orders, cohort)).select(
         "order_id",
         "customer_id",
@@ -134,8 +163,9 @@ def build_master(
         "order_estimated_delivery_date",
         "is_late",
     )
-    customers = tables.customers.select("customer_id", "customer_zip_code_prefix", "customer_state")
-    orders = dimension_join(orders, customers, "customer_id", how)
+    if needs(CUSTOMER_COLUMNS):
+        customers = tables.customers.select("customer_id", *CUSTOMER_COLUMNS)
+        orders = dimension_join(orders, customers, "customer_id", how)
 
     items = tables.order_items.select("order_id", "product_id", "seller_id", "price", "freight_value")
     df = order_items_joined(orders, items)
@@ -144,13 +174,13 @@ def build_master(
     else:
         df = df.withColumn("review_score", F.lit(None).cast("int"))
 
-    products = tables.products.select("product_id", "product_weight_g", "product_category_name")
-    sellers = tables.sellers.select("seller_id", "seller_zip_code_prefix", "seller_state")
-    df = dimension_join(df, products, "product_id", how)
-    df = dimension_join(df, sellers, "seller_id", how)
-    if join == "left":
+    if needs(PRODUCT_COLUMNS):
+        df = dimension_join(df, tables.products.select("product_id", *PRODUCT_COLUMNS), "product_id", how)
+    if needs(SELLER_COLUMNS):
+        df = dimension_join(df, tables.sellers.select("seller_id", *SELLER_COLUMNS), "seller_id", how)
+    if join == "left" and "product_weight_g" in wanted:
         df = fill_weight_from_catalog(df, tables.products)
-    return df.select(*MASTER_COLUMNS)
+    return df.select(*wanted)
 
 
 def build_master_inner(tables: Tables, cohort: str = "status_only") -> DataFrame:

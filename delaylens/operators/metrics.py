@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk_flag, risk_label, safe_ratio
 
+# upstream's sweep.
 DEFAULT_THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
 
 
@@ -79,7 +80,7 @@ def classification_report(df: DataFrame, label: str = "y", prediction: str = "pr
         p1.alias("p1"), r1.alias("r1"), f1.alias("f1"), s1.alias("s1"),
         safe_ratio(tp + tn, n).alias("acc"), n.alias("n"),
     )
-    w = lambda a, b: (F.col(a) * F.col("s0") + F.col(b) * F.col("s1")) / F.col("n")
+    w = lambda a, b: F.try_divide(F.col(a) * F.col("s0") + F.col(b) * F.col("s1"), F.col("n"))
     m = lambda a, b: (F.col(a) + F.col(b)) / 2
     wide = wide.select(
         "*",
@@ -131,12 +132,13 @@ def roc_auc(df: DataFrame, label: str = "y", score: str = "p", buckets: int = 1
         "b", "s", "pos", "neg", F.coalesce(F.sum("neg").over(inner), F.lit(0)).alias("neg_in_bucket")
     ).join(carry, "b")
     return ranked.agg(
-        (
-            F.sum(F.col("pos").cast("double") * (F.col("carry") + F.col("neg_in_bucket") + F.col("neg") / 2.0))
-            / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))
+        # NULL where a class is missing: there is nothing to rank
+        F.try_divide(
+            F.sum(F.col("pos").cast("double") * (F.col("carry") + F.col("neg_in_bucket") + F.col("neg") / 2.0)),
+            F.sum("pos").cast("double") * F.sum("neg").cast("double"),
         ).alias("roc_auc"),
-        F.sum("pos").cast("long").alias("positives"),
-        F.sum("neg").cast("long").alias("negatives"),
+        F.coalesce(F.sum("pos"), F.lit(0)).cast("long").alias("positives"),
+        F.coalesce(F.sum("neg"), F.lit(0)).cast("long").alias("negatives"),
     )
 
 

@@ -23,6 +23,7 @@ from ..schemas import FEATURES, LABEL
 from ..session import ensure_checkpoint_dir
 from .features import fill_weight_from_rows
 from .geo import add_coordinates, with_distance
+from .joins import stored_side
 from .metrics import with_risk
 from .sellers import enrich_seller_rate, fill_seller_rate, mean_seller_rate
 from .split import stratified_split
@@ -65,11 +66,11 @@ def train_gbt(features: DataFrame, **params) -> TrainResult:
     """M2 + M3: exact stratified split, then fit on the training part."""
     p = {**DEFAULT_PARAMS, **params}
     ensure_checkpoint_dir(features.sparkSession)
-    keep = [c for c in features.columns if c in ("order_id", "seller_id", "row_id")]
+    keep = [c for c in features.columns if c in ("order_id", "seller_id")]
     data = features.select(*FEATURES, F.col(LABEL).cast("double").alias(LABEL), *keep)
-    # the narrow training rows are written once with their own ids: cheaper
-    # than re-deriving the feature chain in each branch of the split
-    split = stratified_split(data, LABEL, p["test_fraction"], p["seed"])
+    # the narrow training rows are stored once: cheaper than re-deriving the
+    # feature chain in each branch of the split
+    split = stratified_split(stored_side(data, "training-rows"), LABEL, p["test_fraction"], p["seed"])
     train = with_class_weight(split.train, p["pos_weight"]).persist()
     model = build_pipeline(p["rounds"], p["step"], p["depth"], p["seed"]).fit(train)
     train.unpersist()
@@ -94,12 +95,19 @@ def evaluation_frame(model: PipelineModel, test: DataFrame) -> DataFrame:
     )
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, k: int = 10) -> DataFrame:
-    """M8/F2: top-k features by importance (gain-based in Spark ML)."""
-    gbt = model.stages[-1]
-    pairs = [(name, float(v)) for name, v in zip(FEATURES, gbt.featureImportances.toArray())]
-    df = spark.createDataFrame(pairs, "feature string, importance double")
-    return df.orderBy(F.desc("importance"), "feature").limit(k)
+def feature_importance(spark: SparkSession, root: str, k: int = 10) -> DataFrame:
+    """M8/F2: top-k features by gain, the mean impurity gain of the splits that
+    use a feature, over the nodes of all trees of the stored model (``root``).
+    Features that no split uses have no row. Ties go by name."""
+    nodes = spark.read.parquet(f"{root}/model/stages/*/data").select("nodeData.gain", "nodeData.split.featureIndex")
+    names = F.array(*[F.lit(f) for f in FEATURES])
+    used = nodes.filter(F.col("featureIndex") >= 0)
+    return (
+        used.groupBy(F.get(names, F.col("featureIndex")).alias("feature"))
+        .agg(F.avg("gain").alias("mean_gain"), F.count(F.lit(1)).alias("splits"))
+        .orderBy(F.desc("mean_gain"), "feature")
+        .limit(k)
+    )
 
 
 # --------------------------------------------------------------------------- artifacts
@@ -147,8 +155,9 @@ def load_artifacts(spark: SparkSession, root: str) -> Artifacts:
 def split_scorable(df: DataFrame, centroid: DataFrame, profile: DataFrame, mean_weight=None, rate_fill=None):
     """Feature rows that can be scored, and the rest with a reason.
 
-    Upstream silently drops unscorable rows; here they are kept apart with
-    ``no_seller_geo``, ``no_customer_geo`` or ``missing_feature``.
+    Upstream silently drops rows without a distance; here they are kept apart
+    with ``no_seller_geo`` or ``no_customer_geo``. Other missing features are
+    left to the trees, as in training.
     """
     cols = set(df.columns)
     if "s_lat" not in cols:
@@ -163,15 +172,7 @@ def split_scorable(df: DataFrame, centroid: DataFrame, profile: DataFrame, mean_
     else:
         df = df.withColumn("seller_late_rate", F.coalesce(F.col("seller_late_rate"), F.lit(float(rate_fill))))
     df = fill_weight_from_rows(df, mean_weight)
-    missing = None
-    for f in FEATURES:
-        cond = F.col(f).isNull() | F.isnan(F.col(f))
-        missing = cond if missing is None else missing | cond
-    reason = (
-        F.when(F.col("s_lat").isNull(), "no_seller_geo")
-        .when(F.col("c_lat").isNull(), "no_customer_geo")
-        .when(missing, "missing_feature")
-    )
+    reason = F.when(F.col("s_lat").isNull(), "no_seller_geo").when(F.col("distance_km").isNull(), "no_customer_geo")
     tagged = df.withColumn("reject_reason", reason)
     scorable = tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     rejected = tagged.filter(F.col("reject_reason").isNotNull()).withColumnRenamed("reject_reason", "reason")

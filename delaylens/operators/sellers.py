@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import sized_broadcast
 from .lifecycle import exact_percentiles
 
 
@@ -30,9 +29,10 @@ def mean_seller_rate(profile: DataFrame):
 
 
 def enrich_seller_rate(df: DataFrame, profile: DataFrame, with_count: bool = False) -> DataFrame:
-    """Left lookup of the profile by seller_id (size-checked broadcast)."""
+    """Left lookup of the profile by seller_id (pass a stored profile, so
+    that its size decides on a broadcast)."""
     cols = ["seller_id", "seller_late_rate"] + (["seller_order_count"] if with_count else [])
-    return df.join(sized_broadcast(profile.select(*cols)), "seller_id", "left")
+    return df.join(profile.select(*cols), "seller_id", "left")
 
 
 def fill_seller_rate(df: DataFrame, profile: DataFrame) -> DataFrame:
@@ -116,17 +116,30 @@ def seller_rate_asof(
     )
 
 
+def past_rate(rows: DataFrame, asof_col: str = "order_purchase_timestamp", **columns) -> DataFrame:
+    """Adds ``past_rate``: the late rate of all outcomes known strictly before
+    the row's as-of time, whoever the seller; NULL before the first outcome.
+
+    The same two-level prefix sum under one key: its windows hold a row per
+    day, and per distinct instant of one day.
+    """
+    one = rows.withColumn("__all", F.lit(1))
+    dated = seller_rate_asof(one, seller_col="__all", asof_col=asof_col, **columns)
+    return dated.withColumnRenamed("seller_late_rate_asof", "past_rate").drop("__all", "seller_hist_items", "seller_hist_late")
+
+
 # --------------------------------------------------------------------------- L5, L7
 
 def late_pareto(df: DataFrame) -> DataFrame:
     """Cumulative share of late items held by the sellers with the most.
+    Rows without a seller belong to none, as in the profile (D2).
 
     Sellers are grouped by their late count (a level); the running sum runs
     over levels in descending order. The number of distinct levels is at most
     sqrt(2 x total late items), so the single ordered window stays small
     whatever the data size, and tied sellers share one point of the curve.
     """
-    per_seller = df.groupBy("seller_id").agg(F.sum("is_late").cast("long").alias("late"))
+    per_seller = df.filter(F.col("seller_id").isNotNull()).groupBy("seller_id").agg(F.sum("is_late").cast("long").alias("late"))
     total_late = per_seller.agg(F.sum("late")).scalar()
     total_sellers = per_seller.agg(F.count(F.lit(1))).scalar()
     levels = per_seller.groupBy(F.col("late").alias("late_per_seller")).agg(F.count(F.lit(1)).alias("sellers"))

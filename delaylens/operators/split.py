@@ -1,25 +1,26 @@
-"""M2: exact stratified train/test split, shuffle-light and skew-safe.
-
-Per label, exactly round(fraction x n_label) rows go to test. Rows get a
-stable row id once (the input is written with its ids as a Parquet table in
-the shared checkpoint folder, so ids survive executor loss and
-recomputation), then a seeded
-xxhash64 of (row id, content) spreads even identical copies over 65,536
-buckets. Counting per (label, bucket) is a partial aggregate; a running sum
-over at most 65,536 buckets per label finds each label's cut bucket; only the
-rows of that one bucket are numbered. No window ever covers a whole label.
+"""M2: exact stratified train/test split that depends on the rows alone.
+
+Per label, exactly round(fraction x n_label) rows go to test: those with the
+least seeded content hashes. Partitioning, task order and repeated evaluation
+don't matter, and no row needs an id.
+
+The hash that holds a label's last test row is found by two histograms over 16
+bits each (partial aggregates; windows of at most 65,536 rows per label), which
+leave one row in 2^32 to order. Rows are tagged in one projection that compares
+their hash with that cut. Rows whose hash is the cut itself are counted by
+content, and the counts are dealt out, so copies of one row that straddle the
+cut never meet in a window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-BUCKETS = 1 << 16
+BITS = 60  # of the hash: 15 hexadecimal digits
 
 
 @dataclass
@@ -29,58 +30,61 @@ class Split:
     assigned: DataFrame  # input columns + is_test
 
 
-def _with_row_id(df: DataFrame) -> DataFrame:
-    """Freeze a row id by writing the rows once to the shared folder; later
-    reads (and recomputation after executor loss) see the same ids."""
-    from ..sources.catalog import materialize
+def content_hash(columns: Sequence[str], seed: int = 42) -> Column:
+    """A non-negative 60-bit hash of the columns' text, reproducible in any
+    engine that has md5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("bigint")
+
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return materialize(df.withColumn("__rid", F.monotonically_increasing_id()), "split-rows")
+def _cut_level(rows: DataFrame, label: str, digit: Column) -> DataFrame:
+    """(label, digit, rest): the digit that holds the ``__k``-th row of each
+    label, and how many rows of it are still to be taken."""
+    counts = rows.groupBy(label, "__k", digit.alias("__d")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(label).orderBy("__d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ran = counts.withColumn("__cum", F.sum("__c").over(upto))
+    held = (F.col("__cum") >= F.col("__k")) & (F.col("__cum") - F.col("__c") < F.col("__k"))
+    return ran.filter(held).select(label, "__d", (F.col("__k") - F.col("__cum") + F.col("__c")).alias("__k"))
 
 
 def assign_split(
-    df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42, row_id: str | None = None
+    df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42, hash_columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Add ``is_test`` to every row (exact per-label test counts).
 
-    ``row_id`` names a column that is already a stable unique row id; use it
-    when ``df`` is itself a read of a written table (each branch below reads
-    ``df`` again). Otherwise the rows are written once with an id.
+    ``hash_columns`` (default: all) decide a row's place. Rows without a label
+    stay in train.
     """
-    cols = [c for c in df.columns if c != row_id]
-    base = df.withColumnRenamed(row_id, "__rid") if row_id else _with_row_id(df)
-    h = F.xxhash64(F.lit(seed), F.col("__rid"), *[F.col(f"`{x}`") for x in cols])
-    base = base.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(BUCKETS)))
-    per_bucket = base.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = per_bucket.select(
-        label, "__b", "__c",
-        F.sum("__c").over(w).alias("__cum"),
-        F.sum("__c").over(Window.partitionBy(label)).alias("__n"),
-    ).withColumn("__k", F.round(F.col("__n") * F.lit(float(test_fraction))).cast("long"))
-    # one row per label: the bucket holding the k-th row, and how many of its rows go to test
-    cut = (
-        cum.filter((F.col("__cum") - F.col("__c") < F.col("__k")) & (F.col("__cum") >= F.col("__k")))
-        .select(label, F.col("__b").alias("__cut"), (F.col("__k") - (F.col("__cum") - F.col("__c"))).alias("__take"))
-    )
-    # labels whose k is 0 have no cut row: everything there is train
-    tagged = base.join(F.broadcast(cut), label, "left")  # one row per label: proven tiny
-    in_cut = F.col("__b") == F.col("__cut")
-    rest = tagged.filter(~in_cut | F.col("__cut").isNull()).withColumn(
-        "is_test", F.coalesce(F.col("__b") < F.col("__cut"), F.lit(False))
-    )
-    cut_rows = tagged.filter(in_cut)
-    rn = F.row_number().over(Window.partitionBy(label).orderBy("__h", "__rid"))
-    cut_rows = cut_rows.withColumn("is_test", rn <= F.col("__take"))
-    out = rest.unionByName(cut_rows)
-    keep_id = [F.col("__rid").alias(row_id)] if row_id else []
-    return out.select(*[F.col(f"`{x}`") for x in cols], *keep_id, "is_test")
+    cols = df.columns
+    base = df.withColumn("__h", content_hash(hash_columns or cols, seed))
+    h = F.col("__h")
+    high, middle = F.shiftright(h, BITS - 16), F.shiftright(h, BITS - 32).bitwiseAND(F.lit(0xFFFF))
+
+    labelled = base.filter(F.col(label).isNotNull()).select(label, "__h")
+    totals = labelled.groupBy(label).agg(F.round(F.count(F.lit(1)) * F.lit(float(test_fraction))).cast("long").alias("__k"))
+    totals = F.broadcast(totals.filter(F.col("__k") > 0))  # one row per label, like the cuts below
+    first = _cut_level(labelled.join(totals, label), label, high).withColumnRenamed("__d", "__d1")
+    second = labelled.join(F.broadcast(first), label).filter(high == F.col("__d1"))
+    found = _cut_level(second, label, middle).withColumnRenamed("__d", "__d2")
+    third = labelled.join(F.broadcast(first.select(label, "__d1")), label).join(F.broadcast(found), label)
+    third = third.filter((high == F.col("__d1")) & (middle == F.col("__d2")))
+    cut = _cut_level(third, label, h).select(label, F.col("__d").alias("__cut"), F.col("__k").alias("__take"))
+
+    tagged = base.join(F.broadcast(cut), label, "left")
+    plain = tagged.filter(F.col("__cut").isNull() | (h != F.col("__cut")))
+    plain = plain.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(h < F.col("__cut"), F.lit(False)).alias("is_test"))
+    # Rows on the cut: their counts by content, the first __take go to test.
+    edge = tagged.filter(h == F.col("__cut")).groupBy(*[F.col(f"`{c}`") for c in cols], "__take").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy(label).orderBy(*[F.col(f"`{c}`") for c in cols]).rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("__left", F.col("__take") - F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    edge = edge.select(*[F.col(f"`{c}`") for c in cols], "__left", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c"))).alias("__i"))
+    return plain.unionByName(edge.select(*[F.col(f"`{c}`") for c in cols], (F.col("__i") <= F.col("__left")).alias("is_test")))
 
 
 def stratified_split(
-    df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42, row_id: str | None = None
+    df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42, hash_columns: Sequence[str] | None = None
 ) -> Split:
-    assigned = assign_split(df, label, test_fraction, seed, row_id)
+    assigned = assign_split(df, label, test_fraction, seed, hash_columns)
     return Split(
         train=assigned.filter(~F.col("is_test")).drop("is_test"),
         test=assigned.filter(F.col("is_test")).drop("is_test"),
@@ -89,11 +93,14 @@ def stratified_split(
 
 
 def stratified_split_counts(
-    df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42, row_id: str | None = None
+    df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42, hash_columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Per label: rows in train and in test (the exactness check)."""
-    assigned = assign_split(df, label, test_fraction, seed, row_id)
+    """Per label: rows in train and in test, and an order-independent digest of
+    the test rows (sum of their hashes modulo a prime)."""
+    assigned = assign_split(df, label, test_fraction, seed, hash_columns)
+    h = content_hash(hash_columns or df.columns, seed) % 1_000_003
     return assigned.groupBy(F.col(label).alias("label")).agg(
         F.count_if(~F.col("is_test")).alias("train_rows"),
         F.count_if(F.col("is_test")).alias("test_rows"),
+        F.coalesce(F.sum(F.when(F.col("is_test"), h)), F.lit(0)).cast("long").alias("test_digest"),
     )

@@ -31,8 +31,9 @@ def round_doubles(df: DataFrame, digits: int = ROUND_DIGITS) -> DataFrame:
     )
 
 
-def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_master(tables(spark, sf_dir))
+def master(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The master table, or only ``columns`` of it from the tables they need."""
+    return build_master(tables(spark, sf_dir), columns=columns or None)
 
 
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators.metrics import roc_auc
 from ..operators.model import (
     DEFAULT_PARAMS,
     Artifacts,
+    TrainResult,
     evaluation_frame,
     feature_importance,
     load_artifacts,
@@ -23,40 +24,51 @@ from ..operators.model import (
     train_gbt,
     training_stats,
 )
-from ..schemas import FEATURES
-from ..sources.raw import path_exists
+from ..schemas import FEATURES, LABEL
+from ..sources.catalog import plan_version
+from ..sources.store import current, publish
 from ..sources.tables import Tables
 from ..session import scratch_path
 from . import common as c
 
 
-def artifact_root(spark: SparkSession, sf_dir: str, params: dict | None = None) -> str:
-    sig = f"{__version__}|{FEATURES}|{sf_dir}|{sorted((params or DEFAULT_PARAMS).items())}"
-    key = hashlib.sha1(sig.encode()).hexdigest()[:12]
-    return scratch_path(spark, "artifacts", key)
+def artifact_version(spark: SparkSession, sf_dir: str, params: dict) -> str:
+    """Library, features, parameters and all input files behind the artifacts."""
+    sig = f"{__version__}|{FEATURES}|{sorted(params.items())}|{plan_version(c.master(spark, sf_dir))}"
+    return hashlib.sha256(sig.encode()).hexdigest()
 
 
-def train_and_store(spark: SparkSession, sf_dir: str, **params) -> tuple[Artifacts, DataFrame]:
-    """Train on the full feature chain, store artifacts, return them with
-    the hold-out evaluation frame (y, p, pred)."""
+def artifact_root(spark: SparkSession, sf_dir: str) -> str:
+    return scratch_path(spark, "artifacts", hashlib.sha256(sf_dir.encode()).hexdigest()[:12])
+
+
+def train_and_store(spark: SparkSession, sf_dir: str, **params) -> tuple[Artifacts, TrainResult]:
+    """Train on the full feature chain and publish the artifacts as one version:
+    readers see all parts of it or none."""
+    params = {**DEFAULT_PARAMS, **params}
+    version = artifact_version(spark, sf_dir, params)
     t = c.tables(spark, sf_dir)
     prep = c.features(spark, sf_dir)
     res = train_gbt(prep.features, **params)
-    root = artifact_root(spark, sf_dir, {**DEFAULT_PARAMS, **params})
     centroid = geo_centroid(t.geolocation)
-    save_artifacts(res.model, prep.seller_profile, centroid, training_stats(prep.features, prep.seller_profile), root)
-    return load_artifacts(spark, root), evaluation_frame(res.model, res.test)
+    stats = training_stats(prep.features, prep.seller_profile)
+    folder = publish(
+        spark, artifact_root(spark, sf_dir), version, lambda to: save_artifacts(res.model, prep.seller_profile, centroid, stats, to)
+    )
+    return load_artifacts(spark, folder), res
+
+
+def stored_artifacts(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the artifacts of the present data, trained if absent."""
+    root, version = artifact_root(spark, sf_dir), artifact_version(spark, sf_dir, DEFAULT_PARAMS)
+    if not current(spark, root, version):
+        train_and_store(spark, sf_dir)
+    return current(spark, root, version)
 
 
 def ensure_artifacts(spark: SparkSession, sf_dir: str) -> Artifacts:
     """A6-style build-if-absent for the model artifacts."""
-    root = artifact_root(spark, sf_dir)
-    if path_exists(spark, f"{root}/training_stats/_SUCCESS"):
-        try:
-            return load_artifacts(spark, root)
-        except Exception:  # noqa: BLE001 - unreadable artifacts are rebuilt
-            pass
-    return train_and_store(spark, sf_dir)[0]
+    return load_artifacts(spark, stored_artifacts(spark, sf_dir))
 
 
 def open_order_records(t: Tables) -> DataFrame:
@@ -71,17 +83,43 @@ def open_order_records(t: Tables) -> DataFrame:
 
 
 def q_train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2-M5: train with upstream parameters; hold-out AUC and class counts."""
-    _, ev = train_and_store(spark, sf_dir)
-    return roc_auc(ev)
+    """M2-M5: train with upstream parameters. Rows of each class in train and
+    in the hold-out, and whether the hold-out is scored: a probability per row
+    and an area under the curve from 0 to 1."""
+    _, res = train_and_store(spark, sf_dir)
+    ev = evaluation_frame(res.model, res.test)
+    auc = roc_auc(ev).select(F.col("roc_auc").between(0, 1).alias("auc_valid"))
+    held = ev.groupBy("y").agg(F.count(F.lit(1)).alias("test_rows"), F.count_if(~F.col("p").between(0, 1) | F.col("p").isNull()).alias("bad_scores"))
+    train = res.train.groupBy(F.col(LABEL).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("train_rows"))
+    valid = auc.scalar()  # one row
+    return train.join(held, "y", "left").select(
+        F.col("y").alias("label"),
+        "train_rows",
+        F.coalesce("test_rows", F.lit(0)).cast("long").alias("test_rows"),
+        F.coalesce("bad_scores", F.lit(0)).cast("long").alias("bad_scores"),
+        valid.alias("auc_valid"),
+    )
+
+
+def scoring_facts(scored: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Per input row: whether it was scored, and whether its outputs agree
+    (probability from 0 to 1, strict flag and label of the same side)."""
+    p, flag = F.col("delay_risk_probability"), F.col("is_high_risk")
+    agree = p.between(0, 1) & (flag == (p > 0.5)) & (F.col("risk_label") == F.when(flag, "HIGH RISK").otherwise("ON TRACK"))
+    good = scored.select("order_id", "seller_id", F.lit("scored").alias("outcome"), F.coalesce(agree, F.lit(False)).alias("consistent"))
+    return good.unionByName(rejected.select("order_id", "seller_id", F.col("reason").alias("outcome"), F.lit(True).alias("consistent")))
 
 
 def q_score_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score open orders with the stored artifacts."""
-    art = ensure_artifacts(spark, sf_dir)
-    scored, _ = score_orders(open_order_records(c.tables(spark, sf_dir)), art)
-    return scored.select("order_id", "seller_id", "delay_risk_probability", "is_high_risk", "risk_label")
+    """Score open orders with the stored artifacts; every order item
+    comes out once, scored or rejected with its reason."""
+    return scoring_facts(*score_orders(open_order_records(c.tables(spark, sf_dir)), ensure_artifacts(spark, sf_dir)))
 
 
 def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_importance(spark, ensure_artifacts(spark, sf_dir).model, 10)
+    """M8: every model feature, and whether its mean gain over the trees' splits
+    is a possible one (a feature may have no split)."""
+    gains = feature_importance(spark, stored_artifacts(spark, sf_dir), len(FEATURES))
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(f) for f in FEATURES])).alias("feature"))
+    ok = F.col("mean_gain").isNull() | ((F.col("mean_gain") >= 0) & (F.col("splits") > 0))
+    return names.join(gains, "feature", "left").select("feature", ok.alias("gain_valid"))

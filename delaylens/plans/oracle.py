@@ -21,25 +21,30 @@ src_orders AS (
     o_orderdate + 34 * INTERVAL '1' DAY AS order_estimated_delivery_date
   FROM orders),
 src_items AS (
-  SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id, l_suppkey AS seller_id,
+  SELECT l_orderkey AS order_id, l_linenumber AS order_item_id,
+    CASE WHEN l_partkey % 101 = 0 THEN -l_partkey ELSE l_partkey END AS product_id, l_suppkey AS seller_id,
     l_extendedprice AS price, l_extendedprice*l_tax AS freight_value
   FROM lineitem),
 src_products AS (
   SELECT p_partkey AS product_id,
     CASE WHEN p_partkey % 61 = 0 THEN NULL ELSE p_type END AS product_category_name,
     CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_size*100.0e0 END AS product_weight_g
-  FROM part WHERE p_partkey % 101 <> 0),
+  FROM part),
 src_sellers AS (
-  SELECT s_suppkey AS seller_id, s_nationkey AS seller_zip_code_prefix, n_name AS seller_state
+  SELECT s_suppkey AS seller_id,
+    CAST(CASE WHEN s_suppkey % 25 = 24 THEN 1000 + s_nationkey ELSE s_nationkey END AS INTEGER) AS seller_zip_code_prefix,
+    n_name AS seller_state
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 src_customers AS (
-  SELECT c_custkey AS customer_id, c_nationkey AS customer_zip_code_prefix, n_name AS customer_state
+  SELECT c_custkey AS customer_id,
+    CAST(CASE WHEN c_custkey % 25 = 24 THEN 1000 + c_nationkey ELSE c_nationkey END AS INTEGER) AS customer_zip_code_prefix,
+    n_name AS customer_state
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 src_geo AS (
   SELECT c_nationkey AS geolocation_zip_code_prefix,
     -33e0 + c_nationkey*1.4e0 + (c_custkey % 10)*0.01e0 AS geolocation_lat,
     -73e0 + (c_nationkey*7 % 25)*1.6e0 - (c_custkey % 10)*0.01e0 AS geolocation_lng
-  FROM customer WHERE c_nationkey <> 24),
+  FROM customer),
 src_reviews AS (
   SELECT event_id - CASE WHEN event_id % 50 = 1 THEN 1 ELSE 0 END AS order_id,
     CAST(1 + event_id % 5 AS INTEGER) AS review_score
@@ -144,6 +149,18 @@ FROM scored"""
 )
 
 
+_scoring = """
+SELECT o.order_id, i.seller_id,
+  CASE WHEN sc.zip IS NULL THEN 'no_seller_geo' WHEN cc.zip IS NULL THEN 'no_customer_geo' ELSE 'scored' END AS outcome,
+  true AS consistent
+FROM src_orders o JOIN src_items i ON o.order_id = i.order_id
+LEFT JOIN src_sellers s ON i.seller_id = s.seller_id
+LEFT JOIN src_customers c ON o.customer_id = c.customer_id
+LEFT JOIN centroid sc ON s.seller_zip_code_prefix = sc.zip
+LEFT JOIN centroid cc ON c.customer_zip_code_prefix = cc.zip
+WHERE o.order_status <> 'delivered'"""
+
+
 ORACLE: dict[str, str] = {
     "master": q("SELECT * REPLACE (round(price, 6) AS price, round(freight_value, 6) AS freight_value, "
                 "round(product_weight_g, 6) AS product_weight_g) FROM master"),
@@ -212,11 +229,16 @@ hist AS (
   FROM pts LEFT JOIN dist_master r
     ON r.seller_id = pts.seller_id AND r.order_delivered_customer_date < pts.t
   GROUP BY 1, 2),
+past AS (
+  SELECT t, SUM(c) OVER w AS n, SUM(l) OVER w AS l
+  FROM (SELECT order_delivered_customer_date AS t, COUNT(is_late) AS c, SUM(is_late) AS l FROM dist_master GROUP BY 1)
+  WINDOW w AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 fa AS (
-  SELECT d.*, CASE WHEN h.n > 0 THEN h.l * 1.0e0 / h.n END AS asof_rate
-  FROM dist_master d JOIN hist h ON d.seller_id = h.seller_id AND d.order_purchase_timestamp = h.t)
+  SELECT d.*, CASE WHEN h.n > 0 THEN h.l * 1.0e0 / h.n END AS asof_rate, past.l * 1.0e0 / past.n AS past_rate
+  FROM dist_master d JOIN hist h ON d.seller_id = h.seller_id AND d.order_purchase_timestamp = h.t
+  ASOF LEFT JOIN past ON d.order_purchase_timestamp > past.t)
 SELECT order_id, seller_id, round(distance_km, 6) AS distance_km,
-  round(COALESCE(asof_rate, (SELECT AVG(seller_late_rate) FROM profile)), 6) AS seller_late_rate,
+  round(COALESCE(asof_rate, past_rate), 6) AS seller_late_rate,
   round(COALESCE(product_weight_g, (SELECT AVG(product_weight_g) FROM dist_master)), 6) AS product_weight_g,
   round(freight_value, 6) AS freight_value, round(price, 6) AS price, is_late
 FROM fa WHERE distance_km IS NOT NULL"""),
@@ -319,11 +341,8 @@ FROM cum"""),
     "ts_parse": q("""
 SELECT order_id, order_purchase_timestamp, order_approved_at, order_delivered_carrier_date FROM src_orders"""),
     "unscorable_rows": q("""
-SELECT CASE WHEN s_lat IS NULL THEN 'no_seller_geo' WHEN c_lat IS NULL THEN 'no_customer_geo'
-            ELSE 'missing_feature' END AS reason, COUNT(*) AS rows
-FROM dist_master
-WHERE s_lat IS NULL OR c_lat IS NULL OR distance_km IS NULL OR price IS NULL OR freight_value IS NULL
-GROUP BY 1"""),
+SELECT CASE WHEN s_lat IS NULL THEN 'no_seller_geo' ELSE 'no_customer_geo' END AS reason, COUNT(*) AS rows
+FROM dist_master WHERE s_lat IS NULL OR c_lat IS NULL GROUP BY 1"""),
     "stage_histogram": q("""
 , bounds AS (SELECT min(time_to_carrier) AS lo1, max(time_to_carrier) AS hi1,
                     min(time_in_transit) AS lo2, max(time_in_transit) AS hi2 FROM life),
@@ -344,9 +363,16 @@ SELECT g.stage, g.bin,
   CAST(COALESCE(c.c, 0) AS BIGINT) AS count
 FROM grid g CROSS JOIN bounds LEFT JOIN cnt c ON g.stage = c.stage AND g.bin = c.bin"""),
     "stratified_split": q("""
-SELECT is_late AS label, COUNT(*) - CAST(round(COUNT(*) * 0.2e0) AS BIGINT) AS train_rows,
-  CAST(round(COUNT(*) * 0.2e0) AS BIGINT) AS test_rows
-FROM feat GROUP BY is_late"""),
+, hashed AS (
+  SELECT is_late, CAST('0x' || substr(md5('42|' || order_id || '|' || seller_id || '|' || CAST(round(price * 100) AS BIGINT)), 1, 15) AS BIGINT) AS h
+  FROM feat),
+ranked AS (
+  SELECT is_late, h, row_number() OVER (PARTITION BY is_late ORDER BY h) AS rn,
+    CAST(round(COUNT(*) OVER (PARTITION BY is_late) * 0.2e0) AS BIGINT) AS k
+  FROM hashed)
+SELECT is_late AS label, COUNT(*) FILTER (WHERE rn > k) AS train_rows, COUNT(*) FILTER (WHERE rn <= k) AS test_rows,
+  CAST(COALESCE(SUM(h % 1000003) FILTER (WHERE rn <= k), 0) AS BIGINT) AS test_digest
+FROM ranked GROUP BY is_late"""),
     "seller_rate_asof": q("""
 , rows_ AS (
   SELECT o.order_id, i.seller_id, o.order_purchase_timestamp, o.order_delivered_customer_date, o.is_late
@@ -387,7 +413,7 @@ SELECT round(floor(distance_km / 250.0e0) * 250.0e0, 6) AS band_start_km,
   round(AVG(distance_km), 6) AS avg_distance_km
 FROM feat WHERE distance_km IS NOT NULL GROUP BY 1, 2"""),
     "late_pareto": q("""
-, ps AS (SELECT seller_id, CAST(SUM(is_late) AS BIGINT) AS late FROM master GROUP BY seller_id),
+, ps AS (SELECT seller_id, CAST(SUM(is_late) AS BIGINT) AS late FROM master WHERE seller_id IS NOT NULL GROUP BY seller_id),
 lv AS (SELECT late AS late_per_seller, COUNT(*) AS sellers FROM ps GROUP BY 1),
 tot AS (SELECT SUM(late) AS tl, COUNT(*) AS ts FROM ps),
 cum AS (
@@ -417,23 +443,21 @@ SELECT premium_carrier, COUNT(*) AS rows, round(AVG(is_late), 6) AS late_rate,
   round(AVG(distance_km), 6) AS avg_distance_km, round(AVG(product_weight_g), 6) AS avg_weight_g
 FROM tagged GROUP BY 1"""),
     "category_translated": q("""
-, lk AS (SELECT * FROM (VALUES ('ECONOMY', 'economy'), ('LARGE', 'large'), ('MEDIUM', 'medium'), ('PROMO', 'promo'),
-                                ('SMALL', 'small'), ('STANDARD', 'standard')) v(product_category_name, product_category_name_english))
+, lk AS (SELECT DISTINCT product_category_name, lower(product_category_name) AS product_category_name_english
+        FROM src_products WHERE product_category_name NOT LIKE 'S%')
 SELECT COALESCE(lk.product_category_name_english, m.product_category_name) AS product_category_name_english,
   COUNT(*) AS rows
 FROM master m LEFT JOIN lk ON m.product_category_name = lk.product_category_name GROUP BY 1"""),
     "stage_density": q("""
-, xs AS (SELECT 'time_to_carrier' AS stage, time_to_carrier AS x FROM life
-         UNION ALL SELECT 'time_in_transit', time_in_transit FROM life),
-st AS (SELECT stage, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd, count(x) AS n,
-              (max(x) - min(x)) / 1000 AS step FROM xs GROUP BY stage),
-bins AS (SELECT xs.stage, CAST(COALESCE(least(floor((x - lo) / step), 999), 0) AS INTEGER) AS b, COUNT(*) AS c
-         FROM xs JOIN st ON xs.stage = st.stage WHERE x IS NOT NULL GROUP BY 1, 2),
+, xs AS (SELECT 'time_to_carrier' AS stage, time_to_carrier AS x FROM life WHERE time_to_carrier IS NOT NULL
+         UNION ALL SELECT 'time_in_transit', time_in_transit FROM life WHERE time_in_transit IS NOT NULL),
+st AS (SELECT stage, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd, count(x) AS n FROM xs GROUP BY stage),
+vals AS (SELECT stage, x, COUNT(*) AS c FROM xs GROUP BY 1, 2),
 grid AS (SELECT st.*, i, lo + (hi - lo) * i / 199 AS g, sd * pow(n * 1.0e0, -0.2e0) AS h
          FROM st, range(0, 200) r(i))
 SELECT grid.stage, CAST(i AS INTEGER) AS point, round(g, 6) AS x,
-  round(SUM(c * exp(-pow((g - (lo + step * (b + 0.5e0))) / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 6) AS density
-FROM grid JOIN bins ON grid.stage = bins.stage
+  round(SUM(c * exp(-pow((g - x) / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 6) AS density
+FROM grid JOIN vals ON grid.stage = vals.stage
 GROUP BY grid.stage, i, g, n, h"""),
     "demand_by_state": q("""
 SELECT product_category_name AS category, customer_state, COUNT(*) AS rows, round(SUM(price), 6) AS revenue,
@@ -445,14 +469,48 @@ SELECT CAST(dayofweek(order_purchase_timestamp) = 5 AS INTEGER) AS is_friday,
   COUNT(*) AS rows, round(AVG(is_late), 6) AS late_rate
 FROM master GROUP BY 1, 2"""),
     "stream_late_monitor": q("""
-SELECT date_trunc('day', o.order_delivered_customer_date) AS window_start,
-  date_trunc('day', o.order_delivered_customer_date) + INTERVAL 1 DAY AS window_end,
-  s.seller_state, COUNT(*) AS deliveries, CAST(SUM(o.is_late) AS BIGINT) AS late,
-  round(SUM(o.is_late) * 1.0e0 / COUNT(*), 6) AS late_rate
-FROM late_orders o JOIN src_items i ON o.order_id = i.order_id
-LEFT JOIN src_sellers s ON i.seller_id = s.seller_id
+, outcomes AS (
+  SELECT o.order_id, s.seller_state, o.order_delivered_customer_date AS d, o.is_late,
+    CAST(floor((year(o.order_delivered_customer_date) - min(year(o.order_delivered_customer_date)) OVER ()) / 2) AS INTEGER)
+      + CASE WHEN o.order_id % 41 = 0 THEN 2 ELSE 0 END AS arrival
+  FROM late_orders o JOIN src_items i ON o.order_id = i.order_id
+  LEFT JOIN src_sellers s ON i.seller_id = s.seller_id
+  WHERE o.order_status = 'delivered' AND o.order_delivered_customer_date IS NOT NULL),
+seen AS (SELECT arrival, max(max(d)) OVER (ORDER BY arrival) - INTERVAL 2 DAY AS mark FROM outcomes GROUP BY arrival),
+kept AS (  -- an outcome is dropped if its window ended before the mark that the slices two and more before its own have set
+  SELECT o.* FROM outcomes o ASOF LEFT JOIN seen ON o.arrival - 2 >= seen.arrival
+  WHERE seen.mark IS NULL OR date_trunc('day', o.d) + INTERVAL 1 DAY > seen.mark)
+SELECT date_trunc('day', d) AS window_start, date_trunc('day', d) + INTERVAL 1 DAY AS window_end,
+  seller_state, COUNT(*) AS deliveries, CAST(SUM(is_late) AS BIGINT) AS late,
+  round(SUM(is_late) * 1.0e0 / COUNT(*), 6) AS late_rate
+FROM kept GROUP BY 1, 2, 3"""),
+    "ensure_master": q("SELECT * REPLACE (round(price, 6) AS price, round(freight_value, 6) AS freight_value, "
+                       "round(product_weight_g, 6) AS product_weight_g) FROM master"),
+    "master_stored": q("SELECT * REPLACE (round(price, 6) AS price, round(freight_value, 6) AS freight_value, "
+                       "round(product_weight_g, 6) AS product_weight_g) FROM master"),
+    "review_fanout_bucketed": q("""
+SELECT o.order_id, COUNT(*) AS rows, COUNT(r.review_score) AS reviewed_rows
+FROM src_orders o JOIN src_items i ON o.order_id = i.order_id
+LEFT JOIN src_reviews r ON o.order_id = r.order_id
 WHERE o.order_status = 'delivered' AND o.order_delivered_customer_date IS NOT NULL
-GROUP BY 1, 2, 3"""),
+GROUP BY o.order_id"""),
+    "dimension_keys": q("""
+SELECT 'customers' AS dimension, COUNT(*) AS rows, COUNT(DISTINCT customer_id) AS keys FROM src_customers
+UNION ALL SELECT 'products', COUNT(*), COUNT(DISTINCT product_id) FROM src_products
+UNION ALL SELECT 'sellers', COUNT(*), COUNT(DISTINCT seller_id) FROM src_sellers"""),
+    "raw_csv_roundtrip": q("""
+SELECT order_id, review_score,
+  CASE WHEN order_id % 7 <> 0 THEN 'so "good", ' || review_score || chr(10) || 'or ' || order_id END AS review_comment_message
+FROM src_reviews"""),
+    "profile_roundtrip": q("SELECT seller_id, round(seller_late_rate, 6) AS seller_late_rate, seller_order_count FROM profile"),
+    "train_gbt": q("""
+SELECT is_late AS label, COUNT(*) - CAST(round(COUNT(*) * 0.2e0) AS BIGINT) AS train_rows,
+  CAST(round(COUNT(*) * 0.2e0) AS BIGINT) AS test_rows, CAST(0 AS BIGINT) AS bad_scores, true AS auc_valid
+FROM feat GROUP BY is_late"""),
+    "score_orders": q(_scoring),
+    "stream_scored": q(_scoring),
+    "feature_importance": """SELECT feature, true AS gain_valid FROM (VALUES ('distance_km'), ('seller_late_rate'),
+  ('product_weight_g'), ('freight_value'), ('price')) v(feature)""",
     "daily_orders": q("""
 SELECT CAST(order_purchase_timestamp AS DATE) AS day, COUNT(*) AS orders FROM src_orders GROUP BY 1"""),
 }

@@ -4,6 +4,8 @@ SQL oracle comparison is insensitive to summation order."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,20 +13,19 @@ from pyspark.sql import functions as F
 
 from ..operators import geo, lifecycle, master as m, metrics, reports, routes, sellers
 from ..operators.features import features_strict, fill_weight_from_rows
+from ..operators.joins import stored_side
 from ..operators.split import stratified_split_counts
-from ..sources.catalog import register_master, run_sql
+from ..session import scratch_path
+from ..sources.catalog import bucket_order_tables, ensure_master, read_master, register_master, run_sql, write_master
+from ..sources.fixtures import state_names
 from ..sources.raw import parse_timestamps
 from . import common as c
+from .stores import q_profile_roundtrip, q_raw_csv_roundtrip
 from .ml import q_feature_importance, q_score_orders, q_train_gbt
 from .streams import q_stream_late_monitor, q_stream_scored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Destination columns of the route matrix = the fixture's 25
-# state names, which follow the rule NATION_<n> for n in 0..24.
-FIXTURE_STATES = [f"NATION_{i}" for i in range(25)]
-
-
 def _delivered_orders(spark, sf):
     o = m.with_late_flag(m.delivered_orders(c.tables(spark, sf).orders))
     return o.select("order_id", "customer_id", "order_purchase_timestamp", "order_delivered_customer_date",
@@ -76,32 +77,35 @@ def _geo_centroid(spark, sf):
     return geo.geo_centroid(c.tables(spark, sf).geolocation)
 
 
+ZIPS = ["order_id", "seller_id", "seller_zip_code_prefix", "customer_zip_code_prefix"]
+
+
 def _geo_enriched(spark, sf):
     t = c.tables(spark, sf)
-    df = geo.geo_enriched(m.build_master(t), t.geolocation)
+    df = geo.geo_enriched(m.build_master(t, columns=ZIPS), t.geolocation)
     return df.select("order_id", "seller_id", "seller_zip_code_prefix", "customer_zip_code_prefix",
                      "s_lat", "s_lng", "c_lat", "c_lng")
 
 
 def _order_distance(spark, sf):
     t = c.tables(spark, sf)
-    return geo.geo_enriched(m.build_master(t), t.geolocation).select("order_id", "seller_id", "distance_km")
+    return geo.geo_enriched(m.build_master(t, columns=ZIPS), t.geolocation).select("order_id", "seller_id", "distance_km")
 
 
 def _seller_profile(spark, sf):
     # D2 over the master rows (the geo lookups of the feature chain keep every row)
-    return sellers.seller_profile(c.master(spark, sf))
+    return sellers.seller_profile(c.master(spark, sf, "seller_id", "is_late"))
 
 
 def _seller_enriched(spark, sf):
-    mm = c.master(spark, sf)
-    return sellers.enrich_seller_rate(mm, sellers.seller_profile(mm), with_count=True).select(
+    mm = c.master(spark, sf, "order_id", "seller_id", "is_late")
+    return sellers.enrich_seller_rate(mm, stored_side(sellers.seller_profile(mm), "seller-profile"), with_count=True).select(
         "order_id", "seller_id", "is_late", "seller_late_rate", "seller_order_count")
 
 
 def _seller_rate_filled(spark, sf):
     t = c.tables(spark, sf)
-    profile = sellers.seller_profile(m.build_master(t))
+    profile = stored_side(sellers.seller_profile(m.build_master(t, columns=["seller_id", "is_late"])), "seller-profile")
     open_orders = t.orders.filter(F.col("order_status") != "delivered").select("order_id")
     items = open_orders.join(t.order_items.select("order_id", "seller_id"), "order_id")
     df = sellers.enrich_seller_rate(items, profile)
@@ -157,23 +161,23 @@ def _major_routes(spark, sf):
 
 def _route_matrix(spark, sf):
     major = routes.major_routes(routes.route_stats(c.lifecycle(spark, sf)), 50)
-    return routes.route_matrix(major, FIXTURE_STATES)
+    return routes.route_matrix(major, state_names(spark, sf))
 
 
 def _kpis(spark, sf):
-    return reports.kpis(c.master(spark, sf))
+    return reports.kpis(c.master(spark, sf, "order_id", "is_late", "review_score", "freight_value"))
 
 
 def _late_by_category(spark, sf):
-    return reports.late_by_category(c.master(spark, sf))
+    return reports.late_by_category(c.master(spark, sf, "is_late", "product_category_name"))
 
 
 def _worst_categories(spark, sf):
-    return reports.worst_categories(c.master(spark, sf), 10)
+    return reports.worst_categories(c.master(spark, sf, "is_late", "product_category_name"), 10)
 
 
 def _scored(spark, sf):
-    return c.fixture_score(c.master(spark, sf))
+    return c.fixture_score(c.master(spark, sf, "order_id", "seller_id", "is_late"))
 
 
 def _confusion(spark, sf):
@@ -208,18 +212,20 @@ def _ts_parse(spark, sf):
 
 def _unscorable_rows(spark, sf):
     from ..operators.model import split_scorable
-    from ..sources.catalog import materialize
 
     t = c.tables(spark, sf)
-    base = materialize(m.build_master(t), "master")  # read by the profile and by the split
+    base = m.build_master(t, columns=[*ZIPS, "is_late", "product_weight_g", "price", "freight_value"])
     profile = sellers.seller_profile(base)
-    _, rejected = split_scorable(base, geo.geo_centroid(t.geolocation), profile)
+    _, rejected = split_scorable(base, stored_side(geo.geo_centroid(t.geolocation), "geo-centroid"), profile)
     return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _stratified_split(spark, sf):
-    # the split of the feature table as the `features` query exposes it
-    return stratified_split_counts(c.features(spark, sf).features.select(*FEATURE_COLUMNS), "is_late", 0.2, 42)
+    # the split of the feature table as the `features` query exposes it; the
+    # hash is over columns whose text is the same in every engine
+    cents = F.round(F.col("price") * 100).cast("long").alias("price_cents")
+    rows = c.features(spark, sf).features.select(*FEATURE_COLUMNS, cents)
+    return stratified_split_counts(rows, "is_late", 0.2, 42, ["order_id", "seller_id", "price_cents"])
 
 
 def _seller_rate_asof(spark, sf):
@@ -242,11 +248,11 @@ def _late_by_distance(spark, sf):
 
 
 def _late_pareto(spark, sf):
-    return sellers.late_pareto(c.master(spark, sf))
+    return sellers.late_pareto(c.master(spark, sf, "seller_id", "is_late"))
 
 
 def _worst_sellers(spark, sf):
-    return sellers.worst_sellers(sellers.seller_profile(c.master(spark, sf)), 0.1)
+    return sellers.worst_sellers(stored_side(sellers.seller_profile(c.master(spark, sf, "seller_id", "is_late")), "seller-profile"), 0.1)
 
 
 def _routing_candidates(spark, sf):
@@ -254,14 +260,15 @@ def _routing_candidates(spark, sf):
 
 
 def _category_translated(spark, sf):
-    from ..sources.lookup import translate_categories
+    from ..sources.lookup import derive_lookup, translate_categories
 
-    return translate_categories(c.master(spark, sf)).groupBy("product_category_name_english").agg(
+    lookup = derive_lookup(c.tables(spark, sf).products)
+    return translate_categories(c.master(spark, sf, "product_category_name"), lookup).groupBy("product_category_name_english").agg(
         F.count(F.lit(1)).alias("rows"))
 
 
 def _review_by_late(spark, sf):
-    return reports.review_by_late(c.master(spark, sf))
+    return reports.review_by_late(c.master(spark, sf, "is_late", "review_score"))
 
 
 def _demand_by_state(spark, sf):
@@ -269,7 +276,28 @@ def _demand_by_state(spark, sf):
 
 
 def _calendar_features(spark, sf):
-    return reports.calendar_late_rates(c.master(spark, sf))
+    return reports.calendar_late_rates(c.master(spark, sf, "order_purchase_timestamp", "is_late"))
+
+
+def _master_stored(spark, sf):
+    path = scratch_path(spark, "stored", f"master-{uuid.uuid4().hex[:12]}")
+    write_master(c.master(spark, sf), path)
+    return read_master(spark, path)
+
+
+def _ensure_master(spark, sf):
+    path = scratch_path(spark, "stored", "master-" + hashlib.sha256(sf.encode()).hexdigest()[:12])
+    return ensure_master(spark, path, lambda: c.tables(spark, sf))
+
+
+def _review_fanout_bucketed(spark, sf):
+    name = uuid.uuid4().hex[:12]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return m.review_fanout(bucket_order_tables(c.tables(spark, sf), scratch_path(spark, "stored", f"bucketed-{name}"), n, f"dl_{name}"))
+
+
+def _dimension_keys(spark, sf):
+    return m.dimension_keys(c.tables(spark, sf))
 
 
 def _daily_orders(spark, sf):
@@ -328,7 +356,13 @@ QUERIES: dict[str, Query] = {
     "calendar_features": _calendar_features,
     "daily_orders": _daily_orders,
     "stream_late_monitor": q_stream_late_monitor,
-    # rows-only checks: model output has no SQL equivalent
+    "master_stored": _master_stored,
+    "ensure_master": _ensure_master,
+    "review_fanout_bucketed": _review_fanout_bucketed,
+    "dimension_keys": _dimension_keys,
+    "raw_csv_roundtrip": q_raw_csv_roundtrip,
+    "profile_roundtrip": q_profile_roundtrip,
+    # model queries return facts about the model's output that SQL can state
     "train_gbt": q_train_gbt,
     "score_orders": q_score_orders,
     "feature_importance": q_feature_importance,

@@ -1,7 +1,6 @@
-"""Streaming plans: stage arriving data from the fixture tables into the
-shared folder (in event-time order, one append per slice, as arrivals
-would land), run the stream to completion with ``availableNow`` and read
-the sink back as a batch DataFrame."""
+"""Streaming plans: let data from the fixture tables arrive in the shared
+folder, slice by slice, run the stream over each arrival with ``availableNow``
+and read the sink back as a batch DataFrame."""
 
 from __future__ import annotations
 
@@ -14,22 +13,18 @@ from ..operators.joins import dimension_join
 from ..operators.master import select_cohort, with_late_flag
 from ..schemas import SCORING_RECORD
 from ..session import scratch_path
-from ..streaming.jobs import late_rate_monitor, read_monitor, score_stream
+from ..streaming.jobs import compact_monitor, late_rate_monitor, read_monitor, score_stream
 from . import common as c
-from .ml import ensure_artifacts, open_order_records
+from .ml import ensure_artifacts, open_order_records, scoring_facts
 
 
 def _run_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex[:10]}")
 
 
-def stage_in_slices(df: DataFrame, path: str, time_col: str) -> None:
-    """Test staging: append ``df`` to ``path`` one calendar year at a time,
-    oldest first, one file per year, so a one-file-per-trigger stream sees
-    the arrivals in time order (the watermark then drops nothing)."""
-    years = [r[0] for r in df.select(F.year(time_col).alias("y")).distinct().orderBy("y").collect()]
-    for y in years:
-        df.filter(F.year(time_col) == y).coalesce(1).write.mode("append").parquet(path)
+#: Registered monitor run: years per arrival slice; outcomes of every 41st order
+#: arrive two slices late.
+SLICE_YEARS, LATE_EVERY, LATE_SLICES = 2, 41, 2
 
 
 def delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,24 +36,33 @@ def delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("order_id").cast("long"), "seller_state", "delivered_at", F.col("is_late").cast("int"))
 
 
-def q_stream_late_monitor(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """S2 over all delivery outcomes. With ``max_files`` the outcomes arrive
-    year by year in time order, one file per micro-batch (windows open and
-    close across batches); without it everything has already arrived and
-    the catch-up run reads it in one go."""
+def with_arrival(outcomes: DataFrame) -> DataFrame:
+    """The slice in which an outcome arrives: that of its year, or later."""
+    year = F.year("delivered_at")
+    first = outcomes.agg(F.min(year)).scalar()
+    late = F.when(F.col("order_id") % LATE_EVERY == 0, LATE_SLICES).otherwise(0)
+    return outcomes.withColumn("arrival", F.floor((year - first) / SLICE_YEARS).cast("int") + late)
+
+
+def q_stream_late_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 over all delivery outcomes as they arrive: a run of the stream for
+    each slice, in time order, on one checkpoint. Windows open and close across
+    the runs; outcomes that arrive behind the watermark are dropped."""
     run = _run_dir(spark, "monitor")
-    outcomes = delivery_outcomes(spark, sf_dir)
-    if max_files:
-        stage_in_slices(outcomes, f"{run}/incoming", "delivered_at")
-    else:
-        outcomes.write.mode("overwrite").parquet(f"{run}/incoming")
-    # catch-up run: take what has arrived in as few micro-batches as the source allows
-    q = late_rate_monitor(spark, f"{run}/incoming", f"{run}/sink", f"{run}/checkpoint", max_files=max_files)
-    q.awaitTermination()
+    outcomes = with_arrival(delivery_outcomes(spark, sf_dir))
+    outcomes.write.partitionBy("arrival").parquet(f"{run}/outcomes")
+    stored = spark.read.parquet(f"{run}/outcomes")
+    slices = [r.arrival for r in stored.select("arrival").distinct().orderBy("arrival").collect()]  # a few
+    for k in slices:
+        stored.filter(F.col("arrival") == k).drop("arrival").write.parquet(f"{run}/incoming/slice-{k:04d}")
+        late_rate_monitor(spark, f"{run}/incoming/*", f"{run}/sink", f"{run}/checkpoint").awaitTermination()
+    compact_monitor(spark, f"{run}/sink")
     return read_monitor(spark, f"{run}/sink")
 
 
 def q_stream_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 over the open orders: the facts of ``score_orders``, from the sinks of
+    scored and of rejected rows."""
     art = ensure_artifacts(spark, sf_dir)
     run = _run_dir(spark, "score")
     records = open_order_records(c.tables(spark, sf_dir)).select(
@@ -66,4 +70,5 @@ def q_stream_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     records.write.mode("overwrite").parquet(f"{run}/incoming")
     q = score_stream(spark, f"{run}/incoming", SCORING_RECORD, art, f"{run}/sink", f"{run}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{run}/sink/scored").drop("batch")
+    facts = scoring_facts(spark.read.parquet(f"{run}/sink/scored"), spark.read.parquet(f"{run}/sink/rejected"))
+    return facts.withColumns({k: F.col(k).cast("long") for k in ("order_id", "seller_id")})  # text in records

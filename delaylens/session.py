@@ -7,7 +7,7 @@ passes in its own session and every operator only reads settings from it.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 
 from pyspark.sql import SparkSession
 
@@ -65,27 +65,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     On a cluster this is the shared location named by ``spark.checkpoint.dir``.
-    Only when the session leaves it unset (unit tests on a laptop) do we
-    pick a private temporary folder.
+    Where the session names none, a folder in its warehouse serves, which every
+    executor reaches like the tables in it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(
-                "set spark.checkpoint.dir to a folder every executor can reach; "
-                "a machine-local folder does not survive executor loss"
-            )
-        root = tempfile.mkdtemp(prefix="delaylens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    root = _setting(spark, "spark.checkpoint.dir")
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
+
+def _setting(spark: SparkSession, key: str) -> str | None:
+    return spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
 
 
-def session_key(spark: SparkSession) -> str:
-    """Identity of a running session for plan-level caches (a stopped and
-    recreated session gets a new application id)."""
-    return f"{spark.sparkContext.applicationId}:{id(spark)}"
+def has_scratch(spark: SparkSession) -> bool:
+    """Whether the session names a shared folder. Copies that only save
+    recomputation are left out where it doesn't."""
+    return bool(_setting(spark, "spark.checkpoint.dir"))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -96,8 +90,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return root
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's part of the shared folder, removed when it ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _released:
+        _released.add(application)
+        atexit.register(_release_at_exit, spark, application)
+    return f"{checkpoint_root(spark).rstrip('/')}/delaylens/{application}"
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint folder (never machine-local)."""
-    root = checkpoint_root(spark).rstrip("/")
-    return "/".join([root, "delaylens", *parts])
+    """A path of this application under the shared folder."""
+    return "/".join([scratch_root(spark), *parts])
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application. DataFrames that
+    still read them must have been used before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_released: set[str] = set()
+
 
+def _release_at_exit(spark: SparkSession, application: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and context.applicationId == application:
+        release_scratch(spark)

@@ -2,31 +2,63 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import uuid
-
 from ..operators.master import build_master
 from ..session import scratch_path
 from .raw import path_exists, write_table
+from .store import current, publish
 from .tables import Tables
 
 MASTER_VIEW = "master_analytics_table"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a Parquet table in the shared checkpoint folder
-    and read it back: lineage is cut, a lost executor re-reads files instead
-    of replaying joins, and every later consumer reads only its columns.
-
-    Used where several branches of one plan consume the same expensive
-    input with different column sets (Catalyst then cannot share their
-    exchanges). Each call writes a fresh folder.
+    """Write ``df`` once as a Parquet table in the shared folder and read it
+    back: lineage is cut, a lost executor re-reads files instead of replaying
+    joins, and every later consumer reads only its columns.
+
+    A table is named after its plan and the versions (paths, sizes, times) of
+    all files the plan reads, so a second request of the same rows finds it, and
+    changed input makes a new one. The application's tables go when it ends
+    (``session.release_scratch`` removes them earlier).
     """
-    path = scratch_path(df.sparkSession, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "tables", f"{name}-{plan_version(df)}")
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def plan_version(df: DataFrame) -> str:
+    """A digest of the normalised plan and of the files that it reads; rows that
+    don't come from files alone are a version of their own each time."""
+    plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    if not df.inputFiles() or re.search("LogicalRDD|LocalRelation|ExternalRDD|InMemoryRelation|StreamingRelation", plan):
+        return uuid.uuid4().hex[:24]
+    named = re.sub(r"#\d+L?|plan_id=\d+|\[id=[^]]*\]", "#", plan)  # without the numbers of this planning
+    body = [named, df.schema.json(), *file_versions(df.sparkSession, df.inputFiles())]
+    return hashlib.sha256("\n".join(body).encode()).hexdigest()[:24]
+
+
+def file_versions(spark: SparkSession, files: list[str]) -> list[str]:
+    """Path, length and modification time of ``files``: one listing for each
+    folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    wanted, out = set(files), []
+    for folder in sorted({f.rpartition("/")[0] for f in files}):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        fs = path.getFileSystem(conf)
+        names = {f.rpartition("/")[2] for f in wanted if f.rpartition("/")[0] == folder}
+        for status in fs.listStatus(path):
+            if status.getPath().toUri().getRawPath().rpartition("/")[2] in names:
+                out.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    return sorted(out)
 
 
 ORDER_KEYED = ("orders", "order_items", "order_reviews")
@@ -58,11 +90,13 @@ def bucket_order_tables(tables: Tables, location: str, buckets: int, prefix: str
 
 def write_master(master: DataFrame, path: str) -> None:
     """A4: replace the master table, partitioned by purchase month so reads
-    filtered on purchase time prune whole directories."""
+    filtered on purchase time prune whole directories. Rows are rebalanced by
+    month first, so a month is a few files of a good size, not one per task;
+    Spark splits a large month over several tasks."""
     ts = F.col("order_purchase_timestamp")
     # year/month of the wall clock; date_format would pass through the session zone
     out = master.withColumn("purchase_month", F.format_string("%04d-%02d", F.year(ts), F.month(ts)))
-    write_table(out, path, partition_by=["purchase_month"])
+    write_table(out.hint("rebalance", "purchase_month"), path, partition_by=["purchase_month"])
 
 
 def read_master(spark: SparkSession, path: str) -> DataFrame:
@@ -79,15 +113,10 @@ def run_sql(spark: SparkSession, query: str | None = None) -> DataFrame:
 
 
 def ensure_master(spark: SparkSession, path: str, tables_factory) -> DataFrame:
-    """Read the stored master; if absent or unreadable, rebuild it from
-    the raw tables (``tables_factory() -> Tables``) and store it first."""
-    if path_exists(spark, path):
-        try:
-            df = read_master(spark, path)
-            df.schema  # noqa: B018 - forces footer read; corrupt folders raise here
-            return df
-        except Exception:  # noqa: BLE001 - any read failure means rebuild
-            pass
-    t: Tables = tables_factory()
-    write_master(build_master(t), path)
-    return read_master(spark, path)
+    """Read the stored master; if it is absent, incomplete or of other
+    input files, rebuild it from the raw tables (``tables_factory() -> Tables``)
+    and publish it as a new version."""
+    master = build_master(tables_factory())
+    version = plan_version(master)
+    folder = current(spark, path, version) or publish(spark, path, version, lambda to: write_master(master, to))
+    return read_master(spark, folder)

@@ -14,22 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import session_key
 from .tables import Tables
 
 
-_relations: dict[tuple[str, str], DataFrame] = {}
-_tables: dict[tuple[str, str], Tables] = {}
-
-
 def _scan(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    """Resolve each file once per session (like a catalog lookup), then
+    """Resolve the table's files anew (a file added meanwhile is seen), then
     project; the projection is what reaches the scan as ReadSchema."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (session_key(spark), path)
-    if key not in _relations:
-        _relations[key] = spark.read.parquet(path)
-    return _relations[key].select(*columns)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
 
 def _hours_after(ts: str, hours: Column) -> Column:
@@ -63,7 +54,8 @@ def fixture_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
+        # every 101st product's items name a product that doesn't exist
+        F.when(F.col("l_partkey") % 101 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_extendedprice").alias("price"),
         (F.col("l_extendedprice") * F.col("l_tax")).alias("freight_value"),
@@ -73,7 +65,7 @@ def fixture_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fixture_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _scan(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
     key = F.col("p_partkey")
-    return p.filter(key % 101 != 0).select(
+    return p.select(
         key.alias("product_id"),
         F.when(key % 61 == 0, F.lit(None).cast("string")).otherwise(F.col("p_type")).alias("product_category_name"),
         F.when(key % 50 == 0, F.lit(None).cast("double"))
@@ -86,29 +78,45 @@ def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
 
 
+def _state(spark: SparkSession, sf_dir: str, nation: str) -> Column:
+    """The nation's name, from a map of the 25 rows that the nation dimension
+    has by schema. The party stays a plain scan whose size the planner knows."""
+    names = _nation(spark, sf_dir).agg(F.map_from_entries(F.collect_list(F.struct("n_nationkey", "n_name")))).scalar()
+    return F.try_element_at(names, F.col(nation))
+
+
+def _zip(key: str, nation: str) -> Column:
+    """Every 25th party's zip prefix (1000 up) has no geolocation row."""
+    return F.when(F.col(key) % 25 == 24, F.lit(1000) + F.col(nation)).otherwise(F.col(nation)).cast("int")
+
+
+def state_names(spark: SparkSession, sf_dir: str) -> list[str]:
+    """All states of the nation dimension, in order (25 rows by schema)."""
+    return [r[0] for r in _nation(spark, sf_dir).select("n_name").distinct().orderBy("n_name").collect()]
+
+
 def fixture_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scan(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
-    # nation has 25 rows by definition of the schema: a fixed-size broadcast.
-    return s.join(F.broadcast(_nation(spark, sf_dir)), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    return s.select(
         F.col("s_suppkey").alias("seller_id"),
-        F.col("s_nationkey").alias("seller_zip_code_prefix"),
-        F.col("n_name").alias("seller_state"),
+        _zip("s_suppkey", "s_nationkey").alias("seller_zip_code_prefix"),
+        _state(spark, sf_dir, "s_nationkey").alias("seller_state"),
     )
 
 
 def fixture_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _scan(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
-    return c.join(F.broadcast(_nation(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return c.select(
         F.col("c_custkey").alias("customer_id"),
-        F.col("c_nationkey").alias("customer_zip_code_prefix"),
-        F.col("n_name").alias("customer_state"),
+        _zip("c_custkey", "c_nationkey").alias("customer_zip_code_prefix"),
+        _state(spark, sf_dir, "c_nationkey").alias("customer_state"),
     )
 
 
 def fixture_geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _scan(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
     nk, jitter = F.col("c_nationkey"), (F.col("c_custkey") % 10) * F.lit(0.01)
-    return c.filter(nk != 24).select(
+    return c.select(
         nk.alias("geolocation_zip_code_prefix"),
         (F.lit(-33.0) + nk * F.lit(1.4) + jitter).alias("geolocation_lat"),
         (F.lit(-73.0) + (nk * 7 % 25) * F.lit(1.6) - jitter).alias("geolocation_lng"),
@@ -125,15 +133,7 @@ def fixture_order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """All seven logical tables over one scale-factor directory (lazy plans,
-    built once per session and directory)."""
-    key = (session_key(spark), sf_dir.rstrip("/"))
-    if key not in _tables:
-        _tables[key] = _build_tables(spark, sf_dir)
-    return _tables[key]
-
-
-def _build_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """All seven logical tables over one scale-factor directory (lazy plans)."""
     return Tables(
         orders=fixture_orders(spark, sf_dir),
         order_items=fixture_order_items(spark, sf_dir),

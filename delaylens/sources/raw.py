@@ -12,22 +12,43 @@ from ..functions import null_if_nan
 from ..schemas import RAW_FILES
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A1: header CSV with an explicit schema (no inference pass).
-
-    Timestamps parse as timestamp_ntz from ISO text; a UTF-8 byte-order mark
-    in the header is ignored because the header row is skipped. A literal
-    NaN in a double column becomes NULL: downstream means, fills and
-    row drops treat both as missing, and Spark would otherwise keep NaN
-    apart (``avg`` turns NaN, ``NaN > x`` is true).
-    """
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
+CORRUPT = "_corrupt_record"
+
+
+def _scan_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    """All rows of a header CSV with the file's own columns, typed by name, and
+    the text of malformed rows in ``CORRUPT``."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    header = [c.lstrip("\ufeff").strip() for c in reader.csv(path).columns]
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    types = {f.name: f.dataType for f in schema.fields}
+    own = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header] + [T.StructField(CORRUPT, T.StringType())])
+    return (
+        reader.schema(own)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("enforceSchema", False)  # files of one folder must agree on the header
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)
     )
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """A1: header CSV with an explicit schema (no inference pass).
+
+    Columns are bound by the header's names in whatever order; a missing one
+    raises, further ones are left out. Quoted fields may hold doubled quotes
+    and, with ``multi_line``, newlines (such a file is read by one task; pass
+    False for large files without them). Malformed rows are left to
+    ``read_csv_rejects``. Timestamps parse as timestamp_ntz from ISO text; a
+    UTF-8 byte-order mark in the header is ignored. A literal NaN in a double
+    column becomes NULL: downstream means, fills and row drops treat both as
+    missing, and Spark would otherwise keep NaN apart (``avg`` turns NaN,
+    ``NaN > x`` is true).
+    """
+    df = _scan_csv(spark, path, schema, multi_line).filter(F.col(CORRUPT).isNull())
     return df.select(
         *[
             null_if_nan(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
@@ -36,11 +57,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
+def read_csv_rejects(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """A1: the text of the rows that don't fit the schema, and how many of their
+    fields did."""
+    df = _scan_csv(spark, path, schema, multi_line)
+    # Spark wants a parsed column beside the text: the fields are counted too
+    parsed = F.size(F.array_compact(F.array(*[F.col(c).cast("string") for c in schema.names]))).alias("fields")
+    return df.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("row"), parsed)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of the path's scheme, and the path for it."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence test through the Hadoop file system of the path's scheme."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = file_system(spark, path)
     return bool(fs.exists(hpath))
 
 
@@ -48,16 +81,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 class LoadResult:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     missing: list[str] = field(default_factory=list)
+    rejects: dict[str, DataFrame] = field(default_factory=dict)
+
+    def reject_counts(self) -> dict[str, int]:
+        """Malformed rows per table."""
+        return {name: df.filter("fields >= 0").count() for name, df in self.rejects.items()}
 
 
 def load_raw_zone(spark: SparkSession, raw_dir: str, files: dict | None = None) -> LoadResult:
     """A2: map each raw file to its logical table; a missing file is reported
-    (and skipped), not fatal, matching the upstream loader."""
+    (and skipped), not fatal, matching the upstream loader. Malformed rows are
+    kept apart per table."""
     result = LoadResult()
     for file_name, (table, schema) in (files or RAW_FILES).items():
         path = f"{raw_dir.rstrip('/')}/{file_name}"
         if path_exists(spark, path):
-            result.tables[table] = read_csv(spark, path, schema)
+            # only review comments hold newlines; other files stay splittable
+            lines = any("comment" in f for f in schema.names)
+            result.tables[table] = read_csv(spark, path, schema, lines)
+            result.rejects[table] = read_csv_rejects(spark, path, schema, lines)
         else:
             result.missing.append(file_name)
     return result

@@ -18,6 +18,8 @@ query resumes exactly where it stopped.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import ntz_as_utc_instant, utc_instant_as_ntz
 from ..operators.model import Artifacts, score_orders
+from ..sources.raw import file_system
+from ..sources.store import latest_version, publish
 
 OUTCOME_SCHEMA = T.StructType(
     [
@@ -123,7 +127,48 @@ def late_rate_monitor(
 
 
 def read_monitor(spark: SparkSession, sink: str) -> DataFrame:
-    """Latest row per (window, state) across micro-batches (an upsert view)."""
-    df = spark.read.parquet(sink)
-    latest = df.groupBy("window_start", "seller_state").agg(F.max("batch_id").alias("batch_id"))
-    return df.join(latest, ["window_start", "seller_state", "batch_id"]).drop("batch_id")
+    """Latest row per (window, state) across micro-batches (an upsert view): one
+    pass over the batches since the last compaction and its result."""
+    return _latest(_versions(spark, sink)).drop("batch_id")
+
+
+def _batches(spark: SparkSession, sink: str) -> list[int]:
+    fs, path = file_system(spark, sink)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id="))
+
+
+def _base(spark: SparkSession, sink: str) -> tuple[str | None, int]:
+    """Folder of the last compaction and the last batch in it."""
+    found = latest_version(spark, f"{sink}/compacted")
+    return (found[0], int(found[1])) if found else (None, -1)
+
+
+def _versions(spark: SparkSession, sink: str) -> DataFrame:
+    base, last = _base(spark, sink)
+    fresh = [f"{sink}/batch_id={b}" for b in _batches(spark, sink) if b > last]
+    parts = [spark.read.parquet(base)] if base else []
+    if fresh:
+        parts.append(spark.read.option("basePath", sink).parquet(*fresh).withColumn("batch_id", F.col("batch_id").cast("long")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _latest(versions: DataFrame) -> DataFrame:
+    rest = [c for c in versions.columns if c not in ("window_start", "seller_state", "batch_id")]
+    top = versions.groupBy("window_start", "seller_state").agg(
+        F.max("batch_id").alias("batch_id"), F.max_by(F.struct(*rest), "batch_id").alias("r")
+    )
+    return top.select("window_start", "r.window_end", "seller_state", *[f"r.{c}" for c in rest if c != "window_end"], "batch_id")
+
+
+def compact_monitor(spark: SparkSession, sink: str) -> None:
+    """Fold all batch folders into one table of latest rows, make it current,
+    then remove the folders. A reader sees either side of the switch whole."""
+    batches = _batches(spark, sink)
+    base, last = _base(spark, sink)
+    if not batches or batches[-1] <= last:
+        return
+    publish(spark, f"{sink}/compacted", str(batches[-1]), _latest(_versions(spark, sink)).write.parquet)
+    fs, _ = file_system(spark, sink)
+    for b in batches:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sink}/batch_id={b}"), True)

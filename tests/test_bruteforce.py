@@ -92,13 +92,13 @@ def test_profile_under_hot_seller_equals_pandas(spark):
     assert got["hot"][1] > len(data) / 3
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 7])
-def test_exact_percentiles_few_buckets(spark, buckets):
-    rnd = random.Random(buckets)
+@pytest.mark.parametrize("seed", [1, 3, 7])
+def test_exact_percentiles_hot_key(spark, seed):
+    rnd = random.Random(seed)
     data = [("hot" if rnd.random() < 0.5 else f"k{rnd.randrange(3)}", rnd.uniform(-5, 5)) for _ in range(400)]
     df = spark.createDataFrame(data, "k string, v double")
     got = {r.k: (r.a, r.b) for r in
-           lifecycle.exact_percentiles(df, "k", "v", [0.37, 0.9], ["a", "b"], buckets=buckets).collect()}
+           lifecycle.exact_percentiles(df, "k", "v", [0.37, 0.9], ["a", "b"]).collect()}
     for k in {k for k, _ in data}:
         vals = np.array([v for kk, v in data if kk == k])
         assert got[k] == pytest.approx(tuple(np.percentile(vals, q, method="linear") for q in (37, 90)), rel=1e-12)
@@ -108,6 +108,70 @@ def test_exact_percentiles_global_mode(spark):
     rnd = random.Random(99)
     vals = [rnd.choice([0.0, 0.25, 0.5, 1.0, rnd.random()]) for _ in range(300)]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    row = lifecycle.exact_percentiles(df, None, "v", [0.1, 0.9], ["a", "b"], buckets=5).first()
+    row = lifecycle.exact_percentiles(df, None, "v", [0.1, 0.9], ["a", "b"]).first()
     want = tuple(np.percentile(np.array(vals), q, method="linear") for q in (10, 90))
     assert (row.a, row.b) == pytest.approx(want, rel=1e-12)
+
+
+def test_exact_percentiles_with_an_outlier_spread_over_partitions(spark):
+    """One huge value moves no bound: no partition holds most of the values."""
+    from pyspark.sql import functions as F
+
+    from delaylens.session import scratch_root
+
+    n = 20_000
+    df = spark.range(0, n).select(F.when(F.col("id") == 7, F.lit(1e9)).otherwise(F.col("id") / 3).alias("v"))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        row = lifecycle.exact_percentiles(df, None, "v", [0.25, 0.9], ["a", "b"]).first()
+        want = np.percentile(np.array([1e9 if i == 7 else i / 3 for i in range(n)]), [25, 90])
+        assert (row.a, row.b) == pytest.approx(tuple(want), rel=1e-12)
+        tables = spark.read.option("recursiveFileLookup", "true").schema("v double, __c long, __b int").parquet(scratch_root(spark) + "/tables/percentiles-*")
+        counts = [r["count"] for r in tables.filter("v IS NOT NULL").groupBy("__b").count().collect()]
+        assert max(counts) < 0.5 * sum(counts)
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_asof_features_ignore_later_outcomes(spark):
+    """A changed later outcome changes no earlier row, nor do rows without
+    history see outcomes that come after them."""
+    from delaylens.operators.features import preprocess
+
+    data = [(f"o{i}", f"s{i % 4}", 0.0, 0.0, 0.0, 1.0 + i, 100.0, day, day + 3, int(i % 3 == 0)) for i, day in enumerate(range(1, 25))]
+    schema = "order_id string, seller_id string, s_lat double, s_lng double, c_lat double, c_lng double, product_weight_g double, bought int, done int, is_late int"
+
+    def rates(rows):
+        df = spark.createDataFrame(rows, schema).selectExpr(
+            "*", "timestamp_ntz'2020-01-01 00:00:00' + make_interval(0, 0, 0, bought) AS order_purchase_timestamp",
+            "timestamp_ntz'2020-01-01 00:00:00' + make_interval(0, 0, 0, done) AS order_delivered_customer_date")
+        return {r.order_id: r.seller_late_rate for r in preprocess(df, rate_mode="asof").features.collect()}
+
+    before = rates(data)
+    changed = rates([*data[:12], *[(*r[:-1], 1 - r[-1]) for r in data[12:]]])
+    limit = data[12][8]  # the first changed outcome's time
+    for r in data:
+        if r[7] <= limit:
+            assert before[r[0]] == changed[r[0]]
+    for i, r in enumerate(data):
+        own = [x[-1] for x in data if x[1] == r[1] and x[8] < r[7]]
+        past = [x[-1] for x in data if x[8] < r[7]]
+        want = sum(own) / len(own) if own else sum(past) / len(past) if past else None
+        assert before[r[0]] == (pytest.approx(want) if want is not None else None)
+
+
+def test_past_edge_answers(spark):
+    """Empty and one-class inputs have defined answers under ANSI rules."""
+    empty = spark.createDataFrame([], "y int, p double, pred int")
+    assert metrics.roc_auc(empty).first().roc_auc is None
+    assert {r.support for r in metrics.classification_report(empty).collect()} == {0}
+    ones = spark.createDataFrame([(1, 0.4, 0), (1, 0.9, 1)], "y int, p double, pred int")
+    got = metrics.roc_auc(ones).first()
+    assert (got.roc_auc, got.positives, got.negatives) == (None, 2, 0)
+    orders = spark.createDataFrame([], "order_approved_at timestamp_ntz, order_delivered_carrier_date timestamp_ntz, "
+                                   "order_delivered_customer_date timestamp_ntz, order_estimated_delivery_date timestamp_ntz")
+    assert [r.share_of_orders for r in lifecycle.order_funnel(orders).collect()] == [0.0] * 4
+    flat = spark.createDataFrame([(2.0, 3.0)] * 4, "time_to_carrier double, time_in_transit double")
+    assert all(r.density is None for r in lifecycle.stage_density(flat, grid_points=3).collect())

@@ -298,7 +298,46 @@ def test_preprocess_with_stored_profile_and_weight(spark):
     assert prep.seller_profile is profile
 
 
-def test_split_reuses_a_given_row_id(spark):
-    df = spark.range(0, 500).select((F.col("id") * 7).alias("rid"), (F.col("id") % 4 == 0).cast("int").alias("y"))
-    got = {r.label: (r.train_rows, r.test_rows) for r in stratified_split_counts(df, "y", 0.2, 1, row_id="rid").collect()}
-    assert got == {1: (100, 25), 0: (300, 75)}
+def test_split_depends_on_the_rows_alone(spark):
+    """The same test rows at any partitioning, with or without broadcasts, for
+    inputs with many copies of a row."""
+    from delaylens.operators.split import stratified_split
+
+    rows = [(i % 37, i // 3 % 5, i % 2) for i in range(900)] + [(1, 1, 1)] * 301
+    found = []
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for n, threshold in ((4, old), (7, "-1"), (50, old)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        df = spark.createDataFrame(rows, "a int, b int, y int").repartition(n)
+        split = stratified_split(df, "y", 0.2, 42)
+        test, train = sorted(map(tuple, split.test.collect())), sorted(map(tuple, split.train.collect()))
+        assert sorted(test + train) == sorted(rows)
+        found.append(test)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert found[0] == found[1] == found[2]
+    n1 = sum(r[2] for r in rows)
+    assert (sum(r[2] for r in found[0]), len(found[0])) == (round(n1 * 0.2), round(n1 * 0.2) + round((len(rows) - n1) * 0.2))
+
+
+def test_route_matrix_has_a_column_for_every_state(spark):
+    from delaylens.operators import routes
+
+    stats = spark.createDataFrame([("A", f"S{i}", 0.1 * i) for i in range(3)], "seller_state string, customer_state string, late_rate double")
+    assert routes.route_matrix(stats, [f"S{i}" for i in range(4)]).columns == ["seller_state", "S0", "S1", "S2", "S3"]
+
+
+def test_files_added_in_session_are_seen(spark, tmp_path):
+    import shutil
+
+    from delaylens.plans.registry import registered_queries
+    from tests.conftest import SF_SMALL
+
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        (tmp_path / f"{t}.parquet").mkdir()
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", tmp_path / f"{t}.parquet" / "a.parquet")
+    daily = registered_queries()["daily_orders"]
+    first = daily(spark, str(tmp_path)).agg(F.sum("orders")).first()[0]
+    shutil.copy(f"{SF_SMALL}/orders.parquet", tmp_path / "orders.parquet" / "b.parquet")
+    assert daily(spark, str(tmp_path)).agg(F.sum("orders")).first()[0] == 2 * first
