@@ -298,8 +298,10 @@ def classes(
     """(__id, __key, root, class_id): the class of every row of ``docs``."""
     signed = stage(sign(docs, id_col, text_col, bands, rows), "bag-signatures")
     # One representative per bag; copies merge on the map side.
-    bags = signed.groupBy("bag").agg(F.min(F.struct("__id", "__key")).alias("r"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
-    bags = stage(bags.select("bag", "r.__id", "r.__key", "weight", "keys"), "bags")
+    bags = signed.groupBy("bag").agg(
+        F.min(F.struct("__id", "__key")).alias("r"), F.min("__id").alias("least"), F.first("weight").alias("weight"), F.first("keys").alias("keys")
+    )
+    bags = stage(bags.select("bag", "r.__id", "r.__key", "least", "weight", "keys"), "bags")
     members = bags.select("bag", "weight", F.explode("keys").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = stage(members.join(shared, "band"), "buckets")  # of two and more
@@ -331,8 +333,8 @@ def classes(
         if not more.isEmpty():
             roots = components(links.unionAll(more))
 
-    named = stage(rooted(bags.select("bag", "__id"), roots), "bag-roots")
-    least = named.groupBy("root").agg(F.min("__id").alias("class_id"))
+    named = stage(rooted(bags.select("bag", "least"), roots), "bag-roots")
+    least = named.groupBy("root").agg(F.min("least").alias("class_id"))
     named = stage(named.join(least, "root").select("bag", "root", "class_id"), "bag-classes")
     return signed.select("__id", "__key", "bag").join(named, "bag").select("__id", "__key", "root", "class_id")
 
