@@ -1,5 +1,77 @@
-"""DuckDB SQL of the training-data queries that SQL can express."""
+"""DuckDB SQL of the training-data queries that SQL can express.
+
+The other queries have brute-force tests, exact round trips or held-out
+accuracy in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from .quality_rules import STOP_WORDS
+
+_stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+f AS (SELECT body, min(page_id) AS first FROM p WHERE strlen(body) >= 100 GROUP BY body)
+SELECT p.page_id, CAST(strlen(p.body) AS BIGINT) AS payload_bytes, sha256(p.body) AS payload_digest,
+  CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM p LEFT JOIN f ON p.body = f.body""",
+    "op7_quality_rules": rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c
+  FROM (SELECT doc_id, i, list_slice(words, i, i + 4) AS w
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM t WHERE len(words) >= 5))),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win, range(0, 5) r(k) WHERE c > 1 GROUP BY doc_id),
+m AS (
+  SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    len(lines) AS n_lines,
+    len(list_filter(lines, lambda x: length(x) - length(replace(x, ' | ', '  ')) >= 3)) AS n_bar_lines,
+    length(text) - length(replace(text, '!', '')) AS n_shouts,
+    len(list_filter(words, lambda x: list_contains([{_stop}], lower(x)))) AS n_stop_words
+  FROM t LEFT JOIN rep ON t.doc_id = rep.doc_id),
+b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    list_filter([
+      CASE WHEN n_words > 0 AND word_chars < 2 * n_words THEN 'short_words' END,
+      CASE WHEN n_words > 0 AND word_chars > 14 * n_words THEN 'long_words' END,
+      CASE WHEN n_words > 0 AND n_symbols * 1.0e0 / n_words > 0.1e0 THEN 'many_symbols' END,
+      CASE WHEN n_words > 0 AND n_shouts * 1.0e0 / n_words > 0.5e0 THEN 'shouting' END,
+      CASE WHEN n_words > 0 AND n_stop_words * 1.0e0 / n_words < 0.03e0 THEN 'few_stop_words' END,
+      CASE WHEN n_lines > 0 AND n_dup_lines * 1.0e0 / n_lines > 0.5e0 THEN 'repeated_lines' END,
+      CASE WHEN n_lines > 0 AND n_bar_lines * 1.0e0 / n_lines > 0.5e0 THEN 'table_lines' END
+    ], lambda x: x IS NOT NULL) AS broken
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND len(broken) = 0 AS kept, array_to_string(broken, ',') AS broken_rules
+FROM b""",
+    "op8_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+w AS (
+  SELECT DISTINCT item, n, array_to_string(list_slice(words, k, k + n - 1), ' ') AS body
+  FROM (SELECT item, words, least(13, len(words)) AS n, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS k FROM i WHERE len(words) > 0)),
+dw AS (
+  SELECT doc_id, n, k, array_to_string(list_slice(words, k, k + n - 1), ' ') AS body
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM w) WHERE len(words) >= n)),
+h AS (SELECT dw.doc_id, dw.k, dw.n, w.item FROM dw JOIN w ON dw.n = w.n AND dw.body = w.body),
+hit AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM h, range(0, 13) r(j) WHERE j < n GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(it.items, '')) AS items_sha256,
+  coalesce(hit.n_hit > 0 AND 20 * hit.n_hit >= len(d.words), false) AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id""",
+}
