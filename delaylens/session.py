@@ -7,8 +7,6 @@ passes in its own session and every operator only reads settings from it.
 
 from __future__ import annotations
 
-import atexit
-
 from pyspark.sql import SparkSession
 
 # Settings every operator relies on: UTC wall clock for timestamp_ntz
@@ -91,12 +89,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's part of the shared folder, removed when it ends."""
-    application = spark.sparkContext.applicationId
-    if application not in _released:
-        _released.add(application)
-        atexit.register(_release_at_exit, spark, application)
-    return f"{checkpoint_root(spark).rstrip('/')}/delaylens/{application}"
+    """This application's part of the shared folder, removed when its driver
+    ends."""
+    root = f"{checkpoint_root(spark).rstrip('/')}/delaylens/{spark.sparkContext.applicationId}"
+    if root not in _made:
+        fs, path = _file_system(spark, root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _made.add(root)
+    return root
+
+
+_made: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
@@ -107,14 +116,5 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 def release_scratch(spark: SparkSession) -> None:
     """Remove all intermediate tables of this application. DataFrames that
     still read them must have been used before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-_released: set[str] = set()
-
-
-def _release_at_exit(spark: SparkSession, application: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is not None and context.applicationId == application:
-        release_scratch(spark)
+    fs, path = _file_system(spark, scratch_root(spark))
+    fs.delete(path, True)

@@ -1,8 +1,7 @@
 """Physical-plan shape of every registered query, as at large scale.
 
-Broadcasts are disabled (static threshold, AQE threshold and the
-row-count-checked dimension broadcast) so the plans show what a 100 TB run
-gets when no side is small. For each query the report counts hash / range /
+Broadcasts are disabled so the plans show what a 100 TB run gets when no
+side is small. For each query the report counts hash / range /
 single-partition exchanges, join strategies, windows and generators, and
 fails on Python UDF nodes or cartesian products.
 
@@ -32,8 +31,8 @@ SINGLE_PARTITION_REASONS = {
     "order_funnel": "global aggregate",
     "roc_auc": "prefix sum over <= 2^20 score buckets; global aggregate",
     "late_pareto": "window over distinct per-seller late counts (<= sqrt(2 x late items)); scalar totals",
-    "worst_sellers": "bucket prefix over <= 4,096 rate buckets; scalar cut point",
-    "routing_candidates": "bucket prefix over <= 4,096 buckets per measure; scalar cut points",
+    "worst_sellers": "running counts over the range partitions; scalar cut point",
+    "routing_candidates": "running counts over the range partitions of each measure; scalar cut points",
     "worst_categories": "top-10: each task keeps 10 rows",
     "features_preview": "top-5: each task keeps 5 rows",
     "stage_histogram": "none beyond per-stage bounds (one row per stage)",
@@ -66,20 +65,15 @@ def shape(plan: str) -> dict[str, int]:
 
 
 SCENARIOS = {
-    "all sides large": {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "delaylens.broadcast.maxBytes": "0",
-    },
-    "facts large, dimensions through the size check": {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-    },
+    "all sides large": {"spark.sql.autoBroadcastJoinThreshold": "-1"},
+    "facts large, dimensions and stored sides below the threshold": {"spark.sql.autoBroadcastJoinThreshold": "100000"},
 }
 
 
 def main(argv) -> None:
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     from delaylens.session import build_session
-    import __spark_entry__ as entry
+    from delaylens.plans.registry import registered_queries
 
     spark = build_session("local[4]", 8)
     # static plans: the planner marks exchanges shared between the main query
@@ -91,15 +85,13 @@ def main(argv) -> None:
     print("planner (AQE off, so shared work shows as `reused`). Exchanges counted once per")
     print("distinct subtree. No plan contains a Python UDF, a cartesian product or a nested-loop")
     print("join (the script fails otherwise). Streaming and model queries are left out.")
-    print("Queries that write an intermediate table once (the feature base, the split's")
-    print("row ids, the master read by several branches) show the plan after that write.\n")
+    print("Queries over a stored intermediate (feature base, profile, centroid, value")
+    print("histogram) show the plan after that write.\n")
     for title, conf in SCENARIOS.items():
-        for k in ("spark.sql.autoBroadcastJoinThreshold", "delaylens.broadcast.maxBytes"):
-            spark.conf.unset(k)
         for k, v in conf.items():
             spark.conf.set(k, v)
         rows = []
-        for name, fn in entry.queries().items():
+        for name, fn in registered_queries().items():
             if name in SKIP:
                 continue
             plan = plan_of(fn(spark, sf_dir))
