@@ -43,7 +43,7 @@ from .common import map_arrow, text_or_empty
 END_OF_TEXT, PADDING = 0xFF, 0xFE
 NO_ID = -(1 << 63)
 HEAD = 24
-LENGTH, PER_SHARD, ROUNDS = 1024, 8192, 6
+LENGTH, PER_SHARD, ROUNDS = 2048, 4096, 6
 
 
 class Layout(NamedTuple):
@@ -118,7 +118,8 @@ def count_sequences(docs: DataFrame, text_col: str, length: int) -> dict[int, tu
 
 
 def sequences(docs: DataFrame, key: str, id_col: str, text_col: str, length: int, per_shard: int) -> tuple[DataFrame, int]:
-    """(slot, shard, record) of every sequence, and their number."""
+    """(slot, shard, packed) of every sequence, and their number. Records are
+    compressed one by one for the shuffle."""
     parts = count_sequences(docs, text_col, length)
     n = sum(c for _, c in parts.values())
     shared = docs.sparkSession.sparkContext.broadcast(parts)
@@ -131,6 +132,7 @@ def sequences(docs: DataFrame, key: str, id_col: str, text_col: str, length: int
 
         def ready() -> pa.RecordBatch:
             nonlocal number
+            zstd = pa.Codec("zstd", compression_level=3)
             numbers = np.arange(number, number + len(out))
             slots = permute(numbers, n, key)
             places = np.array(heads, "<i8").reshape(-1, 2)
@@ -140,7 +142,8 @@ def sequences(docs: DataFrame, key: str, id_col: str, text_col: str, length: int
             number += len(out)
             out.clear()
             heads.clear()
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), pa.array(records, pa.binary())], names=["slot", "shard", "record"])
+            packed = [zstd.compress(r, asbytes=True) for r in records]
+            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), pa.array(packed, pa.binary())], names=["slot", "shard", "packed"])
 
         head = None
         for batch in batches:
@@ -168,7 +171,19 @@ def sequences(docs: DataFrame, key: str, id_col: str, text_col: str, length: int
             raise RuntimeError("the input's partitions changed between the passes")
         yield ready()
 
-    return map_arrow(_numbered(docs, id_col, text_col), run, "slot bigint, shard int, record binary"), n
+    return map_arrow(_numbered(docs, id_col, text_col), run, "slot bigint, shard int, packed binary"), n
+
+
+def unpacked(rows: DataFrame, size: int) -> DataFrame:
+    """(slot, shard, record) of compressed records of ``size`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = pa.Codec("zstd")
+        for batch in batches:
+            records = [zstd.decompress(r.as_py(), decompressed_size=size, asbytes=True) for r in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(records, pa.binary())], names=["slot", "shard", "record"])
+
+    return map_arrow(rows.select("slot", "shard", "packed"), run, "slot bigint, shard int, record binary")
 
 
 def materialise(
@@ -185,7 +200,7 @@ def materialise(
     layout = Layout(path, n, length, per_shard)
     if n:
         # One task a shard: ranges of slots, known without sampling.
-        ranged = rows.repartitionById(layout.shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+        ranged = unpacked(rows.repartitionById(layout.shards, F.col("shard")), HEAD + length).sortWithinPartitions("shard", "slot")
         ranged.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
     return layout
 
