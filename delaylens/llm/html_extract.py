@@ -49,6 +49,9 @@ SKIPPED_WORDS = frozenset(
     " promoted promotion promotions recommended related replies reply respond share sharing sidebar signup social sponsor"
     " sponsored subscribe toolbar widget widgets".split()
 )
+#: A class such as has-sidebar or comments-open speaks of the page, not of the element.
+OF_PAGE_FIRST = frozenset("has is no not with without".split())
+OF_PAGE_LAST = frozenset("closed disabled enabled off on open".split())
 #: Open elements that an opening tag closes, up to the element that bounds the search.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -89,7 +92,10 @@ class Page:
         skipped = tag in SKIPPED or "hidden" in have or have.get("aria-hidden") == "true" or have.get("role", "").lower() in SKIPPED_ROLES
         names = f"{have.get('class', '')} {have.get('id', '')}".lower()
         if not skipped and tag not in ("body", "html", "article", "main"):
-            skipped = not SKIPPED_WORDS.isdisjoint(_words.findall(names))
+            for name in names.split():
+                words = _words.findall(name)
+                if words and words[0] not in OF_PAGE_FIRST and words[-1] not in OF_PAGE_LAST:
+                    skipped = skipped or not SKIPPED_WORDS.isdisjoint(words)
         classes = sorted(set(have.get("class", "").lower().split()))
         return ".".join([tag, *(re.sub(r"\d+", "#", c) for c in classes)]), skipped
 

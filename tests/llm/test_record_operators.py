@@ -284,7 +284,7 @@ SIDE = "Some words that are not of the article at all, in a box beside it."
 def layout_page(kind, k):
     body = f"<h2>Head {k}</h2><p>{ARTICLE} {k}</p><p>{ARTICLE} <a href='x'>link</a></p>"
     return {
-        "div": f"<body><div class='menu'><a>m</a></div><div id=content-{k} class='post p{k}'>{body}</div><div class=sidebar><p>{SIDE}</p></div>"
+        "div": f"<body><div class='menu'><a>m</a></div><div id=content-{k} class='post p{k} has-sidebar comments-open'>{body}</div><div class=sidebar><p>{SIDE}</p></div>"
         f"<section class='comments'><p>{SIDE}</p></section><footer>f</footer></body>",
         "main": f"<body><header>{SIDE}</header><main><header><h1>T</h1></header>{body}<form>{SIDE}</form></main><aside>{SIDE}</aside></body>",
         "table": f"<table><tr><td class=nav>{SIDE}<td class=text>{body}</table>",
@@ -295,7 +295,7 @@ def test_layouts_without_an_article_element(spark):
     rows = [(i, f"http://www.{kind}.example:80/{i}", layout_page(kind, i)) for kind in ("div", "main", "table") for i in range(3)]
     rows = [(k, u, h) for k, (_, u, h) in enumerate(rows)]
     # A page whose box is longer than its article: the host's path decides.
-    short = "<body><div class='menu'>m</div><div class='post p77'><p>Short one.</p></div><div class='extra'>" + f"<p>{SIDE}</p>" * 4 + "</div></body>"
+    short = "<body><div class='menu'>m</div><div class='post p77 has-sidebar comments-open'><p>Short one.</p></div><div class='extra'>" + f"<p>{SIDE}</p>" * 4 + "</div></body>"
     rows += [(100, "http://div.example/x", short), (101, None, None), (102, "nonsense", "no markup at all"), (103, "http://div.example/y", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS host", "'y' AS path", "'z' AS text")
     got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
