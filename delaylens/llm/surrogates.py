@@ -66,8 +66,9 @@ PATTERNS = {
     "name": rf"(?<=(?<![\p{{L}}])(?:{_titles})\.? )\p{{Lu}}[\p{{L}}'’-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,30}})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A quick test that the text has a sign without which nothing is found.
-HINT = rf"[@0-9]|(?:{_titles})\.? \p{{Lu}}"
+#: A quick test that the text has a sign without which nothing is found. The
+#: first letters are tried before the titles, so most places fail at once.
+HINT = rf"[@0-9]|(?=[{''.join(sorted({t[0] for t in _titles.split('|')}))}])(?:{_titles})\.? \p{{Lu}}"
 #: After so many attempts a surrogate grows by a character.
 PATIENCE = 6
 
@@ -280,11 +281,16 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
         F.col(id_col).alias("__id"),
         text_key(text_or_empty(text_col)).alias("__key"),
+        text_or_empty(text_col).rlike(HINT).alias("__hint"),
     )
     text = F.col(f"__row.`{text_col}`")
     gaps = F.split(text, ANY, -1)
     joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__s"), i)["value"], F.lit("")))), "")
-    out = join_on_rows(packed, stage(woven, "pii-woven"), "left")
+    # Texts without a hint have no mentions and stay out of the shuffle. The
+    # others are merged with theirs at any size.
+    woven = stage(woven, "pii-woven")
+    out = join_on_rows(packed.filter("__hint"), woven.hint("merge"), "left")
+    out = out.unionByName(packed.filter("NOT __hint").withColumn("__s", F.lit(None).cast(woven.schema["__s"].dataType)))
     new = F.when(F.col("__s").isNull(), text).otherwise(joined)
     return out.select(
         F.col("__row").withField(f"`{text_col}`", new).alias("__row"),
