@@ -224,7 +224,8 @@ def _stratified_split(spark, sf):
     # the split of the feature table as the `features` query exposes it; the
     # hash is over columns whose text is the same in every engine
     cents = F.round(F.col("price") * 100).cast("long").alias("price_cents")
-    rows = c.features(spark, sf).features.select(*FEATURE_COLUMNS, cents)
+    # every histogram of the split reads the rows again: stored once
+    rows = stored_side(c.features(spark, sf).features.select(*FEATURE_COLUMNS, cents), "split-rows")
     return stratified_split_counts(rows, "is_late", 0.2, 42, ["order_id", "seller_id", "price_cents"])
 
 

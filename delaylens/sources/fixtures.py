@@ -17,10 +17,25 @@ from pyspark.sql import functions as F
 from .tables import Tables
 
 
+# Types of the benchmark columns that the mapping reads. With them
+# a scan needs no look into the files before planning.
+COLUMN_TYPES = {
+    "n_nationkey": "int", "n_name": "string",
+    "c_custkey": "bigint", "c_nationkey": "int",
+    "s_suppkey": "bigint", "s_nationkey": "int",
+    "p_partkey": "bigint", "p_type": "string", "p_size": "int",
+    "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_orderdate": "timestamp_ntz",
+    "l_orderkey": "bigint", "l_linenumber": "int", "l_partkey": "bigint", "l_suppkey": "bigint",
+    "l_extendedprice": "double", "l_tax": "double",
+    "event_id": "bigint",
+}
+
+
 def _scan(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    """Resolve the table's files anew (a file added meanwhile is seen), then
-    project; the projection is what reaches the scan as ReadSchema."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
+    """Resolve the table's files anew (a file added meanwhile is seen); only
+    ``columns`` are read."""
+    schema = ", ".join(f"{c} {COLUMN_TYPES[c]}" for c in columns)
+    return spark.read.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _hours_after(ts: str, hours: Column) -> Column:
@@ -132,14 +147,34 @@ def fixture_order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class FixtureTables(Tables):
+    """The seven logical tables over one scale-factor directory; a table's plan
+    is made when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        object.__setattr__(self, "_make", {name: (make, spark, sf_dir) for name, make in MAPPING.items()})
+
+    def __getattr__(self, name: str) -> DataFrame:
+        try:
+            make, spark, sf_dir = self._make[name]
+        except KeyError:
+            raise AttributeError(name) from None
+        df = make(spark, sf_dir)
+        object.__setattr__(self, name, df)
+        return df
+
+
+MAPPING = {
+    "orders": fixture_orders,
+    "order_items": fixture_order_items,
+    "products": fixture_products,
+    "sellers": fixture_sellers,
+    "customers": fixture_customers,
+    "order_reviews": fixture_order_reviews,
+    "geolocation": fixture_geolocation,
+}
+
+
 def load_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All seven logical tables over one scale-factor directory (lazy plans)."""
-    return Tables(
-        orders=fixture_orders(spark, sf_dir),
-        order_items=fixture_order_items(spark, sf_dir),
-        products=fixture_products(spark, sf_dir),
-        sellers=fixture_sellers(spark, sf_dir),
-        customers=fixture_customers(spark, sf_dir),
-        order_reviews=fixture_order_reviews(spark, sf_dir),
-        geolocation=fixture_geolocation(spark, sf_dir),
-    )
+    return FixtureTables(spark, sf_dir)
