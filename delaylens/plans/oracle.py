@@ -472,7 +472,7 @@ FROM master GROUP BY 1, 2"""),
 , outcomes AS (
   SELECT o.order_id, s.seller_state, o.order_delivered_customer_date AS d, o.is_late,
     CAST(floor((year(o.order_delivered_customer_date) - min(year(o.order_delivered_customer_date)) OVER ()) / 2) AS INTEGER)
-      + CASE WHEN o.order_id % 41 = 0 THEN 2 ELSE 0 END AS arrival
+      + CASE WHEN o.order_id % 41 = 0 AND month(o.order_delivered_customer_date) <= 10 THEN 2 ELSE 0 END AS arrival
   FROM late_orders o JOIN src_items i ON o.order_id = i.order_id
   LEFT JOIN src_sellers s ON i.seller_id = s.seller_id
   WHERE o.order_status = 'delivered' AND o.order_delivered_customer_date IS NOT NULL),
