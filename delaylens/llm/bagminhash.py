@@ -53,6 +53,9 @@ TOGETHER = 100_000
 KNOWN_WORDS = 400_000
 #: Rounds in which bags outside a bucket's main component meet single members.
 TURNS = 2
+#: Bounds on integer weights give way by this much: 1 - 0.8 is below a fifth in
+#: floating point, and pairs of exactly the similarity must not be lost.
+ROUNDING = 1e-6
 
 _word = re.compile(r"\w+").findall
 _known: dict[str, int] = {}
@@ -207,7 +210,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 def near_size(x: str, y: str, similarity: float):
     """Bags whose weights differ more can't be similar enough."""
-    return (F.col(x) >= F.col(y) * similarity) & (F.col(y) >= F.col(x) * similarity)
+    return (F.col(x) >= F.col(y) * similarity - ROUNDING) & (F.col(y) >= F.col(x) * similarity - ROUNDING)
 
 
 def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -271,18 +274,19 @@ def rest_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> DataF
     weight = F.aggregate("s", F.lit(0).cast("bigint"), lambda x, s: x + s["count"])
     ranked = ranked.select("bag", weight.alias("w"), "s")
     # The prefix has at most (1 - similarity) w + 1 shingles of weight one or more.
-    head = F.slice("s", 1, F.least(F.size("s"), F.floor(F.col("w") * (1 - similarity)).cast("int") + 1))
+    most_before = F.col("w") * (1 - similarity) + ROUNDING
+    head = F.slice("s", 1, F.least(F.size("s"), F.floor(most_before).cast("int") + 1))
     before = F.aggregate(head, zero, lambda x, s: F.struct((x["sum"] + s["count"]).alias("sum"), F.concat(x["before"], F.array(x["sum"])).alias("before")), lambda x: x["before"])
     prefix = ranked.select("bag", F.explode(F.arrays_zip(head.alias("s"), before.alias("before"))).alias("p"), "w").select(
         "bag", F.col("p.s.shingle").alias("shingle"), F.col("p.s.bags").alias("bags"), F.col("p.before").alias("before"), "w"
     )
-    prefix = prefix.filter((F.col("bags") > 1) & (F.col("before") <= F.col("w") * (1 - similarity)))
+    prefix = prefix.filter((F.col("bags") > 1) & (F.col("before") <= most_before))
     placed = with_main(prefix.join(members.select("bag", "root"), "bag"), "shingle")
     placed = stage(placed, "bag-prefixes")
     x = placed.filter("root != main").select("shingle", F.col("bag").alias("a"), F.col("w").alias("wa"), F.col("before").alias("pa"), F.col("root").alias("ra"))
     y = placed.select("shingle", F.col("bag").alias("b"), F.col("w").alias("wb"), F.col("before").alias("pb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
     possible = F.least(F.col("wa") - F.col("pa"), F.col("wb") - F.col("pb"))
-    enough = possible * (1 + similarity) >= (F.col("wa") + F.col("wb")) * similarity - 1e-6
+    enough = possible * (1 + similarity) >= (F.col("wa") + F.col("wb")) * similarity - ROUNDING
     once = F.col("in_main") | (F.col("a") < F.col("b"))
     return x.join(y, "shingle").filter((F.col("ra") != F.col("rb")) & once & enough & near_size("wa", "wb", similarity)).select("a", "b").distinct()
 

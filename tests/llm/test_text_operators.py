@@ -146,6 +146,24 @@ def test_classes_match_all_pairs(spark):
     check_classes(spark, list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.56])
+def test_rest_pairs_find_texts_cut_to_exactly_the_similarity(spark, similarity):
+    texts, want = [], set()
+    for n in (25, 50, 75, 100, 225, 300, 1000):
+        words = [f"w{n}x{i}" for i in range(n + 4)]  # n shingles
+        cut = round(n * similarity)
+        for name, these in ((f"{n}-whole", words), (f"{n}-cut", words[: cut + 4])):
+            texts.append((name.encode(), " ".join(these)))
+        assert brute.similar(brute.bag(texts[-2][1]), brute.bag(texts[-1][1])) == similarity
+        want.add((f"{n}-cut".encode(), f"{n}-whole".encode()))
+    frame = spark.createDataFrame(texts, "bag binary, text string")
+    weights = [(name, brute.bag(t).total(), name) for name, t in texts]
+    members = spark.createDataFrame(weights, "bag binary, weight long, root binary")
+    pairs = bagminhash.rest_pairs(members, frame, similarity)
+    got = {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in bagminhash.verify(pairs, frame, similarity).collect()}
+    assert got == want
+
+
 def test_classes_of_edge_rows(spark, edges, empty):
     check_classes(spark, [(r[0], r[1]) for r in EDGES])
     assert bagminhash.classes(edges).count() == len(EDGES)
