@@ -65,8 +65,10 @@ CLOSES = {
 PATH_DEPTH = 24
 MIN_BLOCK = 20
 
-_tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,20000}+"|'[^']{0,20000}+')*+)>""")
-_attribute = re.compile(r"""\s(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
+_tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)""")
+_unquoted = re.compile(r"""[^>"']*+""")
+_attribute = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+ATTRIBUTES = frozenset("class id role hidden aria-hidden".split())
 _words = re.compile(r"[a-z]+")
 
 
@@ -76,6 +78,31 @@ class Element(NamedTuple):
     container: int  # the container this element is or stands in
 
 
+class Tags:
+    """Ends of the tags of a page, quoted values of any length included."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {q: html.rfind(q) for q in "\"'"}
+        self.failed: set[int] = set()  # ends of values after which no tag ends, so that broken markup isn't read again
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends the tag whose name ends at ``at``, or -1."""
+        html, seen = self.html, []
+        while True:
+            at = _unquoted.match(html, at).end()
+            if html.startswith(">", at):
+                return at
+            if at >= len(html) or self.last[html[at]] <= at:
+                break
+            at = html.find(html[at], at + 1) + 1
+            if at in self.failed:
+                break
+            seen.append(at)
+        self.failed.update(seen)
+        return -1
+
+
 class Page:
     """Containers and text blocks of one page."""
 
@@ -88,7 +115,7 @@ class Page:
 
     def _attributes(self, tag: str, raw: str) -> tuple[str, bool]:
         """Label for the path; whether the element is left out."""
-        have = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _attribute.findall(" " + raw)} if raw else {}
+        have = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _attribute.findall(raw) if k.lower() in ATTRIBUTES} if raw else {}
         skipped = tag in SKIPPED or "hidden" in have or have.get("aria-hidden") == "true" or have.get("role", "").lower() in SKIPPED_ROLES
         names = f"{have.get('class', '')} {have.get('id', '')}".lower()
         if not skipped and tag not in ("body", "html", "article", "main"):
@@ -106,6 +133,7 @@ class Page:
         linked = 0  # characters of the open block inside links
         links = 0
         end, at = len(html), 0
+        tags = Tags(html)
 
         def close_block() -> None:
             nonlocal linked
@@ -151,14 +179,14 @@ class Page:
                 say("<")
                 at = lt + 1
                 continue
-            m = _tag.match(html, lt)
-            if m:
-                closing, tag, raw, at = m[1], m[2].lower(), m[3], m.end()
+            name = _tag.match(html, lt)
+            closing, tag = html[lt + 1 : lt + 2] == "/", name[2].lower() if name else ""
+            stop = tags.end(name.end()) if name else -1
+            if stop >= 0:
+                raw, at = html[name.end() : stop], stop + 1
             else:
                 stop = html.find(">", lt)
-                at = end if stop < 0 else stop + 1
-                name = re.match(r"</?([a-zA-Z][^\s/>]*)", html[lt : lt + 100])
-                closing, tag, raw = html[lt + 1 : lt + 2] == "/", name[1].lower() if name else "", ""
+                raw, at = "", end if stop < 0 else stop + 1
             if closing:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k].tag == tag:

@@ -320,3 +320,13 @@ def test_odd_markup_does_not_crash_or_stall():
     html_extract.Page("<a b='" * 3000 + "x" * 50_000).extract(None)
     html_extract.Page("<p>" + "word " * 300_000).extract(None)
     assert time.time() - began < 20
+
+
+def test_long_attributes_keep_their_tag():
+    long = "a > b class='sidebar' " * 50_000
+    sentence = "A long sentence of the article, with words in it."
+    html = f'<body><div data-x="{long}" class="post"><p>{sentence}</p></div><div data-x="{long}" class="sidebar"><p>{SIDE}</p></div></body>'
+    page = html_extract.Page(html)
+    assert page.extract(None) == sentence and page.paths[page.best()[0]] == "body>div.post"
+    for broken in ("<a b='>" * 30_001, "<a \"'>" * 30_001, "<a '" + "<b>" * 30_000, "<a 'x' \"y\" ='" + "<b \">" * 30_001):
+        assert isinstance(html_extract.Page(broken).extract(None), str)
