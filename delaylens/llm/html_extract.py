@@ -11,7 +11,12 @@
    winning path, or of its own candidate where it has none of them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out, by tag, role, class or id. Blocks are joined by a
+reader comments are left out, by tag, role, class or id. A form, or an element
+whose class or id has such a word, stays if it holds the page: a main element,
+or articles with most of the text in articles. Without article and main it stays
+if it holds most of the text (a form) or all elements of its word four fifths of
+it; inside an article or main element, nine tenths. Boxes of comments and
+related pages only stay if they hold a main element. Blocks are joined by a
 space in page order; white space inside a block becomes one space.
 
 Defined results: a null page or one without text gives an empty text; a null or
@@ -40,7 +45,7 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article body center div main section td".split())
-SKIPPED = frozenset("aside button canvas datalist dialog footer form head menu nav object select svg template".split()) | RAW
+SKIPPED = frozenset("aside button canvas datalist dialog footer head menu nav object select svg template".split()) | RAW
 SKIPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Words of classes and ids that name something other than the article.
 SKIPPED_WORDS = frozenset(
@@ -49,6 +54,10 @@ SKIPPED_WORDS = frozenset(
     " promoted promotion promotions recommended related replies reply respond share sharing sidebar signup social sponsor"
     " sponsored subscribe toolbar widget widgets".split()
 )
+#: Of these, the words of boxes that may hold articles of their own.
+OTHER_ARTICLES = frozenset("comment comments disqus recommended related replies reply respond".split())
+#: Start tags that may stand in a head; any other one ends it, and text does.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A class such as has-sidebar or comments-open speaks of the page, not of the element.
 OF_PAGE_FIRST = frozenset("has is no not with without".split())
 OF_PAGE_LAST = frozenset("closed disabled enabled off on open".split())
@@ -76,6 +85,17 @@ class Element(NamedTuple):
     tag: str
     skipped: bool
     container: int  # the container this element is or stands in
+    region: int  # the form or word-matched element this element is or stands in
+    article: bool  # it is or stands in an article or main element of that region
+
+
+class Region:
+    """A form or word-matched element, and what stands in it."""
+
+    def __init__(self, parent: int, words: frozenset[str], inside: bool):
+        self.parent, self.words, self.inside = parent, words, inside  # inside an article of the parent
+        self.main, self.chars, self.article_chars = False, 0, 0
+        self.kept = True
 
 
 class Tags:
@@ -113,37 +133,36 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters outside links
         self._read(html)
 
-    def _attributes(self, tag: str, raw: str) -> tuple[str, bool]:
-        """Label for the path; whether the element is left out."""
+    def _attributes(self, tag: str, raw: str) -> tuple[str, bool, set[str]]:
+        """Label for the path; whether the element is left out; the words for
+        which it is unless it holds the page."""
         have = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _attribute.findall(raw) if k.lower() in ATTRIBUTES} if raw else {}
         skipped = tag in SKIPPED or "hidden" in have or have.get("aria-hidden") == "true" or have.get("role", "").lower() in SKIPPED_ROLES
         names = f"{have.get('class', '')} {have.get('id', '')}".lower()
+        found: set[str] = set()
         if not skipped and tag not in ("body", "html", "article", "main"):
             for name in names.split():
                 words = _words.findall(name)
                 if words and words[0] not in OF_PAGE_FIRST and words[-1] not in OF_PAGE_LAST:
-                    skipped = skipped or not SKIPPED_WORDS.isdisjoint(words)
+                    found |= SKIPPED_WORDS.intersection(words)
         classes = sorted(set(have.get("class", "").lower().split()))
-        return ".".join([tag, *(re.sub(r"\d+", "#", c) for c in classes)]), skipped
+        return ".".join([tag, *(re.sub(r"\d+", "#", c) for c in classes)]), skipped, found
 
     def _read(self, html: str) -> None:
         stack: list[Element] = []
         labels: list[str] = []
-        text: list[str] = []
-        linked = 0  # characters of the open block inside links
+        text: list[tuple[int, str, int]] = []  # of the open block: region, text, characters inside links
         links = 0
+        raws: list[tuple[int, list[tuple[int, str, int]]]] = []  # container and text of each block
+        regions = [Region(-1, frozenset(), False)]  # the first is the page
         end, at = len(html), 0
         tags = Tags(html)
+        page = Element("", False, -1, 0, False)
 
         def close_block() -> None:
-            nonlocal linked
             if text:
-                body = " ".join("".join(text).split())
-                if body:
-                    here = stack[-1].container if stack else -1
-                    self.blocks.append((here, body, max(0, len(body) - linked)))
+                raws.append((stack[-1].container if stack else -1, text.copy()))
                 text.clear()
-            linked = 0
 
         def pop(to: int) -> None:
             nonlocal links
@@ -152,12 +171,15 @@ class Page:
             del stack[to:], labels[to:]
 
         def say(raw: str) -> None:
-            nonlocal linked
-            if not (stack and stack[-1].skipped):
+            if stack and stack[-1].tag == "head" and raw.strip():
+                pop(len(stack) - 1)
+            here = stack[-1] if stack else page
+            if not here.skipped:
                 body = entities.unescape(raw)
-                text.append(body)
-                if links:
-                    linked += len(" ".join(body.split()))
+                n = len(" ".join(body.split()))
+                text.append((here.region, body, n if links else 0))
+                regions[here.region].chars += n
+                regions[here.region].article_chars += n * here.article
 
         while at < end:
             lt = html.find("<", at)
@@ -197,9 +219,11 @@ class Page:
                     if tag not in BLOCK and stack[k].tag in BLOCK:
                         break  # an inline end tag doesn't close blocks
                 continue
+            if stack and stack[-1].tag == "head" and tag not in IN_HEAD:
+                pop(len(stack) - 1)
             if tag in VOID:
                 if tag in ("br", "hr") and not (stack and stack[-1].skipped):
-                    close_block() if tag == "hr" else text.append(" ")
+                    close_block() if tag == "hr" else text.append((stack[-1].region if stack else 0, " ", 0))
                 continue
             if tag in BLOCK:
                 close_block()
@@ -217,8 +241,8 @@ class Page:
                         break
                     if stack[k].tag in bound:
                         break
-            above = stack[-1] if stack else Element("", False, -1)
-            label, skipped = self._attributes(tag, raw)
+            above = stack[-1] if stack else page
+            label, skipped, words = self._attributes(tag, raw)
             if tag == "header" and not skipped:
                 skipped = not any(e.tag in ("article", "main") for e in stack[-PATH_DEPTH:])
             if tag in RAW:
@@ -229,15 +253,50 @@ class Page:
                 continue  # an empty element of SVG or MathML
             container = above.container
             skipped = skipped or above.skipped
+            region, article = above.region, above.article or tag in ("article", "main")
+            if not skipped and (words or tag == "form"):
+                regions.append(Region(region, frozenset(words), article or regions[region].inside))
+                region, article = len(regions) - 1, False
+            if tag == "main" and not skipped:
+                regions[region].main = True
             labels.append(label)
             if tag in CONTAINER and not skipped:
                 self.paths.append(">".join(labels[-PATH_DEPTH:]))
                 self.parents.append(above.container)
                 self.tags.append(tag)
                 container = len(self.paths) - 1
-            stack.append(Element(tag, skipped, container))
+            stack.append(Element(tag, skipped, container, region, article))
             links += tag == "a"
         close_block()
+        self._judge(regions)
+        for c, pieces in raws:
+            pieces = [x for x in pieces if regions[x[0]].kept]
+            body = " ".join("".join([x for _, x, _ in pieces]).split())
+            if body:
+                self.blocks.append((c, body, max(0, len(body) - sum(n for _, _, n in pieces))))
+
+    @staticmethod
+    def _judge(regions: list[Region]) -> None:
+        """Whether the text of each region stays."""
+        alike: dict[frozenset[str], int] = {}  # characters in regions of the same words
+        for r in reversed(regions[1:]):  # parents have lower numbers
+            up = regions[r.parent]
+            up.main = up.main or r.main
+            if r.main or OTHER_ARTICLES.isdisjoint(r.words):
+                up.chars += r.chars
+                up.article_chars += r.chars if r.inside and not up.inside else r.article_chars
+            if up.words != r.words or r.parent == 0:
+                alike[r.words] = alike.get(r.words, 0) + r.chars
+        whole = regions[0]
+        for r in regions[1:]:
+            if r.inside:
+                holds = 10 * alike[r.words] > 9 * whole.chars
+            elif whole.article_chars:
+                holds = False
+            else:
+                holds = 2 * r.chars > whole.chars if not r.words else 5 * alike[r.words] > 4 * whole.chars
+            holds = holds or 2 * r.article_chars > whole.article_chars
+            r.kept = regions[r.parent].kept and (r.main or holds and OTHER_ARTICLES.isdisjoint(r.words))
 
     def best(self) -> tuple[int, int]:
         """The candidate container and the characters of its text (-1, 0: none)."""

@@ -330,3 +330,25 @@ def test_long_attributes_keep_their_tag():
     assert page.extract(None) == sentence and page.paths[page.best()[0]] == "body>div.post"
     for broken in ("<a b='>" * 30_001, "<a \"'>" * 30_001, "<a '" + "<b>" * 30_000, "<a 'x' \"y\" ='" + "<b \">" * 30_001):
         assert isinstance(html_extract.Page(broken).extract(None), str)
+
+
+WORDS = "A long sentence of the article, with words in it."
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<html><head><title>t</title><body><div class=post><p>{WORDS}</p></div>",
+        f"<head><title>t</title><p>{WORDS}",
+        f"<head><title>t</title>{WORDS}",
+        f"<body><form action=x><nav>n</nav><div class=post><p>{WORDS}</p></div></form>",
+        f"<body><main><form><p>{WORDS}</p></form></main>",
+        f"<div class='widget Blog'><p>{WORDS}</p><div class=sidebar>{SIDE[:20]}</div></div>",
+        f"<div class=article-with-sidebar><article><p>{WORDS}</p><div class=ad>{SIDE}</div></article><div class=sidebar>{SIDE}</div></div>",
+        f"<main><div class=elementor-widget-container>{WORDS[:16]}</div><div class=elementor-widget-container>{WORDS[16:]}</div></main>",
+        f"<article><p>{WORDS}</p><div class=ad>{SIDE * 3}</div><form>{SIDE}</form></article><section class=comments><article>{SIDE * 9}</article></section>",
+        f"<div class=post><p>{WORDS}</p></div><ol class=comment-list><li><article>{SIDE * 9}</article></ol>",
+    ],
+)
+def test_an_open_head_and_wrappers_of_the_page_stay(html):
+    assert html_extract.Page(html).extract(None) == WORDS
