@@ -2,8 +2,10 @@
 
 1. Every page's containers are scored: a block of text gives its characters
    outside links to the container around it and half of them to the one above.
-   The best container (or the article or main element around it) is the page's
-   candidate; its path is the chain of tags and classes from the root, with
+   The best container is the page's candidate, or the article or main element
+   around it, or else the highest container above it whose text beside it is
+   mostly outside links (the body only if that is a quarter of its text or more,
+   for the lines of a page's frame are no article); its path is the chain of tags and classes from the root, with
    digits generalised.
 2. Pages vote: Spark counts pages and characters per host and path; the path
    with the most pages wins its host (then characters, then the path's order).
@@ -309,13 +311,35 @@ class Page:
         if not any(scores):
             return -1, 0
         top = max(range(len(scores)), key=lambda i: (scores[i], -i))
-        at = top
+        at, named = top, -1
         while at >= 0:
             if self.tags[at] in ("article", "main"):
-                top = at
+                named = at
             at = self.parents[at]
+        top = named if named >= 0 else self._climb(top)
         return top, sum(len(t) for c, t, _ in self.blocks if self._inside(c, {top}))
 
+    def _climb(self, top: int) -> int:
+        """The highest container above ``top`` to which only text outside links leads."""
+        chars, plain = [0] * len(self.paths), [0] * len(self.paths)
+        for c, text, n in self.blocks:
+            if c >= 0:
+                chars[c] += len(text)
+                plain[c] += n
+        for c in range(len(self.paths) - 1, 0, -1):  # parents have lower numbers
+            if self.parents[c] >= 0:
+                chars[self.parents[c]] += chars[c]
+                plain[self.parents[c]] += plain[c]
+        at = self.parents[top]
+        while at >= 0:
+            beside, unlinked = chars[at] - chars[top], plain[at] - plain[top]
+            if 3 * unlinked < 2 * beside or self.tags[at] == "body" and 4 * beside < chars[at]:
+                break
+            if beside:
+                top = at
+            at = self.parents[at]
+        return top
+
     def _inside(self, c: int, wanted: set[int]) -> bool:
         while c >= 0:
             if c in wanted:

@@ -352,3 +352,14 @@ WORDS = "A long sentence of the article, with words in it."
 )
 def test_an_open_head_and_wrappers_of_the_page_stay(html):
     assert html_extract.Page(html).extract(None) == WORDS
+
+
+def test_all_parts_of_an_article_without_its_element_stay(spark):
+    links = "".join(f"<a href=x>Another page {k}</a> " for k in range(9))
+    parts = f"<h1>A title</h1><div class=intro><p>{WORDS}</p></div><div class=text><p>{WORDS * 3}</p></div>"
+    want = f"A title {WORDS} {WORDS * 3}"
+    pages = [f"<body><div id=page><div class=top>{links}</div><div class=post>{parts}</div><div class=more>{links}</div></div></body>", f"<body><div class=post>{parts}</div><div class=end>All rights kept</div></body>"]
+    assert [html_extract.Page(h).extract(None) for h in pages] == [want, want]
+    assert html_extract.Page(f"<body><div class=intro><p>{WORDS * 2}</p></div><div class=text><p>{WORDS * 3}</p></div></body>").extract(None) == f"{WORDS * 2} {WORDS * 3}"
+    df = spark.createDataFrame([(k, f"http://parts.example/{k}", h) for k, h in enumerate([pages[1]] * 3)], "page_id long, url string, html string")
+    assert [r.text for r in html_extract.extract(df).collect()] == [want] * 3
