@@ -7,8 +7,8 @@ its commit protocol. A block longer than ``segment_bytes`` becomes a first
 record and continuation records; a file holds at most ``records_per_file`` of
 them, so its size is bounded whatever the payloads.
 
-``read_records`` reads such files (one task per file, whose size the writer
-bounds) by Content-Length. ``reassemble`` groups the segments by origin
+``read_records`` reads such files, and any .gz or plain .warc archive of one or
+more gzip members (one task per file), by Content-Length. ``reassemble`` groups the segments by origin
 identifier, orders them by segment number, and verifies that the numbers are
 complete and the total length is right. ``payloads`` decodes the HTTP message,
 chunked framing included, and verifies the payload digest.
@@ -31,6 +31,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -45,6 +46,7 @@ SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
 RECORDS_PER_FILE = 2_000
 MIN_REVISIT = 100
+PIECE = 64 * 1024
 URN = "urn:x-row:"
 
 
@@ -173,8 +175,40 @@ def write_archives(
 RECORD = "record_id string, type string, target string, refers_to string, digest string, segment int, origin string, total bigint, problem string, block binary"
 
 
+#: The head of a record up to its identifier, which every record has.
+_next = re.compile(rb"(?<=\n)WARC/[0-9][^\r\n]*+\r\n(?:(?!WARC-Record-ID:)[^\r\n]++\r\n)*+WARC-Record-ID:", re.I)
+
+
+def unpacked(content: bytes) -> tuple[bytes, list[str]]:
+    """The bytes of an archive, plain or of any number of gzip members, and
+    what was wrong with them. After a broken member the next one is read."""
+    if not content.startswith(b"\x1f\x8b"):
+        return content, []
+    out, problems, at = [], [], 0
+    view, end = memoryview(content), len(content)
+    while 0 <= at < end:
+        member, pos, problem = zlib.decompressobj(31), at, None
+        try:
+            while pos < end and not member.eof:  # in pieces, for unused_data is a copy
+                out.append(member.decompress(view[pos : pos + PIECE]))
+                pos = min(end, pos + PIECE)
+            if not member.eof:
+                problem = "gzip member is cut short"
+        except zlib.error as e:
+            problem = f"broken gzip member: {e}"
+        if problem:
+            if not content[at:].strip(b"\0"):
+                break  # padding
+            problems.append(problem)
+            at = content.find(b"\x1f\x8b\x08", at + 1)
+        else:
+            at = pos - len(member.unused_data)
+    return b"".join(out), problems
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of one (uncompressed) archive, in order."""
+    """The records of one (uncompressed) archive, in order. After a broken one
+    it goes on at the next head of a record."""
     at = 0
     while at < len(data):
         stop = data.find(b"\r\n\r\n", at)
@@ -183,7 +217,11 @@ def parse(data: bytes) -> Iterator[dict]:
         length = fields.get("content-length", "")
         if not lines or not lines[0].startswith("WARC/") or not length.isdigit():
             yield {"problem": "no record where one should start"}
-            return
+            found = _next.search(data, at + 1)
+            if not found:
+                return
+            at = found.start()
+            continue
         block = data[stop + 4 : stop + 4 + int(length)]
         at = stop + 4 + int(length)
         problem = None
@@ -205,7 +243,10 @@ def parse(data: bytes) -> Iterator[dict]:
             "block": block,
         }
         if problem:
-            return
+            found = _next.search(data, stop + 4)
+            if not found:
+                return
+            at = found.start()
 
 
 _schema = pa.schema(
@@ -216,13 +257,14 @@ _schema = pa.schema(
 def read_records(spark: SparkSession, path: str, segments: bool | None = None) -> DataFrame:
     """The records of all archives under ``path``: only those in segments, only
     whole ones, or (None) both."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").option("recursiveFileLookup", "true").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 out, held = [], 0
-                for r in parse(zlib.decompress(content.as_py(), 47)):
+                data, problems = unpacked(content.as_py())
+                for r in chain(parse(data), ({"problem": p} for p in problems)):
                     if segments is not None and segments != (r.get("segment") is not None):
                         continue
                     out.append(r)

@@ -363,3 +363,22 @@ def test_all_parts_of_an_article_without_its_element_stay(spark):
     assert html_extract.Page(f"<body><div class=intro><p>{WORDS * 2}</p></div><div class=text><p>{WORDS * 3}</p></div></body>").extract(None) == f"{WORDS * 2} {WORDS * 3}"
     df = spark.createDataFrame([(k, f"http://parts.example/{k}", h) for k, h in enumerate([pages[1]] * 3)], "page_id long, url string, html string")
     assert [r.text for r in html_extract.extract(df).collect()] == [want] * 3
+
+
+def test_archives_of_one_record_per_member(spark, tmp_path):
+    import gzip
+
+    def record(k, length=None):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + b"page %d\r\n\r\nWARC/1.1\r\n" % k
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{k}>\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(k)) for k in range(50)))
+    (tmp_path / "b.warc").write_bytes(b"".join(record(k) for k in range(50, 60)))
+    (tmp_path / "c.warc").write_bytes(record(60) + record(61, 5) + record(62, 90) + record(63) + b"noise\r\n" + record(64))
+    members = [gzip.compress(record(k)) for k in (70, 71, 72)]
+    (tmp_path / "d.warc.gz").write_bytes(members[0] + members[1][:15] + b"\xff" * 20 + members[1][35:] + members[2])
+    got = warc.read_records(spark, str(tmp_path)).collect()
+    whole = {r.record_id for r in got if r.problem is None}
+    assert whole == {f"<{k}>" for k in (*range(61), 63, 64, 70, 72)}
+    assert {"<61>", "<62>"} <= {r.record_id for r in got if r.problem} and any("gzip member" in r.problem for r in got if r.problem)
