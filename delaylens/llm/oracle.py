@@ -10,6 +10,23 @@ from .quality_rules import STOP_WORDS
 
 _stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE concat(strlen(CAST({value} AS VARCHAR)), ':', {value}) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256(concat({', '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))}))"
+
+
+#: CRC-32 of a decimal id, bit by bit: each character is mixed in, then eight shifts.
+_crc = (
+    "xor(4294967295, list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: "
+    "[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), "
+    "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END, CAST(4294967295 AS BIGINT)))"
+)
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -74,4 +91,62 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hi
   CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(it.items, '')) AS items_sha256,
   coalesce(hit.n_hit > 0 AND 20 * hit.n_hit >= len(d.words), false) AS contaminated
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id""",
+    "op11_level_products": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+e AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+s AS (SELECT g.lang, g.source, coalesce(sum(e.n), 0) AS total FROM g LEFT JOIN e ON e.lang = g.lang AND e.source = g.source GROUP BY ALL),
+p AS (
+  SELECT s.lang, s.source, k.term, coalesce(e.n, 0) AS n,
+    CAST(1 + 1000000000 * (coalesce(e.n, 0) + 2) // (s.total + 2 * l.v) AS HUGEINT) AS p,
+    CAST(1 + 1000000000 * (k.n + 2) // (l.total + 2 * l.v) AS HUGEINT) AS q
+  FROM s JOIN l ON l.lang = s.lang JOIN k ON k.lang = s.lang LEFT JOIN e ON e.lang = s.lang AND e.source = s.source AND e.term = k.term),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM l)
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+WHERE part = 'pair' OR rank <= 10""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf('n_chars')} AS leaf,
+    CASE WHEN {_crc} % 7 = 0 THEN {_leaf('(CAST(n_chars AS HUGEINT) + 1)')} ELSE {_leaf('n_chars')} END AS checked FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+nodes AS (
+  SELECT g, 0 AS lvl, pos AS idx, leaf AS h, n FROM p
+  UNION ALL
+  SELECT g, lvl + 1, idx // 2, sha256(h || coalesce(after, '')), (n + 1) // 2
+  FROM (SELECT *, lead(h) OVER (PARTITION BY g ORDER BY idx) AS after FROM nodes WHERE n > 1) WHERE idx % 2 = 0),
+sub AS (SELECT g, h AS subroot, lvl AS height, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, pos AS idx, subroot AS h, n FROM sub
+  UNION ALL
+  SELECT lvl + 1, idx // 2, sha256(h || coalesce(after, '')), (n + 1) // 2
+  FROM (SELECT *, lead(h) OVER (ORDER BY idx) AS after FROM tops WHERE n > 1) WHERE idx % 2 = 0),
+root AS (SELECT h AS root, lvl AS height FROM tops WHERE n = 1),
+up AS (
+  SELECT g, pos, 0 AS lvl, checked AS h FROM p
+  UNION ALL
+  SELECT f.g, f.pos, f.lvl + 1, CASE WHEN s.h IS NULL THEN sha256(f.h) WHEN (f.pos >> f.lvl) & 1 = 1 THEN sha256(s.h || f.h) ELSE sha256(f.h || s.h) END
+  FROM up f JOIN sub ON sub.g = f.g AND f.lvl < sub.height LEFT JOIN nodes s ON s.g = f.g AND s.lvl = f.lvl AND s.idx = xor(f.pos >> f.lvl, 1)),
+over AS (
+  SELECT up.g, up.pos, sub.pos AS at, 0 AS lvl, up.h FROM up JOIN sub ON sub.g = up.g AND sub.height = up.lvl
+  UNION ALL
+  SELECT f.g, f.pos, f.at, f.lvl + 1, CASE WHEN s.h IS NULL THEN sha256(f.h) WHEN (f.at >> f.lvl) & 1 = 1 THEN sha256(s.h || f.h) ELSE sha256(f.h || s.h) END
+  FROM over f JOIN root ON f.lvl < root.height LEFT JOIN tops s ON s.lvl = f.lvl AND s.idx = xor(f.at >> f.lvl, 1)),
+own AS (SELECT p.g, p.pos, string_agg(s.h, '' ORDER BY s.lvl) AS heads FROM p JOIN nodes s ON s.g = p.g AND s.idx = xor(p.pos >> s.lvl, 1) GROUP BY p.g, p.pos),
+above AS (SELECT sub.g, string_agg(s.h, '' ORDER BY s.lvl) AS heads FROM sub JOIN tops s ON s.idx = xor(sub.pos >> s.lvl, 1) GROUP BY sub.g)
+SELECT p.doc_id, p.leaf, sub.subroot, root.root, sha256(coalesce(own.heads, '') || coalesce(above.heads, '')) AS proof_sha256,
+  over.h AS folded_root, over.h = root.root AS verified
+FROM p JOIN sub USING (g) CROSS JOIN root JOIN over ON over.g = p.g AND over.pos = p.pos AND over.lvl = root.height
+LEFT JOIN own ON own.g = p.g AND own.pos = p.pos LEFT JOIN above ON above.g = p.g""",
 }

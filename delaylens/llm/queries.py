@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, decontaminate, html_extract, pu_quality, quality_rules, secrets, shards, surrogates, warc
+from . import (
+    bagminhash,
+    bpe,
+    decontaminate,
+    divergence,
+    hmm,
+    html_extract,
+    merkle,
+    pu_quality,
+    quality_rules,
+    secrets,
+    shards,
+    surrogates,
+    warc,
+)
 from .common import fresh_path, read_table
 
 
@@ -90,6 +104,28 @@ def op10_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_level_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = divergence.audit(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("grp").alias("lang"), F.col("part").alias("source"), F.col("kind").alias("part"), "item", "value", "rank")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    # every seventh row by checksum is checked with one more in n_chars; a
+    # decimal, because the largest long has no successor
+    one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    altered = F.when(chosen, merkle.leaf_of([*fields[:3], one_more, fields[4]]))
+    tree = merkle.manifest(merkle.leaves(docs, "doc_id", "lang", fields, altered))
+    return tree.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return hmm.score(read_table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
@@ -101,4 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_host_paths": op10_host_paths,
+    "op11_level_products": op11_level_products,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hidden_markov": op13_hidden_markov,
 }
