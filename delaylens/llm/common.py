@@ -26,6 +26,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``stage`` with the rows of one value of ``column`` in one of as many buckets
+    as there are shuffle partitions: grouping by it later moves nothing."""
+    spark = df.sparkSession
+    table = f"llm_{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
+    writer = df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column)
+    writer.option("path", scratch_path(spark, "llm", table)).saveAsTable(table)
+    return spark.table(table)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, not yet existing path under the shared checkpoint folder."""
     return scratch_path(spark, "llm", f"{name}-{uuid.uuid4().hex[:12]}")

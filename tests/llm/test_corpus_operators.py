@@ -227,7 +227,7 @@ def _held(i):
 
 def _emission(shared, table):
     own = {bytes(r["word"]): np.array(r["e"], float) for r in table.collect()}
-    return lambda word, c: own[word] if c >= hmm.OWN else shared.emit[c]
+    return lambda word, c: own[word] if word in own else shared.emit[c.bit_length()] * (c + 1)
 
 
 def test_model_steps_match_plain_python(spark):
