@@ -24,8 +24,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     joins, and every later consumer reads only its columns.
 
     A table is named after its plan and the versions (paths, sizes, times) of
-    all files the plan reads, so a second request of the same rows finds it, and
-    changed input makes a new one. The application's tables go when it ends
+    all files the plan reads (``plan_version``), so a second request of the same
+    rows finds it, and changed input or another column makes a new one. The application's tables go when it ends
     (``session.release_scratch`` removes them earlier).
     """
     spark = df.sparkSession
@@ -36,16 +36,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def plan_version(df: DataFrame) -> str:
-    """A digest of the normalised plan and of the files that it reads; rows that
-    don't come from files alone are a version of their own each time."""
-    plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
-    if not df.inputFiles() or re.search("LogicalRDD|LocalRelation|ExternalRDD|InMemoryRelation|StreamingRelation", plan):
+    """A digest of the analysed plan, of the files behind each of its leaves and
+    of their sizes and times.
+
+    Plans made twice differ in the numbers of their columns only, so a number is
+    replaced by its place of first appearance: which column is meant, and by which
+    side of a join it came, stays in the text. Leaves are told apart by their
+    files, subqueries included. Rows that don't come from files alone, or that
+    pass through user code, are a version of their own each time."""
+    plan = df._jdf.queryExecution().analyzed()
+    trees = [plan, *_items(plan.subqueriesAll())]
+    patterns = df.sparkSession._jvm.org.apache.spark.sql.catalyst.trees.TreePattern
+    leaves = [leaf for tree in trees for leaf in _items(tree.collectLeaves())]
+    files = [_leaf_files(leaf) for leaf in leaves]
+    text = plan.treeString(True, False, 2**31 - 1, False, False)  # whole: no field is left out
+    user_code = any(tree.containsPattern(p) for tree in trees for p in (patterns.PYTHON_UDF(), patterns.SCALA_UDF()))
+    if user_code or None in files or not any(files) or re.search(r"InPandas|InArrow|MapPartitions|MapElements|MapGroups|CoGroup|TypedFilter|ScriptTransformation", text):
         return uuid.uuid4().hex[:24]
-    named = re.sub(r"#\d+L?|plan_id=\d+|\[id=[^]]*\]", "#", plan)  # without the numbers of this planning
-    body = [named, df.schema.json(), *file_versions(df.sparkSession, df.inputFiles())]
+    places: dict[str, int] = {}
+    numbered = re.sub(r"#(\d+)", lambda m: f"#{places.setdefault(m[1], len(places))}", re.sub(r"plan_id=\d+|\[id=[^]]*\]", "", text))
+    body = [numbered, df.schema.json(), *["|".join(f) for f in files], *file_versions(df.sparkSession, [f for leaf in files for f in leaf])]
     return hashlib.sha256("\n".join(body).encode()).hexdigest()[:24]
 
 
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _leaf_files(leaf) -> list[str] | None:
+    """The files that a leaf of a plan reads; none for generated rows, None for rows
+    whose origin is unknown."""
+    kind = leaf.getClass().getSimpleName()
+    if kind in ("Range", "OneRowRelation"):
+        return []
+    if kind != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    return sorted(leaf.relation().location().inputFiles())
+
+
 def file_versions(spark: SparkSession, files: list[str]) -> list[str]:
     """Path, length and modification time of ``files``: one listing for each
     folder."""

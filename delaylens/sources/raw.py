@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,45 +11,47 @@ from pyspark.sql import types as T
 
 from ..functions import null_if_nan
 from ..schemas import RAW_FILES
+from .csv_records import csv_records
 
 
 CORRUPT = "_corrupt_record"
 
 
-def _scan_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
-    """All rows of a header CSV with the file's own columns, typed by name, and
-    the text of malformed rows in ``CORRUPT``."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    header = [c.lstrip("\ufeff").strip() for c in reader.csv(path).columns]
+def _scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All records of the header CSV files with the files' own columns, typed by
+    name, and the text of malformed ones in ``CORRUPT``."""
+    head = spark.read.option("lineSep", "\n").text(path).head()
+    head = (head.value if head else "").lstrip("\ufeff").rstrip("\r")
+    header = [c.strip() for c in next(csv.reader([head]), [])]
     missing = [f.name for f in schema.fields if f.name not in header]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
     types = {f.name: f.dataType for f in schema.fields}
     own = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header] + [T.StructField(CORRUPT, T.StringType())])
-    return (
-        reader.schema(own)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("enforceSchema", False)  # files of one folder must agree on the header
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-        .csv(path)
-    )
-
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "escape": '"', "columnNameOfCorruptRecord": CORRUPT, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+    records = csv_records(spark, path)
+    # files of one folder must agree on the header
+    same = F.regexp_replace("header", "^\ufeff|\r$", "") == head
+    checked = F.when(same, F.col("record")).otherwise(F.raise_error(F.concat(F.lit("another CSV header: "), F.col("header"))))
+    parsed = records.select("complete", checked.alias("record"))
+    parsed = parsed.select("complete", "record", F.from_csv("record", own.toDDL(), options).alias("row"))
+    bad = F.when(~F.col("complete"), F.col("record")).otherwise(F.col("row")[CORRUPT])
+    return parsed.select(*[F.col("row")[c].alias(c) for c in header], bad.alias(CORRUPT))
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A1: header CSV with an explicit schema (no inference pass).
 
     Columns are bound by the header's names in whatever order; a missing one
-    raises, further ones are left out. Quoted fields may hold doubled quotes
-    and, with ``multi_line``, newlines (such a file is read by one task; pass
-    False for large files without them). Malformed rows are left to
-    ``read_csv_rejects``. Timestamps parse as timestamp_ntz from ISO text; a
-    UTF-8 byte-order mark in the header is ignored. A literal NaN in a double
-    column becomes NULL: downstream means, fills and row drops treat both as
-    missing, and Spark would otherwise keep NaN apart (``avg`` turns NaN,
-    ``NaN > x`` is true).
+    raises, further ones are left out. Quoted fields may hold doubled quotes and
+    newlines; the files are read in byte ranges all the same (``csv_records``).
+    Malformed and unclosed records are left to ``read_csv_rejects``. Timestamps
+    parse as timestamp_ntz from ISO text; a UTF-8 byte-order mark in the header is
+    ignored. A literal NaN in a double column becomes NULL: downstream means, fills
+    and row drops treat both as missing, and Spark would otherwise keep NaN apart
+    (``avg`` turns NaN, ``NaN > x`` is true).
     """
-    df = _scan_csv(spark, path, schema, multi_line).filter(F.col(CORRUPT).isNull())
+    df = _scan_csv(spark, path, schema).filter(F.col(CORRUPT).isNull())
     return df.select(
         *[
             null_if_nan(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
@@ -57,11 +60,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: b
     )
 
 
-def read_csv_rejects(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
-    """A1: the text of the rows that don't fit the schema, and how many of their
-    fields did."""
-    df = _scan_csv(spark, path, schema, multi_line)
-    # Spark wants a parsed column beside the text: the fields are counted too
+def read_csv_rejects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A1: the text of the records that don't fit the schema, and how many of their
+    fields did; a record that is never closed comes line by line."""
+    df = _scan_csv(spark, path, schema)
     parsed = F.size(F.array_compact(F.array(*[F.col(c).cast("string") for c in schema.names]))).alias("fields")
     return df.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("row"), parsed)
 
@@ -85,7 +87,7 @@ class LoadResult:
 
     def reject_counts(self) -> dict[str, int]:
         """Malformed rows per table."""
-        return {name: df.filter("fields >= 0").count() for name, df in self.rejects.items()}
+        return {name: df.count() for name, df in self.rejects.items()}
 
 
 def load_raw_zone(spark: SparkSession, raw_dir: str, files: dict | None = None) -> LoadResult:
@@ -96,10 +98,8 @@ def load_raw_zone(spark: SparkSession, raw_dir: str, files: dict | None = None)
     for file_name, (table, schema) in (files or RAW_FILES).items():
         path = f"{raw_dir.rstrip('/')}/{file_name}"
         if path_exists(spark, path):
-            # only review comments hold newlines; other files stay splittable
-            lines = any("comment" in f for f in schema.names)
-            result.tables[table] = read_csv(spark, path, schema, lines)
-            result.rejects[table] = read_csv_rejects(spark, path, schema, lines)
+            result.tables[table] = read_csv(spark, path, schema)
+            result.rejects[table] = read_csv_rejects(spark, path, schema)
         else:
             result.missing.append(file_name)
     return result
