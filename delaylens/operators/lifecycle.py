@@ -127,31 +127,41 @@ def _grid(spark, stages, bins: int) -> DataFrame:
     )
 
 
-def stage_density(lm: DataFrame, stages=STAGES, grid_points: int = 200) -> DataFrame:
+def stage_density(lm: DataFrame, stages=STAGES, grid_points: int = 200, lost: float = 1e-13) -> DataFrame:
     """Gaussian kernel density curve on ``grid_points`` over [min, max].
 
-    Bandwidth is Scott's rule (stddev * n^(-1/5)). Stages are stacked into
+    Bandwidth h is Scott's rule (stddev * n^(-1/5)). Stages are stacked into
     (stage, x) rows and counted by distinct value; each distinct value adds its
-    weighted kernel to the fixed number of grid points, combined on the map
-    side, so the curve is exact. A stage of one value (or one row) has no
-    bandwidth: its density is NULL.
+    weighted kernel to the grid points in its reach, combined on the map side.
+    Beyond k = sqrt(2 ln(1 / (lost h sqrt(2 pi)))) bandwidths a value adds less
+    than ``lost`` of its share, so what all values leave out at a point is below
+    ``lost`` in density. As h falls with n, so does the number of points in reach.
+    A stage of one value (or one row) has no bandwidth: its density is NULL.
     """
     counted = _stacked(lm, stages).groupBy("stage", "x").agg(F.count(F.lit(1)).alias("c"))
-    lo, hi, x, c = F.col("lo"), F.col("hi"), F.col("x"), F.col("c")
+    lo, hi, x, c, h = F.col("lo"), F.col("hi"), F.col("x"), F.col("c"), F.col("h")
+    root = math.sqrt(2 * math.pi)
     # two passes for the spread: no cancellation of large sums
     stats = _stacked(lm, stages).groupBy("stage").agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"), F.count("x").alias("n")
     ).select("stage", "lo", "hi", "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"))
-    g = lo + (hi - lo) * F.col("i") / F.lit(grid_points - 1)
-    met = counted.join(F.broadcast(stats), "stage").select(  # one row per stage
-        "*", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i")
-    )
-    kernel = c * F.exp(-F.pow(F.try_divide(g - x, F.col("h")), 2) / 2)
-    return met.groupBy("stage", "i", "lo", "hi", "n", "h").agg(F.sum(kernel).alias("k")).select(
+    last = grid_points - 1
+    g = lo + (hi - lo) * F.col("i") / F.lit(last)
+    # a spread of nothing (one value) has no reach; a wide h reaches no point at all
+    reach = F.when(h > 0, h * F.sqrt(2 * F.greatest(F.lit(0.0), -F.ln(F.lit(lost * root) * h))))
+    step = (hi - lo) / F.lit(last)
+    first, end = F.greatest(F.lit(0), F.ceil((x - reach - lo) / step)), F.least(F.lit(last), F.floor((x + reach - lo) / step))
+    met = counted.join(F.broadcast(stats), "stage").filter(h > 0)  # one row per stage
+    met = met.select("*", first.cast("int").alias("a"), end.cast("int").alias("z")).filter("a <= z")
+    met = met.select("stage", "x", "c", "lo", "hi", "h", F.explode(F.sequence("a", "z")).alias("i"))
+    kernel = c * F.exp(-F.pow((g - x) / h, 2) / 2)
+    sums = met.groupBy("stage", "i").agg(F.sum(kernel).alias("k"))
+    grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("i"))
+    return grid.join(sums, ["stage", "i"], "left").select(
         "stage",
         F.col("i").alias("point"),
         g.alias("x"),
-        F.try_divide(F.col("k"), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))).alias("density"),
+        F.when(h > 0, F.coalesce("k", F.lit(0.0)) / (F.col("n") * h * F.lit(root))).alias("density"),
     )
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,10 @@ from .split import stratified_split
 DEFAULT_PARAMS = {"rounds": 100, "step": 0.1, "depth": 5, "pos_weight": 10.0, "seed": 42, "test_fraction": 0.2}
 
 
+#: Suffixes of the matrix columns: value with the missing ones filled, indicator.
+FILLED, MISSING = "__filled", "__missing"
+
+
 @dataclass
 class TrainResult:
     model: PipelineModel
@@ -40,9 +44,22 @@ class TrainResult:
     test: DataFrame
 
 
-def build_pipeline(rounds: int = 100, step: float = 0.1, depth: int = 5, seed: int = 42) -> Pipeline:
-    """M1 + M3: assembler (NULL kept as NaN) and weighted GBT."""
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
+def build_pipeline(rounds: int = 100, step: float = 0.1, depth: int = 5, seed: int = 42, fills: dict[str, float] | None = None) -> Pipeline:
+    """M1 + M3: feature matrix and weighted GBT.
+
+    The upstream trees learn at each split which way missing values go; Spark's
+    send NaN one fixed way. So a missing value (NULL or NaN) is replaced by a
+    neutral one (``fills``, the training means) and told by an indicator of its
+    own, on which trees can split: the direction is learned from the labels.
+    Indicators of features that are never missing give no split candidates.
+    """
+    fills = fills or {}
+    parts = []
+    for f in FEATURES:
+        parts.append(f"coalesce(nanvl(cast(`{f}` as double), cast(null as double)), {float(fills.get(f) or 0.0)!r}D) AS `{f}{FILLED}`")
+        parts.append(f"cast(`{f}` IS NULL OR isnan(cast(`{f}` as double)) AS double) AS `{f}{MISSING}`")
+    matrix = SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
+    assembler = VectorAssembler(inputCols=[f + FILLED for f in FEATURES] + [f + MISSING for f in FEATURES], outputCol="features")
     gbt = GBTClassifier(
         featuresCol="features",
         labelCol=LABEL,
@@ -55,24 +72,31 @@ def build_pipeline(rounds: int = 100, step: float = 0.1, depth: int = 5, seed: i
         cacheNodeIds=False,
         checkpointInterval=10,
     )
-    return Pipeline(stages=[assembler, gbt])
+    return Pipeline(stages=[matrix, assembler, gbt])
+
+
+def training_means(rows: DataFrame) -> dict[str, float]:
+    """Mean of each feature over the rows that have it: one row."""
+    means = rows.agg(*[F.avg(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))).alias(f) for f in FEATURES]).first()
+    return means.asDict()
 
 
 def with_class_weight(df: DataFrame, pos_weight: float = 10.0) -> DataFrame:
     return df.withColumn("weight", F.when(F.col(LABEL) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
 
 
-def train_gbt(features: DataFrame, **params) -> TrainResult:
-    """M2 + M3: exact stratified split, then fit on the training part."""
+def train_gbt(features: DataFrame, hash_columns: list[str] | None = None, **params) -> TrainResult:
+    """M2 + M3: exact stratified split, then fit on the training part. The rows'
+    places in the split follow ``hash_columns`` (default: all)."""
     p = {**DEFAULT_PARAMS, **params}
     ensure_checkpoint_dir(features.sparkSession)
-    keep = [c for c in features.columns if c in ("order_id", "seller_id")]
+    keep = [c for c in features.columns if c in ("order_id", "seller_id", *(hash_columns or ())) and c not in FEATURES]
     data = features.select(*FEATURES, F.col(LABEL).cast("double").alias(LABEL), *keep)
     # the narrow training rows are stored once: cheaper than re-deriving the
     # feature chain in each branch of the split
-    split = stratified_split(stored_side(data, "training-rows"), LABEL, p["test_fraction"], p["seed"])
+    split = stratified_split(stored_side(data, "training-rows"), LABEL, p["test_fraction"], p["seed"], hash_columns)
     train = with_class_weight(split.train, p["pos_weight"]).persist()
-    model = build_pipeline(p["rounds"], p["step"], p["depth"], p["seed"]).fit(train)
+    model = build_pipeline(p["rounds"], p["step"], p["depth"], p["seed"], training_means(train)).fit(train)
     train.unpersist()
     return TrainResult(model, split.train, split.test)
 
@@ -81,7 +105,7 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """M4: hard prediction and positive-class probability."""
     out = model.transform(df)
     return out.withColumn("delay_risk_probability", vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability"
+        "features", "rawPrediction", "probability", *[f + suffix for f in FEATURES for suffix in (FILLED, MISSING)]
     )
 
 
@@ -97,10 +121,11 @@ def evaluation_frame(model: PipelineModel, test: DataFrame) -> DataFrame:
 
 def feature_importance(spark: SparkSession, root: str, k: int = 10) -> DataFrame:
     """M8/F2: top-k features by gain, the mean impurity gain of the splits that
-    use a feature, over the nodes of all trees of the stored model (``root``).
-    Features that no split uses have no row. Ties go by name."""
+    use a feature or its indicator of missing values, over the nodes of all trees
+    of the stored model (``root``), and their number. Features that no split uses
+    have no row. Ties go by name."""
     nodes = spark.read.parquet(f"{root}/model/stages/*/data").select("nodeData.gain", "nodeData.split.featureIndex")
-    names = F.array(*[F.lit(f) for f in FEATURES])
+    names = F.array(*[F.lit(f) for f in FEATURES * 2])  # values, then indicators
     used = nodes.filter(F.col("featureIndex") >= 0)
     return (
         used.groupBy(F.get(names, F.col("featureIndex")).alias("feature"))

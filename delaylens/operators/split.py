@@ -4,12 +4,15 @@ Per label, exactly round(fraction x n_label) rows go to test: those with the
 least seeded content hashes. Partitioning, task order and repeated evaluation
 don't matter, and no row needs an id.
 
-The hash that holds a label's last test row is found by two histograms over 16
-bits each (partial aggregates; windows of at most 65,536 rows per label), which
-leave one row in 2^32 to order. Rows are tagged in one projection that compares
-their hash with that cut. Rows whose hash is the cut itself are counted by
-content, and the counts are dealt out, so copies of one row that straddle the
-cut never meet in a window.
+The hash that holds a label's last test row is found in two steps: a histogram
+over the first 16 bits (a partial aggregate; a window of at most 65,536 rows per
+label, which also tells the label's rows and so how many go to test), then the
+counts of the hashes in the one cell that holds the row, 1 in 65,536 of the
+rows. The cut is one row per label, stored once: train and test read it instead
+of finding it again. Rows are tagged in one projection that compares their hash
+with the cut. Rows whose hash is the cut itself are counted by content, and the
+counts are dealt out, so copies of one row that straddle the cut never meet in a
+window.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import stored_side
+
 BITS = 60  # of the hash: 15 hexadecimal digits
 
 
@@ -37,14 +42,25 @@ def content_hash(columns: Sequence[str], seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("bigint")
 
 
-def _cut_level(rows: DataFrame, label: str, digit: Column) -> DataFrame:
-    """(label, digit, rest): the digit that holds the ``__k``-th row of each
-    label, and how many rows of it are still to be taken."""
-    counts = rows.groupBy(label, "__k", digit.alias("__d")).agg(F.count(F.lit(1)).alias("__c"))
-    upto = Window.partitionBy(label).orderBy("__d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ran = counts.withColumn("__cum", F.sum("__c").over(upto))
-    held = (F.col("__cum") >= F.col("__k")) & (F.col("__cum") - F.col("__c") < F.col("__k"))
-    return ran.filter(held).select(label, "__d", (F.col("__k") - F.col("__cum") + F.col("__c")).alias("__k"))
+def _cut(labelled: DataFrame, label: str, test_fraction: float) -> DataFrame:
+    """(label, __cut, __take): the hash of each label's last test row, and how many
+    rows of that hash go to test. Labels without test rows have none."""
+    high = F.shiftright("__h", BITS - 16)
+    of_label = Window.partitionBy(label)
+    counts = labelled.groupBy(label, high.alias("__d")).agg(F.count(F.lit(1)).alias("__c"))
+    ran = counts.select(
+        label, "__d", "__c",
+        F.round(F.sum("__c").over(of_label) * F.lit(float(test_fraction))).cast("long").alias("__k"),
+        F.sum("__c").over(of_label.orderBy("__d").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__cum"),
+    )
+    ran = ran.withColumn("__rest", F.col("__k") - F.col("__cum") + F.col("__c"))
+    cell = ran.filter((F.col("__rest") > 0) & (F.col("__cum") >= F.col("__k"))).select(label, "__d", "__rest")
+
+    inside = labelled.join(F.broadcast(cell), label).filter(high == F.col("__d"))  # one row per label
+    hashes = inside.groupBy(label, "__rest", "__h").agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(label).orderBy("__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = hashes.withColumn("__cum", F.sum("__c").over(upto)).withColumn("__take", F.col("__rest") - F.col("__cum") + F.col("__c"))
+    return found.filter((F.col("__take") > 0) & (F.col("__cum") >= F.col("__rest"))).select(label, F.col("__h").alias("__cut"), "__take")
 
 
 def assign_split(
@@ -58,17 +74,7 @@ def assign_split(
     cols = df.columns
     base = df.withColumn("__h", content_hash(hash_columns or cols, seed))
     h = F.col("__h")
-    high, middle = F.shiftright(h, BITS - 16), F.shiftright(h, BITS - 32).bitwiseAND(F.lit(0xFFFF))
-
-    labelled = base.filter(F.col(label).isNotNull()).select(label, "__h")
-    totals = labelled.groupBy(label).agg(F.round(F.count(F.lit(1)) * F.lit(float(test_fraction))).cast("long").alias("__k"))
-    totals = F.broadcast(totals.filter(F.col("__k") > 0))  # one row per label, like the cuts below
-    first = _cut_level(labelled.join(totals, label), label, high).withColumnRenamed("__d", "__d1")
-    second = labelled.join(F.broadcast(first), label).filter(high == F.col("__d1"))
-    found = _cut_level(second, label, middle).withColumnRenamed("__d", "__d2")
-    third = labelled.join(F.broadcast(first.select(label, "__d1")), label).join(F.broadcast(found), label)
-    third = third.filter((high == F.col("__d1")) & (middle == F.col("__d2")))
-    cut = _cut_level(third, label, h).select(label, F.col("__d").alias("__cut"), F.col("__k").alias("__take"))
+    cut = stored_side(_cut(base.filter(F.col(label).isNotNull()).select(label, "__h"), label, test_fraction), "split-cut")
 
     tagged = base.join(F.broadcast(cut), label, "left")
     plain = tagged.filter(F.col("__cut").isNull() | (h != F.col("__cut")))

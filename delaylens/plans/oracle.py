@@ -504,13 +504,22 @@ SELECT order_id, review_score,
 FROM src_reviews"""),
     "profile_roundtrip": q("SELECT seller_id, round(seller_late_rate, 6) AS seller_late_rate, seller_order_count FROM profile"),
     "train_gbt": q("""
+, hashed AS (
+  SELECT is_late, seller_late_rate AS p, CAST('0x' || substr(md5('42|' || order_id || '|' || seller_id || '|' || CAST(round(price * 100) AS BIGINT)), 1, 15) AS BIGINT) AS h
+  FROM feat),
+fitted AS (
+  SELECT is_late, p FROM (SELECT *, row_number() OVER (PARTITION BY is_late ORDER BY h) AS rn, COUNT(*) OVER (PARTITION BY is_late) AS n FROM hashed)
+  WHERE rn > CAST(round(n * 0.2e0) AS BIGINT)),
+placed AS (SELECT is_late, rank() OVER (ORDER BY p) + (COUNT(*) OVER (PARTITION BY p) - 1) / 2.0e0 AS r FROM fitted),
+auc AS (
+  SELECT (SUM(r) FILTER (WHERE is_late = 1) - pos * (pos + 1) / 2.0e0) / (pos * neg) AS rate_auc
+  FROM placed, (SELECT COUNT(*) FILTER (WHERE is_late = 1) AS pos, COUNT(*) FILTER (WHERE is_late = 0) AS neg FROM fitted) GROUP BY pos, neg)
 SELECT is_late AS label, COUNT(*) - CAST(round(COUNT(*) * 0.2e0) AS BIGINT) AS train_rows,
-  CAST(round(COUNT(*) * 0.2e0) AS BIGINT) AS test_rows, CAST(0 AS BIGINT) AS bad_scores, true AS auc_valid
+  CAST(round(COUNT(*) * 0.2e0) AS BIGINT) AS test_rows, CAST(0 AS BIGINT) AS bad_scores,
+  round((SELECT rate_auc FROM auc), 6) AS rate_auc, true AS beats_rate
 FROM feat GROUP BY is_late"""),
     "score_orders": q(_scoring),
     "stream_scored": q(_scoring),
-    "feature_importance": """SELECT feature, true AS gain_valid FROM (VALUES ('distance_km'), ('seller_late_rate'),
-  ('product_weight_g'), ('freight_value'), ('price')) v(feature)""",
     "daily_orders": q("""
 SELECT CAST(order_purchase_timestamp AS DATE) AS day, COUNT(*) AS orders FROM src_orders GROUP BY 1"""),
 }

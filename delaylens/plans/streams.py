@@ -13,7 +13,7 @@ from ..operators.joins import dimension_join
 from ..operators.master import select_cohort, with_late_flag
 from ..schemas import SCORING_RECORD
 from ..session import scratch_path
-from ..streaming.jobs import compact_monitor, late_rate_monitor, read_monitor, score_stream
+from ..streaming.jobs import compact_monitor, late_rate_monitor, read_monitor, read_scored, score_stream
 from . import common as c
 from .ml import ensure_artifacts, open_order_records, scoring_facts
 
@@ -63,8 +63,8 @@ def q_stream_late_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 over the open orders: the facts of ``score_orders``, from the sinks of
-    scored and of rejected rows."""
+    """S1 over the open orders: the facts of ``score_orders``, from the published
+    epochs."""
     art = ensure_artifacts(spark, sf_dir)
     run = _run_dir(spark, "score")
     records = open_order_records(c.tables(spark, sf_dir)).select(
@@ -72,5 +72,5 @@ def q_stream_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     records.write.mode("overwrite").parquet(f"{run}/incoming")
     q = score_stream(spark, f"{run}/incoming", SCORING_RECORD, art, f"{run}/sink", f"{run}/checkpoint")
     q.awaitTermination()
-    facts = scoring_facts(spark.read.parquet(f"{run}/sink/scored"), spark.read.parquet(f"{run}/sink/rejected"))
+    facts = scoring_facts(*read_scored(spark, f"{run}/sink"))
     return facts.withColumns({k: F.col(k).cast("long") for k in ("order_id", "seller_id")})  # text in records

@@ -57,20 +57,20 @@ def score_stream(
     available_now: bool = True,
     max_files: int | None = None,
 ) -> StreamingQuery:
-    """Score arriving orders; rejected rows go to ``sink``/rejected."""
+    """Score arriving orders.
+
+    Scored and rejected rows of an epoch are two folders of one version, named by
+    one pointer that is written last (``sources.store``): a reader
+    (``read_scored``) sees both or neither, and a retried epoch replaces its own
+    version whole.
+    """
     records = read_stream(spark, source, schema, max_files)
     fills = artifacts.fill_values()  # two stored scalars, read once per stream
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch = batch.persist()  # two sinks read the same micro-batch
+        batch = batch.persist()  # two folders read the same micro-batch
         scored, rejected = score_orders(batch, artifacts, fills=fills)
-        # overwrite of a per-epoch folder: a retried epoch replaces its own output
-        scored.select("order_id", "seller_id", "delay_risk_probability", "is_high_risk", "risk_label").write.mode(
-            "overwrite"
-        ).parquet(f"{sink}/scored/batch={epoch_id}")
-        rejected.select("order_id", "seller_id", "reason").write.mode("overwrite").parquet(
-            f"{sink}/rejected/batch={epoch_id}"
-        )
+        write_epoch(spark, sink, epoch_id, scored.select(*SCORED), rejected.select(*REJECTED))
         batch.unpersist()
 
     writer = records.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
@@ -78,6 +78,57 @@ def score_stream(
     return writer.start()
 
 
+SCORED = ("order_id", "seller_id", "delay_risk_probability", "is_high_risk", "risk_label")
+REJECTED = ("order_id", "seller_id", "reason")
+
+
+def write_epoch(spark: SparkSession, sink: str, epoch: int, scored: DataFrame, rejected: DataFrame) -> None:
+    """Publish both outputs of an epoch as one version."""
+
+    def write(folder: str) -> None:
+        scored.write.parquet(f"{folder}/scored")
+        rejected.write.parquet(f"{folder}/rejected")
+
+    publish(spark, f"{sink}/epochs/{epoch}", str(epoch), write)
+
+
+def _epochs(spark: SparkSession, sink: str) -> dict[int, str]:
+    """Folders of the published epochs that are not compacted yet."""
+    _, last = _base(spark, sink)
+    fs, path = file_system(spark, f"{sink}/epochs")
+    numbers = [int(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
+    found = {e: latest_version(spark, f"{sink}/epochs/{e}") for e in sorted(numbers) if e > last}
+    return {e: version[0] for e, version in found.items() if version}
+
+
+def read_scored(spark: SparkSession, sink: str) -> tuple[DataFrame, DataFrame] | None:
+    """(scored, rejected) of all published epochs; None before the first."""
+    base, _ = _base(spark, sink)
+    folders = ([base] if base else []) + list(_epochs(spark, sink).values())
+    if not folders:
+        return None
+    return tuple(spark.read.parquet(*[f"{folder}/{part}" for folder in folders]) for part in ("scored", "rejected"))
+
+
+def compact_scored(spark: SparkSession, sink: str) -> None:
+    """Fold the published epochs into one version of both outputs, then remove
+    their folders. A reader that lists the epochs during the switch sees each
+    row once: epochs up to the compacted one are left out by number."""
+    epochs = _epochs(spark, sink)
+    if not epochs:
+        return
+    scored, rejected = read_scored(spark, sink)
+
+    def write(folder: str) -> None:
+        scored.hint("rebalance").write.parquet(f"{folder}/scored")
+        rejected.hint("rebalance").write.parquet(f"{folder}/rejected")
+
+    publish(spark, f"{sink}/compacted", str(max(epochs)), write)
+    fs, _ = file_system(spark, sink)
+    for e in epochs:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sink}/epochs/{e}"), True)
+
+
 def late_rate_windows(outcomes: DataFrame, watermark: str = "2 days", window: str = "1 day") -> DataFrame:
     """S2 transform (batch or stream): deliveries and late rate per window and state."""
     # watermarks need TIMESTAMP: read the wall clock as UTC (session-zone independent)

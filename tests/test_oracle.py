@@ -23,7 +23,8 @@ def con():
 
 
 def test_every_query_registered_with_oracle_or_rows_only():
-    assert set(ORACLE) == set(QUERIES)
+    # the gains of a trained model are beyond SQL: tests recompute them from its nodes
+    assert set(ORACLE) == set(QUERIES) - {"feature_importance"}
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 

@@ -109,3 +109,102 @@ def test_monitor_append_mode_emits_closed_windows_once(spark):
     last_year = outcomes.agg(F.max(F.year("delivered_at"))).first()[0]
     closed = {w for w in want_all if w[0].year < last_year}
     assert closed <= set(got) and len(got) < len(want_all)
+
+
+def test_epoch_shows_both_outputs_or_neither(spark):
+    from delaylens.sources.raw import file_system
+    from delaylens.streaming.jobs import REJECTED, SCORED, compact_scored, read_scored, write_epoch
+
+    sink = _run_dir(spark, "epochs")
+    scored = lambda *ids: spark.createDataFrame([(i, 1, 0.5, False, "ON TRACK") for i in ids], "order_id long, seller_id long, delay_risk_probability double, is_high_risk boolean, risk_label string").select(*SCORED)
+    rejected = lambda *ids: spark.createDataFrame([(i, 1, "no_seller_geo") for i in ids], "order_id long, seller_id long, reason string").select(*REJECTED)
+    seen = lambda: tuple(sorted(r.order_id for r in part.collect()) for part in read_scored(spark, sink))
+    assert read_scored(spark, sink) is None
+    write_epoch(spark, sink, 0, scored(1, 2), rejected(3))
+    assert seen() == ([1, 2], [3])
+    # killed between the two writes: the second output fails after the first is there
+    broken = rejected(5).withColumn("reason", F.raise_error(F.lit("executor lost")).cast("string"))
+    try:
+        write_epoch(spark, sink, 1, scored(4), broken)
+        raise SystemExit("the write should have failed")
+    except Exception as e:
+        assert "executor lost" in str(e)
+    fs, path = file_system(spark, f"{sink}/epochs/1")
+    assert fs.exists(path) and seen() == ([1, 2], [3])
+    write_epoch(spark, sink, 1, scored(4), rejected(5))  # the retry
+    write_epoch(spark, sink, 1, scored(4), rejected(5))  # and one more of a published epoch
+    assert seen() == ([1, 2, 4], [3, 5])
+    compact_scored(spark, sink)
+    assert seen() == ([1, 2, 4], [3, 5]) and not fs.exists(path)
+    write_epoch(spark, sink, 2, scored(6), rejected())
+    assert seen() == ([1, 2, 4, 6], [3, 5])
+    compact_scored(spark, sink)
+    assert seen() == ([1, 2, 4, 6], [3, 5])
+
+
+def _planted(spark, n=3000):
+    """A missing price means late, a missing freight means on time; the values
+    themselves mean nothing."""
+    i = F.col("id")
+    late = (i % 10 < 3).cast("int")
+    spread = lambda m: (F.pmod(F.xxhash64(i, F.lit(m)), F.lit(1000)) / 10.0).cast("double")
+    absent = F.pmod(F.xxhash64(i, F.lit(9)), F.lit(10)) < 8
+    return spark.range(n).select(
+        i.alias("order_id"), i.alias("seller_id"), late.alias("is_late"),
+        *[spread(k).alias(f) for k, f in enumerate(FEATURES) if f not in ("price", "freight_value")],
+        F.when((late == 1) & absent, None).otherwise(spread(7)).alias("price"),
+        F.when((late == 0) & absent, None).otherwise(spread(8)).alias("freight_value"),
+    )
+
+
+def test_direction_of_missing_values_is_learned(spark):
+    from delaylens.operators.metrics import roc_auc
+    from delaylens.operators.model import predict
+
+    rows = _planted(spark)
+    res = train_gbt(rows, rounds=5, depth=3)
+    assert roc_auc(evaluation_frame(res.model, res.test)).first().roc_auc > 0.85
+    probe = spark.createDataFrame(
+        [("price", 50.0, 50.0, 50.0, 50.0, None), ("freight", 50.0, 50.0, 50.0, None, 50.0), ("nan", 50.0, 50.0, 50.0, 50.0, float("nan"))],
+        "missing string, distance_km double, seller_late_rate double, product_weight_g double, freight_value double, price double",
+    )
+    got = {r.missing: r.delay_risk_probability for r in predict(res.model, probe).collect()}
+    assert got["price"] > 0.8 and got["nan"] == got["price"] and got["freight"] < 0.5 < got["price"]
+    # a value that no training row lacked gets the neutral one, not an end of the range
+    hole = probe.withColumns({"distance_km": F.lit(None).cast("double"), "price": F.lit(50.0), "freight_value": F.lit(50.0)})
+    assert all(0 <= r.delay_risk_probability <= 1 for r in predict(res.model, hole).collect())
+
+
+def test_training_row_turns_red_for_a_model_of_shuffled_labels(spark):
+    from delaylens.operators.model import TrainResult
+    from delaylens.plans.ml import training_facts
+
+    rows = c.features(spark, SF_SMALL).features
+    good = train_gbt(rows, rounds=10, depth=4)
+    assert {r.beats_rate for r in training_facts(good).collect()} == {True}
+    shuffled = rows.withColumn("is_late", (F.pmod(F.xxhash64("order_id", "seller_id", "price"), F.lit(100)) < 10).cast("int"))
+    bad = train_gbt(shuffled, rounds=10, depth=4)
+    assert {r.beats_rate for r in training_facts(TrainResult(bad.model, good.train, good.test)).collect()} == {False}
+
+
+def test_gains_are_those_of_the_stored_nodes(spark):
+    """Mean gain and splits per feature, recomputed from the loaded trees."""
+    import collections
+
+    t = c.tables(spark, SF_SMALL)
+    prep = c.features(spark, SF_SMALL)
+    res = train_gbt(prep.features, rounds=3, depth=3)
+    root = scratch_path(spark, "gain-artifacts")
+    save_artifacts(res.model, prep.seller_profile, geo_centroid(t.geolocation), training_stats(prep.features, prep.seller_profile), root)
+    gains = collections.defaultdict(list)
+    for tree in load_artifacts(spark, root).model.stages[-1].trees:
+        nodes = [tree._call_java("rootNode")]
+        while nodes:
+            node = nodes.pop()
+            if "Internal" in node.getClass().getSimpleName():
+                gains[FEATURES[node.split().featureIndex() % len(FEATURES)]].append(node.gain())
+                nodes += [node.leftChild(), node.rightChild()]
+    got = {r.feature: (r.mean_gain, r.splits) for r in feature_importance(spark, root).collect()}
+    assert got.keys() == gains.keys() and len(got) > 2
+    for f, values in gains.items():
+        assert got[f][1] == len(values) and abs(got[f][0] - sum(values) / len(values)) < 1e-9
