@@ -503,6 +503,27 @@ SELECT order_id, review_score,
   CASE WHEN order_id % 7 <> 0 THEN 'so "good", ' || review_score || chr(10) || 'or ' || order_id END AS review_comment_message
 FROM src_reviews"""),
     "profile_roundtrip": q("SELECT seller_id, round(seller_late_rate, 6) AS seller_late_rate, seller_order_count FROM profile"),
+    "raw_zone_loaded": q("""
+SELECT 'products' AS table, 'loaded' AS state, COUNT(*) FILTER (WHERE product_id % 13 <> 0) AS rows,
+  COUNT(*) FILTER (WHERE product_id % 13 = 0) AS rejects,
+  CAST(SUM(length(product_category_name) + CASE WHEN product_id % 9 = 0 THEN 12 ELSE 0 END) FILTER (WHERE product_id % 13 <> 0) AS BIGINT) AS characters
+FROM src_products
+UNION ALL SELECT 'sellers', 'loaded', COUNT(*), 0, CAST(SUM(length(seller_state)) AS BIGINT) FROM src_sellers
+UNION ALL SELECT 'customers', 'missing', NULL, NULL, NULL"""),
+    "records_parsed": q("""
+, open_rows AS (
+  SELECT o.order_id, i.seller_id, p.product_weight_g, i.freight_value, i.price, o.order_id % 10 AS d
+  FROM src_orders o JOIN src_items i ON o.order_id = i.order_id LEFT JOIN src_products p ON i.product_id = p.product_id
+  WHERE o.order_status <> 'delivered')
+SELECT order_id, seller_id, round(product_weight_g, 6) AS product_weight_g, round(freight_value, 6) AS freight_value,
+  CASE WHEN d <> 3 THEN round(price, 6) END AS price, 'ok' AS reason
+FROM open_rows WHERE d NOT IN (7, 9)
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, CASE WHEN d = 7 THEN 'wrong_type:price' ELSE 'not_a_record' END FROM open_rows WHERE d IN (7, 9)"""),
+    "features_adaptive": q("""
+SELECT order_id, seller_id, round(distance_km, 6) AS distance_km,
+  round(CASE WHEN seller_id % 3 <> 0 THEN seller_id % 20 / 20.0e0 ELSE (SELECT AVG(seller_late_rate) FROM profile) END, 6) AS seller_late_rate,
+  round(COALESCE(product_weight_g, (SELECT AVG(product_weight_g) FROM dist_master)), 6) AS product_weight_g, is_late
+FROM dist_master WHERE distance_km IS NOT NULL"""),
     "train_gbt": q("""
 , hashed AS (
   SELECT is_late, seller_late_rate AS p, CAST('0x' || substr(md5('42|' || order_id || '|' || seller_id || '|' || CAST(round(price * 100) AS BIGINT)), 1, 15) AS BIGINT) AS h

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geo, lifecycle, master as m, metrics, reports, routes, sellers
-from ..operators.features import features_strict, fill_weight_from_rows
+from ..operators.features import features_strict, fill_weight_from_rows, preprocess
 from ..operators.joins import stored_side
 from ..operators.split import stratified_split_counts
 from ..session import scratch_path
@@ -20,7 +20,7 @@ from ..sources.catalog import bucket_order_tables, ensure_master, read_master, r
 from ..sources.fixtures import state_names
 from ..sources.raw import parse_timestamps
 from . import common as c
-from .stores import q_profile_roundtrip, q_raw_csv_roundtrip
+from .stores import q_profile_roundtrip, q_raw_csv_roundtrip, q_raw_zone_loaded, q_records_parsed
 from .ml import q_feature_importance, q_score_orders, q_train_gbt
 from .streams import q_stream_late_monitor, q_stream_scored
 
@@ -301,6 +301,17 @@ def _dimension_keys(spark, sf):
     return m.dimension_keys(c.tables(spark, sf))
 
 
+def _features_adaptive(spark, sf):
+    """The chain over rows that bring their coordinates and, but for every
+    third seller, a late rate of their own: neither is looked up, only the gaps of
+    the rate are filled."""
+    t = c.tables(spark, sf)
+    placed = geo.geo_enriched(c.master(spark, sf), t.geolocation)
+    own = F.when(F.col("seller_id") % 3 != 0, F.col("seller_id") % 20 / F.lit(20.0))
+    rows = preprocess(placed.withColumn("seller_late_rate", own)).features
+    return rows.select("order_id", "seller_id", "distance_km", "seller_late_rate", "product_weight_g", "is_late")
+
+
 def _daily_orders(spark, sf):
     return reports.daily_orders(c.tables(spark, sf).orders)
 
@@ -363,6 +374,9 @@ QUERIES: dict[str, Query] = {
     "dimension_keys": _dimension_keys,
     "raw_csv_roundtrip": q_raw_csv_roundtrip,
     "profile_roundtrip": q_profile_roundtrip,
+    "raw_zone_loaded": q_raw_zone_loaded,
+    "records_parsed": q_records_parsed,
+    "features_adaptive": _features_adaptive,
     # model queries return facts about the model's output that SQL can state
     "train_gbt": q_train_gbt,
     "score_orders": q_score_orders,

@@ -1,16 +1,59 @@
-"""Records to a DataFrame (one dict or a list of dicts).
+"""Records to a DataFrame (one dict or a list of dicts, or a table of JSON
+texts).
 
-For request-sized input only; batch scoring reads a table instead.
+A record is bound to the schema field by field: a missing key or a null is NULL,
+further keys are left out. A record that isn't an object, or that has a value of
+the wrong type, is given apart with a reason; it fails no other record. Request
+-sized input comes as Python objects; batches come as a table of texts and never
+pass through the driver.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import null_if_nan
 from ..schemas import SCORING_RECORD
 
 
-def records_to_df(spark: SparkSession, data, schema=SCORING_RECORD) -> DataFrame:
+@dataclass
+class RecordResult:
+    records: DataFrame  # the schema's columns
+    rejects: DataFrame  # record (its text), reason
+
+
+def parse_records(texts: DataFrame, schema: T.StructType = SCORING_RECORD, column: str = "record") -> RecordResult:
+    """Bind the JSON texts in ``column`` to ``schema``.
+
+    Reasons: ``not_a_record`` (no JSON object), ``wrong_type:a,b`` (the fields that
+    don't fit). Numbers written as text count as numbers.
+    """
+    parsed = texts.select(F.col(column).alias("__text"), F.from_json(column, "map<string,string>").alias("__map"))
+    values = {f.name: F.try_element_at("__map", F.lit(f.name)) for f in schema.fields}
+    typed = {f.name: values[f.name].try_cast(f.dataType) for f in schema.fields}
+    wrong = F.array_compact(F.array(*[F.when(values[n].isNotNull() & typed[n].isNull(), F.lit(n)) for n in schema.names]))
+    reason = F.when(F.col("__map").isNull(), "not_a_record").when(F.size(wrong) > 0, F.concat(F.lit("wrong_type:"), F.array_join(wrong, ",")))
+    bound = parsed.withColumn("__reason", reason)
+    columns = [null_if_nan(typed[f.name]).alias(f.name) if isinstance(f.dataType, T.DoubleType) else typed[f.name].alias(f.name) for f in schema.fields]
+    return RecordResult(
+        bound.filter(F.col("__reason").isNull()).select(*columns),
+        bound.filter(F.col("__reason").isNotNull()).select(F.col("__text").alias("record"), F.col("__reason").alias("reason")),
+    )
+
+
+def read_records(spark: SparkSession, data, schema: T.StructType = SCORING_RECORD) -> RecordResult:
+    """The same for one dict or a list of them; whatever JSON can't write is bound
+    by its text."""
     rows = [data] if isinstance(data, dict) else list(data)
-    names = schema.fieldNames()
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+    texts = [(json.dumps({k: None if v != v else v for k, v in r.items()} if isinstance(r, dict) else r, default=str),) for r in rows]  # NaN is missing
+    return parse_records(spark.createDataFrame(texts, "record string"), schema)
+
+
+def records_to_df(spark: SparkSession, data, schema: T.StructType = SCORING_RECORD) -> DataFrame:
+    """The records that fit the schema."""
+    return read_records(spark, data, schema).records

@@ -123,3 +123,30 @@ def test_records_and_timestamp_parse(spark):
     text = spark.createDataFrame([("2018-01-01 10:00:00",), ("garbage",)], "ts string")
     got = [r.ts for r in parse_timestamps(text, ["ts"], "yyyy-MM-dd HH:mm:ss").collect()]
     assert got[0].hour == 10 and got[1] is None
+
+
+def test_records_with_wrong_types_are_rejects_with_a_reason(spark):
+    from delaylens.sources.records import read_records
+
+    good = {"order_id": "a", "price": 1.5, "seller_zip_code_prefix": 7}
+    data = [good, {"order_id": "b", "price": "cheap", "seller_zip_code_prefix": 1.5}, {}, 5, "text", None, ["x"], {"price": "2.5", "order_id": None}, {"price": float("nan")}]
+    found = read_records(spark, data)
+    rows = [(r.order_id, r.price, r.seller_zip_code_prefix) for r in found.records.collect()]
+    assert sorted(rows, key=repr) == sorted([("a", 1.5, 7), (None, None, None), (None, 2.5, None), (None, None, None)], key=repr)
+    reasons = sorted(r.reason for r in found.rejects.collect())
+    assert reasons == ["not_a_record"] * 4 + ["wrong_type:seller_zip_code_prefix,price"]
+    assert read_records(spark, []).records.isEmpty() and read_records(spark, good).records.count() == 1
+
+
+def test_chain_looks_up_nothing_that_rows_bring(spark):
+    """Coordinates and a rate supplied: no geo join, no profile join."""
+    from delaylens.operators.features import preprocess
+    from tests.planutil import plan_text
+
+    cols = "order_id long, seller_id long, is_late int, s_lat double, s_lng double, c_lat double, c_lng double, seller_late_rate double, product_weight_g double, freight_value double, price double"
+    rows = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 0.0, 1.0, 0.25, 5.0, 1.0, 2.0), (2, 2, 1, None, 0.0, 0.0, 1.0, None, 5.0, 1.0, 2.0)], cols)
+    prep = preprocess(rows, materialize=False)
+    plan = plan_text(prep.features, "extended")
+    assert "Join" not in plan.split("== Optimized Logical Plan ==")[1]
+    got = prep.features.collect()
+    assert [(r.order_id, r.seller_late_rate) for r in got] == [(1, 0.25)] and abs(got[0].distance_km - 111.19) < 0.01
