@@ -198,7 +198,7 @@ def manifest(rows: DataFrame) -> DataFrame:
         return rows.sparkSession.createDataFrame([], schema)
     groups = roots(own[-1]).select("g", F.col("root").alias("leaf"), F.lit(1).alias("n"))
     groups = ordered(groups, ["g"], "groups").select(F.lit("").alias("g"), F.col("before").alias("pos"), "leaf", F.col("g").alias("name"))
-    forest = layers(groups)
+    forest = layers(stage(groups, "forest"))  # stored: a join on a constant would become a nested loop
     root = roots(forest[-1]).withColumnRenamed("root", "top")  # one row
 
     nothing = F.array().cast("array<struct<sibling: string, left: boolean>>")
