@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import days_between, late_flag, micros_between
 from ..functions.columns import MICROS_PER_DAY
 from ..sources.tables import Tables
-from .joins import dimension_join
+from .joins import dimension_join, stored_side
 from .master import lifecycle_orders
 
 STAGES = ("time_to_carrier", "time_in_transit")
@@ -145,6 +145,7 @@ def stage_density(lm: DataFrame, stages=STAGES, grid_points: int = 200, lost: fl
     stats = _stacked(lm, stages).groupBy("stage").agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"), F.count("x").alias("n")
     ).select("stage", "lo", "hi", "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"))
+    stats = stored_side(stats, "density-stats")  # one row per stage, read by values and grid
     last = grid_points - 1
     g = lo + (hi - lo) * F.col("i") / F.lit(last)
     # a spread of nothing (one value) has no reach; a wide h reaches no point at all
