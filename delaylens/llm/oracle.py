@@ -63,7 +63,7 @@ b AS (
       CASE WHEN n_words > 0 AND word_chars > 14 * n_words THEN 'long_words' END,
       CASE WHEN n_words > 0 AND n_symbols * 1.0e0 / n_words > 0.1e0 THEN 'many_symbols' END,
       CASE WHEN n_words > 0 AND n_shouts * 1.0e0 / n_words > 0.5e0 THEN 'shouting' END,
-      CASE WHEN n_words > 0 AND n_stop_words * 1.0e0 / n_words < 0.03e0 THEN 'few_stop_words' END,
+      CASE WHEN n_words >= 34 AND n_stop_words * 1.0e0 / n_words < 0.03e0 THEN 'few_stop_words' END,
       CASE WHEN n_lines > 0 AND n_dup_lines * 1.0e0 / n_lines > 0.5e0 THEN 'repeated_lines' END,
       CASE WHEN n_lines > 0 AND n_bar_lines * 1.0e0 / n_lines > 0.5e0 THEN 'table_lines' END
     ], lambda x: x IS NOT NULL) AS broken

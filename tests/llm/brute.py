@@ -46,7 +46,7 @@ def keeps(text, stop_words) -> bool:
         or q["word_chars"] / n > 14
         or q["n_symbols"] / n > 0.1
         or text.count("!") / n > 0.5
-        or sum(w.lower() in stop_words for w in q["words"]) / n < 0.03
+        or n >= 34 and sum(w.lower() in stop_words for w in q["words"]) / n < 0.03
         or q["n_dup_lines"] / lines > 0.5
         or bars / lines > 0.5
     )
