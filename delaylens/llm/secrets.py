@@ -39,7 +39,7 @@ MORE_KINDS = (
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     ("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     ("google", r"AIza[A-Za-z0-9_-]{35}"),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),  # searched by _tokens
     ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
 )
 KINDS = BASE_KINDS + tuple(name for name, _ in MORE_KINDS)
@@ -47,7 +47,26 @@ MIN_ASSIGNED = 8
 EXAMPLE_OWNERS = 3
 
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
-_REST = tuple((KINDS.index(k), re.compile(p)) for k, p in (("access", ACCESS), ("hex", HEX), *MORE_KINDS))
+_REST = tuple((KINDS.index(k), re.compile(p)) for k, p in (("access", ACCESS), ("hex", HEX), *MORE_KINDS) if k != "jwt")
+_JWT = KINDS.index("jwt")
+_RUN = re.compile(r"[A-Za-z0-9_-]{8,}+")
+
+
+def _tokens(text: str) -> list[tuple[int, int, str]]:
+    """What the jwt pattern finds, in one pass over the runs between dots: the
+    pattern itself would read a run again from every eyJ in it."""
+    if ".eyJ" not in text:
+        return []
+    found, at = [], 0
+    runs = [(m.start(), m.end()) for m in _RUN.finditer(text)]
+    for (a, b), (c, d), (e, f) in zip(runs, runs[1:], runs[2:]):
+        if a < at or c != b + 1 or e != d + 1 or text[b] != "." or text[d] != "." or d - c < 11 or not text.startswith("eyJ", c):
+            continue
+        start = text.find("eyJ", a, b)
+        if 0 <= start <= b - 11:
+            found.append((start, f, text[start:f]))
+            at = f
+    return found
 
 
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
@@ -55,6 +74,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     found = [(m.start(), 0, m.end(), m[1]) for m in _ASSIGN.finditer(text) if len(m[1]) >= MIN_ASSIGNED]
     for kind, pattern in _REST:
         found += [(m.start(), kind, m.end(), m[0]) for m in pattern.finditer(text)]
+    found += [(a, _JWT, b, value) for a, b, value in _tokens(text)]
     return sorted(found)
 
 

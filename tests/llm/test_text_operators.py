@@ -2,6 +2,8 @@
 
 import collections
 import random
+import re
+import time
 
 import duckdb
 import numpy as np
@@ -58,6 +60,25 @@ def test_kept_rows_have_the_columns_of_the_input(edges, empty):
     assert quality_rules.keep_good(empty).collect() == []
 
 
+SHORT_TEXTS = {
+    "en": "Bees visit flowering clover fields before noon, gathering nectar while summer temperatures remain mild",
+    "de": "Bienen besuchen blühende Kleefelder vormittags, sammeln Nektar, solange sommerliche Temperaturen angenehm bleiben",
+    "fr": "Abeilles sauvages visitent champs fleuris chaque matin, récoltant nectar tant que températures estivales restent douces",
+    "es": "Abejas silvestres visitan campos floridos cada mañana, recogen néctar mientras temperaturas estivales siguen suaves",
+}
+
+
+def test_stop_words_say_nothing_of_short_texts(spark):
+    short = [(lang, t, True) for lang, t in SHORT_TEXTS.items()]
+    runs = [(n, " ".join(f"bare{chr(97 + i % 26)}{i}" for i in range(n)), n < 34) for n in (10, 33, 34, 60)]
+    df = spark.createDataFrame([(str(a), b) for a, b, _ in short + runs], "doc_id string, text string")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(df).collect()}
+    for name, text, kept in short + runs:
+        assert got[str(name)].kept == brute.keeps(text, quality_rules.STOP_WORDS)
+        assert got[str(name)].kept is kept
+    assert got["34"].broken_rules == ["few_stop_words"]
+
+
 def test_own_rule_table(spark):
     df = spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh ii jj"), (2, "a " * 4 + "longer words in this one are many")], "doc_id long, text string")
     rules = [quality_rules.Rule("short", "mean_word_chars", "<", 2.5)]
@@ -290,6 +311,19 @@ def test_base_secrets_match_brute_force(spark):
     assert rows_of(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
 
 
+def test_web_tokens_are_found_in_linear_time():
+    pattern = re.compile(dict(secrets.MORE_KINDS)["jwt"])
+    rnd = random.Random(1)
+    parts = ["eyJ", "abcdefgh", ".", ".", ".eyJ", "abcdefghijk", "x", " ", "-"]
+    for _ in range(20_000):
+        text = "".join(rnd.choices(parts, k=rnd.randrange(1, 22)))
+        assert secrets._tokens(text) == [(m.start(), m.end(), m[0]) for m in pattern.finditer(text)]
+    start = time.process_time()
+    for text in ("eyJ" * 350_000, ".eyJ" * 260_000, "eyJaaaaaaaa." * 87_000):
+        secrets.candidates(text)
+    assert time.process_time() - start < 3
+
+
 def test_widely_held_values_are_examples(spark):
     got = {r.doc_id: r for r in secrets.scan_documents(secret_frame(spark), *queries.owner_and_repository()).collect()}
     a = SECRET_ROWS[3][1].index(KEYS[1])
