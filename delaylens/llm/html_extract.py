@@ -17,9 +17,12 @@ reader comments are left out, by tag, role, class or id. A form, or an element
 whose class or id has such a word, stays if it holds the page: a main element,
 or articles with most of the text in articles. Without article and main it stays
 if it holds most of the text (a form) or all elements of its word four fifths of
-it; inside an article or main element, nine tenths. Boxes of comments and
-related pages only stay if they hold a main element. Blocks are joined by a
-space in page order; white space inside a block becomes one space.
+it; inside an article or main element, nine tenths. There a name speaks of a
+box only if all its words do (``ad-box``, not ``ad-hoc-note``), or if half of the
+element's text is links. Boxes of comments and related pages only stay if they
+hold a main element. Blocks are joined by a space in page order; white space
+inside a block becomes one space. A page without a body tag has one implied; a
+page is read in one pass, in time linear in its length, and to any depth.
 
 Defined results: a null page or one without text gives an empty text; a null or
 odd URL belongs to the host ''. Pages are read one by one, so copies have equal
@@ -28,8 +31,10 @@ results. Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -56,7 +61,13 @@ SKIPPED_WORDS = frozenset(
     " promoted promotion promotions recommended related replies reply respond share sharing sidebar signup social sponsor"
     " sponsored subscribe toolbar widget widgets".split()
 )
-#: Of these, the words of boxes that may hold articles of their own.
+#: Words that may stand beside them in the name of a box inside an article.
+BOX_WORDS = frozenset(
+    "area bar bars block body bottom box boxes btn button buttons card container content form footer group hidden icon icons inline inner item items"
+    " left link links list main media module outer overlay panel post posts right row section slot small space text top unit wrap wrapper".split()
+)
+NAMES_OF_BOXES = SKIPPED_WORDS | BOX_WORDS
+#: Of SKIPPED_WORDS, those of boxes that may hold articles of their own.
 OTHER_ARTICLES = frozenset("comment comments disqus recommended related replies reply respond".split())
 #: Start tags that may stand in a head; any other one ends it, and text does.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -73,7 +84,9 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-PATH_DEPTH = 24
+RAW_ENDS = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
+#: Labels told in a path; those above them are told by a digest.
+PATH_LABELS = 24
 MIN_BLOCK = 20
 
 _tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)""")
@@ -81,6 +94,7 @@ _unquoted = re.compile(r"""[^>"']*+""")
 _attribute = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 ATTRIBUTES = frozenset("class id role hidden aria-hidden".split())
 _words = re.compile(r"[a-z]+")
+_comment_end = re.compile(r"--!?>")
 
 
 class Element(NamedTuple):
@@ -96,7 +110,8 @@ class Region:
 
     def __init__(self, parent: int, words: frozenset[str], inside: bool):
         self.parent, self.words, self.inside = parent, words, inside  # inside an article of the parent
-        self.main, self.chars, self.article_chars = False, 0, 0
+        self.main, self.chars, self.article_chars, self.link_chars = False, 0, 0, 0
+        self.partly = False  # inside an article, named by other words too
         self.kept = True
 
 
@@ -135,24 +150,31 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters outside links
         self._read(html)
 
-    def _attributes(self, tag: str, raw: str) -> tuple[str, bool, set[str]]:
+    def _attributes(self, tag: str, raw: str) -> tuple[str, bool, set[str], bool]:
         """Label for the path; whether the element is left out; the words for
-        which it is unless it holds the page."""
+        which it is unless it holds the page; whether they stand among others in
+        every name."""
         have = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _attribute.findall(raw) if k.lower() in ATTRIBUTES} if raw else {}
         skipped = tag in SKIPPED or "hidden" in have or have.get("aria-hidden") == "true" or have.get("role", "").lower() in SKIPPED_ROLES
         names = f"{have.get('class', '')} {have.get('id', '')}".lower()
         found: set[str] = set()
+        partly = True
         if not skipped and tag not in ("body", "html", "article", "main"):
             for name in names.split():
                 words = _words.findall(name)
                 if words and words[0] not in OF_PAGE_FIRST and words[-1] not in OF_PAGE_LAST:
-                    found |= SKIPPED_WORDS.intersection(words)
+                    listed = SKIPPED_WORDS.intersection(words)
+                    found |= listed
+                    partly = partly and not (listed and NAMES_OF_BOXES.issuperset(words))
         classes = sorted(set(have.get("class", "").lower().split()))
-        return ".".join([tag, *(re.sub(r"\d+", "#", c) for c in classes)]), skipped, found
+        return ".".join([tag, *(re.sub(r"\d+", "#", c) for c in classes)]), skipped, found, partly
 
     def _read(self, html: str) -> None:
         stack: list[Element] = []
         labels: list[str] = []
+        digests = [""]  # of all labels down to each depth, so that deep paths stay apart
+        at_tag: dict[str, list[int]] = defaultdict(list)  # places in the stack of the open elements of a tag
+        at_block: list[int] = []  # and of those in BLOCK
         text: list[tuple[int, str, int]] = []  # of the open block: region, text, characters inside links
         links = 0
         raws: list[tuple[int, list[tuple[int, str, int]]]] = []  # container and text of each block
@@ -170,17 +192,52 @@ class Page:
             nonlocal links
             for e in stack[to:]:
                 links -= e.tag == "a"
-            del stack[to:], labels[to:]
+                at_tag[e.tag].pop()
+                if e.tag in BLOCK:
+                    at_block.pop()
+            del stack[to:], labels[to:], digests[to + 1 :]
+
+        def push(e: Element, label: str) -> None:
+            nonlocal links
+            links += e.tag == "a"
+            at_tag[e.tag].append(len(stack))
+            if e.tag in BLOCK:
+                at_block.append(len(stack))
+            stack.append(e)
+            labels.append(label)
+            digests.append(hashlib.md5(f"{digests[-1]}>{label}".encode("utf-8", "replace")).hexdigest())
+
+        def last(names) -> int:
+            return max((at_tag[t][-1] for t in names if at_tag[t]), default=-1)
+
+        def contain(tag: str, parent: int) -> None:
+            """The top of the stack becomes a container."""
+            cut = [digests[-1 - PATH_LABELS]] if len(labels) > PATH_LABELS else []
+            self.paths.append(">".join(cut + labels[-PATH_LABELS:]))
+            self.parents.append(parent)
+            self.tags.append(tag)
+            stack[-1] = stack[-1]._replace(container=len(self.paths) - 1)
+
+        def imply_body() -> None:
+            """Text, and what may not stand in a head, stands in a body."""
+            if not at_tag["html"]:
+                push(Element("html", False, -1, 0, False), "html")
+            push(Element("body", False, -1, 0, False), "body")
+            contain("body", -1)
 
         def say(raw: str) -> None:
-            if stack and stack[-1].tag == "head" and raw.strip():
-                pop(len(stack) - 1)
+            if (not stack or stack[-1].tag in ("html", "head")) and raw.strip():
+                if stack and stack[-1].tag == "head":
+                    pop(len(stack) - 1)
+                if not at_tag["body"]:
+                    imply_body()
             here = stack[-1] if stack else page
             if not here.skipped:
                 body = entities.unescape(raw)
                 n = len(" ".join(body.split()))
                 text.append((here.region, body, n if links else 0))
                 regions[here.region].chars += n
+                regions[here.region].link_chars += n if links else 0
                 regions[here.region].article_chars += n * here.article
 
         while at < end:
@@ -191,8 +248,9 @@ class Page:
             if lt > at:
                 say(html[at:lt])
             if html.startswith("<!--", lt):
-                stop = html.find("-->", lt + 4)
-                at = end if stop < 0 else stop + 3
+                short = 1 if html.startswith(">", lt + 4) else 2 if html.startswith("->", lt + 4) else 0  # <!--> and <!--->
+                stop = None if short else _comment_end.search(html, lt + 4)
+                at = lt + 4 + short if short else stop.end() if stop else end
                 continue
             nxt = html[lt + 1 : lt + 2]
             if nxt in ("!", "?"):
@@ -212,17 +270,21 @@ class Page:
                 stop = html.find(">", lt)
                 raw, at = "", end if stop < 0 else stop + 1
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == tag:
-                        if tag in BLOCK:
-                            close_block()
-                        pop(k)
-                        break
-                    if tag not in BLOCK and stack[k].tag in BLOCK:
-                        break  # an inline end tag doesn't close blocks
+                # What follows an end of body or html still belongs to the body; an
+                # inline end tag doesn't close blocks.
+                if tag in ("body", "html"):
+                    close_block()
+                elif at_tag[tag] and (tag in BLOCK or not at_block or at_block[-1] < at_tag[tag][-1]):
+                    if tag in BLOCK:
+                        close_block()
+                    pop(at_tag[tag][-1])
                 continue
             if stack and stack[-1].tag == "head" and tag not in IN_HEAD:
                 pop(len(stack) - 1)
+            if tag in ("html", "body") and at_tag[tag]:
+                continue
+            if tag not in ("html", "head", "body") and tag not in IN_HEAD and not at_tag["body"] and (not stack or stack[-1].tag == "html"):
+                imply_body()
             if tag in VOID:
                 if tag in ("br", "hr") and not (stack and stack[-1].skipped):
                     close_block() if tag == "hr" else text.append((stack[-1].region if stack else 0, " ", 0))
@@ -230,25 +292,17 @@ class Page:
             if tag in BLOCK:
                 close_block()
                 # An open paragraph ends, unless a container lies between.
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == "p":
-                        pop(k)
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
+                if at_block and stack[at_block[-1]].tag == "p":
+                    pop(at_block[-1])
                 closes, bound = CLOSES.get(tag, ((), ()))
-                for k in range(len(stack) - 1, -1, -1) if closes else ():
-                    if stack[k].tag in closes:
-                        pop(k)
-                        break
-                    if stack[k].tag in bound:
-                        break
+                if last(closes) > last(bound):
+                    pop(last(closes))
             above = stack[-1] if stack else page
-            label, skipped, words = self._attributes(tag, raw)
+            label, skipped, words, partly = self._attributes(tag, raw)
             if tag == "header" and not skipped:
-                skipped = not any(e.tag in ("article", "main") for e in stack[-PATH_DEPTH:])
+                skipped = not (at_tag["article"] or at_tag["main"])
             if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                stop = RAW_ENDS[tag].search(html, at)
                 at = stop.end() if stop else end
                 continue
             if raw.endswith("/") and tag not in BLOCK:
@@ -258,17 +312,13 @@ class Page:
             region, article = above.region, above.article or tag in ("article", "main")
             if not skipped and (words or tag == "form"):
                 regions.append(Region(region, frozenset(words), article or regions[region].inside))
+                regions[-1].partly = bool(words) and partly and regions[-1].inside
                 region, article = len(regions) - 1, False
             if tag == "main" and not skipped:
                 regions[region].main = True
-            labels.append(label)
+            push(Element(tag, skipped, container, region, article), label)
             if tag in CONTAINER and not skipped:
-                self.paths.append(">".join(labels[-PATH_DEPTH:]))
-                self.parents.append(above.container)
-                self.tags.append(tag)
-                container = len(self.paths) - 1
-            stack.append(Element(tag, skipped, container, region, article))
-            links += tag == "a"
+                contain(tag, container)
         close_block()
         self._judge(regions)
         for c, pieces in raws:
@@ -284,7 +334,8 @@ class Page:
         for r in reversed(regions[1:]):  # parents have lower numbers
             up = regions[r.parent]
             up.main = up.main or r.main
-            if r.main or OTHER_ARTICLES.isdisjoint(r.words):
+            up.link_chars += r.link_chars
+            if r.main or r.partly or OTHER_ARTICLES.isdisjoint(r.words):
                 up.chars += r.chars
                 up.article_chars += r.chars if r.inside and not up.inside else r.article_chars
             if up.words != r.words or r.parent == 0:
@@ -297,8 +348,10 @@ class Page:
                 holds = False
             else:
                 holds = 2 * r.chars > whole.chars if not r.words else 5 * alike[r.words] > 4 * whole.chars
+            if r.partly:
+                holds = 2 * r.link_chars < r.chars
             holds = holds or 2 * r.article_chars > whole.article_chars
-            r.kept = regions[r.parent].kept and (r.main or holds and OTHER_ARTICLES.isdisjoint(r.words))
+            r.kept = regions[r.parent].kept and (r.main or holds and (r.partly or OTHER_ARTICLES.isdisjoint(r.words)))
 
     def best(self) -> tuple[int, int]:
         """The candidate container and the characters of its text (-1, 0: none)."""
@@ -317,7 +370,8 @@ class Page:
                 named = at
             at = self.parents[at]
         top = named if named >= 0 else self._climb(top)
-        return top, sum(len(t) for c, t, _ in self.blocks if self._inside(c, {top}))
+        inside = self._inside({top})
+        return top, sum(len(t) for c, t, _ in self.blocks if c >= 0 and inside[c])
 
     def _climb(self, top: int) -> int:
         """The highest container above ``top`` to which only text outside links leads."""
@@ -340,18 +394,16 @@ class Page:
             at = self.parents[at]
         return top
 
-    def _inside(self, c: int, wanted: set[int]) -> bool:
-        while c >= 0:
-            if c in wanted:
-                return True
-            c = self.parents[c]
-        return False
-
-    def text_of(self, wanted: set[int]) -> str:
+    def _inside(self, wanted: set[int]) -> list[bool]:
+        """Whether each container is or stands in a wanted one."""
         # A container's answer follows from its parent's, which has a lower number.
         inside = [False] * len(self.paths)
         for c, parent in enumerate(self.parents):
             inside[c] = c in wanted or parent >= 0 and inside[parent]
+        return inside
+
+    def text_of(self, wanted: set[int]) -> str:
+        inside = self._inside(wanted)
         return " ".join(t for c, t, _ in self.blocks if c >= 0 and inside[c])
 
     def extract(self, path: str | None) -> str:

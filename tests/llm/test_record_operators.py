@@ -5,6 +5,7 @@ import hashlib
 import html as entities
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -354,6 +355,49 @@ def test_an_open_head_and_wrappers_of_the_page_stay(html):
     assert html_extract.Page(html).extract(None) == WORDS
 
 
+BOX_TEXT = "Some words in a box of the article, as many as it takes."
+FREE_NAMES = ("class=alert-level", "class='ad-hoc-note'", "class=social-history", "id=share-price", "id=reply-to-critics", "id=related-work", "class=menu-engineering")
+BOX_NAMES = ("ad", "ad-container", "comment-list", "newsletter-form", "x share-buttons", "related-posts", "cookie-notice")
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<title>t</title><h1>Head</h1><p>{WORDS * 9}</p><div><p>{WORDS}</p></div>", f"Head {WORDS * 9} {WORDS}"),
+        (f"<html><head><title>t</title></head><h1>Head</h1><p>{WORDS * 9}<div><p>{WORDS}</div></html>", f"Head {WORDS * 9} {WORDS}"),
+        (f"<body><article><p>{WORDS}</p></article></body><footer>{SIDE}</footer></html>", WORDS),
+        *[(f"<article><p>{WORDS}</p><section {name}><p>{BOX_TEXT}</p></section></article>", f"{WORDS} {BOX_TEXT}") for name in FREE_NAMES],
+        *[(f"<article><p>{WORDS}</p><div class='{name}'><p>{BOX_TEXT}</p></div><p>{WORDS}</p></article>", f"{WORDS} {WORDS}") for name in BOX_NAMES],
+        (f"<article><p>{WORDS}</p><div class=share-price><a href=x>{SIDE}</a></div></article>", WORDS),
+        (f"<article><!--><p>{WORDS}</p><!-- a --!><p>{WORDS}</p><!---><p>{WORDS}</p><!-- --> </article>", " ".join([WORDS] * 3)),
+        ("<article>" + "<div>" * 40 + f"<header><h1>Head</h1></header><p>{WORDS}</p>", f"Head {WORDS}"),
+    ],
+)
+def test_nothing_else_of_an_article_is_dropped(html, want):
+    assert html_extract.Page(html).extract(None) == want
+
+
+def test_paths_differ_at_any_depth():
+    one, two = (html_extract.Page(f"<div class={c}>" + "<div>" * 60 + "x").paths[-1] for c in "ab")
+    assert one != two and len(one) < 500
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>x</section>" * 100_000,
+        "<div>" * 50_000 + "x</p>" * 50_000,
+        "<i><div>" + "<b>" * 50_000 + "x</i>" * 50_000,
+        "<div>" + "<i>x" * 50_000 + "<p>x</u>" * 50_000,
+        "<ul><li>" * 30_000 + "<td>x" * 50_000,
+    ],
+)
+def test_unmatched_tags_take_linear_time(html):
+    began = time.process_time()
+    html_extract.Page(html).extract(None)
+    assert time.process_time() - began < 6
+
+
 def test_all_parts_of_an_article_without_its_element_stay(spark):
     links = "".join(f"<a href=x>Another page {k}</a> " for k in range(9))
     parts = f"<h1>A title</h1><div class=intro><p>{WORDS}</p></div><div class=text><p>{WORDS * 3}</p></div>"
