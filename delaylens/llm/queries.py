@@ -56,7 +56,7 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layout = shards.materialise(read_table(spark, sf_dir, "documents"), fresh_path(spark, "shards"), ORDER_KEY)
+    layout = shards.materialise(read_table(spark, sf_dir, "documents"), fresh_path(spark, "shards"), ORDER_KEY, *byte_vocabulary())
     return shards.read_slots(spark, layout, content=False)
 
 

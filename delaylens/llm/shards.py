@@ -1,27 +1,28 @@
 """Training-order materialisation of token ids.
 
-Token ids are the bytes of the text (a byte-level vocabulary, one unsigned byte
-an id); ``END_OF_TEXT`` and ``PADDING`` are byte values that UTF-8 never uses.
-The ids of a partition's documents, each followed by END_OF_TEXT, run on into
-sequences of ``length`` ids; only a partition's last sequence is padded.
-
-1. One narrow pass counts the sequences of each input partition; running sums of
-   these counts number all sequences 0 to N-1 without a sort.
+Texts are encoded once by a byte-level BPE vocabulary and staged, ids as unsigned
+little-endian integers of ``width`` bytes (2 up to 65,534 tokens, else 4). The
+first free id ends a text, the largest integer is padding. The ids of a
+partition's documents, each followed by the end, run on into sequences of
+``length`` ids; only a partition's last sequence is padded.
+
+1. The staged table is counted: the sequences of each of its partitions; running
+   sums of these counts number all sequences 0 to N-1 without a sort.
 2. A keyed Feistel network over a x b >= N values permutes the numbers; a value
    of N or more is permuted again until it is below N (cycle-walking), so the
    slots are a permutation of 0 to N-1.
-3. Sequences go to the partition of their range of slots and are written in slot
-   order, ``per_shard`` records a shard. A record has a fixed stride: sequence
-   number, id of the document that its first token belongs to and that token's
-   place in it (each a signed 64-bit little-endian integer), the ids, and a
-   line feed. Slot s is record s mod per_shard of shard s div per_shard, so a
-   reader can start or go on anywhere without an index.
-
-The two passes must see the same partitions, so the input has to be a table
-scan (``materialise`` stages any other plan's result first); the second pass
-checks each partition's count against the first and fails if they differ.
-
-Defined results: a null text is empty and gives one END_OF_TEXT; a null id is
+3. Sequences go to the partition of their range of slots (``tasks`` partitions at
+   most) and are written in slot order, ``per_shard`` records a shard. A record
+   has a fixed stride: sequence number, id of the document that its first token
+   belongs to and that token's place in it (each a signed 64-bit little-endian
+   integer), the ids, and a line feed. Slot s is record s mod per_shard of shard
+   s div per_shard, so a reader can start or go on anywhere without an index, and
+   finds the shards of a range by their names.
+
+Counting and writing read the same staged files; the second pass checks each
+partition's count against the first and fails if they differ.
+
+Defined results: a null text is empty and gives one end; a null id is
 written as ``NO_ID`` and read as null. Copies of a row are documents of their
 own. Extra columns are ignored. An empty table gives no sequence and no shard.
 """
@@ -29,21 +30,28 @@ own. Extra columns are ignored. An empty table gives no sequence and no shard.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_or_empty
+from .bpe import codec_of, read_vocabulary
+from .common import map_arrow, stage, text_or_empty
 
-END_OF_TEXT, PADDING = 0xFF, 0xFE
 NO_ID = -(1 << 63)
 HEAD = 24
-LENGTH, PER_SHARD, ROUNDS = 2048, 4096, 6
+LENGTH, PER_SHARD, ROUNDS, TASKS = 2048, 4096, 6, 20_000
+#: Up to so many shards of a range are read by name; more by listing them all.
+NAMED_SHARDS = 1000
+#: The library's pattern matcher gives up on longer runs of one kind of character.
+LONG_RUN = 1000
+_spaces = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 class Layout(NamedTuple):
@@ -51,12 +59,18 @@ class Layout(NamedTuple):
 
     path: str
     sequences: int
+    end: int  # the id that ends a text
+    width: int = 2
     length: int = LENGTH
     per_shard: int = PER_SHARD
 
+    @property
+    def padding(self) -> int:
+        return (1 << 8 * self.width) - 1
+
     @property
     def stride(self) -> int:
-        return HEAD + self.length + 1
+        return HEAD + self.length * self.width + 1
 
     @property
     def shards(self) -> int:
@@ -101,14 +115,50 @@ def permute(numbers: np.ndarray, n: int, key: str, back: bool = False) -> np.nda
     return x.astype(np.int64)
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).cast("binary").alias("ids"))
+_encoders: dict[str, Callable[[str], np.ndarray]] = {}
+
+
+def encoder_of(raw: bytes, pattern: str) -> Callable[[str], np.ndarray]:
+    """Text to ids, built once per Python process: the library, and for texts with
+    a run of characters that it can't match, the codec of ``bpe``."""
+    key = hashlib.sha256(raw + pattern.encode()).hexdigest()
+    if key not in _encoders:
+        codec = codec_of(raw, pattern)
+        fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+
+        def encode(text: str) -> np.ndarray:
+            if max(map(len, text.split()), default=0) >= LONG_RUN or _spaces.search(text):
+                return np.frombuffer(codec.encode(text), "<u4")
+            return fast.encode_to_numpy(text, disallowed_special=())
+
+        _encoders.clear()
+        _encoders[key] = encode
+    return _encoders[key]
+
+
+def token_ids(docs: DataFrame, vocabulary: str, pattern: str, width: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, n, ids) of every text, its end among the ids, and the id of the end."""
+    raw = read_vocabulary(vocabulary)
+    end = len(codec_of(raw, pattern).tokens)
+    if end >= (1 << 8 * width) - 1:
+        raise ValueError(f"{end} ids don't fit into {width} bytes")
+    shared = docs.sparkSession.sparkContext.broadcast(raw)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, stop = encoder_of(shared.value, pattern), end.to_bytes(width, "little")
+        for batch in batches:
+            ids = [encode(text.as_py()).astype(f"<u{width}").tobytes() + stop for text in batch.column(1)]
+            counts = pa.array([len(x) // width for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], names=["id", "n", "ids"])
+
+    return map_arrow(rows, run, "id bigint, n bigint, ids binary"), end
 
 
-def count_sequences(docs: DataFrame, text_col: str, length: int) -> dict[int, tuple[int, int]]:
+def count_sequences(encoded: DataFrame, length: int) -> dict[int, tuple[int, int]]:
     """First number and number of sequences of each non-empty partition (as
     many entries as the scan has tasks)."""
-    tokens = docs.select(F.spark_partition_id().alias("p"), (F.octet_length(text_or_empty(text_col)) + 1).cast("bigint").alias("n"))
+    tokens = encoded.select(F.spark_partition_id().alias("p"), "n")
     rows = tokens.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect()
     out, first = {}, 0
     for r in rows:
@@ -117,12 +167,13 @@ def count_sequences(docs: DataFrame, text_col: str, length: int) -> dict[int, tu
     return out
 
 
-def sequences(docs: DataFrame, key: str, id_col: str, text_col: str, length: int, per_shard: int) -> tuple[DataFrame, int]:
-    """(slot, shard, packed) of every sequence, and their number. Records are
-    compressed one by one for the shuffle."""
-    parts = count_sequences(docs, text_col, length)
+def sequences(encoded: DataFrame, key: str, width: int, length: int, per_shard: int) -> tuple[DataFrame, int]:
+    """(slot, shard, packed) of every sequence of the staged ids, and their
+    number. Records are compressed one by one for the shuffle."""
+    parts = count_sequences(encoded, length)
     n = sum(c for _, c in parts.values())
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
+    size, padding = length * width, b"\xff"
+    shared = encoded.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, expected = shared.value.get(TaskContext.get().partitionId(), (0, 0))
@@ -148,15 +199,15 @@ def sequences(docs: DataFrame, key: str, id_col: str, text_col: str, length: int
         head = None
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = value.as_py() + bytes([END_OF_TEXT])
+                ids = value.as_py()
                 at = 0
                 while at < len(ids):
                     if not rest:
-                        head = (doc, at)
-                    take = ids[at : at + length - len(rest)]
+                        head = (doc, at // width)
+                    take = ids[at : at + size - len(rest)]
                     rest += take
                     at += len(take)
-                    if len(rest) == length:
+                    if len(rest) == size:
                         out.append(bytes(rest))
                         heads.append(head)
                         rest.clear()
@@ -165,13 +216,13 @@ def sequences(docs: DataFrame, key: str, id_col: str, text_col: str, length: int
                                 raise RuntimeError("the input's partitions changed between the passes")
                             yield ready()
         if rest:
-            out.append(bytes(rest).ljust(length, bytes([PADDING])))
+            out.append(bytes(rest).ljust(size, padding))
             heads.append(head)
         if number + len(out) != first + expected:
             raise RuntimeError("the input's partitions changed between the passes")
         yield ready()
 
-    return map_arrow(_numbered(docs, id_col, text_col), run, "slot bigint, shard int, packed binary"), n
+    return map_arrow(encoded.select("id", "ids"), run, "slot bigint, shard int, packed binary"), n
 
 
 def unpacked(rows: DataFrame, size: int) -> DataFrame:
@@ -190,17 +241,24 @@ def materialise(
     docs: DataFrame,
     path: str,
     key: str,
+    vocabulary: str,
+    pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    width: int = 2,
     length: int = LENGTH,
     per_shard: int = PER_SHARD,
+    tasks: int = TASKS,
 ) -> Layout:
-    """Write the shards of ``docs`` (a table scan) under ``path``."""
-    rows, n = sequences(docs, key, id_col, text_col, length, per_shard)
-    layout = Layout(path, n, length, per_shard)
+    """Write the shards of ``docs`` under ``path``."""
+    ids, end = token_ids(docs, vocabulary, pattern, width, id_col, text_col)
+    rows, n = sequences(stage(ids, "token-ids"), key, width, length, per_shard)
+    layout = Layout(path, n, end, width, length, per_shard)
     if n:
-        # One task a shard: ranges of slots, known without sampling.
-        ranged = unpacked(rows.repartitionById(layout.shards, F.col("shard")), HEAD + length).sortWithinPartitions("shard", "slot")
+        # Ranges of slots, known without sampling; a task writes one shard or more.
+        parts = min(layout.shards, tasks)
+        task = (F.col("shard").cast("bigint") * parts / layout.shards).cast("int")
+        ranged = unpacked(rows.repartitionById(parts, task), layout.stride - 1).sortWithinPartitions("shard", "slot")
         ranged.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
     return layout
 
@@ -224,8 +282,11 @@ def read_slots(spark: SparkSession, layout: Layout, start: int = 0, stop: int |
     ddl += ", ids binary" if content else ""
     if start >= stop:
         return spark.createDataFrame([], ddl)
-    last = (stop - 1) // layout.per_shard
-    files = spark.read.format("binaryFile").load(layout.path).filter(F.col("shard").between(start // layout.per_shard, last)).select("shard", "content")
+    first, last = start // layout.per_shard, (stop - 1) // layout.per_shard
+    named = last - first < min(layout.shards - 1, NAMED_SHARDS)
+    paths = [f"{layout.path}/shard={k}" for k in range(first, last + 1)] if named else layout.path
+    files = spark.read.format("binaryFile").option("basePath", layout.path).load(paths)
+    files = files.filter(F.col("shard").between(first, last)).select("shard", "content")
     names = [x.split()[0] for x in ddl.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +295,8 @@ def read_slots(spark: SparkSession, layout: Layout, start: int = 0, stop: int |
                 first, n, view = _trim(layout, data.as_py(), int(shard), start, stop)
                 grid = np.frombuffer(view, np.uint8).reshape(n, layout.stride)
                 heads = grid[:, :HEAD].copy().view("<i8")
-                ids = grid[:, HEAD:-1]
-                used = (ids != PADDING).sum(axis=1)
+                ids = grid[:, HEAD:-1].copy().view(f"<u{layout.width}")
+                used = (ids != layout.padding).sum(axis=1)
                 rows = [r[:u].tobytes() for r, u in zip(ids, used.tolist(), strict=True)]
                 slots = np.arange(first, first + n)
                 columns = [
@@ -246,7 +307,7 @@ def read_slots(spark: SparkSession, layout: Layout, start: int = 0, stop: int |
                     pa.array(heads[:, 1], mask=heads[:, 1] == NO_ID),
                     pa.array(heads[:, 2]),
                     pa.array(used.astype(np.int64)),
-                    pa.array((ids == END_OF_TEXT).sum(axis=1).astype(np.int64)),
+                    pa.array((ids == layout.end).sum(axis=1).astype(np.int64)),
                     pa.array([hashlib.sha256(r).hexdigest() for r in rows]),
                 ]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(rows, pa.binary())] if content else [])], names=names)

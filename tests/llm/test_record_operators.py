@@ -10,8 +10,9 @@ import time
 import duckdb
 import numpy as np
 import pytest
+import tiktoken
 
-from delaylens.llm import html_extract, pu_quality, queries, shards, surrogates, warc
+from delaylens.llm import bpe, html_extract, pu_quality, queries, shards, surrogates, warc
 from delaylens.llm.common import fresh_path
 from tests.conftest import SF_SMALL
 from tests.llm import brute
@@ -110,8 +111,15 @@ def test_slots_are_a_permutation(n):
         assert abs(np.corrcoef(numbers, slots)[0, 1]) < 0.2
 
 
-def check_shards(spark, df, texts):
-    layout = shards.materialise(df, fresh_path(spark, "test-shards"), "key", length=64, per_shard=16)
+def library_ids(text, width):
+    path, pattern = queries.byte_vocabulary()
+    ranks = bpe.parse_ranks(bpe.read_vocabulary(path))
+    ids = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+    return np.array([*ids, len(ranks)], f"<u{width}").tobytes()
+
+
+def check_shards(spark, df, texts, width=2):
+    layout = shards.materialise(df, fresh_path(spark, "test-shards"), "key", *queries.byte_vocabulary(), width=width, length=64, per_shard=16, tasks=7)
     rows = shards.read_slots(spark, layout).collect()
     assert sorted(r.slot for r in rows) == list(range(layout.sequences))
     assert all((r.shard, r.place) == divmod(r.slot, 16) for r in rows)
@@ -120,28 +128,40 @@ def check_shards(spark, df, texts):
     assert numbers.tolist() == list(range(layout.sequences))
     if layout.sequences:
         assert [r.slot for r in order] == shards.permute(numbers, layout.sequences, "key").tolist()
-    stream = b"".join(bytes(r.ids) for r in order)
-    assert sorted(stream.split(b"\xff")[:-1]) == sorted(t.encode() for t in texts)
-    assert all(hashlib.sha256(bytes(r.ids)).hexdigest() == r.ids_sha256 and len(r.ids) == r.n_tokens for r in rows)
+    stream = np.frombuffer(b"".join(bytes(r.ids) for r in order), f"<u{width}")
+    ends = np.flatnonzero(stream == layout.end) + 1
+    assert sorted(x.tobytes() for x in np.split(stream, ends)[:-1]) == sorted(library_ids(t, width) for t in texts)
+    assert len(stream) == (ends[-1] if len(ends) else 0) and sum(r.n_ended for r in rows) == len(texts)
+    assert all(hashlib.sha256(bytes(r.ids)).hexdigest() == r.ids_sha256 and len(r.ids) == width * r.n_tokens for r in rows)
     some = shards.read_slots(spark, layout, 5, 40, content=False).collect()
     assert sorted(r.slot for r in some) == list(range(5, min(40, layout.sequences)))
     return rows
 
 
-def test_shards_hold_every_text(spark, edges, empty, tmp_path):
-    edges.write.parquet(str(tmp_path / "e"))
-    rows = check_shards(spark, spark.read.parquet(str(tmp_path / "e")), [r[1] or "" for r in EDGES])
-    texts = {r[0]: (r[1] or "").encode() + b"\xff" for r in EDGES if r[0] in (4, 7)}
+@pytest.mark.parametrize("width", [2, 4])
+def test_shards_hold_every_text(spark, edges, empty, width):
+    rows = check_shards(spark, edges.repartition(5), [r[1] or "" for r in EDGES], width)
+    texts = {r[0]: library_ids(r[1] or "", width) for r in EDGES if r[0] in (4, 7)}
     for r in rows:  # the first token stands where the record says
         if r.doc_id in texts:
-            here = texts[r.doc_id][r.doc_place : r.doc_place + 64]
+            here = texts[r.doc_id][r.doc_place * width : (r.doc_place + 64) * width]
             assert bytes(r.ids)[: len(here)] == here
-    empty.write.parquet(str(tmp_path / "n"))
-    assert check_shards(spark, spark.read.parquet(str(tmp_path / "n")), []) == []
+    assert check_shards(spark, empty, [], width) == []
+
+
+def test_ids_of_long_runs_and_of_vocabularies_that_do_not_fit(spark):
+    path, pattern = queries.byte_vocabulary()
+    raw = bpe.read_vocabulary(path)
+    encode, codec = shards.encoder_of(raw, pattern), bpe.codec_of(raw, pattern)
+    for text in ("a" + " " * 300_000 + "b", "x" * 100_000, "\n" * 100_000, "!?" * 50_000, "<|endoftext|> it's"):
+        assert encode(text).tolist() == np.frombuffer(codec.encode(text), "<u4").tolist()
+    with pytest.raises(ValueError, match="don't fit"):
+        shards.token_ids(spark.createDataFrame([], "doc_id long, text string"), path, pattern, 1, "doc_id", "text")
 
 
 def test_a_damaged_shard_is_noticed(spark):
-    layout = shards.materialise(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), fresh_path(spark, "test-shards"), "key")
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    layout = shards.materialise(docs, fresh_path(spark, "test-shards"), "key", *queries.byte_vocabulary())
     with pytest.raises(Exception, match="has [0-9]+ bytes"):
         shards.read_slots(spark, layout._replace(length=layout.length - 1)).count()
 
