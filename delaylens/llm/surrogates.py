@@ -5,7 +5,10 @@ security numbers, IBANs, and names after a title. Each distinct entity of the
 corpus gets one surrogate from a keyed hash of its kind and canonical form, so
 all its mentions (other spellings of the same number or letter case too) get the
 same one, in the format of the mention: separators, letter case, country code,
-lengths, valid octets and check digits stay. Names keep gender and script.
+lengths, valid octets and check digits stay. Names keep gender and script. A name
+runs over all capitalised words after its title; a person whose titles tell one
+gender or none is one entity (Dr and Ms of one name), one of both is two. Names
+without a title are not found.
 
 Distinct entities keep distinct surrogates: surrogates of all entities are
 compared over the corpus, and an entity whose surrogate is that of an entity
@@ -55,15 +58,33 @@ def _any_case(titles: tuple[str, ...]) -> list[str]:
 
 
 _titles = "|".join(_any_case((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES)))
+#: Forms of telephone numbers. Digit groups alone are none: a number has a country
+#: code, an area code in brackets, a leading zero or the same mark between groups.
+PHONES = (
+    r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}",
+    r"\+[0-9]{1,3}[ .-]?(?:\(0\)[ .-]?)?[1-9](?:[ .-][0-9]{2}){4}",
+    r"\+[0-9]{1,3}[ .-]?[0-9]{3}(?:[ .-][0-9]{2}){3}",
+    r"\+[0-9]{1,3}[ .-]?[0-9]{2,4}[ ./-]?[0-9]{3,4}[ .-]?[0-9]{3,4}",
+    r"\+[0-9]{1,3}[ .-][0-9]{2,5}[ ./-][0-9]{4,9}",
+    r"\+[0-9]{1,3}[ .-]?[0-9]{6,12}",
+    r"\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}",
+    r"0[1-9](?:[ .-][0-9]{2}){4}",
+    r"0[1-9][0-9]{1,3}/[0-9]{4,9}",
+    r"0[1-9][0-9]{0,3}[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}",
+    r"[2-9][0-9]{2}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4}",
+)
+_phones = "|".join(PHONES)
+#: Country codes of one and two digits; all others have three.
+COUNTRY_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: kind -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)++[A-Za-z]{2,24}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9])(?!\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-])?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
-    "name": rf"(?<=(?<![\p{{L}}])(?:{_titles})\.? )\p{{Lu}}[\p{{L}}'’-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,30}})?",
+    "card": r"(?<![0-9])(?<![0-9][.,])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
+    "phone": rf"(?<![0-9A-Za-z+])(?<![0-9][.,])(?:{_phones})(?![0-9])",
+    "name": rf"(?<=(?<![\p{{L}}])(?:{_titles})\.? )\p{{Lu}}[\p{{L}}'’-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,30}})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A quick test that the text has a sign without which nothing is found. The
@@ -86,10 +107,11 @@ def kind_of(mention: Column, before: Column) -> Column:
 
 def canonical(kind: Column, mention: Column) -> Column:
     """What all mentions of an entity have in common: the significant digits of
-    a telephone number, digits and letters of other numbers, lower case."""
+    a telephone number (no country code, no zero before the area code), digits
+    and letters of other numbers, lower case."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
     return (
-        F.when(kind == "phone", F.right(digits, F.lit(10)))
+        F.when(kind == "phone", F.regexp_replace(F.regexp_replace(F.regexp_replace(mention, "[^+0-9]", ""), COUNTRY_CODE, ""), "^0", ""))
         .when(kind == "ip", mention)
         .when(kind.isin("ssn", "card"), digits)
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
@@ -208,8 +230,8 @@ def in_format(kind: Column, mention: Column, value: Column) -> Column:
     digits = F.length(F.regexp_replace(mention, "[^0-9]", ""))
 
     def numbers(keep: str) -> Column:
-        # Digits before the significant ones (a country code) stay.
-        skip = F.when(kind == "phone", F.greatest(F.lit(0), digits - F.lit(10))).otherwise(F.lit(0))
+        # Digits before the significant ones (country code, zero) stay.
+        skip = F.when(kind == "phone", digits - F.length(canonical(kind, mention))).otherwise(F.lit(0))
         places = F.length(F.regexp_replace(mention, f"[^{keep}]", "")) - skip
 
         def one(c: Column, i: Column) -> Column:
@@ -241,6 +263,18 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.dropDuplicates(["__id", "__key", "at"])
 
 
+def with_genders(found: DataFrame) -> DataFrame:
+    """Mentions whose title tells no gender get that of the name's other mentions,
+    if these agree, so that one person is one entity under any title."""
+    kind = F.col("kind")
+    stem, gender = F.regexp_extract(kind, "^(name-[a-z]+-)[mfx]$", 1), F.right(kind, F.lit(1))
+    told = found.filter(kind.rlike("^name-[a-z]+-[mf]$")).groupBy(stem.alias("__stem"), F.col("name").alias("__name"))
+    told = told.agg(F.min(gender).alias("__g"), F.max(gender).alias("__h")).filter("__g = __h").drop("__h")
+    open_ = kind.rlike("^name-[a-z]+-x$")
+    joined = found.join(told, open_ & (F.col("name") == F.col("__name")) & (stem == F.col("__stem")), "left")
+    return joined.withColumn("kind", F.when(F.col("__g").isNotNull(), F.concat("__stem", "__g")).otherwise(kind)).select(found.columns)
+
+
 def family(kind: Column) -> Column:
     """Kinds whose values could be taken for each other are compared together."""
     return F.when(kind.startswith("name"), "name").otherwise(kind)
@@ -272,7 +306,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with surrogates in the text, and the
     columns __entities (mentions replaced) and __kinds (count per kind)."""
-    found = stage(mentions(docs, id_col, text_col), "pii-mentions")
+    found = stage(with_genders(stage(mentions(docs, id_col, text_col), "pii-found")), "pii-mentions")
     entities = stage(found.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n")).select("kind", "name"), "pii-entities")
     values = assign(entities, key)
     written = found.join(values, ["kind", "name"]).select("__id", "__key", "at", "kind", in_format(F.col("kind"), F.col("mention"), F.col("value")).alias("value"))

@@ -212,6 +212,40 @@ def test_surrogates_keep_format_gender_script_and_coreference(spark):
     assert surrogates.replace(df.limit(0), "k").collect() == []
 
 
+PHONE_NUMBERS = (
+    "+14155552671", "+491721234567", "+49 1721234567", "+49 172 1234567", "01 23 45 67 89", "01.23.45.67.89", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89",
+    "+34 912 34 56 78", "030/1234567", "030 1234 5678", "(415) 555-2671", "+1 (415) 555-2671", "+1 415-555-2671", "415-555-2671", "415.555.2671", "+44 20 7946 0958",
+)
+NOT_PERSONAL = (
+    "Version 2024 123 4567 of the part", "from 1914 to 1918 and 2024 2025", "12 345 678 people", "on 01.02.2024 and 2024-01-02", "Table 10 20 30 40 50",
+    "pi is 3.14159265358979 or 3.01 234 5678", "order 1234567 of 10,000,000", "lines 100-200-3000", "ISO 9001:2015",
+)
+
+
+def test_telephone_numbers_of_many_forms(spark):
+    rows = [(i, f"call {n} now") for i, n in enumerate(PHONE_NUMBERS)] + [(100 + i, t) for i, t in enumerate(NOT_PERSONAL)]
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    new = {}
+    for i, n in enumerate(PHONE_NUMBERS):
+        text = got[i].text
+        assert got[i]["__kinds"] == ["phone"] and text != rows[i][1], n
+        assert re.sub(r"\d", "0", text) == re.sub(r"\d", "0", rows[i][1])
+        new[n] = re.sub(r"\D", "", text)
+    assert {got[100 + i].text for i in range(len(NOT_PERSONAL))} == set(NOT_PERSONAL)
+    assert new["+33 1 23 45 67 89"][2:] == new["01 23 45 67 89"][1:] == new["+33 (0)1 23 45 67 89"][3:]
+    assert new["+14155552671"][1:] == new["(415) 555-2671"] == new["415.555.2671"] and new["+491721234567"] == new["+49 172 1234567"]
+
+
+def test_one_person_under_several_titles(spark):
+    rows = [(1, "Dr Jane Doe met Ms Jane Doe. Mrs Anna Maria Schmidt left"), (2, "Prof. Jane Doe and Dr Kim Lee"), (3, "Mr Kim Lee, Ms Kim Lee, Prof Kim Lee")]
+    got = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    a = re.match(r"Dr (\w+a \w+) met Ms (\w+ \w+)\. Mrs (\w+a \w+ \w+) left$", got[1])
+    b = re.match(r"Prof\. (\w+ \w+) and Dr (\w+l \w+)$", got[2])
+    c = re.match(r"Mr (\w+n \w+), Ms (\w+a \w+), Prof (\w+l \w+)$", got[3])
+    assert a[1] == a[2] == b[1] and "Schmidt" not in got[1] and "Maria" not in got[1]
+    assert b[2] == c[3] and len({c[1], c[2], c[3], a[1]}) == 4
+
+
 def test_crowded_values_stay_distinct(spark):
     """All addresses of one shape: draws collide, with each other and with
     real values, until every entity has its own."""
