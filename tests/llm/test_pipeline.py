@@ -69,7 +69,7 @@ def test_stages_take_edge_rows_and_empty_tables(spark, edges, empty):
 
 def test_queries_are_registered():
     found = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) <= set(found) and "pipeline" in found
     assert set(ORACLES) <= set(queries.QUERIES)
 
