@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .geo import add_coordinates, geo_centroid, with_distance
 from .joins import stored_side
-from .sellers import enrich_seller_rate, fill_seller_rate, past_rate, seller_profile, seller_rate_asof
+from .sellers import enrich_seller_rate, fill_seller_rate, seller_or_past_rate, seller_profile
 
 
 @dataclass
@@ -94,8 +94,9 @@ def preprocess(
             row_mean_weight = ext.agg(F.sum("__sw") / F.sum("__cw")).scalar()
     if "seller_late_rate" not in df.columns:
         if rate_mode == "asof":
-            known = seller_rate_asof(df).withColumnRenamed("seller_late_rate_asof", "own_rate").drop("seller_hist_items", "seller_hist_late")
-            df = past_rate(known).withColumn("seller_late_rate", F.coalesce("own_rate", "past_rate")).drop("own_rate", "past_rate")
+            if row_mean_weight is not None:  # no profile is read here, so the mean needs no rows per seller
+                row_mean_weight = df.agg(F.avg("product_weight_g")).scalar()
+            df = seller_or_past_rate(df)
         elif rate_mode == "global":
             if not supplied:
                 profile = stored_side(profile, "seller-profile")

@@ -116,16 +116,80 @@ def seller_rate_asof(
     )
 
 
-def past_rate(rows: DataFrame, asof_col: str = "order_purchase_timestamp", **columns) -> DataFrame:
-    """Adds ``past_rate``: the late rate of all outcomes known strictly before
-    the row's as-of time, whoever the seller; NULL before the first outcome.
-
-    The same two-level prefix sum under one key: its windows hold a row per
-    day, and per distinct instant of one day.
+def seller_or_past_rate(
+    rows: DataFrame,
+    seller_col: str = "seller_id",
+    asof_col: str = "order_purchase_timestamp",
+    outcome_time_col: str = "order_delivered_customer_date",
+    label_col: str = "is_late",
+) -> DataFrame:
+    """L1 with its fill: adds ``seller_late_rate``, the seller's late rate over
+    outcomes known strictly before the row's as-of time; where the seller has
+    none (or the row no seller), the rate of all outcomes known by then,
+    whoever the seller; NULL before the first outcome.
+
+    One timeline carries both prefix sums of ``seller_rate_asof``: a row counts
+    in its seller's scope and in the scope of all, per instant and per day, in
+    one aggregation with partial sums. The history of each (seller, instant)
+    gets its rate before it meets the rows, so the rows are shuffled once, and
+    only instants of sellers without history look up the scope of all.
+
+    ``__k`` (0: a day) and ``__own`` (0: all, 1: a seller, 2: rows without one)
+    are aggregates, not grouping keys, so that filters on them stay above the
+    aggregation and the windows, whose exchanges the branches then share.
     """
-    one = rows.withColumn("__all", F.lit(1))
-    dated = seller_rate_asof(one, seller_col="__all", asof_col=asof_col, **columns)
-    return dated.withColumnRenamed("seller_late_rate_asof", "past_rate").drop("__all", "seller_hist_items", "seller_hist_late")
+    def key(own: int, seller, t, kind):
+        return F.struct(F.lit(own).alias("__scope"), seller.alias("__s"), F.to_date("__t").alias("__day"), t.alias("__t"), kind.alias("__kind"))
+
+    events = rows.select(
+        F.col(seller_col).alias("__s"),
+        F.expr(f"stack(2, `{asof_col}`, 1, `{outcome_time_col}`, 2) as (__t, __kind)"),
+        F.col(label_col).alias("__y"),
+    ).filter(F.col("__t").isNotNull())
+    nobody = F.lit(None).cast(rows.schema[seller_col].dataType)
+    whole_day = F.lit(None).cast(events.schema["__t"].dataType), F.lit(0)
+    instant = F.col("__t"), F.col("__kind")
+    outcome = F.when(F.col("__kind") == 2, F.col("__y"))
+    timed = (
+        events.select(
+            F.inline(F.array(*(key(own, s, *at) for own, s in ((1, F.col("__s")), (0, nobody)) for at in (instant, whole_day)))),
+            outcome.alias("__y"),
+        )
+        .groupBy("__scope", "__s", "__day", "__t", "__kind")
+        .agg(
+            F.count("__y").alias("__n"),
+            F.coalesce(F.sum("__y"), F.lit(0)).cast("long").alias("__l"),
+            F.max("__kind").alias("__k"),
+            F.max(F.when(F.col("__s").isNull(), F.col("__scope") * 2).otherwise(F.col("__scope"))).alias("__own"),
+        )
+    )
+    before = Window.partitionBy("__scope", "__s").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    carry = timed.filter("__k = 0").select(
+        "__scope", "__s", "__day", "__t", "__kind",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__n"),
+        F.coalesce(F.sum("__l").over(before), F.lit(0)).cast("long").alias("__l"),
+        "__k", "__own",
+    )
+    upto = (
+        Window.partitionBy("__scope", "__s", "__day")
+        .orderBy(F.col("__t").asc_nulls_first(), F.col("__kind"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    n, late = F.sum("__n").over(upto), F.sum("__l").over(upto)
+    points = (
+        carry.unionByName(timed.filter("__k > 0"))
+        .select("__s", "__t", "__k", "__own", F.when(F.col("__own") < 2, F.try_divide(late, n)).alias("__rate"))
+        .filter("__k = 1")
+    )
+    known = F.col("__rate").isNotNull()
+    own = points.filter("__own > 0")
+    everyone = points.filter("__own = 0").select(F.col("__t").alias("__at"), F.col("__rate").alias("__past"))
+    unknown = own.filter(~known).join(everyone, F.col("__t") == F.col("__at"), "left")
+    rated = own.filter(known).select("__s", "__t", "__rate").unionByName(unknown.select("__s", "__t", F.col("__past").alias("__rate")))
+    return rows.join(
+        rated.withColumnRenamed("__rate", "seller_late_rate"),
+        F.col(seller_col).eqNullSafe(F.col("__s")) & (F.col(asof_col) == F.col("__t")), "left",
+    ).drop("__s", "__t")
 
 
 # --------------------------------------------------------------------------- L5, L7

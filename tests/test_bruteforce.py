@@ -44,6 +44,27 @@ def test_asof_rate_matches_brute_force(spark, seed):
         assert got[oid] == (n, late), oid
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_rate_with_past_fill_matches_brute_force(spark, seed):
+    """Rows without a seller or without history take the rate of all; a null
+    label is no outcome; repeated rows and ties count as they stand."""
+    data = [(o, None if i % 11 == 0 else f"new{i}" if i % 7 == 0 else s, p, d, None if i % 13 == 0 else y) for i, (o, s, p, d, y) in enumerate(_rows(seed, 300))]
+    data += [*data[:20], ("x", "hot", None, data[0][3], 1)]
+    df = spark.createDataFrame(
+        data,
+        "order_id string, seller_id string, order_purchase_timestamp timestamp_ntz, "
+        "order_delivered_customer_date timestamp_ntz, is_late int",
+    ).repartition(5)
+    got = sellers.seller_or_past_rate(df).collect()
+    assert sorted((r.order_id, str(r.seller_id)) for r in got) == sorted((r[0], str(r[1])) for r in data)
+    for r in got:
+        known = [(s, y) for _, s, _, d, y in data if r.order_purchase_timestamp and d is not None and d < r.order_purchase_timestamp and y is not None]
+        own = [y for s, y in known if r.seller_id is not None and s == r.seller_id]
+        of = own or [y for _, y in known]
+        assert r.seller_late_rate == (pytest.approx(sum(of) / len(of)) if of else None), r
+    assert sellers.seller_or_past_rate(df.limit(0)).collect() == []
+
+
 def test_auc_matches_pairwise_count(spark):
     rnd = random.Random(7)
     data = [(rnd.randrange(2), rnd.choice([0.1, 0.2, 0.2, 0.5, 0.7, 0.9, rnd.random()])) for _ in range(400)]

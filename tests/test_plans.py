@@ -224,3 +224,20 @@ def test_no_cartesian_when_every_side_is_large(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_asof_chain_shuffles_rows_once(spark):
+    """One timeline carries the seller's and the global prefix sum, and its
+    branches share their exchanges (adaptive plans share them at run time)."""
+    from tools.plan_report import plan_of, shape
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        counts = shape(plan_of(registered_queries()["features_asof"](spark, SF_SMALL)))
+        assert counts["hash exch"] + counts["single exch"] <= 8 and counts["SMJ"] == 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -53,10 +53,11 @@ def plan_of(df) -> str:
 
 def shape(plan: str) -> dict[str, int]:
     return {
-        "hash exch": len(re.findall(r"(?<!Reused)Exchange hashpartitioning", plan)),
+        # lines of the tree; a reused exchange names its original on the same line
+        "hash exch": len(re.findall(r"(?m)^[\s:+-]*Exchange hashpartitioning", plan)),
         "reused": plan.count("ReusedExchange"),
-        "range exch": len(re.findall(r"(?<!Reused)Exchange rangepartitioning", plan)),
-        "single exch": len(re.findall(r"(?<!Reused)Exchange SinglePartition", plan)),
+        "range exch": len(re.findall(r"(?m)^[\s:+-]*Exchange rangepartitioning", plan)),
+        "single exch": len(re.findall(r"(?m)^[\s:+-]*Exchange SinglePartition", plan)),
         "SMJ": plan.count("SortMergeJoin"),
         "BHJ": plan.count("BroadcastHashJoin"),
         "window": len(re.findall(r"\bWindow \[", plan)),
