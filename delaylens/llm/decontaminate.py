@@ -15,9 +15,9 @@ documents, is a sufficient prefix.
    all of them (64-bit hashes) is agreement word by word.
 4. Hit words are the union of the verified places.
 
-Built-in expressions only. The benchmark side is broadcast if a count of its
-rows, taken first, stays under ``BROADCAST_ROWS``; else it is shuffled and AQE
-splits hot shingles.
+Built-in expressions only. The benchmark's tables are stored, so Spark knows
+their bytes when it plans the joins: below the session's broadcast threshold
+they are broadcast, beyond it shuffled, and AQE splits hot shingles.
 
 Defined results: a null text, of a document or an item, has no words; an item
 without words has no windows; a document without hits is not contaminated.
@@ -38,8 +38,6 @@ from .common import ascii_lower, join_on_rows, stage, text_key, text_or_empty
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH, GRAM = 13, 4
-#: Rows of three numbers each: some tens of MB in an executor.
-BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -70,11 +68,6 @@ def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str
     )
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast a staged table if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def find_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM):
     """(rows, places): a row (__id, __key, n_words) per document, and the
     verified places (__id, __key, start, n, window_id), start from 0."""
@@ -94,7 +87,7 @@ def find_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", te
     first = F.array(F.lit(None).cast("bigint"))  # stands for the document itself
     every = F.concat(first, *[shingles(F.col("words"), s) for s in sizes])
     places = base.select("__id", "__key", F.size("words").alias("n_words"), F.posexplode(every).alias("at", "gram"))
-    wanted = small(stage(grams.select("gram", "size").distinct(), "wanted-grams"))
+    wanted = stage(grams.select("gram", "size").distinct(), "wanted-grams")
     matched = places.join(wanted, "gram", "left").filter((F.col("at") == 0) | F.col("size").isNotNull())
     ahead, start = F.lit(1), F.lit(None).cast("int")  # places of the sizes before
     for s in sizes:
@@ -113,14 +106,14 @@ def find_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", te
         .filter(F.col("present") == F.col("n") - F.col("size") + 1)
         .select("window_id", "n", "size", "rarest.offset", "rarest.gram")
     )
-    prefix = small(stage(prefix, "window-prefixes"))
+    prefix = stage(prefix, "window-prefixes")
     at = F.col("at") - F.col("offset")
     candidates = (
         held.join(prefix, "gram")
         .select("__id", "__key", "window_id", "n", "size", at.alias("start"), "n_words")
         .filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
     )
-    checks = candidates.join(small(grams.select("window_id", "offset", "gram")), "window_id").select(
+    checks = candidates.join(grams.select("window_id", "offset", "gram"), "window_id").select(
         "__id", "__key", "window_id", "n", "size", "start", (F.col("start") + F.col("offset")).alias("at"), "gram"
     )
     have = held.select(F.col("__id").alias("h_id"), F.col("__key").alias("h_key"), F.col("at").alias("h_at"), F.col("gram").alias("h_gram"))
@@ -175,7 +168,7 @@ def contamination(
     found = (
         places.select("__id", "__key", "window_id")
         .distinct()
-        .join(small(stage(owners, "window-items")), "window_id")
+        .join(stage(owners, "window-items"), "window_id")
         .groupBy("__id", "__key", "item")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("__id", "__key")

@@ -259,9 +259,13 @@ def test_contamination_matches_brute_force(spark):
     check_contamination(spark, docs, items)
 
 
-def test_contamination_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    check_contamination(spark, [(1, "a b c d e f g h i j k l m n o p"), (2, "x y"), (3, "n o p q")], [(7, "b c d e f g h i j k l m n o"), (8, "n o p"), (9, "x")])
+def test_contamination_beyond_the_broadcast_bound(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check_contamination(spark, [(1, "a b c d e f g h i j k l m n o p"), (2, "x y"), (3, "n o p q")], [(7, "b c d e f g h i j k l m n o"), (8, "n o p"), (9, "x")])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_contamination_of_edges_and_empty_tables(spark, edges, empty):
