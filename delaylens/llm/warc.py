@@ -8,10 +8,13 @@ record and continuation records; a file holds at most ``records_per_file`` of
 them, so its size is bounded whatever the payloads.
 
 ``read_records`` reads such files, and any .gz or plain .warc archive of one or
-more gzip members (one task per file), by Content-Length. ``reassemble`` groups the segments by origin
-identifier, orders them by segment number, and verifies that the numbers are
-complete and the total length is right. ``payloads`` decodes the HTTP message,
-chunked framing included, and verifies the payload digest.
+more gzip members (one task per file), by Content-Length. Spark hands a file over
+whole, as stored (up to 2 GB); a task unpacks it piece by piece and holds one
+record at a time. ``reassemble`` groups the segments by origin identifier, orders
+them by segment number, and verifies that the numbers are complete and the total
+length is right. ``payloads`` decodes the HTTP message, chunked framing included,
+and verifies the payload digest. ``whole_payloads`` does all this in one reading
+of the archives: only segments are stored with their blocks.
 
 Of records whose payloads are equal and have ``min_revisit`` bytes or more, that
 with the least id is the response; the others are revisits of it, without a
@@ -22,7 +25,8 @@ header; a null id is written as ``~`` and read as null, and such a record is a
 response only if no record with an id has the same payload. Rows that share the
 least id of a payload are all responses. Copies of a row are records of their
 own. Extra columns are ignored. An empty table gives an empty archive and an
-empty result. A broken record is returned with ``problem`` set, not dropped.
+empty result. A broken record is returned with ``problem`` set, not dropped; a head
+of over 16 MB or a block of over 1 GB makes a record broken.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -47,6 +51,7 @@ CHUNK_BYTES = 8 * 1024
 RECORDS_PER_FILE = 2_000
 MIN_REVISIT = 100
 PIECE = 64 * 1024
+MAX_HEAD, MAX_BLOCK = 1 << 24, 1 << 30
 URN = "urn:x-row:"
 
 
@@ -179,23 +184,33 @@ RECORD = "record_id string, type string, target string, refers_to string, digest
 _next = re.compile(rb"(?<=\n)WARC/[0-9][^\r\n]*+\r\n(?:(?!WARC-Record-ID:)[^\r\n]++\r\n)*+WARC-Record-ID:", re.I)
 
 
-def unpacked(content: bytes) -> tuple[bytes, list[str]]:
-    """The bytes of an archive, plain or of any number of gzip members, and
-    what was wrong with them. After a broken member the next one is read."""
-    if not content.startswith(b"\x1f\x8b"):
-        return content, []
-    out, problems, at = [], [], 0
+def unpacked(content: bytes, problems: list[str]) -> Iterator[bytes]:
+    """The bytes of an archive, plain or of any number of gzip members, in
+    pieces; what was wrong with them is added to ``problems``. After a broken
+    member the next one is read."""
     view, end = memoryview(content), len(content)
+    if not content.startswith(b"\x1f\x8b"):
+        for at in range(0, end, PIECE):
+            yield bytes(view[at : at + PIECE])
+        return
+    at = 0
     while 0 <= at < end:
-        member, pos, problem = zlib.decompressobj(31), at, None
-        try:
-            while pos < end and not member.eof:  # in pieces, for unused_data is a copy
-                out.append(member.decompress(view[pos : pos + PIECE]))
-                pos = min(end, pos + PIECE)
-            if not member.eof:
+        member, pos, problem, tail = zlib.decompressobj(31), at, None, b""
+        while not member.eof and not problem:
+            if not tail:  # in pieces, for unused_data is a copy
+                tail = view[pos : pos + PIECE]
+                pos += len(tail)
+            given = len(tail)
+            try:
+                out = member.decompress(tail, 16 * PIECE)
+            except zlib.error as e:
+                problem = f"broken gzip member: {e}"
+                break
+            tail = member.unconsumed_tail
+            if out:
+                yield out
+            elif not given:
                 problem = "gzip member is cut short"
-        except zlib.error as e:
-            problem = f"broken gzip member: {e}"
         if problem:
             if not content[at:].strip(b"\0"):
                 break  # padding
@@ -203,32 +218,63 @@ def unpacked(content: bytes) -> tuple[bytes, list[str]]:
             at = content.find(b"\x1f\x8b\x08", at + 1)
         else:
             at = pos - len(member.unused_data)
-    return b"".join(out), problems
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of one (uncompressed) archive, in order. After a broken one
-    it goes on at the next head of a record."""
-    at = 0
-    while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split("\r\n") if stop >= 0 else []
+def parse(pieces: Iterable[bytes]) -> Iterator[dict]:
+    """The records of one (unpacked) archive, in order. After a broken one it
+    goes on at the next head of a record. Holds one record and a piece."""
+    pieces, held = iter(pieces), bytearray()
+
+    def grow() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    def have(n: int) -> bool:
+        while len(held) < n:
+            if not grow():
+                return False
+        return True
+
+    def seek(at: int) -> bool:
+        """Drop all before the next head from ``at`` on."""
+        while True:
+            found = _next.search(held, at)
+            if found:
+                del held[: found.start()]
+                return True
+            last = held.rfind(b"\nWARC/", at)  # may still become one
+            if last < 0 or len(held) - last > MAX_HEAD:
+                last = max(at, len(held) - len(b"\nWARC"))
+            del held[: max(0, last)]
+            at = 0
+            if not grow():
+                return False
+
+    while have(1):
+        stop, searched = -1, 0
+        if have(5) and held.startswith(b"WARC/"):
+            while (stop := held.find(b"\r\n\r\n", searched)) < 0 and len(held) < MAX_HEAD:
+                searched = max(0, len(held) - 3)
+                if not grow():
+                    break
+        lines = held[:stop].decode("utf-8", "replace").split("\r\n") if stop >= 0 else []
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        length = fields.get("content-length", "")
-        if not lines or not lines[0].startswith("WARC/") or not length.isdigit():
+        length = _number(fields.get("content-length"), 18)
+        if length is None:
             yield {"problem": "no record where one should start"}
-            found = _next.search(data, at + 1)
-            if not found:
+            if not seek(1):
                 return
-            at = found.start()
             continue
-        block = data[stop + 4 : stop + 4 + int(length)]
-        at = stop + 4 + int(length)
-        problem = None
-        if len(block) != int(length) or data[at : at + 4] != b"\r\n\r\n":
-            problem = "record of wrong length"
-        at += 4
-        number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
+        begin, problem = stop + 4, None
+        end = begin + length
+        if length > MAX_BLOCK:
+            block, problem = b"", "record is too long"
+        else:
+            have(end + 4)
+            block = bytes(held[begin:end])
+            if len(block) != length or held[end : end + 4] != b"\r\n\r\n":
+                problem = "record of wrong length"
         record_id = fields.get("warc-record-id")
         yield {
             "record_id": record_id,
@@ -236,17 +282,20 @@ def parse(data: bytes) -> Iterator[dict]:
             "target": fields.get("warc-target-uri"),
             "refers_to": fields.get("warc-refers-to"),
             "digest": fields.get("warc-payload-digest"),
-            "segment": int(number) if number and number.isdigit() else None,
+            "segment": _number(fields.get("warc-segment-number"), 9),
             "origin": fields.get("warc-segment-origin-id") or record_id,
-            "total": int(total) if total and total.isdigit() else None,
+            "total": _number(fields.get("warc-segment-total-length"), 18),
             "problem": problem,
             "block": block,
         }
-        if problem:
-            found = _next.search(data, stop + 4)
-            if not found:
-                return
-            at = found.start()
+        if problem is None:
+            del held[: end + 4]
+        elif not seek(begin):
+            return
+
+
+def _number(text: str | None, digits: int) -> int | None:
+    return int(text) if text and len(text) <= digits and re.fullmatch("[0-9]+", text) else None
 
 
 _schema = pa.schema(
@@ -254,27 +303,38 @@ _schema = pa.schema(
 )
 
 
-def read_records(spark: SparkSession, path: str, segments: bool | None = None) -> DataFrame:
-    """The records of all archives under ``path``: only those in segments, only
-    whole ones, or (None) both."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").option("recursiveFileLookup", "true").load(path).select("content")
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").option("recursiveFileLookup", "true").load(path).select("content")
+
+
+def in_batches(schema: pa.Schema, of_archive):
+    """A task over archives that gathers the rows (dictionaries) which
+    ``of_archive`` makes of one archive's records into batches of some MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                out, held = [], 0
-                data, problems = unpacked(content.as_py())
-                for r in chain(parse(data), ({"problem": p} for p in problems)):
-                    if segments is not None and segments != (r.get("segment") is not None):
-                        continue
+                out, held, problems = [], 0, []
+                records = parse(unpacked(content.as_py(), problems))
+                for r in of_archive(chain(records, ({"problem": p} for p in problems))):
                     out.append(r)
-                    held += len(r.get("block") or b"")
-                    if held > 8_000_000:
-                        yield pa.RecordBatch.from_pylist(out, _schema)
+                    held += len(r.get("block") or b"") + len(r.get("payload") or b"")
+                    if held > 8_000_000 or len(out) >= 10_000:
+                        yield pa.RecordBatch.from_pylist(out, schema)
                         out, held = [], 0
-                yield pa.RecordBatch.from_pylist(out, _schema)
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    return run
 
-    return map_arrow(files, run, RECORD)
+
+def read_records(spark: SparkSession, path: str, segments: bool | None = None) -> DataFrame:
+    """The records of all archives under ``path``: only those in segments, only
+    whole ones, or (None) both."""
+
+    def wanted(records: Iterator[dict]) -> Iterator[dict]:
+        return (r for r in records if segments is None or segments == (r.get("segment") is not None))
+
+    return map_arrow(archives(spark, path), in_batches(_schema, wanted), RECORD)
 
 
 def reassemble(parts: DataFrame) -> DataFrame:
@@ -299,39 +359,62 @@ def reassemble(parts: DataFrame) -> DataFrame:
     return grouped.select(*[head[c].alias(c) for c in columns if c not in ("problem", "block")], problem.alias("problem"), block.alias("block"))
 
 
-def whole_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records, segments reassembled; only those are shuffled."""
-    whole = read_records(spark, path, segments=False).drop("segment", "origin", "total")
-    return whole.unionByName(reassemble(read_records(spark, path, segments=True)).select(*whole.columns))
+def decoded(r: dict, content: bool) -> dict:
+    """A whole record with its payload decoded and its digest verified."""
+    claimed = (r.get("digest") or "").removeprefix("sha256:")
+    block, payload, problem = r.get("block") or b"", None, r.get("problem")
+    if r.get("type") == "response" and not problem:
+        head, _, body = block.partition(b"\r\n\r\n")
+        try:
+            payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+        except ValueError as e:
+            problem = f"chunked framing: {e}"
+        else:
+            if claimed and hashlib.sha256(payload).hexdigest() != claimed:
+                problem = "payload digest is wrong"
+    size = None if payload is None else len(payload)
+    return {**{k: r.get(k) for k in ("record_id", "type", "target", "refers_to")}, "bytes": size, "digest": claimed, "problem": problem, **({"payload": payload} if content else {})}
+
+
+def _payload_columns(content: bool) -> dict[str, tuple[str, pa.DataType]]:
+    texts = {n: ("string", pa.string()) for n in ("record_id", "type", "target", "refers_to")}
+    rest = {"bytes": ("bigint", pa.int64()), "digest": ("string", pa.string()), "problem": ("string", pa.string())}
+    return {**texts, **rest, **({"payload": ("binary", pa.binary())} if content else {})}
+
+
+def _ddl(columns: dict[str, tuple[str, pa.DataType]]) -> str:
+    return ", ".join(f"{n} {t}" for n, (t, _) in columns.items())
 
 
 def payloads(whole: DataFrame, content: bool = True) -> DataFrame:
     """(record_id, type, target, refers_to, bytes, digest, problem[, payload]):
     the decoded payload of each record. A revisit has no payload of its own;
     its digest is that of its header."""
-    names = ["record_id", "type", "target", "refers_to", "bytes", "digest", "problem", *(["payload"] if content else [])]
-    ddl = "record_id string, type string, target string, refers_to string, bytes bigint, digest string, problem string" + (", payload binary" if content else "")
-    types = dict(zip(names, [pa.string()] * 4 + [pa.int64()] + [pa.string()] * 2 + [pa.binary()], strict=False))
+    columns = _payload_columns(content)
+    schema = pa.schema([(n, t) for n, (_, t) in columns.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.select(["record_id", "type", "target", "refers_to", "digest", "problem", "block"]).to_pylist():
-                claimed = (r.pop("digest") or "").removeprefix("sha256:")
-                block, payload = r.pop("block") or b"", None
-                if r["type"] == "response" and not r["problem"]:
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    try:
-                        payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                    except ValueError as e:
-                        r["problem"] = f"chunked framing: {e}"
-                    else:
-                        if claimed and hashlib.sha256(payload).hexdigest() != claimed:
-                            r["problem"] = "payload digest is wrong"
-                out.append({**r, "bytes": None if payload is None else len(payload), "digest": claimed, "payload": payload})
-            yield pa.RecordBatch.from_pylist(out, pa.schema(types))
-
-    return map_arrow(whole, run, ddl)
+            rows = batch.select(["record_id", "type", "target", "refers_to", "digest", "problem", "block"])
+            yield pa.RecordBatch.from_pylist([decoded(r, content) for r in rows.to_pylist()], schema)
+
+    return map_arrow(whole, run, _ddl(columns))
+
+
+def whole_payloads(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+    """``payloads`` of all records under ``path``, segments reassembled, in one
+    reading of the archives: its task decodes whole records at once, and stores
+    segments with their blocks; only these are shuffled."""
+    columns = {**_payload_columns(content), "segment": ("int", pa.int32()), "origin": ("string", pa.string()), "total": ("bigint", pa.int64()), "block": ("binary", pa.binary())}
+    schema = pa.schema([(n, t) for n, (_, t) in columns.items()])
+
+    def rows(records: Iterator[dict]) -> Iterator[dict]:
+        return (decoded(r, content) if r.get("segment") is None else r for r in records)
+
+    read = stage(map_arrow(archives(spark, path), in_batches(schema, rows), _ddl(columns)), "warc-records")
+    parts = read.filter("segment IS NOT NULL").select(*[x.split()[0] for x in RECORD.split(", ")])
+    whole = read.filter("segment IS NULL").select(*_payload_columns(content))
+    return whole.unionByName(payloads(reassemble(parts), content))
 
 
 def row_name(urn: Column) -> Column:
@@ -343,8 +426,7 @@ def row_name(urn: Column) -> Column:
 def read_pages(spark: SparkSession, path: str, id_type: str = "bigint", content: bool = False) -> DataFrame:
     """(page_id, record_type, payload_bytes, payload_digest, refers_to, problem)
     of every record; revisits take the length from the response they name."""
-    decoded = payloads(whole_records(spark, path), content=content)
-    rows = decoded.select(
+    rows = whole_payloads(spark, path, content).select(
         row_name(F.col("record_id")).cast(id_type).alias("page_id"),
         F.col("type").alias("record_type"),
         F.col("bytes").alias("payload_bytes"),

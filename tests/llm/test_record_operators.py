@@ -480,3 +480,39 @@ def test_archives_of_one_record_per_member(spark, tmp_path):
     whole = {r.record_id for r in got if r.problem is None}
     assert whole == {f"<{k}>" for k in (*range(61), 63, 64, 70, 72)}
     assert {"<61>", "<62>"} <= {r.record_id for r in got if r.problem} and any("gzip member" in r.problem for r in got if r.problem)
+
+
+def test_archives_are_parsed_alike_in_any_pieces():
+    rnd = random.Random(5)
+
+    def record(k, length=None, extra=b""):
+        block = bytes(rnd.choice(b"ab\r\n/WARC") for _ in range(rnd.randrange(80))) + b"\nWARC/1.1\r\n\r\n"
+        size = str(len(block) if length is None else length).encode()
+        return b"WARC/1.1\r\nWARC-Type: response\r\n" + extra + b"WARC-Record-ID: <%d>\r\nContent-Length: %s\r\n\r\n" % (k, size) + block + b"\r\n\r\n"
+
+    data = b"".join([
+        record(0), record(1, 3), record(2), b"noise\r\nWARC/\r\n", record(3, 10**9), record(4, 10**12), record(5, "\u00b2"), record(6, 10**30),
+        record(7, extra=b"WARC-Segment-Number: 99999999999\r\n"), b"WARC/1.1\r\nno end", b"\n", record(8), record(9)[:-9],
+    ])
+    want = list(warc.parse([data]))
+    assert {r.get("record_id") for r in want if r["problem"] is None} >= {"<0>", "<2>", "<8>"}
+    assert {"<1>", "<3>", "<4>"} <= {r.get("record_id") for r in want if r["problem"]}
+    for size in (1, 2, 3, 7, 64, 1000):
+        assert list(warc.parse(data[k : k + size] for k in range(0, len(data), size))) == want
+    assert list(warc.parse([])) == [] and list(warc.parse([b"", b""])) == []
+
+
+def test_large_archives_need_the_memory_of_a_record():
+    import gzip
+    import tracemalloc
+
+    block = random.Random(6).randbytes(1000) * 1000
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+    one = gzip.compress(head + block + b"\r\n\r\n")
+    tracemalloc.start()
+    for content, n in ((one * 200, 200), (gzip.compress(b"\0" * 10**8), 0)):  # 200 MB of records; 100 MB of noise
+        tracemalloc.reset_peak()
+        before, problems = tracemalloc.get_traced_memory()[0], []
+        assert sum(r["problem"] is None for r in warc.parse(warc.unpacked(content, problems))) == n and not problems
+        assert tracemalloc.get_traced_memory()[1] - before < 20_000_000
+    tracemalloc.stop()
