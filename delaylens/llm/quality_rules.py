@@ -35,25 +35,22 @@ STOP_WORDS = (
 
 
 class Rule(NamedTuple):
-    """A text of ``least_words`` words or more breaks the rule if ``measure op
-    bound`` holds."""
+    """A text breaks the rule if ``measure op bound`` holds."""
 
     name: str
     measure: str
     op: str
     bound: float
-    least_words: int = 0
 
 
-#: Judged on ratios, so that long and short texts are treated alike. Below 1 / 0.03
-#: words a single stop word is more than the bound and none at all is chance, so
-#: few_stop_words says nothing of shorter texts.
+#: Judged on ratios, so that long and short texts are treated alike: every rule
+#: judges every text.
 RULES: tuple[Rule, ...] = (
     Rule("short_words", "mean_word_chars", "<", 2.0),
     Rule("long_words", "mean_word_chars", ">", 14.0),
     Rule("many_symbols", "symbol_ratio", ">", 0.1),
     Rule("shouting", "shout_ratio", ">", 0.5),
-    Rule("few_stop_words", "stop_word_ratio", "<", 0.03, least_words=34),
+    Rule("few_stop_words", "stop_word_ratio", "<", 0.03),
     Rule("repeated_lines", "dup_line_ratio", ">", 0.5),
     Rule("table_lines", "bar_line_ratio", ">", 0.5),
 )
@@ -146,12 +143,7 @@ def compile_rules(rules: Sequence[Rule] = RULES) -> list[Column]:
     """One boolean column per rule; a ratio that doesn't exist breaks none."""
     have = ratios()
     compare = {"<": lambda a, b: a < b, ">": lambda a, b: a > b}
-
-    def broken(r: Rule) -> Column:
-        flag = F.coalesce(compare[r.op](have[r.measure], F.lit(r.bound)), F.lit(False))
-        return flag & (F.col("n_words") >= r.least_words) if r.least_words else flag
-
-    return [broken(r).alias(r.name) for r in rules]
+    return [F.coalesce(compare[r.op](have[r.measure], F.lit(r.bound)), F.lit(False)).alias(r.name) for r in rules]
 
 
 def apply_rules(

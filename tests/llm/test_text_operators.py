@@ -68,15 +68,16 @@ SHORT_TEXTS = {
 }
 
 
-def test_stop_words_say_nothing_of_short_texts(spark):
-    short = [(lang, t, True) for lang, t in SHORT_TEXTS.items()]
-    runs = [(n, " ".join(f"bare{chr(97 + i % 26)}{i}" for i in range(n)), n < 34) for n in (10, 33, 34, 60)]
+def test_stop_words_judge_texts_of_every_length(spark):
+    words = "in der la de".split()
+    short = [(lang, t, lang == "fr") for lang, t in SHORT_TEXTS.items()] + [(f"{lang}+", f"{t} {w}", True) for (lang, t), w in zip(SHORT_TEXTS.items(), words)]
+    runs = [(n, " ".join(f"bare{chr(97 + i % 26)}{i}" for i in range(n)), False) for n in (10, 33, 34, 60)]
     df = spark.createDataFrame([(str(a), b) for a, b, _ in short + runs], "doc_id string, text string")
     got = {r.doc_id: r for r in quality_rules.apply_rules(df).collect()}
     for name, text, kept in short + runs:
         assert got[str(name)].kept == brute.keeps(text, quality_rules.STOP_WORDS)
         assert got[str(name)].kept is kept
-    assert got["34"].broken_rules == ["few_stop_words"]
+        assert got[str(name)].broken_rules == ([] if kept else ["few_stop_words"])
 
 
 def test_own_rule_table(spark):
