@@ -91,7 +91,7 @@ def q_records_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = open_order_records(c.tables(spark, sf_dir))
     text = F.to_json(F.struct(*[price.alias("price") if name == "price" else F.col(name) for name in rows.columns]))
     texts = rows.select(F.when(digit == 9, F.substring(text, 1, 12)).otherwise(text).alias("record"))
-    found = parse_records(texts)
+    found = parse_records(texts, stored=True)
     kept = found.records.select(
         F.col("order_id").cast("long").alias("order_id"), F.col("seller_id").cast("long").alias("seller_id"),
         "product_weight_g", "freight_value", "price", F.lit("ok").alias("reason"),

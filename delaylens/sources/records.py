@@ -13,11 +13,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import null_if_nan
+from ..operators.joins import stored_side
 from ..schemas import SCORING_RECORD
 
 
@@ -27,19 +28,33 @@ class RecordResult:
     rejects: DataFrame  # record (its text), reason
 
 
-def parse_records(texts: DataFrame, schema: T.StructType = SCORING_RECORD, column: str = "record") -> RecordResult:
+def parse_records(texts: DataFrame, schema: T.StructType = SCORING_RECORD, column: str = "record", stored: bool = False) -> RecordResult:
     """Bind the JSON texts in ``column`` to ``schema``.
 
     Reasons: ``not_a_record`` (no JSON object), ``wrong_type:a,b`` (the fields that
-    don't fit). Numbers written as text count as numbers.
+    don't fit). Numbers written as text count as numbers. With ``stored`` the bound rows
+    are written once, and records and rejects both read them.
     """
-    parsed = texts.select(F.col(column).alias("__text"), F.from_json(column, "map<string,string>").alias("__map"))
-    values = {f.name: F.try_element_at("__map", F.lit(f.name)) for f in schema.fields}
-    typed = {f.name: values[f.name].try_cast(f.dataType) for f in schema.fields}
-    wrong = F.array_compact(F.array(*[F.when(values[n].isNotNull() & typed[n].isNull(), F.lit(n)) for n in schema.names]))
-    reason = F.when(F.col("__map").isNull(), "not_a_record").when(F.size(wrong) > 0, F.concat(F.lit("wrong_type:"), F.array_join(wrong, ",")))
-    bound = parsed.withColumn("__reason", reason)
-    columns = [null_if_nan(typed[f.name]).alias(f.name) if isinstance(f.dataType, T.DoubleType) else typed[f.name].alias(f.name) for f in schema.fields]
+    def judge(row: Column, values: Column) -> Column:
+        bad = [F.when(F.try_element_at(values, F.lit(n)).isNotNull() & row.getField(n).isNull(), F.lit(n)) for n in schema.names]
+        return F.struct(values.isNull().alias("none"), F.array_compact(F.array(*bad)).alias("wrong"), row.alias("row"))
+
+    def bind(values: Column) -> Column:
+        typed = F.struct(*[F.try_element_at(values, F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+        return F.transform(F.array(typed), lambda row: judge(row, values))[0]
+
+    # A text is parsed and bound once a row: both are variables of a lambda, and a
+    # filter doesn't move below a projection that has a non-deterministic column, where
+    # each mention of a field would become a copy of the parsing.
+    text = F.col(column)
+    parsed = texts.select(text.alias("__text"), F.transform(F.array(F.from_json(text, "map<string,string>")), bind)[0].alias("__found"), F.spark_partition_id().alias("__at"))
+    reason = F.when(F.col("__found.none"), "not_a_record").when(F.size("__found.wrong") > 0, F.concat(F.lit("wrong_type:"), F.array_join("__found.wrong", ",")))
+    bound = parsed.filter(F.col("__at") >= 0).select(reason.alias("__reason"), "__text", "__found.row")
+    bound = bound.select("__reason", F.when(F.col("__reason").isNotNull(), F.col("__text")).alias("__text"), "row")
+    if stored:
+        bound = stored_side(bound, "records")
+    values = {f.name: F.col(f"row.{f.name}") for f in schema.fields}
+    columns = [null_if_nan(values[f.name]).alias(f.name) if isinstance(f.dataType, T.DoubleType) else values[f.name] for f in schema.fields]
     return RecordResult(
         bound.filter(F.col("__reason").isNull()).select(*columns),
         bound.filter(F.col("__reason").isNotNull()).select(F.col("__text").alias("record"), F.col("__reason").alias("reason")),

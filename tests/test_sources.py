@@ -138,6 +138,26 @@ def test_records_with_wrong_types_are_rejects_with_a_reason(spark):
     assert read_records(spark, []).records.isEmpty() and read_records(spark, good).records.count() == 1
 
 
+def test_a_text_is_parsed_once(spark):
+    from pyspark.sql import functions as F
+    from delaylens.sources.records import parse_records
+    from tests.planutil import plan_text
+
+    price = F.when(F.col("id") % 5 == 0, F.lit("n/a")).otherwise((F.col("id") / 2).cast("string"))
+    text = F.to_json(F.struct(F.col("id").cast("string").alias("order_id"), price.alias("price")))
+    texts = spark.range(40).select(F.when(F.col("id") % 7 == 0, F.substring(text, 1, 9)).otherwise(text).alias("record"))
+    found = parse_records(texts)
+    for part in (found.records, found.rejects):
+        assert plan_text(part, "extended").split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("from_json(") == 1
+    kept = sorted((int(r.order_id), r.price) for r in found.records.collect())
+    assert kept == [(i, i / 2) for i in range(40) if i % 5 and i % 7]
+    rejects = sorted((r.record, r.reason) for r in found.rejects.collect())
+    assert [r[1] for r in rejects].count("not_a_record") == 6 and [r[1] for r in rejects].count("wrong_type:price") == 6 and len(rejects) == 12
+    stored = parse_records(texts, stored=True)
+    assert sorted((int(r.order_id), r.price) for r in stored.records.collect()) == kept
+    assert sorted((r.record, r.reason) for r in stored.rejects.collect()) == rejects
+
+
 def test_chain_looks_up_nothing_that_rows_bring(spark):
     """Coordinates and a rate supplied: no geo join, no profile join."""
     from delaylens.operators.features import preprocess
