@@ -1,11 +1,18 @@
 """Delay-risk model on Spark ML: assemble, weighted boosted trees, score,
 importance, artifacts, and the scorable / rejected split for serving.
 
-Training runs on the persisted feature table (GBT runs many jobs, one or
-more per tree level); the boosting loop checkpoints its prediction / error
-data into the shared checkpoint folder every 10 iterations, so a lost
-executor does not replay all earlier trees. Node-id caching is off: at
-depth 5 it costs more checkpoint I/O than it saves.
+The split rows are stored once; every pass over them reads only its columns.
+GBT runs many jobs, one or more per tree level, over all training rows, though it
+tells them apart by bin only (``maxBins``). So beyond ``WHOLE_ROWS`` the features
+are cut into their bins first, and rows alike in all bins and label become one row
+that has the sum of their weights: every gradient, impurity and gain is that of all
+rows, and the passes grow with the occupied bins. Up to ``WHOLE_ROWS`` rows GBT
+itself looks at every row to find its bins, and gets the rows as they are.
+
+The boosting loop checkpoints its prediction / error data into the shared
+checkpoint folder every 10 iterations, so a lost executor does not replay all
+earlier trees. Node-id caching is off: at depth 5 it costs more checkpoint I/O
+than it saves.
 """
 
 from __future__ import annotations
@@ -14,19 +21,19 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURES, LABEL
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, has_scratch
 from .features import fill_weight_from_rows
 from .geo import add_coordinates, with_distance
 from .joins import stored_side
 from .metrics import with_risk
 from .sellers import enrich_seller_rate, fill_seller_rate, mean_seller_rate
-from .split import stratified_split
+from .split import Split, assign_split
 
 # Upstream hyper-parameters (100 rounds, rate 0.1, depth 5,
 # positive-class weight 10, seed 42, 20 % stratified hold-out).
@@ -35,6 +42,9 @@ DEFAULT_PARAMS = {"rounds": 100, "step": 0.1, "depth": 5, "pos_weight": 10.0, "s
 
 #: Suffixes of the matrix columns: value with the missing ones filled, indicator.
 FILLED, MISSING = "__filled", "__missing"
+#: Its bin; bins of a feature at most (GBT's ``maxBins``), and the rows up to which
+#: GBT finds bins by all rows instead of a sample of about so many.
+BIN, BINS, WHOLE_ROWS = "__bin", 32, 10_000
 
 
 @dataclass
@@ -44,8 +54,9 @@ class TrainResult:
     test: DataFrame
 
 
-def build_pipeline(rounds: int = 100, step: float = 0.1, depth: int = 5, seed: int = 42, fills: dict[str, float] | None = None) -> Pipeline:
-    """M1 + M3: feature matrix and weighted GBT.
+def build_pipeline(rounds: int = 100, step: float = 0.1, depth: int = 5, seed: int = 42, fills: dict[str, float] | None = None,
+                   cuts: dict[str, list[float]] | None = None) -> Pipeline:
+    """M1 + M3: feature matrix, bins by ``cuts`` (if given) and weighted GBT.
 
     The upstream trees learn at each split which way missing values go; Spark's
     send NaN one fixed way. So a missing value (NULL or NaN) is replaced by a
@@ -59,7 +70,11 @@ def build_pipeline(rounds: int = 100, step: float = 0.1, depth: int = 5, seed: i
         parts.append(f"coalesce(nanvl(cast(`{f}` as double), cast(null as double)), {float(fills.get(f) or 0.0)!r}D) AS `{f}{FILLED}`")
         parts.append(f"cast(`{f}` IS NULL OR isnan(cast(`{f}` as double)) AS double) AS `{f}{MISSING}`")
     matrix = SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
-    assembler = VectorAssembler(inputCols=[f + FILLED for f in FEATURES] + [f + MISSING for f in FEATURES], outputCol="features")
+    inputs = [f + (BIN if cuts else FILLED) for f in FEATURES]
+    assembler = VectorAssembler(inputCols=inputs + [f + MISSING for f in FEATURES], outputCol="features")
+    binned = Bucketizer(
+        splitsArray=[[-float("inf"), *cuts[f], float("inf")] for f in FEATURES], inputCols=[f + FILLED for f in FEATURES], outputCols=inputs
+    ) if cuts else None
     gbt = GBTClassifier(
         featuresCol="features",
         labelCol=LABEL,
@@ -69,16 +84,50 @@ def build_pipeline(rounds: int = 100, step: float = 0.1, depth: int = 5, seed: i
         maxDepth=depth,
         seed=seed,
         lossType="logistic",
+        maxBins=BINS,
         cacheNodeIds=False,
         checkpointInterval=10,
     )
-    return Pipeline(stages=[matrix, assembler, gbt])
+    return Pipeline(stages=[matrix, *([binned] if binned else []), assembler, gbt])
 
 
 def training_means(rows: DataFrame) -> dict[str, float]:
-    """Mean of each feature over the rows that have it: one row."""
-    means = rows.agg(*[F.avg(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))).alias(f) for f in FEATURES]).first()
-    return means.asDict()
+    """Mean of each feature over the rows that have it, and the number of rows: one
+    row."""
+    known = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in FEATURES}
+    return rows.agg(*[F.avg(x).alias(f) for f, x in known.items()], F.count(F.lit(1)).alias("rows")).first().asDict()
+
+
+def bin_cuts(matrix: DataFrame) -> dict[str, list[float]]:
+    """Where the bins of each filled feature start, the first left out: every value
+    of a feature of at most ``BINS`` values, else its quantiles."""
+    names = [f + FILLED for f in FEATURES]
+    sizes = matrix.agg(*[F.approx_count_distinct(n, 0.02).alias(n) for n in names]).first()
+    found = matrix.approxQuantile(names, [k / BINS for k in range(1, BINS)], 0.001)
+    ends = {float("-inf"), float("inf")}
+    cuts = {f: sorted(set(q) - ends) or [0.0] for f, q in zip(FEATURES, found)}
+    for f, n in zip(FEATURES, names):
+        if sizes[n] <= 2 * BINS:  # an estimate
+            values = sorted(r[0] for r in matrix.select(n).distinct().limit(BINS + 1).collect())
+            if len(values) <= BINS and not ends.intersection(values):
+                cuts[f] = values[1:] or values
+    return cuts
+
+
+def fit_cells(train: DataFrame, pipeline: Pipeline) -> PipelineModel:
+    """Fit on one row for all rows alike in bins and label. Indicators that are the
+    same in all rows, on which no tree can split, are left out."""
+    *prepare, assembler, gbt = pipeline.getStages()
+    rows = PipelineModel(prepare).transform(train)
+    ever = rows.agg(*[F.max(f + MISSING).alias(f) for f in FEATURES], *[F.min(f + MISSING).alias(f"not {f}") for f in FEATURES]).first()
+    assembler.setInputCols([f + BIN for f in FEATURES] + [f + MISSING for f in FEATURES if ever[f] != ever[f"not {f}"]])
+    alike = [*[f + BIN for f in FEATURES], *[f + MISSING for f in FEATURES], LABEL]
+    cells = rows.groupBy(*alike).agg(F.sum("weight").alias("weight"))
+    # as many even tasks as run at once: each tree level is a job
+    cells = cells.repartition(max(2, train.sparkSession.sparkContext.defaultParallelism)).persist()
+    fitted = Pipeline(stages=[assembler, gbt]).fit(cells)
+    cells.unpersist()
+    return PipelineModel([*prepare, *fitted.stages])
 
 
 def with_class_weight(df: DataFrame, pos_weight: float = 10.0) -> DataFrame:
@@ -94,9 +143,18 @@ def train_gbt(features: DataFrame, hash_columns: list[str] | None = None, **para
     data = features.select(*FEATURES, F.col(LABEL).cast("double").alias(LABEL), *keep)
     # the narrow training rows are stored once: cheaper than re-deriving the
     # feature chain in each branch of the split
-    split = stratified_split(stored_side(data, "training-rows"), LABEL, p["test_fraction"], p["seed"], hash_columns)
-    train = with_class_weight(split.train, p["pos_weight"]).persist()
-    model = build_pipeline(p["rounds"], p["step"], p["depth"], p["seed"], training_means(train)).fit(train)
+    assigned = assign_split(stored_side(data, "training-rows"), LABEL, p["test_fraction"], p["seed"], hash_columns)
+    split = Split.of(stored_side(assigned, "split-rows"))
+    train = with_class_weight(split.train, p["pos_weight"])
+    if not has_scratch(train.sparkSession):
+        train = train.persist()
+    facts = training_means(train)
+    shape = (p["rounds"], p["step"], p["depth"], p["seed"], facts)
+    if facts["rows"] > WHOLE_ROWS:
+        matrix = build_pipeline(*shape).getStages()[0].transform(train)
+        model = fit_cells(train, build_pipeline(*shape, bin_cuts(matrix)))
+    else:
+        model = build_pipeline(*shape).fit(train)
     train.unpersist()
     return TrainResult(model, split.train, split.test)
 
@@ -105,7 +163,7 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """M4: hard prediction and positive-class probability."""
     out = model.transform(df)
     return out.withColumn("delay_risk_probability", vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability", *[f + suffix for f in FEATURES for suffix in (FILLED, MISSING)]
+        "features", "rawPrediction", "probability", *[f + suffix for f in FEATURES for suffix in (FILLED, MISSING, BIN)]
     )
 
 
@@ -125,7 +183,8 @@ def feature_importance(spark: SparkSession, root: str, k: int = 10) -> DataFrame
     of the stored model (``root``), and their number. Features that no split uses
     have no row. Ties go by name."""
     nodes = spark.read.parquet(f"{root}/model/stages/*/data").select("nodeData.gain", "nodeData.split.featureIndex")
-    names = F.array(*[F.lit(f) for f in FEATURES * 2])  # values, then indicators
+    assembler = next(x for x in PipelineModel.load(f"{root}/model").stages if isinstance(x, VectorAssembler))
+    names = F.array(*[F.lit(c.rpartition("__")[0]) for c in assembler.getInputCols()])
     used = nodes.filter(F.col("featureIndex") >= 0)
     return (
         used.groupBy(F.get(names, F.col("featureIndex")).alias("feature"))

@@ -34,6 +34,10 @@ class Split:
     test: DataFrame
     assigned: DataFrame  # input columns + is_test
 
+    @classmethod
+    def of(cls, assigned: DataFrame) -> Split:
+        return cls(assigned.filter(~F.col("is_test")).drop("is_test"), assigned.filter(F.col("is_test")).drop("is_test"), assigned)
+
 
 def content_hash(columns: Sequence[str], seed: int = 42) -> Column:
     """A non-negative 60-bit hash of the columns' text, reproducible in any
@@ -90,12 +94,7 @@ def assign_split(
 def stratified_split(
     df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42, hash_columns: Sequence[str] | None = None
 ) -> Split:
-    assigned = assign_split(df, label, test_fraction, seed, hash_columns)
-    return Split(
-        train=assigned.filter(~F.col("is_test")).drop("is_test"),
-        test=assigned.filter(F.col("is_test")).drop("is_test"),
-        assigned=assigned,
-    )
+    return Split.of(assign_split(df, label, test_fraction, seed, hash_columns))
 
 
 def stratified_split_counts(

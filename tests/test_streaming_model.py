@@ -208,3 +208,40 @@ def test_gains_are_those_of_the_stored_nodes(spark):
     assert got.keys() == gains.keys() and len(got) > 2
     for f, values in gains.items():
         assert got[f][1] == len(values) and abs(got[f][0] - sum(values) / len(values)) < 1e-9
+
+
+def test_cells_give_the_trees_of_all_rows(spark, monkeypatch):
+    """Rows alike in all bins and label are one row with their weight; the trees are
+    those that all rows in their bins give."""
+    from pyspark.ml import Pipeline
+    from delaylens.operators import model as m
+
+    rows = _planted(spark).unionByName(_planted(spark))
+    monkeypatch.setattr(m, "WHOLE_ROWS", 100)
+    seen = []
+    fit = Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df, *a: (seen.append(df.count()), fit(self, df, *a))[1])
+    res = m.train_gbt(rows, rounds=3, depth=3)
+    train = m.with_class_weight(res.train)
+    matrix, bins, assembler, gbt = res.model.stages
+    binned = bins.transform(matrix.transform(train))
+    alike = [f + x for f in FEATURES for x in (m.BIN, m.MISSING)] + ["is_late"]
+    assert seen == [binned.select(alike).distinct().count()] and seen[0] < train.count()
+    assert all(len(s) <= m.BINS + 1 for s in bins.getSplitsArray())
+    # only price and freight are ever missing
+    assert assembler.getInputCols() == [f + m.BIN for f in FEATURES] + ["freight_value" + m.MISSING, "price" + m.MISSING]
+    plain = fit(Pipeline(stages=[assembler, m.build_pipeline(3, depth=3).getStages()[-1]]), binned)
+    probability = lambda df: {r.order_id: r.probability[1] for r in df.select("order_id", "probability").collect()}
+    want, got = probability(plain.transform(binned)), probability(res.model.transform(train))
+    assert want.keys() == got.keys() and all(abs(want[i] - got[i]) < 1e-9 for i in want)
+    root = scratch_path(spark, "cell-artifacts")
+    res.model.write().overwrite().save(f"{root}/model")
+    assert {r.feature for r in feature_importance(spark, root).collect()} <= set(FEATURES)
+
+
+def test_bins_of_few_values_are_the_values(spark):
+    from delaylens.operators import model as m
+
+    df = spark.range(1000).select(*[(F.col("id") % (3 if k else 1)).cast("double").alias(f + m.FILLED) for k, f in enumerate(FEATURES)])
+    cuts = m.bin_cuts(df)
+    assert cuts[FEATURES[0]] == [0.0] and all(cuts[f] == [1.0, 2.0] for f in FEATURES[1:])
