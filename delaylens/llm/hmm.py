@@ -5,9 +5,9 @@ A text is its words and an end; a latent state emits each token and moves on.
 1. ``_encode`` cuts what a task reads into blocks of whole documents, encoded by
    the block's own vocabulary. A running sum over the blocks' vocabularies gives
    the count of each word in the training documents, and so the base score.
-2. A word with at least ``LEAST`` training tokens and a share of 1 in ``FREQUENT``
-   has emission probabilities of its own; the others share the states' profile of
-   all such words with a count of as many bits. A state's emission of a word with
+2. A word with at least ``LEAST`` training tokens has emission probabilities of its
+   own, in a corpus of any size; the rarer ones, all counted, share the states'
+   profile of all such words with a count of as many bits. A state's emission of a word with
    count c follows its expected count, raised by (c + 1) / c as in the base and
    smoothed by ``WEIGHT`` tokens of the base; the unknown word has its base
    probability in every state. The probabilities of a state sum to 1 over all
@@ -48,7 +48,7 @@ from .common import map_arrow, stage, stage_by
 
 STATES, ROUNDS = 8, 3
 STAY = 0.98  # first probability of staying in a state
-LEAST, FREQUENT, WEIGHT = 32, 500_000, 200.0
+LEAST, WEIGHT = 32, 200.0
 SHARED = 64  # ids of words that share emissions, by the bits of their count
 UNIT = 65536
 BLOCK, CHUNK = 4_000_000, 100_000  # tokens of a block; of a row of it
@@ -399,8 +399,7 @@ class Model:
         counts = counted.filter("once and c > 0").select("word", "c")
         total = counts.agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("types")).first()
         self.states, self.tokens, self.types = states, total["tokens"] or 0, total["types"]
-        least = max(LEAST, -(-self.tokens // FREQUENT))
-        local = counted.select("block", "seq", "c", F.when(F.col("c") >= least, F.col("word")).alias("word"))
+        local = counted.select("block", "seq", "c", F.when(F.col("c") >= LEAST, F.col("word")).alias("word"))
         local = local.toDF(*local.columns)  # both sides stem from one table
         blocks = raw.filter(F.col("word").isNull()).select("block", "seq", "ids", "lens", "train", "doc_id")
         joined = blocks.groupBy("block").cogroup(local.groupBy("block")).applyInArrow(_recode(self.tokens, self.types), _CORPUS)
@@ -409,10 +408,10 @@ class Model:
         self.words = corpus.filter(F.col("word").isNotNull()).select("block", "seq", "word")
 
         noise = [F.pmod(F.xxhash64("word", F.lit(i)), F.lit(1000)) / 1000 + 0.5 for i in range(states)]
-        own = counts.filter(F.col("c") >= least).select("word", "c", *[(F.col("c") * x / states * UNIT).cast("long").alias(f"n{i}") for i, x in enumerate(noise)])
+        own = counts.filter(F.col("c") >= LEAST).select("word", "c", *[(F.col("c") * x / states * UNIT).cast("long").alias(f"n{i}") for i, x in enumerate(noise)])
         self.own = stage(own, "hmm-emissions")
         self.sizes, self.sums = np.zeros(SHARED), np.zeros(SHARED)  # words that share, and their tokens, by bits
-        few = counts.filter(F.col("c") < least).groupBy(F.length(F.bin("c")).alias("bits")).agg(F.count(F.lit(1)).alias("size"), F.sum("c").alias("sum"))
+        few = counts.filter(F.col("c") < LEAST).groupBy(F.length(F.bin("c")).alias("bits")).agg(F.count(F.lit(1)).alias("size"), F.sum("c").alias("sum"))
         for r in few.collect():  # fewer than SHARED rows
             self.sizes[r["bits"]], self.sums[r["bits"]] = r["size"], r["sum"]
         self.shared_counts = np.outer(self.sums, np.ones(states) / states)

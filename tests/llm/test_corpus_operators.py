@@ -264,6 +264,17 @@ def test_model_steps_match_plain_python(spark):
             assert np.allclose([r[f"n{k}"] / hmm.UNIT for k in range(4)], sums[bytes(r["word"])], atol=0.02)
 
 
+def test_every_word_of_enough_tokens_has_emissions_of_its_own(spark, monkeypatch):
+    """Whatever its share of the corpus; the rarer ones are all counted by the bits."""
+    monkeypatch.setattr(hmm, "FREQUENT", 5, raising=False)
+    rows = [(i, " ".join(["all"] * 200 + [f"w{k}" for k in range(12) if i < 20 + 4 * k])) for i in range(60)]
+    model = hmm.Model(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), "doc_id", "text", 2)
+    count = collections.Counter(w for _, text in rows for w in _words(text))
+    assert {bytes(r["word"]): r["c"] for r in model.own.collect()} == {w: c for w, c in count.items() if c >= hmm.LEAST}
+    rare = collections.Counter(c.bit_length() for c in count.values() if c < hmm.LEAST)
+    assert {b: int(n) for b, n in enumerate(model.sizes) if n} == rare and len(rare) > 0
+
+
 def test_scores_of_documents_and_gain_over_the_base(spark):
     got = QUERIES["op13_hidden_markov"](spark, SF_SMALL).collect()
     rows = {r.doc_id: _words(r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()}
