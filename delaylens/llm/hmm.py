@@ -5,6 +5,9 @@ A text is its words and an end; a latent state emits each token and moves on.
 1. ``_encode`` cuts what a task reads into blocks of whole documents, encoded by
    the block's own vocabulary. A running sum over the blocks' vocabularies gives
    the count of each word in the training documents, and so the base score.
+   Neighbouring blocks form groups of about ``GROUP`` tokens, less only where there
+   would be fewer groups than cores: what is known of a word moves once a group and
+   step, however little a task reads.
 2. A word with at least ``LEAST`` training tokens has emission probabilities of its
    own, in a corpus of any size; the rarer ones, all counted, share the states'
    profile of all such words with a count of as many bits. A state's emission of a word with
@@ -12,10 +15,10 @@ A text is its words and an end; a latent state emits each token and moves on.
    smoothed by ``WEIGHT`` tokens of the base; the unknown word has its base
    probability in every state. The probabilities of a state sum to 1 over all
    words and the unknown one.
-3. A Baum-Welch step joins each block's own words with their emissions, runs
-   scaled forward and backward recursions over the block's training documents,
-   and sums expected counts by word over all blocks. The blocks lie in buckets, so
-   only emissions and counts move. Counts are summed as integers, in units of
+3. A Baum-Welch step joins each group's own words with their emissions, runs
+   scaled forward and backward recursions over the training documents of its
+   blocks, and sums expected counts by word over all groups. Groups and words lie in
+   buckets, so only emissions and counts move. Counts are summed as integers, in units of
    2^-16, so the sum doesn't depend on its order. Only transitions, first states,
    the counts of shared words and the states' sums (a few rows) reach the driver.
    First emissions differ by a hash of word and state, first transitions mostly
@@ -52,6 +55,7 @@ LEAST, WEIGHT = 32, 200.0
 SHARED = 64  # ids of words that share emissions, by the bits of their count
 UNIT = 65536
 BLOCK, CHUNK = 4_000_000, 100_000  # tokens of a block; of a row of it
+GROUP = 24_000_000  # tokens of the blocks that get their emissions together
 PART = 8_000_000  # bytes of text split at once
 LONG, PIECE = 2048, 512
 SIDE, BATCH = 1024, 400_000  # sequences and tokens in one recursion
@@ -60,7 +64,10 @@ END = b""  # no word is empty
 _raw = pa.schema([("block", pa.int64()), ("seq", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()),
                   ("lens", pa.list_(pa.int32())), ("train", pa.list_(pa.bool_())), ("doc_id", pa.list_(pa.int64()))])
 _RAW = "block long, seq int, word binary, n long, ids binary, lens array<int>, train array<boolean>, doc_id array<long>"
-_CORPUS = "block long, seq int, word binary, ids binary, lens array<int>, train array<boolean>, doc_id array<long>, known array<int>, base array<double>, plus array<double>"
+_CORPUS = "group long, at long, ids binary, lens array<int>, train array<boolean>, doc_id array<long>, known array<int>, base array<double>, plus array<double>"
+
+_corpus = pa.schema([("group", pa.int64()), ("at", pa.int64()), *[f for f in _raw if f.name in ("ids", "lens", "train", "doc_id")],
+                     ("known", pa.list_(pa.int32())), ("base", pa.list_(pa.float64())), ("plus", pa.list_(pa.float64()))])
 
 _codec = pa.Codec("zstd")
 
@@ -124,15 +131,18 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vocabulary rows (word, n: tokens in training documents) and document rows
     of the blocks of a task. An id is a word's rank in its block, by tokens."""
     block = TaskContext.get().partitionId() << 32
-    held: list[tuple] = []  # (id, train, words, words in each text) of a part
+    held: list[tuple] = []  # (id, train, dictionary of words, their places in it, words in each text) of a part
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         coded = pa.concat_arrays([h[2] for h in held]).dictionary_encode()
         doc_id, train = ([x for h in held for x in h[i].to_pylist()] for i in (0, 1))
-        lens = np.concatenate([h[3] for h in held])
+        lens = np.concatenate([h[4] for h in held])
         ends = np.cumsum(lens)
-        every = np.insert(coded.indices.to_numpy(), ends, np.int32(len(coded.dictionary)))  # the end of each text
+        of_part = np.split(coded.indices.to_numpy(), np.cumsum([len(h[2]) for h in held])[:-1])
+        every = np.concatenate([p[h[3]] for p, h in zip(of_part, held)])
+        held.clear()
+        every = np.insert(every, ends, np.int32(len(coded.dictionary)))  # the end of each text
         spelled = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END])])
         order = np.argsort(-np.bincount(every, minlength=len(spelled)), kind="stable")
         place = np.empty(len(spelled), np.int32)
@@ -150,44 +160,39 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for part in _parts(batches):
         words, lens = words_of(part.column(2))
-        held.append((part.column(0), part.column(1), words, lens))
+        coded = words.dictionary_encode()
+        held.append((part.column(0), part.column(1), coded.dictionary, coded.indices.to_numpy(), lens))
         size += len(words) + len(lens)
         if size >= BLOCK:
             yield from flush()
-            block, held, size = block + 1, [], 0
+            block, size = block + 1, 0
     if held:
         yield from flush()
+    pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
 
 def _recode(tokens: int, types: int):
     """Per block: documents whose ids are below ``SHARED`` for words that share
-    emissions, and from there on for the block's own words, which follow as rows;
-    known tokens, base score and the share of counts in the score of each document."""
+    emissions, and from there on for the block's own words in the order of their
+    ranks; known tokens, base score and the share of counts in the score of each
+    document."""
 
     def task(corpus: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        seq = vocabulary["seq"].to_numpy()
-        c, own = np.zeros(len(seq), np.int64), np.zeros(len(seq), bool)
-        c[seq] = vocabulary["c"].to_numpy()
-        own[seq] = pc.is_valid(vocabulary["word"]).to_numpy(zero_copy_only=False)
+        c = np.zeros(vocabulary.num_rows, np.int64)
+        c[vocabulary["seq"].to_numpy()] = vocabulary["c"].to_numpy()
+        own = c >= LEAST
         new = np.frexp(c)[1].astype(np.int32)  # bits of a count
         new[own] = SHARED + np.arange(own.sum(), dtype=np.int32)
         cost = np.log10((c + 1) / (tokens + types + 1))
         factor = np.where(own, 0, np.log10(c + 1))
-        rows = {k: [] for k in ("block", "seq", "word", "ids", "lens", "train", "doc_id", "known", "base", "plus")}
+        rows = {f.name: [] for f in _corpus}
         for r in corpus.to_pylist():
             ids = _unpack(r["ids"])
             first = np.cumsum(r["lens"]) - r["lens"]
             sums = [np.add.reduceat(x[ids], first).tolist() for x in ((c > 0).astype(np.int32), cost, factor)]
-            for k, v in zip(rows, (r["block"], r["seq"], None, _pack(new[ids]), r["lens"], r["train"], r["doc_id"], *sums)):
+            for k, v in zip(rows, (r["group"], r["at"], _pack(new[ids]), r["lens"], r["train"], r["doc_id"], *sums)):
                 rows[k].append(v)
-        spelled = vocabulary.filter(pc.is_valid(vocabulary["word"]))
-        n = spelled.num_rows
-        columns = {k: v + [None] * n for k, v in rows.items()}
-        columns["block"] = rows["block"] + rows["block"][:1] * n
-        columns["seq"] = rows["seq"] + new[spelled["seq"].to_numpy()].tolist()
-        columns["word"] = rows["word"] + spelled["word"].to_pylist()
-        more = [("known", pa.list_(pa.int32())), ("base", pa.list_(pa.float64())), ("plus", pa.list_(pa.float64()))]
-        return pa.Table.from_batches([_table(pa.schema([*[f for f in _raw if f.name != "n"], *more]), **columns)])
+        return pa.Table.from_batches([_table(_corpus, **rows)])
 
     return task
 
@@ -336,14 +341,19 @@ class Shared:
     def __init__(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.first, self.move, self.emit = first, move, emit
 
-    def of_block(self, words: pa.Table) -> np.ndarray:
-        """Emissions by the ids of one block."""
+    def of_blocks(self, corpus: pa.Table, words: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+        """The documents of each block of a group, the rows of its own words among
+        those of the group in the order of their ids, and its emissions by id."""
         k = len(self.first)
-        out = np.empty((SHARED + words.num_rows, k))
-        out[:SHARED] = self.emit
-        if words.num_rows:
-            out[words["seq"].to_numpy()] = words["e"].combine_chunks().flatten().to_numpy().reshape(-1, k)
-        return out
+        places = words["places"].combine_chunks()
+        place = places.flatten().to_numpy()
+        order = np.argsort(place)
+        row, block = pc.list_parent_indices(places).to_numpy()[order], place[order] >> 32
+        e = words["e"].combine_chunks().flatten().to_numpy().reshape(-1, k)
+        of_row = corpus["at"].to_numpy()
+        for b in np.unique(of_row):
+            own = row[np.searchsorted(block, b) : np.searchsorted(block, b, side="right")]
+            yield corpus.take(pa.array(np.flatnonzero(of_row == b))), own, np.vstack([self.emit, e[own]])
 
 
 def _documents(corpus: pa.Table, train: bool) -> list[np.ndarray]:
@@ -355,36 +365,56 @@ def _documents(corpus: pa.Table, train: bool) -> list[np.ndarray]:
 
 
 def _step(shared: Shared):
-    """Expected counts of a block: a row (word, n0, n1, ...) for each of its own
+    """Expected counts of a group: a row (word, n0, n1, ...) for each of its own
     words, rows without a word for first states, transitions and shared words."""
 
     def task(corpus: pa.Table, words: pa.Table) -> pa.Table:
-        starts, moves, counts = expected(_documents(corpus, True), shared.first, shared.move, shared.of_block(words))
-        n = np.rint(np.vstack([starts, moves, counts]) * UNIT).astype(np.int64)
-        few = 1 + len(starts) + SHARED
-        spelled = words["word"].to_pylist()
-        at = few - SHARED + words["seq"].to_numpy()
-        some = np.flatnonzero(n[at].any(1)) if len(at) else at
-        word = [None] * few + [spelled[i] for i in some]
-        row = list(range(few)) + [None] * len(some)
-        n = np.vstack([n[:few], n[at[some]]])
-        columns = [pa.array(word, pa.binary()), pa.array(row, pa.int32()), *[pa.array(n[:, i]) for i in range(n.shape[1])]]
-        return pa.table(columns, ["word", "row", *[f"n{i}" for i in range(n.shape[1])]])
+        k = len(shared.first)
+        few, counts = np.zeros((1 + k + SHARED, k), np.int64), np.zeros((words.num_rows, k), np.int64)
+        for docs, own, emit in shared.of_blocks(corpus, words):
+            found = np.vstack(expected(_documents(docs, True), shared.first, shared.move, emit))
+            found = np.rint(found * UNIT).astype(np.int64)
+            few += found[: len(few)]
+            counts[own] += found[len(few) :]  # a word has one row
+        some = np.flatnonzero(counts.any(1))
+        word = pa.concat_arrays([pa.nulls(len(few), pa.binary()), words["word"].combine_chunks().take(pa.array(some))])
+        row = pa.array([*range(len(few)), *[None] * len(some)], pa.int32())
+        n = np.vstack([few, counts[some]])
+        return pa.table([word, row, *[pa.array(n[:, i]) for i in range(k)]], ["word", "row", *[f"n{i}" for i in range(k)]])
 
     return task
 
 
 def _scores(shared: Shared):
     def task(corpus: pa.Table, words: pa.Table) -> pa.Table:
-        found = likelihoods(_documents(corpus, False), shared.first, shared.move, shared.of_block(words))
-        flat = {c: [x for row in corpus[c].to_pylist() for x in row] for c in ("doc_id", "train", "lens", "known", "base", "plus")}
-        found += flat.pop("plus")
-        kinds = {"doc_id": pa.int64(), "train": pa.bool_(), "lens": pa.int64(), "known": pa.int64(), "base": pa.float64()}
-        return pa.table([*[pa.array(flat[c], k) for c, k in kinds.items()], pa.array(found)], [*kinds, "score"])
+        out = []
+        for docs, _, emit in shared.of_blocks(corpus, words):
+            found = likelihoods(_documents(docs, False), shared.first, shared.move, emit)
+            flat = {c: [x for row in docs[c].to_pylist() for x in row] for c in ("doc_id", "train", "lens", "known", "base", "plus")}
+            found += flat.pop("plus")
+            kinds = {"doc_id": pa.int64(), "train": pa.bool_(), "lens": pa.int64(), "known": pa.int64(), "base": pa.float64()}
+            out.append(pa.table([*[pa.array(flat[c], t) for c, t in kinds.items()], pa.array(found)], [*kinds, "score"]))
+        return pa.concat_tables(out)
 
     return task
 
 
+def _groups(blocks: DataFrame) -> DataFrame:
+    """(block, group, at: the block's number in its group): runs of blocks of about ``GROUP`` tokens, as many as there are
+    cores at least. The driver sees a row for each block, of millions of tokens."""
+    spark = blocks.sparkSession
+    sizes = blocks.select("block", F.aggregate("lens", F.lit(0).cast("long"), lambda n, x: n + x).alias("n"))
+    rows = sizes.groupBy("block").agg(F.sum("n").alias("n")).orderBy("block").collect()
+    whole = sum(r["n"] for r in rows)
+    many = max(-(-whole // GROUP), min(len(rows), spark.sparkContext.defaultParallelism))
+    before, out = 0, []
+    for r in rows:
+        group = (2 * before + r["n"]) * many // (2 * whole)
+        out.append((r["block"], group, out[-1][2] + 1 if out and out[-1][1] == group else 0))
+        before += r["n"]
+    return F.broadcast(spark.createDataFrame(out, "block long, group long, at long"))
+
+
 class Model:
     """A corpus in blocks and the parameters of the model on it."""
 
@@ -392,24 +422,27 @@ class Model:
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         read = docs.select(F.col(id_col).cast("long").alias("id"), ~F.coalesce(held_out, F.lit(False)), text)
         raw = stage_by(map_arrow(read, _encode, _RAW), "hmm-blocks", "block")
-        spelled = raw.filter(F.col("word").isNotNull()).select("block", "seq", "word", "n")
+        blocks = raw.filter(F.col("word").isNull()).select("block", "ids", "lens", "train", "doc_id")
+        groups = _groups(blocks)
+        spelled = raw.filter(F.col("word").isNotNull()).select("block", "seq", "word", "n").join(groups, "block")
         of_word = Window.partitionBy("word")  # a row for each block
-        counted = spelled.select("block", "seq", "word", F.sum("n").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("once"))
+        counted = spelled.select("block", "group", "at", "seq", "word", F.sum("n").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("once"))
         counted = stage(counted, "hmm-counts")
         counts = counted.filter("once and c > 0").select("word", "c")
         total = counts.agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("types")).first()
         self.states, self.tokens, self.types = states, total["tokens"] or 0, total["types"]
-        local = counted.select("block", "seq", "c", F.when(F.col("c") >= LEAST, F.col("word")).alias("word"))
+        local = counted.select("block", "seq", "c")
         local = local.toDF(*local.columns)  # both sides stem from one table
-        blocks = raw.filter(F.col("word").isNull()).select("block", "seq", "ids", "lens", "train", "doc_id")
-        joined = blocks.groupBy("block").cogroup(local.groupBy("block")).applyInArrow(_recode(self.tokens, self.types), _CORPUS)
-        corpus = stage_by(joined, "hmm-corpus", "block")
-        self.blocks = corpus.filter(F.col("word").isNull()).select("block", "ids", "lens", "train", "doc_id", "known", "base", "plus")
-        self.words = corpus.filter(F.col("word").isNotNull()).select("block", "seq", "word")
+        joined = blocks.join(groups, "block").groupBy("block").cogroup(local.groupBy("block")).applyInArrow(_recode(self.tokens, self.types), _CORPUS)
+        self.blocks = stage_by(joined, "hmm-corpus", "group")
+        #: the words of each group with emissions of their own, and their places in its blocks
+        place = F.shiftleft("at", 32) + F.col("seq")
+        own = self._by_word(counted.filter(F.col("c") >= LEAST).select("word", "group", place.alias("place")))
+        self.words = stage_by(own.groupBy("word", "group").agg(F.collect_list("place").alias("places")), "hmm-words", "word")
 
         noise = [F.pmod(F.xxhash64("word", F.lit(i)), F.lit(1000)) / 1000 + 0.5 for i in range(states)]
         own = counts.filter(F.col("c") >= LEAST).select("word", "c", *[(F.col("c") * x / states * UNIT).cast("long").alias(f"n{i}") for i, x in enumerate(noise)])
-        self.own = stage(own, "hmm-emissions")
+        self.own = stage_by(self._by_word(own), "hmm-emissions", "word")
         self.sizes, self.sums = np.zeros(SHARED), np.zeros(SHARED)  # words that share, and their tokens, by bits
         few = counts.filter(F.col("c") < LEAST).groupBy(F.length(F.bin("c")).alias("bits")).agg(F.count(F.lit(1)).alias("size"), F.sum("c").alias("sum"))
         for r in few.collect():  # fewer than SHARED rows
@@ -419,6 +452,11 @@ class Model:
         self.move = np.full((states, states), (1 - STAY) / max(states - 1, 1))
         np.fill_diagonal(self.move, STAY if states > 1 else 1.0)
 
+    @staticmethod
+    def _by_word(df: DataFrame) -> DataFrame:
+        """Dealt as the buckets of tables by word, so that a task writes one."""
+        return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+
     def emissions(self) -> tuple[Shared, DataFrame]:
         """The present emissions: of shared words, and (word, e) of the others."""
         k, whole = self.states, self.tokens + self.types + 1
@@ -433,8 +471,8 @@ class Model:
         return Shared(self.first, self.move, emit), self.own.select("word", e.alias("e"))
 
     def _cogroup(self, task, table: DataFrame, schema: str) -> DataFrame:
-        words = self.words.join(table, "word").select("block", "seq", "word", "e").toDF("block", "seq", "word", "e")
-        return self.blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(task, schema)
+        words = self.words.join(table, "word").select("group", "word", "places", "e")
+        return self.blocks.groupBy("group").cogroup(words.groupBy("group")).applyInArrow(task, schema)
 
     def improve(self) -> None:
         """One Baum-Welch step over all training documents."""
@@ -448,7 +486,8 @@ class Model:
         first, move = few[0] + 1, few[1 : 1 + self.states] + 1
         self.first, self.move, self.shared_counts = first / first.sum(), move / move.sum(1)[:, None], few[1 + self.states :]
         counts = self.own.select("word", "c")
-        self.own = stage(counts.join(sums.filter(F.col("word").isNotNull()).drop("row"), "word", "left").fillna(0, names), "hmm-emissions")
+        found = counts.join(sums.filter(F.col("word").isNotNull()).drop("row"), "word", "left").fillna(0, names)
+        self.own = stage_by(self._by_word(found), "hmm-emissions", "word")
 
     def score(self) -> DataFrame:
         """(doc_id, train, lens, known, base, score) of every document."""

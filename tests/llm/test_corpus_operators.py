@@ -275,6 +275,21 @@ def test_every_word_of_enough_tokens_has_emissions_of_its_own(spark, monkeypatch
     assert {b: int(n) for b, n in enumerate(model.sizes) if n} == rare and len(rare) > 0
 
 
+def test_a_word_moves_once_a_group_however_small_the_blocks(spark, monkeypatch):
+    """Forty tasks of one block each on four cores: a row for each word and group,
+    which names the word's places in all blocks; scores are those of few blocks."""
+    rows = [(i, " ".join(["all", "of"] * 10 + [f"w{(i + k) % 9}" for k in range(5)])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = hmm.Model(docs.repartition(40), F.lit(False), "doc_id", "text", 2)
+    found = model.words.collect()
+    groups = {r["group"] for r in found}
+    assert 1 < len(groups) <= spark.sparkContext.defaultParallelism and len(found) == len({(r["word"], r["group"]) for r in found})
+    blocks = model.blocks.select("group", "at").distinct().count()
+    assert blocks > 20 and sum(len(r["places"]) for r in found if bytes(r["word"]) == b"all") == blocks
+    few, many = ({r.doc_id: r.score for r in hmm.score(docs.repartition(n), F.lit(False), states=2, rounds=2).collect()} for n in (1, 40))
+    assert len(many) == 200 and all(math.isclose(few[i], many[i], rel_tol=1e-6) for i in few)
+
+
 def test_scores_of_documents_and_gain_over_the_base(spark):
     got = QUERIES["op13_hidden_markov"](spark, SF_SMALL).collect()
     rows = {r.doc_id: _words(r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()}
