@@ -47,6 +47,7 @@ from .common import map_arrow, stage, text_or_empty
 NO_ID = -(1 << 63)
 HEAD = 24
 LENGTH, PER_SHARD, ROUNDS, TASKS = 2048, 4096, 6, 20_000
+LEVEL = 5  # of compression, where ids are staged and shuffled beside the shards
 #: Up to so many shards of a range are read by name; more by listing them all.
 NAMED_SHARDS = 1000
 #: The library's pattern matcher gives up on longer runs of one kind of character.
@@ -183,7 +184,7 @@ def sequences(encoded: DataFrame, key: str, width: int, length: int, per_shard:
 
         def ready() -> pa.RecordBatch:
             nonlocal number
-            zstd = pa.Codec("zstd", compression_level=3)
+            zstd = pa.Codec("zstd", compression_level=LEVEL)
             numbers = np.arange(number, number + len(out))
             slots = permute(numbers, n, key)
             places = np.array(heads, "<i8").reshape(-1, 2)
@@ -252,7 +253,7 @@ def materialise(
 ) -> Layout:
     """Write the shards of ``docs`` under ``path``."""
     ids, end = token_ids(docs, vocabulary, pattern, width, id_col, text_col)
-    rows, n = sequences(stage(ids, "token-ids"), key, width, length, per_shard)
+    rows, n = sequences(stage(ids, "token-ids", LEVEL), key, width, length, per_shard)
     layout = Layout(path, n, end, width, length, per_shard)
     if n:
         # Ranges of slots, known without sampling; a task writes one shard or more.

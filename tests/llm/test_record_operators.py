@@ -516,3 +516,18 @@ def test_large_archives_need_the_memory_of_a_record():
         assert sum(r["problem"] is None for r in warc.parse(warc.unpacked(content, problems))) == n and not problems
         assert tracemalloc.get_traced_memory()[1] - before < 20_000_000
     tracemalloc.stop()
+
+
+def test_ids_are_staged_at_their_own_level(spark):
+    """Same rows in fewer bytes than at the usual level."""
+    from pathlib import Path
+
+    from delaylens.llm.common import stage
+
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 3000, 4).astype("<u2").tobytes() for _ in range(500)]
+    rows = [(i, bytearray(b"".join(words[k] for k in rng.zipf(1.3, 200) % 500))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "id long, ids binary").coalesce(1)
+    usual, own = stage(docs, "ids"), stage(docs, "ids", shards.LEVEL)
+    size = [sum(Path(f.removeprefix("file://")).stat().st_size for f in df.inputFiles()) for df in (usual, own)]
+    assert sorted(usual.collect()) == sorted(own.collect()) and size[1] < size[0]
