@@ -59,6 +59,7 @@ GROUP = 24_000_000  # tokens of the blocks that get their emissions together
 PART = 8_000_000  # bytes of text split at once
 LONG, PIECE = 2048, 512
 SIDE, BATCH = 1024, 400_000  # sequences and tokens in one recursion
+KEPT = 200_000  # tokens of one that keeps their states
 END = b""  # no word is empty
 
 _raw = pa.schema([("block", pa.int64()), ("seq", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()),
@@ -127,6 +128,15 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = b
 
 
+def _tokens(ids: np.ndarray, size: int, some: np.ndarray | None = None) -> np.ndarray:
+    """How often each id occurs, in ``some`` places; counted in slices, as numpy widens what it counts."""
+    out = np.zeros(size, np.int64)
+    for a in range(0, len(ids), 500_000):
+        part = ids[a : a + 500_000]
+        out += np.bincount(part if some is None else part[some[a : a + 500_000]], minlength=size)
+    return out
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vocabulary rows (word, n: tokens in training documents) and document rows
     of the blocks of a task. An id is a word's rank in its block, by tokens."""
@@ -144,11 +154,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         every = np.insert(every, ends, np.int32(len(coded.dictionary)))  # the end of each text
         spelled = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END])])
-        order = np.argsort(-np.bincount(every, minlength=len(spelled)), kind="stable")
+        order = np.argsort(-_tokens(every, len(spelled)), kind="stable")
         place = np.empty(len(spelled), np.int32)
         place[order] = np.arange(len(spelled), dtype=np.int32)
         every = place[every]
-        n = np.bincount(every[np.repeat(train, lens + 1)], minlength=len(spelled))
+        n = _tokens(every, len(spelled), np.repeat(train, lens + 1))
         spelled = spelled.take(pa.array(order))
         for a in range(0, len(spelled), 100_000):
             part = spelled.slice(a, 100_000)
@@ -213,12 +223,12 @@ class Sequences:
         self.live = np.searchsorted(-self.lens, -np.arange(len(self.ids) + 1), side="left")
 
 
-def forward(s: Sequences, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool):
+def forward(s: Sequences, start: np.ndarray, move: np.ndarray, emit: np.ndarray, room: np.ndarray | None = None):
     """Natural log-likelihood of each sequence, whose first state is distributed as
-    ``start``; the filtered states at each step."""
+    ``start``; the filtered states at each step, in ``room`` if there is one."""
     steps, one = len(s.ids), np.ones(move.shape[0])
     scale = np.ones((steps, len(s.lens)))
-    states = np.zeros((steps, len(s.lens), len(one))) if keep else None
+    states = None if room is None else room[: s.ids.size * len(one)].reshape(*s.ids.shape, len(one))
     ahead = start[s.order].copy()
     for t in range(steps):
         n = s.live[t]
@@ -226,8 +236,8 @@ def forward(s: Sequences, start: np.ndarray, move: np.ndarray, emit: np.ndarray,
         c = f @ one
         f /= c[:, None]
         scale[t, :n] = c
-        if keep:
-            states[t, :n] = f
+        if states is not None:
+            states[t, :n], states[t, n:] = f, 0
         np.matmul(f, move, out=ahead[:n])
     out = np.empty(len(s.lens))
     out[s.order] = np.log(scale).sum(0)
@@ -271,12 +281,12 @@ def transfer(s: Sequences, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batches(items: list) -> Iterator[list]:
+def _batches(items: list, tokens: int) -> Iterator[list]:
     """Runs of (sequence, ...) of like length."""
     items = sorted(items, key=lambda x: -len(x[0]))
     a = 0
     while a < len(items):
-        b = a + max(1, min(SIDE, BATCH // len(items[a][0])))
+        b = a + max(1, min(SIDE, tokens // len(items[a][0])))
         yield items[a:b]
         a = b
 
@@ -291,7 +301,7 @@ def pieces(docs: list[np.ndarray], first: np.ndarray, move: np.ndarray, emit: np
         else:
             cut += [(x[a : a + PIECE], i, a // PIECE) for a in range(0, len(x), PIECE)]
     by_doc: dict[int, dict[int, tuple]] = {}
-    for batch in _batches(cut):
+    for batch in _batches(cut, BATCH):
         for (x, i, at), m in zip(batch, transfer(Sequences([b[0] for b in batch]), move, emit)):
             by_doc.setdefault(i, {})[at] = (x, m)
     for i, parts in by_doc.items():
@@ -310,8 +320,8 @@ def pieces(docs: list[np.ndarray], first: np.ndarray, move: np.ndarray, emit: np
 def likelihoods(docs: list[np.ndarray], first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Log10 of the exact likelihood of each document."""
     out = np.zeros(len(docs))
-    for batch in _batches(pieces(docs, first, move, emit)):
-        found, _ = forward(Sequences([b[0] for b in batch]), np.array([b[2] for b in batch]), move, emit, keep=False)
+    for batch in _batches(pieces(docs, first, move, emit), BATCH):
+        found, _ = forward(Sequences([b[0] for b in batch]), np.array([b[2] for b in batch]), move, emit)
         np.add.at(out, [b[1] for b in batch], found)
     return out / np.log(10)
 
@@ -319,9 +329,11 @@ def likelihoods(docs: list[np.ndarray], first: np.ndarray, move: np.ndarray, emi
 def expected(docs: list[np.ndarray], first: np.ndarray, move: np.ndarray, emit: np.ndarray):
     """Expected first states, moves, and emissions by id."""
     starts, moves, counts = np.zeros_like(first), np.zeros_like(move), np.zeros_like(emit)
-    for batch in _batches(pieces(docs, first, move, emit)):
+    batches = list(_batches(pieces(docs, first, move, emit), KEPT))
+    room = np.empty(max((len(b) * len(b[0][0]) for b in batches), default=0) * len(first))  # one for all batches
+    for batch in batches:
         s = Sequences([b[0] for b in batch])
-        _, states = forward(s, np.array([b[2] for b in batch]), move, emit, keep=True)
+        _, states = forward(s, np.array([b[2] for b in batch]), move, emit, room)
         moves += backward(s, states, np.array([b[3] for b in batch]), np.array([b[5] for b in batch]), move, emit)
         opens = np.array([b[4] for b in batch])[s.order]
         starts += states[0][opens].sum(0)
@@ -372,10 +384,11 @@ def _step(shared: Shared):
         k = len(shared.first)
         few, counts = np.zeros((1 + k + SHARED, k), np.int64), np.zeros((words.num_rows, k), np.int64)
         for docs, own, emit in shared.of_blocks(corpus, words):
-            found = np.vstack(expected(_documents(docs, True), shared.first, shared.move, emit))
-            found = np.rint(found * UNIT).astype(np.int64)
-            few += found[: len(few)]
-            counts[own] += found[len(few) :]  # a word has one row
+            starts, moves, found = expected(_documents(docs, True), shared.first, shared.move, emit)
+            few += np.rint(np.vstack([starts, moves, found[:SHARED]]) * UNIT).astype(np.int64)
+            found *= UNIT
+            np.rint(found, out=found)
+            counts[own] += found[SHARED:].astype(np.int64)  # a word has one row
         some = np.flatnonzero(counts.any(1))
         word = pa.concat_arrays([pa.nulls(len(few), pa.binary()), words["word"].combine_chunks().take(pa.array(some))])
         row = pa.array([*range(len(few)), *[None] * len(some)], pa.int32())
@@ -412,7 +425,8 @@ def _groups(blocks: DataFrame) -> DataFrame:
         group = (2 * before + r["n"]) * many // (2 * whole)
         out.append((r["block"], group, out[-1][2] + 1 if out and out[-1][1] == group else 0))
         before += r["n"]
-    return F.broadcast(spark.createDataFrame(out, "block long, group long, at long"))
+    columns = [pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 3
+    return F.broadcast(spark.createDataFrame(pa.table(columns, ["block", "group", "at"])))  # Arrow: no task starts Python for it
 
 
 class Model:

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -217,6 +218,29 @@ def test_recursions_match_the_textbook(monkeypatch, long, piece):
     assert np.isclose((10 ** hmm.likelihoods(every, first, move, emit)).sum(), 1)
 
 
+def test_states_of_few_tokens_are_held_at_once():
+    """However many documents a block has: their states are kept in one room, and
+    the memory of a step doesn't hold those of two batches."""
+    rng = np.random.default_rng(2)
+    k, v = 8, 1000
+    docs = [rng.integers(0, v, n).astype(np.int32) for n in rng.integers(300, 500, 4000)]
+    first, move, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(v), k).T.copy()
+    tracemalloc.start()
+    starts, moves, counts = hmm.expected(docs, first, move, emit)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 35_000_000  # 1.6 million tokens
+    assert np.isclose(starts.sum(), len(docs)) and np.isclose(counts.sum(), sum(map(len, docs))) and np.isclose(moves.sum(), counts.sum() - len(docs))
+
+
+def test_groups_of_blocks_start_no_python(spark):
+    blocks = spark.createDataFrame([(b, [b + 5, 7]) for b in range(9)], "block long, lens array<int>")
+    found = hmm._groups(blocks)
+    assert "PythonRDD" not in found._jdf.queryExecution().toRdd().toDebugString()
+    assert [r["block"] for r in found.orderBy("block").collect()] == list(range(9))
+    assert hmm._groups(blocks.limit(0)).collect() == []
+
+
 def _words(text):
     return [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))] + [hmm.END]
 
